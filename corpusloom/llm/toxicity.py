@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the lower-cased runs of letters, digits and ``_``, each hashed to ``2 ** hash_bits``
-slots and counted once for a document. A bounded sample of the labelled rows
+Terms are the lower-cased runs of letters, digits and ``_`` and their prefixes of a few
+lengths, each hashed to one of ``2 ** hash_bits`` slots and counted once for a document. A bounded sample of the labelled rows
 (``max_sample``; half of it for each label, taken in hash order) is reduced to its hashed
 slots on the executors and fitted on the driver: the ``n_terms`` slots that tell most by
 chi-square get a linear weight and a factor of ``rank`` numbers each, so a pair of terms can
@@ -31,10 +31,19 @@ _TERM = re.compile(r"\w+")
 MEMO = 500_000  # terms whose slot a task remembers
 
 
-def terms(text: str | None) -> set[str]:
+PREFIXES = (4, 5, 6)
+
+
+def words(text: str | None) -> set[str]:
     return set(_TERM.findall(text.lower())) if text else set()
 
 
+def slots_of(word: str, mask: int) -> list[int]:
+    """Hashed slots of a word: itself and, marked as such, its longer prefixes (for inflected forms)."""
+    parts = [word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
+    return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) & mask for x in parts]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no label is learned from: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -104,7 +113,7 @@ class Model:
         """A function from texts to scores that remembers where terms go."""
         place = {int(s): i for i, s in enumerate(self.slots)}
         mask = (1 << self.hash_bits) - 1
-        memo: dict[str, int] = {}
+        memo: dict[str, tuple[int, ...]] = {}
 
         def score(texts: list[str | None]) -> np.ndarray:
             if self.machine is None:
@@ -114,12 +123,12 @@ class Model:
             rows, slots = [], []
             for i, text in enumerate(texts):
                 found = set()
-                for term in terms(text):
-                    at = memo.get(term)
+                for word in words(text):
+                    at = memo.get(word)
                     if at is None:
-                        memo[term] = at = place.get(xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) & mask, -1)
-                    if at >= 0:
-                        found.add(at)
+                        memo[word] = at = tuple(place[x] for x in slots_of(word, mask) if x in place)
+                    if at:
+                        found.update(at)
                 rows += [i] * len(found)
                 slots += sorted(found)
             z = self.machine.margins(np.array(rows, dtype=np.int64), np.array(slots, dtype=np.int64), len(texts))
@@ -156,7 +165,7 @@ def fit(
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [
-                np.unique(np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) & mask for t in terms(x.as_py())], dtype=np.int32)).tobytes()
+                np.unique(np.array([y for t in words(x.as_py()) for y in slots_of(t, mask)], dtype=np.int32)).tobytes()
                 for x in b.column(1)
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["id", "y", "slots"])

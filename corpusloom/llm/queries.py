@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, mixing, simhash, topk, toxicity, url_filter
+from corpusloom.llm import bpe, exact_dedup, mixing, simhash, topk, toxicity, url_filter, warc
 from corpusloom.llm.common import table
 
 
@@ -38,6 +38,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.array("source")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(warc.read(warc.write(table(spark, sf_dir, "pages"))))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -82,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_mixing": op6_mixing,
+        "op7_warc": op7_warc,
         "op8_exact_topk": op8_exact_topk,
         "op9_bpe": op9_bpe,
         "op10_url_filter": op10_url_filter,
@@ -89,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_exact_topk": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_topk": OP8_SQL, "op10_url_filter": OP10_SQL}

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, mixing, simhash, suffix_dedup, topk, toxicity, url_filter, warc
-from corpusloom.llm.common import table
+from corpusloom.llm import bpe, exact_dedup, mixing, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
+from corpusloom.llm.common import stored, table, text_or_empty, word_count
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,41 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under two tokenizer versions; copies deleted; one version's counts revised; batches replayed."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select(
+        "doc_id", "source", "lang", word_count("text").alias("words"),
+        F.regexp_count(text_or_empty("text"), F.lit(r"[A-Za-z]+|[0-9]+")).cast("long").alias("runs"),
+        F.octet_length(text_or_empty("text")).cast("long").alias("bytes"), F.sha2(text_or_empty("text"), 256).alias("digest"),
+    )
+    sizes = stored(sizes, "token-sizes")
+    firsts = sizes.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = sizes.join(firsts, (sizes.digest == firsts.digest) & (sizes.doc_id == firsts["first"]), "left_anti")
+    change = lambda d, op, version, n: d.select(
+        "doc_id", F.lit(version).alias("version"), F.lit(op).alias("op"), "source", "lang", F.col(n).alias("n_tokens")
+    )
+    batches = {
+        "words-1": change(sizes, "insert", "words@1", "words"),
+        "runs-1": change(sizes, "insert", "runs@1", "runs"),
+        "copies": change(copies, "delete", "words@1", "words").unionByName(change(copies, "delete", "runs@1", "runs")),
+        "revised": change(sizes.join(copies.select("doc_id"), "doc_id", "left_anti"), "revise", "runs@1", "bytes"),
+    }
+    rollup = token_rollup.TokenRollup(spark)
+    for name in [*batches, "copies", "words-1"]:
+        rollup.apply(name, batches[name])
+    return rollup.totals()
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM d),
+v AS (SELECT source, lang, 'words@1' AS version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens FROM k WHERE n = 1
+  UNION ALL SELECT source, lang, 'runs@1', octet_length(encode(text)) FROM k WHERE n = 1)
+SELECT source, lang, version, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM v GROUP BY ALL
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -98,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_toxicity": op2_toxicity,
+        "op3_token_counts": op3_token_counts,
         "op4_simhash": op4_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_mixing": op6_mixing,
@@ -109,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_topk": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_token_counts": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_topk": OP8_SQL, "op10_url_filter": OP10_SQL}

@@ -19,8 +19,8 @@ Components: the forests' edges are contracted by large-star and small-star round
 aggregates combine on the map side; rounds are checkpointed. No fingerprint, edge or
 component is gathered on the driver.
 
-Edge cases: null counts as the empty text; null ids sort below every id and may name a
-component; repeated rows repeat their result; other columns are not read.
+Edge cases: null counts as the empty text; null ids sort above every id, so only a component
+without any id has a null name; repeated rows repeat their result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,13 +31,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import stored, text_or_empty
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BITS = np.arange(63, -1, -1)
+LAST = (1 << 63) - 1  # the id that stands for null
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -63,14 +63,22 @@ def fingerprint(text: str, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, fp (signed 64 bit): one row per input row."""
+    """id (LAST for null), check (tells texts apart), fp (signed 64 bit): one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(x.as_py() or "", width) for x in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            found = np.array([fingerprint(x.as_py() or "", width) for x in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], names=["id", "check", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long")
+    return docs.select(_id(id_col), _check(text_col), F.col(text_col)).mapInArrow(run, "id long, check long, fp long")
+
+
+def _id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id")
+
+
+def _check(text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(text_col)).alias("check")
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -226,27 +234,34 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, blocks: int = 7
-) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
+def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, budget: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, check, fp) and, for each fp, the least (id, check) of its component."""
     rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = stored(nodes, "fingerprint-nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.min(F.struct("id", "check")).alias("least")), "fingerprint-nodes")
     roots = components(links(nodes.select("fp"), budget, blocks))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = placed.groupBy("root").agg(F.min("least").alias("least"))
     # Written out, so that a hot fingerprint's rows meet it in a join that Spark can split.
-    named = stored(placed.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, stored(placed.drop("least").join(least, "root").select("fp", "least"), "fingerprint-components")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, blocks: int = 7
+) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
+    rows, named = _components_of(docs, id_col, text_col, width, budget, blocks)
+    known = lambda c: F.when(c != LAST, c)
+    return rows.join(named, "fp").select(
+        known(F.col("id")).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known(F.col("least.id")).alias("component_id")
+    )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, blocks: int = 7) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each near-duplicate group.
 
-    Of a group the row with the smallest id stays; rows that repeat that id stay once.
+    Of a group the row with the smallest id stays; rows that repeat its id and text stay once.
     """
-    named = near_duplicates(docs, id_col, text_col, **options)
-    keep = named.select(F.coalesce("component_id", F.lit(-(1 << 63))).alias("__keep")).distinct()
-    keyed = docs.withColumn("__keep", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
-    return keyed.join(keep, "__keep", "left_semi").dropDuplicates(["__keep"]).select(*docs.columns)
+    _, named = _components_of(docs, id_col, text_col, width, budget, blocks)
+    keep = named.select(F.col("least.id").alias("__id"), F.col("least.check").alias("__check")).distinct()
+    keyed = docs.withColumns({"__id": _id(id_col), "__check": _check(text_col)})
+    return keyed.join(keep, ["__id", "__check"], "left_semi").dropDuplicates(["__id", "__check"]).select(*docs.columns)

@@ -40,6 +40,7 @@ from corpusloom.llm.common import partitions, text_or_empty
 
 GRAM = 12
 SIDE = 16
+CHUNK = 1 << 18  # bytes of fragments made, and of fragments sorted, together
 SLICE_BITS = 22
 SLICE = 1 << SLICE_BITS  # bytes handled at once
 LAST = (1 << 63) - 1  # the id that stands for null
@@ -115,23 +116,41 @@ def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
     return doc, at, stop - at, anchor[at].astype(np.int64), grams[anchor[at]]
 
 
-class Digester:
-    """64-bit polynomial digests of ranges of ``data``."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        power = np.full(n, _ODD, dtype=np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.sums = np.zeros(n, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self.sums[1:])
-        inverse = np.full(n, pow(_ODD, -1, 1 << 64), dtype=np.uint64)
-        inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse, out=inverse)
-
-    def of(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        x = (self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts]
-        return _mix(x, lengths.astype(np.uint64))
+def slice_fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> list[np.ndarray]:
+    """:func:`fragments` of many documents, some documents at a time so that its arrays stay small."""
+    out, lo = [], 0
+    while lo < len(begins):
+        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + CHUNK)))
+        base = begins[lo]
+        doc, at, windows, spot, anchor = fragments(data[base : ends[hi - 1] + 16], begins[lo:hi] - base, ends[lo:hi] - base, length)
+        out.append((doc + lo, at + base, windows, spot + base, anchor))
+        lo = hi
+    return [np.concatenate([x[i] for x in out]) for i in range(5)]
+
+
+def range_digests(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit polynomial digests of ranges of ``data`` (starts ascending), a stretch of ranges at a time."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    reach = int(lengths.max(initial=0))
+    power = np.full(CHUNK + reach + 1, _ODD, dtype=np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    inverse = np.full(CHUNK, pow(_ODD, -1, 1 << 64), dtype=np.uint64)
+    inverse[0] = 1
+    np.multiply.accumulate(inverse, out=inverse)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = int(np.searchsorted(starts, base + CHUNK))
+        part = data[base : base + CHUNK + reach].astype(np.uint64)
+        part += np.uint64(1)
+        part *= power[: len(part)]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part, out=sums[1:])
+        at = starts[lo:hi] - base
+        out[lo:hi] = (sums[at + lengths[lo:hi]] - sums[at]) * inverse[at]
+        lo = hi
+    return _mix(out, lengths.astype(np.uint64))
 
 
 def equal_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -141,7 +160,7 @@ def equal_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key:
     the group; one that differs stays alone.
     """
     n = len(starts)
-    digest = Digester(data).of(starts, lengths) ^ key
+    digest = range_digests(data, starts, lengths) ^ key
     order = np.argsort(digest)
     same = np.r_[False, digest[order][1:] == digest[order][:-1]]
     head = np.flatnonzero(~same)
@@ -149,8 +168,8 @@ def equal_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key:
     leader[order] = order[np.repeat(head, np.diff(np.r_[head, n]))]
     member = np.flatnonzero(leader != np.arange(n))
     wrong = np.zeros(len(member), dtype=bool)
-    for lo in range(0, len(member), 1 << 16):
-        m = member[lo : lo + (1 << 16)]
+    for lo in range(0, len(member), 1 << 14):
+        m = member[lo : lo + (1 << 14)]
         lead = leader[m]
         unlike = lengths[m] != lengths[lead]
         ok = np.flatnonzero(~unlike)
@@ -163,88 +182,81 @@ def equal_groups(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key:
     return leader
 
 
-def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks (from 1) of triples in sorted order and their number."""
-    k = int(max(a.max(), b.max(), c.max())) + 1
-    key = a.astype(np.uint64) * np.uint64(k) + b
-    if k >= 1 << 21:
+def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Dense ranks (from 1) of triples, their sorted order and the number of different ones."""
+    k = np.uint64(int(max(a.max(), b.max(), c.max())) + 1)
+    key = a * k + b
+    if k >= 1 << 21:  # three would not fit in 64 bits
         _, key = np.unique(key, return_inverse=True)
         key = key.astype(np.uint64)
-    key = key * np.uint64(k) + c.astype(np.uint64)
-    found, names = np.unique(key, return_inverse=True)
-    return names.astype(np.uint64) + np.uint64(1), len(found)
-
-
-def _sample(t: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions 1 and 2 modulo 3 of ``t`` (padded by zeros) and their ranks by at least ``need`` symbols."""
-    n = len(t) - 3
-    at = np.concatenate((np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)))
-    names, many = _names(t[at], t[at + 1], t[at + 2])
-    if need <= 3 or many == len(at):
-        return at, names
-    return at, _ranks(np.r_[names, np.zeros(3, np.uint64)], -(-need // 3))
+    key = key * k + c
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), dtype=np.uint64)
+    new[1:] = key[1:] != key[:-1]
+    names = np.empty(len(key), dtype=np.uint64)
+    names[order] = new = np.cumsum(new)
+    return names, order, int(new[-1])
 
 
 def _suffix_order(t: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of ``t`` (which ends in three zeros) sorted by at least ``need`` symbols, and the sample's ranks.
+    """The suffixes of ``t`` (uint64, ends in three zeros) sorted by at least ``need`` symbols, and the sample's ranks.
 
-    Sample, recurse, sort the rest, merge.
+    Sort and name the triples at positions 1 and 2 modulo 3, recurse on the names, sort the
+    suffixes at positions 0 modulo 3 by symbol and the next rank, merge.
     """
     n = len(t) - 3
-    at, sample = _sample(t, need)
+    at = np.concatenate((np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)))
+    sample, order, many = _names(t[at], t[at + 1], t[at + 2])
+    if need > 3 and many < len(at):
+        merged, deeper = _suffix_order(np.r_[sample, np.zeros(3, np.uint64)], -(-need // 3))
+        new = np.ones(len(merged), dtype=np.uint64)
+        new[1:] = ~_alike(sample, deeper, merged[:-1], merged[1:])
+        sample[merged] = np.cumsum(new)
+        order = merged
     rank = np.zeros(n + 4, dtype=np.uint64)
     rank[at] = sample
-    big = np.uint64(int(rank.max()) + 1)
-    symbol = t.astype(np.uint64)
+    big = np.uint64(int(sample.max()) + 1)
     rest = np.arange(0, n, 3)
-    key = symbol[rest] * big + rank[rest + 1]
+    key = t[rest] * big + rank[rest + 1]
     by = np.argsort(key)
     rest, key = rest[by], key[by]
-    inner = at[at < n]
-    inner = inner[np.argsort(rank[inner])]
+    inner = at[order]
+    inner = inner[inner < n]
     # How many of the rest come before each sampled suffix: by (symbol, rank) or (symbol, symbol, rank).
     before = np.empty(len(inner), dtype=np.int64)
     one = inner % 3 == 1
-    before[one] = np.searchsorted(key, symbol[inner[one]] * big + rank[inner[one] + 1])
-    two = inner[~one]
-    pair = lambda p: symbol[p] * np.uint64(int(t.max()) + 1) + symbol[p + 1]
-    both = np.concatenate((pair(rest), pair(two)))
-    _, both = np.unique(both, return_inverse=True)
-    both = both.astype(np.uint64) * big
-    before[~one] = np.searchsorted(both[: len(rest)] + rank[rest + 2], both[len(rest) :] + rank[two + 2])
-    before = np.maximum.accumulate(before)
+    first = inner[one]
+    before[one] = np.searchsorted(key, t[first] * big + rank[first + 1])
+    two, k = inner[~one], int(t.max()) + 1
+    left, right = (t[p] * np.uint64(k) + t[p + 1] for p in (rest, two))
+    if k * k * int(big) >= 1 << 63:
+        _, both = np.unique(np.concatenate((left, right)), return_inverse=True)
+        left, right = both[: len(left)].astype(np.uint64), both[len(left) :].astype(np.uint64)
+    before[~one] = np.searchsorted(left * big + rank[rest + 2], right * big + rank[two + 2])
+    place = np.arange(len(inner)) + np.maximum.accumulate(before)
     merged = np.empty(n, dtype=np.int64)
-    place = np.arange(len(inner)) + before
     free = np.ones(n, dtype=bool)
     free[place] = False
     merged[place], merged[free] = inner, rest
     return merged, rank
 
 
-def _ranks(t: np.ndarray, need: int) -> np.ndarray:
-    """Rank of each suffix; equal ranks mean equal first ``need`` symbols."""
-    merged, rank = _suffix_order(t, need)
-    new = np.ones(len(merged), dtype=bool)
-    new[1:] = ~_alike(t, rank, merged[:-1], merged[1:])
-    out = np.empty(len(merged), dtype=np.uint64)
-    out[merged] = np.cumsum(new).astype(np.uint64)
-    return out
-
-
 def _alike(symbol: np.ndarray, rank: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether suffixes p and q agree: compared at the first offset at which both are sampled."""
+    """Whether suffixes p and q agree: compared behind the first offset at which both are sampled."""
     a, b = p % 3, q % 3
     shift = np.where((a > 0) & (b > 0), 0, np.where((a != 2) & (b != 2), 1, 2))
+    last = len(symbol) - 1
     same = rank[p + shift] == rank[q + shift]
     same &= (shift < 1) | (symbol[p] == symbol[q])
-    same &= (shift < 2) | (symbol[np.minimum(p + 1, len(symbol) - 1)] == symbol[np.minimum(q + 1, len(symbol) - 1)])
+    same &= (shift < 2) | (symbol[np.minimum(p + 1, last)] == symbol[np.minimum(q + 1, last)])
     return same
 
 
 def window_classes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
-    """Class of every window of the ranges ``data[start:start + length_i]``: equal windows share a number.
+    """Class of every window of the ranges ``data[start:start + size]``: equal windows share a number.
 
-    Windows are numbered range by range. Suffix-sorts the ranges, each closed by a zero.
+    The windows come range by range. Suffix-sorts the ranges, each closed by a zero.
     """
     n = lengths + 1
     t = np.zeros(int(n.sum()) + 3, dtype=np.uint64)
@@ -276,12 +288,12 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 #: Arrays of a block; ``who`` and ``where`` are sent as differences, ``spot`` is where the anchor lies.
-_PARTS = (("windows", "u1"), ("spot", "u1"), ("seen", "<u4"), ("who", "<u4"), ("where", "<u4"), ("id", "<i8"), ("check", "<i8"), ("bytes", "u1"))
+_PARTS = (("windows", "u1"), ("spot", "u1"), ("seen", "<u4"), ("who", "<u4"), ("where", "<u4"), ("id", "<i8"), ("check", "<u4"), ("bytes", "u1"))
 
 
 def _packed(arrays: dict[str, np.ndarray], kinds) -> bytes:
     sizes = np.array([len(arrays[k]) for k, _ in kinds], dtype="<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(np.ascontiguousarray(arrays[k], dtype=t).tobytes() for k, t in kinds))
+    return zstandard.ZstdCompressor(level=5).compress(sizes + b"".join(np.ascontiguousarray(arrays[k], dtype=t).tobytes() for k, t in kinds))
 
 
 def _unpacked(blob: bytes, kinds) -> dict[str, np.ndarray]:
@@ -293,7 +305,8 @@ def _unpacked(blob: bytes, kinds) -> dict[str, np.ndarray]:
     return out
 
 
-_RANGES = (("id", "<i8"), ("check", "<i8"), ("begin", "<i8"), ("end", "<i8"))
+_RANGES = (("id", "<i8"), ("check", "<u4"), ("begin", "<u4"), ("size", "<u4"))
+_TEXTS = (("id", "<i8"), ("null", "u1"), ("check", "<u4"), ("size", "<i8"), ("bytes", "u1"))
 
 
 def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -312,7 +325,7 @@ def _send_ranges(found: dict[str, np.ndarray], parts: int) -> Iterator[tuple[int
 def pack_slice(ids: np.ndarray, checks: np.ndarray, offsets: np.ndarray, texts: list[bytes], length: int, buckets: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
     """(kind, target, block) of a slice of texts: kind 0 fragments to buckets, kind 1 known ranges to document parts."""
     data, begins, ends = _joined(texts)
-    doc, at, windows, spot, anchor = fragments(data, begins, ends, length)
+    doc, at, windows, spot, anchor = slice_fragments(data, begins, ends, length)
     if not len(doc):
         return
     size = windows + length - 1
@@ -322,7 +335,7 @@ def pack_slice(ids: np.ndarray, checks: np.ndarray, offsets: np.ndarray, texts:
     known = ids[doc] > smallest[lead]
     where = offsets[doc] + at - begins[doc]
     yield from _send_ranges(
-        {"id": ids[doc[known]], "check": checks[doc[known]], "begin": where[known], "end": where[known] + size[known]}, parts
+        {"id": ids[doc[known]], "check": checks[doc[known]], "begin": where[known], "size": size[known]}, parts
     )
     # What is left of a group are the occurrences in its smallest document, together.
     left = np.flatnonzero(~known)
@@ -358,18 +371,22 @@ def _shared(key: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def solve_bucket(blocks: list[dict[str, np.ndarray]], length: int) -> dict[str, np.ndarray]:
-    """Byte ranges (id, check, begin, end) that repeat a smaller document, of all fragments of a bucket."""
+    """Byte ranges (id, check, begin, size) that repeat a smaller document, of all fragments of a bucket.
+
+    Empties ``blocks``, so that their memory is free while the fragments are sorted.
+    """
     cat = lambda k: np.concatenate([b[k] for b in blocks])
-    windows, seen, ids, checks, data = (cat(k) for k in ("windows", "seen", "id", "check", "bytes"))
+    windows, seen, spot, ids, checks, data = (cat(k) for k in ("windows", "seen", "spot", "id", "check", "bytes"))
     windows, seen = windows.astype(np.int64), seen.astype(np.int64)
     shift = np.cumsum([0, *[len(b["id"]) for b in blocks[:-1]]])
     whole = lambda x: np.cumsum(x, dtype=np.uint32).astype(np.int64)
     who = np.concatenate([whole(b["who"]) + s for b, s in zip(blocks, shift)])
     where = np.concatenate([whole(b["where"]) for b in blocks])
+    blocks.clear()
     size = windows + length - 1
     at, reach = np.cumsum(size) - size, np.cumsum(seen) - seen
     data = np.r_[data, np.zeros(80, np.uint8)]
-    spot = at + cat("spot")
+    spot = at + spot
     anchor = _grams(_words(data), spot, spot + 4)
     own = ids[who[reach]]  # all occurrences of a fragment are in documents with one id
     # Anchors that only one id has cannot tell a repeat. Nor can fragments that share an anchor
@@ -389,8 +406,8 @@ def solve_bucket(blocks: list[dict[str, np.ndarray]], length: int) -> dict[str,
     empty = np.empty(0, dtype=np.int64)
     if not len(shared):
         return {k: empty for k, _ in _RANGES}
-    keep = ranges(at[shared], size[shared])
-    data, at = np.r_[data[keep], np.zeros(80, np.uint8)], np.cumsum(size[shared]) - size[shared]
+    del words, spot, keep
+    data, at = np.r_[data[ranges(at[shared], size[shared])], np.zeros(80, np.uint8)], np.cumsum(size[shared]) - size[shared]
     size, windows, own = size[shared], windows[shared], own[shared]
     occ = ranges(reach[shared], seen[shared])
     seen, who, where = seen[shared], who[occ], where[occ]
@@ -399,13 +416,25 @@ def solve_bucket(blocks: list[dict[str, np.ndarray]], length: int) -> dict[str,
     distinct = np.unique(lead)
     smallest = np.full(len(lead), LAST)
     np.minimum.at(smallest, lead, own)
-    classes = window_classes(data, at[distinct], size[distinct], length)
+    # Anchors by number, some at a time: equal windows have one anchor, so none are parted.
+    distinct = distinct[np.argsort(anchor[shared][distinct])]
+    tag, reached = anchor[shared][distinct], np.cumsum(size[distinct])
+    classes, lo, many = [], 0, 0
+    while lo < len(distinct):
+        hi = max(lo + 1, int(np.searchsorted(reached, (reached[lo - 1] if lo else 0) + CHUNK)))
+        while hi < len(distinct) and tag[hi] == tag[hi - 1]:
+            hi += 1
+        classes.append(window_classes(data, at[distinct[lo:hi]], size[distinct[lo:hi]], length) + many)
+        many, lo = int(classes[-1].max()) + 1, hi
+    classes = np.concatenate(classes)
     of = np.repeat(smallest[distinct], windows[distinct])
     least = np.full(classes.max() + 1, LAST)
     np.minimum.at(least, classes, of)
     least = least[classes]  # smallest id with this window, window by window
     begin = np.cumsum(windows[distinct]) - windows[distinct]
-    place = np.searchsorted(distinct, lead)
+    place = np.empty(len(lead), dtype=np.int64)
+    place[distinct] = np.arange(len(distinct))
+    place = place[lead]
     fragment = np.repeat(np.arange(len(lead)), seen)
     mine = ids[who]
     low, high = np.minimum.reduceat(least, begin)[place][fragment], np.maximum.reduceat(least, begin)[place][fragment]
@@ -423,7 +452,7 @@ def solve_bucket(blocks: list[dict[str, np.ndarray]], length: int) -> dict[str,
         a, b = np.flatnonzero(starts), np.flatnonzero(stops)
         out.append((who[m[row[a]]], where[m[row[a]]] + step[a], where[m[row[b]]] + step[b] + length))
     who, a, b = (np.concatenate([x[i] for x in out]) for i in range(3))
-    return {"id": ids[who], "check": checks[who], "begin": a, "end": b}
+    return {"id": ids[who], "check": checks[who], "begin": a, "size": b - a}
 
 
 def cut(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[int, int, str, list[tuple[int, int]]]:
@@ -455,16 +484,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     n = partitions(docs.sparkSession)
-    buckets, parts = 2 * n, 2 * n
+    buckets, parts = 2 * n, n  # a partition takes two buckets, one after the other
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    rows = rows.withColumn("check", F.xxhash64("text"))
+    # Tells rows apart that share an id but not a text.
+    rows = rows.withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids, checks, offsets = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
+            ids, checks, offsets = (np.array([h[i] for h in held], dtype=k) for i, k in enumerate((np.int64, np.uint32, np.int64)))
             out = list(pack_slice(ids, checks, offsets, [h[3] for h in held], length, buckets, parts))
             if out:
                 yield _batch(out)
@@ -491,56 +521,72 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if kind.as_py():
                     yield _batch([(1, target.as_py(), block.as_py())])
                     continue
-                if now != target.as_py() and blocks:
+                if now != target.as_py():
                     yield from answer(blocks)
-                    blocks = []
-                now = target.as_py()
+                    now, blocks = target.as_py(), []
                 blocks.append(_unpacked(block.as_py(), _PARTS))
-        if blocks:
-            yield from answer(blocks)
+        yield from answer(blocks)
 
     def answer(blocks: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if out := list(_send_ranges(solve_bucket(blocks, length), parts)):
+        if blocks and (out := list(_send_ranges(solve_bucket(blocks, length), parts))):
             yield _batch(out)
 
-    dealt = sent.repartition(n, "kind", "target").sortWithinPartitions("kind", "target")
+    dealt = sent.repartitionById(n, F.col("target").cast("int")).sortWithinPartitions("kind", "target")
     known = dealt.mapInArrow(solve, "kind int, target long, block binary")
 
-    def part_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).fill_null(LAST).to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_part_of(ids, parts), pa.int64())], names=["id", "text", "check", "target"])
+    def deal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts by part, several to a block."""
+        held: list[list[tuple]] = [[] for _ in range(parts)]
+        size = 0
 
-    texts = rows.mapInArrow(part_numbers, "id long, text binary, check long, target long")
-    both = known.select("target", F.lit(0).alias("kind"), "block", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("check"))
-    both = both.unionByName(texts.select("target", F.lit(1).alias("kind"), F.col("text").alias("block"), "id", "check"))
-    met = both.repartition(n, "target").sortWithinPartitions("target", "kind")
+        def flush() -> Iterator[pa.RecordBatch]:
+            for target, rows in enumerate(held):
+                if rows:
+                    ids, null, check, text = zip(*rows)
+                    block = {"id": np.array(ids), "null": np.array(null), "check": np.array(check), "size": np.array([len(t) for t in text]), "bytes": np.frombuffer(b"".join(text), np.uint8)}
+                    yield _batch([(2, target, _packed(block, _TEXTS))])
+                    rows.clear()
+
+        for b in batches:
+            target = _part_of(b.column(0).fill_null(LAST).to_numpy().astype(np.int64), parts)
+            for i, (id_, text, check) in enumerate(zip(*(b.column(k) for k in range(3)))):
+                null = not id_.is_valid
+                held[target[i]].append((LAST if null else id_.as_py(), null, check.as_py(), text.as_py()))
+                size += len(held[target[i]][-1][3])
+                if size > 2 * SLICE:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    texts = rows.mapInArrow(deal_texts, "kind int, target long, block binary")
+    # Ranges come before texts; each part is a partition.
+    met = known.unionByName(texts).repartitionById(n, F.col("target").cast("int")).sortWithinPartitions("kind")
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<begin:long,end:long>>" * spans
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blocks, table = None, [], None
+        blocks, table = [], None
         none = np.empty(0, np.int64)
         for b in batches:
-            out = []
-            for target, kind, block, id_, check in zip(*(b.column(i) for i in range(5))):
-                if target.as_py() != now:
-                    now, blocks, table = target.as_py(), [], None
-                if not kind.as_py():
+            for kind, block in zip(b.column(0), b.column(2)):
+                if kind.as_py() < 2:
                     blocks.append(_unpacked(block.as_py(), _RANGES))
                     continue
                 if table is None:  # ranges of this part, by id
-                    table = {k: np.concatenate([x[k] for x in blocks]) if blocks else none for k, _ in _RANGES}
+                    table = {k: np.concatenate([x[k] for x in blocks]).astype(np.int64) if blocks else none for k, _ in _RANGES}
                     order = np.argsort(table["id"], kind="stable")
                     table, blocks = {k: v[order] for k, v in table.items()}, []
-                key = id_.as_py() if id_.is_valid else LAST
-                lo, hi = np.searchsorted(table["id"], [key, key], "left")[0], np.searchsorted(table["id"], key, "right")
-                own = np.flatnonzero(table["check"][lo:hi] == check.as_py()) + lo
-                text = block.as_py()
-                removed, n_spans, digest, runs = cut(text, table["begin"][own], table["end"][own])
-                out.append((id_.as_py(), len(text), removed, n_spans, digest, *[[{"begin": x, "end": y} for x, y in runs]] * spans))
-            if out:
+                t = _unpacked(block.as_py(), _TEXTS)
+                lows, highs = (np.searchsorted(table["id"], t["id"], side) for side in ("left", "right"))
+                ends, out = np.cumsum(t["size"]), []
+                for i in range(len(t["id"])):
+                    own = np.flatnonzero(table["check"][lows[i] : highs[i]] == t["check"][i]) + lows[i]
+                    text = t["bytes"][ends[i] - t["size"][i] : ends[i]].tobytes()
+                    begin = table["begin"][own]
+                    removed, n_spans, digest, runs = cut(text, begin, begin + table["size"][own])
+                    id_ = None if t["null"][i] else int(t["id"][i])
+                    out.append((id_, len(text), removed, n_spans, digest, *[[{"begin": x, "end": y} for x, y in runs]] * spans))
                 kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))] * spans
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(len(kinds))], names=[x for x in names if x])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(len(kinds))], names=names)
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["spans"] * spans]
     return met.mapInArrow(finish, schema)

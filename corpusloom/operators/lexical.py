@@ -103,9 +103,15 @@ def merge_auto(complete: DataFrame, partial: DataFrame) -> DataFrame:
     return ranked.withColumn("effective_match", F.when(F.min("partial").over(own) == 1, "any").otherwise("all"))
 
 
-def accent_resort(candidates: DataFrame, terms: Sequence[str], text_col: str = "text", by: str = "query_id") -> DataFrame:
-    """Candidates (after their cut-off) by how many query terms their text holds as substrings, then by rank."""
-    held = sum((F.contains(F.lower(text_col), F.lower(F.lit(t))).cast("int") for t in terms), F.lit(0))
+def fold_case(col: Column) -> Column:
+    """Lower case with the sharp s written out, as full case folding does."""
+    return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+
+
+def accent_resort(candidates: DataFrame, asked: Column, text_col: str = "text", by: str = "query_id") -> DataFrame:
+    """Candidates (after their cut-off) by how many of the ``asked`` terms (array) their text holds as substrings, then by rank."""
+    text = fold_case(F.col(text_col))
+    held = F.size(F.filter(asked, lambda t: F.contains(text, fold_case(t))))
     order = Window.partitionBy(by).orderBy(F.desc("held"), "rank")
     return candidates.withColumn("held", held).withColumn("lexical_rank", F.row_number().over(order))
 

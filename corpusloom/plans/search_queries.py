@@ -104,7 +104,7 @@ def accent_resort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accent-exact order within a candidate pool that BM25 cut off before."""
     best = lexical.top(lexical.bm25(_tokens(spark, sf_dir), _queries(spark, (1, "réeuxan éch"))), lexical.pool(10))
     texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
-    ordered = lexical.accent_resort(best.join(texts, "row_id"), ["réeuxan", "éch"])
+    ordered = lexical.accent_resort(best.join(texts, "row_id"), F.array(F.lit("réeuxan"), F.lit("éch")))
     return ordered.select(F.col("row_id").alias("doc_id"), "held", "lexical_rank")
 
 

@@ -18,8 +18,8 @@ def session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "user_id")
 
 
-@query("""SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'heartbeat_lost' ELSE 'queue_timeout' END AS error FROM events
-WHERE event_type IN ('click', 'view') AND epoch(TIMESTAMP '2024-01-15 00:00:00')::BIGINT - epoch(date_trunc('second', ts))::BIGINT >= 1200""")
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'writer heartbeat expired' ELSE 'queued job was never started' END AS error FROM events
+WHERE event_type IN ('click', 'view') AND epoch(TIMESTAMP '2024-01-15 00:00:00')::BIGINT - epoch(date_trunc('second', ts))::BIGINT > 1200""")
 def job_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as running jobs, views as queued ones."""
     state = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "queued").otherwise("complete")

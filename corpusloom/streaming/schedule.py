@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 LEAST_POLL = 60
 POLL = {"local": 600, "google_drive": 300}
 FULL = 43_200
-QUEUE_TIMEOUT, HEARTBEAT_TIMEOUT, LIVE = 1200, 1200, 30
+QUEUE_TIMEOUT = 1200
 
 
 def seconds(now: str, at: Column) -> Column:
@@ -16,10 +16,10 @@ def seconds(now: str, at: Column) -> Column:
 
 
 def expired(jobs: DataFrame, now: str, timeout: int = QUEUE_TIMEOUT) -> DataFrame:
-    """id, error of jobs that ran without a heartbeat, or waited, for ``timeout`` seconds."""
-    silent = (F.col("state") == "running") & (seconds(now, F.coalesce("heartbeat_at", "created_at")) >= timeout)
-    waiting = (F.col("state") == "queued") & (seconds(now, F.col("created_at")) >= timeout)
-    return jobs.filter(silent | waiting).select("id", F.when(silent, "heartbeat_lost").otherwise("queue_timeout").alias("error"))
+    """id, error of jobs that ran without a heartbeat, or waited, for over ``timeout`` seconds."""
+    silent = (F.col("state") == "running") & (seconds(now, F.coalesce("heartbeat_at", "created_at")) > timeout)
+    waiting = (F.col("state") == "queued") & (seconds(now, F.col("created_at")) > timeout)
+    return jobs.filter(silent | waiting).select("id", F.when(silent, "writer heartbeat expired").otherwise("queued job was never started").alias("error"))
 
 
 def admit(active: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def job_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.newest_first(jobs, 50).select(F.col("id").alias("event_id"), "event_type")
 
 
-@query("SELECT user_id, min(ts) AS oldest, min_by(event_id, (ts, event_id)) AS first_event, count(*) AS jobs, sum(value) AS total FROM (SELECT user_id, ts, event_id, round(value)::BIGINT AS value FROM events) GROUP BY user_id")
+@query("SELECT user_id, min(ts) AS oldest, min_by(event_id, (ts, event_id)) AS first_event, count(*) AS jobs, sum(value)::BIGINT AS total FROM (SELECT user_id, ts, event_id, round(value)::BIGINT AS value FROM events) GROUP BY user_id")
 def job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("v", F.round("value").cast("long"))
     return e.groupBy("user_id").agg(F.min("ts").alias("oldest"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.count(F.lit(1)).alias("jobs"), F.sum("v").alias("total"))

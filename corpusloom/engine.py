@@ -18,7 +18,7 @@ from corpusloom.plans import search as plan
 from corpusloom.sources import documents as D
 from corpusloom.sources.formats import Backend
 
-TABLES = ("documents", "chunks", "tokens")
+TABLES = ("documents", "chunks", "postings", "lengths")
 VALIDITY = "id long, effective_from date, effective_to date, amended_by array<string>, replaced_by string, status_checked_on date, status_source string"
 VECTORS = "chunk_hash string, embedding array<float>"
 
@@ -54,8 +54,12 @@ class Index:
         return self._table("chunks")
 
     @cached_property
-    def tokens(self) -> DataFrame:
-        return self._table("tokens")
+    def postings(self) -> DataFrame:
+        return self._table("postings")
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return self._table("lengths")
 
     def _publish(self, tables: dict[str, DataFrame]) -> None:
         fs, path = self._fs()
@@ -93,7 +97,9 @@ class Index:
         chunks = self._chunks(docs)
         titles = docs.select(F.col("id").alias("document"), "title")
         tokens = lexical.token_rows(chunks.join(titles, "document"), "row_id", "text", "title")
-        self._publish({"documents": docs, "chunks": chunks, "tokens": tokens})
+        # In term order, so that a query's filter on terms skips all other row groups.
+        lists = lexical.postings(tokens).repartitionByRange("term").sortWithinPartitions("term", "row_id")
+        self._publish({"documents": docs, "chunks": chunks, "postings": lists, "lengths": lexical.lengths(tokens)})
 
     @staticmethod
     def _chunks(docs: DataFrame) -> DataFrame:

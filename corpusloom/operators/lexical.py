@@ -25,15 +25,31 @@ def token_rows(rows: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """term, row_id, tf, positions: the inverted index."""
-    places = tokens.select("row_id", F.posexplode("terms").alias("position", "term"))
+    """term, row_id, tf, positions: the inverted index.
+
+    Positions run on from column to column with a gap, so that no phrase spans two columns.
+    """
+    shift = F.aggregate(
+        F.transform("parts", F.size), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + n + 1))
+    )
+    numbered = F.zip_with("parts", F.slice(shift, 1, F.size("parts")), lambda part, at: F.transform(part, lambda t, i: F.struct(t.alias("term"), (at + i).alias("position"))))
+    places = tokens.select("row_id", F.explode(F.flatten(numbered)).alias("p")).select("row_id", "p.*")
     return places.groupBy("term", "row_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def lengths(tokens: DataFrame) -> DataFrame:
+    """row_id, dl: every row of the index with its number of terms."""
+    return tokens.select("row_id", F.size("terms").alias("dl"))
+
+
 def term_stats(tokens: DataFrame) -> DataFrame:
-    """term, rows that hold it, its occurrences."""
-    each = tokens.select("row_id", F.explode("terms").alias("term")).groupBy("term", "row_id").count()
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("cf"))
+    """term, rows that hold it, its occurrences: one exchange, combined on the map side.
+
+    Each row's terms are sorted, so a term's first place in its row can be told from the others.
+    """
+    own = tokens.select(F.array_sort("terms").alias("t"))
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).cast("long").alias("first")))
+    return own.select(F.explode(marked).alias("m")).groupBy("m.term").agg(F.sum("m.first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -52,14 +68,40 @@ def idf(total: Column, holding: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(LEAST_IDF)
 
 
+#: Different query terms up to which a scan looks for them as literals.
+LITERALS = 1000
+
+
 def bm25(tokens: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, row_id, cost (ascending: minus the BM25 sum), matched, n_terms."""
+    """query_id, row_id, cost (ascending: minus the BM25 sum), matched, n_terms, by a scan of all rows.
+
+    A short list of terms is looked up inside each row, so only hits leave it; a longer one is joined.
+    """
     wanted = terms_of(queries)
     sized = tokens.select("row_id", "terms", F.size("terms").alias("dl"))
+    named = [r["term"] for r in wanted.select("term").distinct().limit(LITERALS + 1).collect()]
+    found = F.filter("terms", lambda t: t.isin(*named)) if 0 < len(named) <= LITERALS else F.col("terms")
+    hits = sized.select("row_id", "dl", F.explode(found).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = hits.groupBy("row_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _sum(hits, wanted, sized)
+
+
+def bm25_postings(index: DataFrame, sized: DataFrame, queries: DataFrame) -> DataFrame:
+    """As :func:`bm25` from the inverted index, of which only the wanted terms' part is read."""
+    wanted = terms_of(queries)
+    hits = _listed(index, [r["term"] for r in wanted.select("term").distinct().limit(LITERALS + 1).collect()])
+    hits = hits.join(wanted.select("term").distinct(), "term", "left_semi").join(sized, "row_id").select("row_id", "dl", "term", "tf")
+    return _sum(hits, wanted, sized)
+
+
+def _listed(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of some terms; a literal filter reaches the scan of an index sorted by term."""
+    return index.filter(F.col("term").isin(*terms)) if 0 < len(terms) <= LITERALS else index
+
+
+def _sum(hits: DataFrame, wanted: DataFrame, sized: DataFrame) -> DataFrame:
     # One row: the whole index.
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    hits = sized.select("row_id", "dl", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy("row_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     holding = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(wanted, "term").join(holding, "term").crossJoin(F.broadcast(stats))
     part = F.col("weight") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("mean"))
@@ -68,22 +110,35 @@ def bm25(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def phrase(tokens: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """row_id, cost of the phrase, which counts as one term and never spans two columns."""
-    n = len(terms)
-    want = F.array(*[F.lit(t) for t in terms])
-    count = lambda part: F.when(
-        (F.size(part) >= n) & F.array_contains(part, F.lit(terms[0])),
-        F.size(F.filter(F.sequence(F.lit(1), F.size(part) - n + 1), lambda i: F.slice(part, i, n) == want)),
-    ).otherwise(0)
-    sized = tokens.select(
-        "row_id", F.size("terms").alias("dl"), F.aggregate(F.transform("parts", count), F.lit(0), lambda a, x: a + x).alias("tf")
-    )
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
-    hits = sized.filter("tf > 0").crossJoin(F.broadcast(stats))
+def _phrase_cost(counted: DataFrame) -> DataFrame:
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
+    hits = counted.filter("tf > 0").crossJoin(F.broadcast(stats))
     return hits.select("row_id", (-idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("mean"))).alias("cost"))
 
 
+def phrase(tokens: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """row_id, cost of the phrase, which counts as one term and never spans two columns, by a scan of all rows."""
+    # Terms are letters and digits, so spaces part them; the look-ahead finds overlapping places too.
+    pattern = F.lit("(?= " + " ".join(terms) + " )")
+    count = lambda part: F.regexp_count(F.concat(F.lit(" "), F.array_join(part, " "), F.lit(" ")), pattern)
+    tf = F.aggregate(F.transform("parts", count), F.lit(0), lambda a, x: a + x)
+    return _phrase_cost(tokens.select("row_id", F.size("terms").alias("dl"), tf.alias("tf")))
+
+
+def phrase_postings(index: DataFrame, sized: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """As :func:`phrase` from the inverted index: places where all terms agree on the phrase's start."""
+    starts = [
+        _listed(index, [t]).filter(F.col("term") == t).select("row_id", F.explode("positions").alias("position")).select("row_id", (F.col("position") - i).alias("start"))
+        for i, t in enumerate(terms)
+    ]
+    every = starts[0]
+    for s in starts[1:]:
+        every = every.unionByName(s)
+    whole = every.groupBy("row_id", "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(terms))
+    counts = whole.groupBy("row_id").agg(F.count(F.lit(1)).alias("tf"))
+    return _phrase_cost(sized.join(counts, "row_id", "left").withColumn("tf", F.coalesce("tf", F.lit(0))))
+
+
 def top(scored: DataFrame, limit: int, score_digits: int = 6, by: str = "query_id") -> DataFrame:
     """The ``limit`` cheapest rows of each query with their ranks; equal rounded costs go by row id."""
     rounded = scored.withColumn("cost", F.round("cost", score_digits))

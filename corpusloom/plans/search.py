@@ -65,7 +65,7 @@ def _lexical(index, chunks: DataFrame, queries: DataFrame, o: Options, pool: int
         best = lexical.top(scored.join(texts, "row_id"), pool).join(asked, "query_id")
         return lexical.accent_resort(best, F.col("asked")).select("query_id", "row_id", F.col("lexical_rank").alias("rank"))
 
-    scored = lexical.bm25(index.tokens, queries)
+    scored = lexical.bm25_postings(index.postings, index.lengths, queries)
     complete = scored.filter("matched = n_terms")
     if o.match == "all":
         return ranked(complete)
@@ -79,7 +79,7 @@ def _phrases(index, chunks: DataFrame, queries: DataFrame, pool: int) -> DataFra
     texts = chunks.select("row_id", "text")
     found = None
     for q in queries.select("query_id", T.tokens(F.col("text")).alias("terms")).collect():
-        hits = lexical.phrase(index.tokens, q["terms"]).withColumn("query_id", F.lit(q["query_id"])).join(texts, "row_id")
+        hits = lexical.phrase_postings(index.postings, index.lengths, q["terms"]).withColumn("query_id", F.lit(q["query_id"])).join(texts, "row_id")
         best = lexical.top(hits, pool).select("query_id", "row_id", "rank")
         found = best if found is None else found.unionByName(best)
     return found

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.spread import spread
+
 #: Word separators of the contracts: space and the ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -59,4 +61,5 @@ def word_count(col: str | Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one with fewer splits than cores is dealt over them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -110,26 +110,22 @@ def text_lines(col: Column) -> Column:
     return F.filter(lines, lambda x: x["text"] != "")
 
 
+def _stop(text: str, start: int, size: int) -> int:
+    """Where the window that starts here ends: behind the last space or line break of its second half, if any."""
+    if start + size >= len(text):
+        return len(text)
+    half = text[start + size // 2 : start + size]
+    return start + size - next((i for i, c in enumerate(reversed(half)) if c in " \n"), 0)
+
+
 def _windows(text: str, size: int, overlap: int) -> list[dict[str, int]]:
-    """Chunk windows of one text: (ordinal, start, end) with white space trimmed from both ends."""
-    out: list[dict[str, int]] = []
-    start = 0
-    while start < len(text):
-        stop = min(start + size, len(text))
-        if stop < len(text):
-            half = start + size // 2
-            cut = max(text.rfind("\n", half, stop), text.rfind(" ", half, stop))
-            if cut > start:
-                stop = cut + 1
-        piece = text[start:stop]
-        body = piece.strip()
-        if body:
-            at = start + len(piece) - len(piece.lstrip())
-            out.append({"ordinal": len(out), "start": at, "stop": at + len(body)})
-        if stop >= len(text):
-            return out
-        start = max(start + 1, stop - overlap)
-    return out
+    """Chunk windows of one text: (ordinal, start, stop) with white space trimmed from both ends."""
+    edges = [(0, _stop(text, 0, size))]
+    while edges[-1][1] < len(text):
+        begin = max(edges[-1][0] + 1, edges[-1][1] - overlap)
+        edges.append((begin, _stop(text, begin, size)))
+    bodies = ((a + len(p) - len(p.lstrip()), p.strip()) for a, b in edges for p in [text[a:b]])
+    return [{"ordinal": n, "start": at, "stop": at + len(body)} for n, (at, body) in enumerate(x for x in bodies if x[1])]
 
 
 WINDOW = "array<struct<ordinal:int,start:int,stop:int>>"

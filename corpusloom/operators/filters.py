@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from datetime import UTC, datetime
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,21 +40,21 @@ def of_type(code: str, doc_no_key: Column) -> Column:
 
 
 def bound(value: str | None) -> datetime | None:
-    """An ISO date or timestamp; without a zone it is UTC."""
+    """A day or moment in ISO form as a UTC moment; one without a zone is taken as UTC."""
     if value is None:
         return None
     try:
-        parsed = datetime.fromisoformat(value.replace("Z", "+00:00"))
-    except ValueError as e:
-        raise ValueError("modified bounds must be ISO 8601 dates/timestamps") from e
-    return (parsed if parsed.tzinfo else parsed.replace(tzinfo=UTC)).astimezone(UTC)
+        moment = datetime.fromisoformat(value)
+    except ValueError:
+        raise ValueError(f"not an ISO date or time: {value!r}") from None
+    return moment.replace(tzinfo=UTC) if moment.tzinfo is None else moment.astimezone(UTC)
 
 
 def modified(at: Column, after: str | None = None, before: str | None = None) -> Column:
     """Strictly after and before; an unknown time never matches."""
     low, high = bound(after), bound(before)
-    if low and high and low >= high:
-        raise ValueError("modified_after must precede modified_before")
+    if low and high and not low < high:
+        raise ValueError(f"no time lies after {after} and before {before}")
     out = at.isNotNull()
     for value, test in ((low, at.__gt__), (high, at.__lt__)):
         if value:
@@ -66,25 +65,23 @@ def modified(at: Column, after: str | None = None, before: str | None = None) ->
 def valid_on(rows: DataFrame, validity: DataFrame, day: str, key: str) -> DataFrame:
     """Rows with a validity interval [from, to) that holds the day (left semi join)."""
     if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day):
-        raise ValueError("valid_on must be YYYY-MM-DD")
+        raise ValueError(f"not a day in the form YYYY-MM-DD: {day!r}")
     d = F.lit(day).cast("date")
     holds = validity.filter((F.col("effective_from") <= d) & (F.col("effective_to").isNull() | (F.col("effective_to") > d)))
     return rows.join(holds.select(key), key, "left_semi")
 
 
 def folder_scope(scope: str) -> str:
-    """A safe relative folder, or ``id:X``; anything else is an error."""
-    if scope.startswith("id:"):
-        if not scope[3:]:
-            raise ValueError("id scope must name a file or folder")
-        return scope
-    path = PurePosixPath(scope)
-    if path.is_absolute() or ".." in path.parts:
-        raise ValueError("folder scope must be a safe relative path")
-    normal = path.as_posix().strip("/")
-    if normal in ("", "."):
-        raise ValueError("folder scope must identify a relative folder")
-    return normal
+    """A relative folder below the root in plain form, or ``id:X``; anything else is an error."""
+    kind, colon, identifier = scope.partition(":")
+    if kind == "id" and colon:
+        if identifier:
+            return scope
+        raise ValueError("an id scope names no id")
+    steps = [s for s in scope.split("/") if s not in ("", ".")]
+    if scope.startswith("/") or ".." in steps or not steps:
+        raise ValueError(f"not a folder below the root: {scope!r}")
+    return "/".join(steps)
 
 
 def accepted(path: Column, extensions: Iterable[str], excluded: Iterable[str]) -> Column:
@@ -94,19 +91,18 @@ def accepted(path: Column, extensions: Iterable[str], excluded: Iterable[str]) -
     return suffix.isin(*extensions) & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in excluded]))
 
 
-def search_arguments(query: str, mode: str = "hybrid", match: str = "auto", limit: int = 10, per_document: int = 3) -> list[str]:
-    """Checks a search's arguments, also on an empty index; its terms."""
-    if match not in ("auto", "any", "all", "phrase"):
-        raise ValueError("match must be one of: auto, any, all, phrase")
-    if mode not in ("hybrid", "full_text", "semantic"):
-        raise ValueError("mode must be one of: hybrid, full_text, semantic")
-    if not 1 <= per_document <= 100:
-        raise ValueError("per_document must be between 1 and 100")
-    if not 1 <= limit <= 100:
-        raise ValueError("limit must be between 1 and 100")
-    terms = re.findall(r"\w+", query)
-    if not terms:
-        raise ValueError("query must contain searchable terms")
-    return terms
+MODES, MATCHES = ("hybrid", "full_text", "semantic"), ("auto", "any", "all", "phrase")
 
 
+def search_arguments(query: str, mode: str = "hybrid", match: str = "auto", limit: int = 10, per_document: int = 3) -> None:
+    """Refuses a search that cannot be asked, whether or not the index holds anything."""
+    rules = {
+        f"mode is none of {MODES}": mode in MODES,
+        f"match is none of {MATCHES}": match in MATCHES,
+        "limit is not from 1 to 100": limit in range(1, 101),
+        "per_document is not from 1 to 100": per_document in range(1, 101),
+        "the query holds no word": re.search(r"\w", query) is not None,
+    }
+    for broken, holds in rules.items():
+        if not holds:
+            raise ValueError(broken)

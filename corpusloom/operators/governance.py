@@ -17,24 +17,27 @@ def status_on(day: Column, start: Column, end: Column) -> Column:
     return F.when(start.isNull(), "unknown").when(day < start, "not_yet_effective").when(end.isNotNull() & (day >= end), "expired").otherwise("valid")
 
 
+#: Kinds of the fields of a validity record.
+VALIDITY = {"effective_from": "day", "effective_to": "day", "status_checked_on": "day", "replaced_by": "text", "status_source": "text", "amended_by": "list"}
+
+
 def validity_fields(fields: dict) -> dict:
-    """Checked validity fields: known names, dates as YYYY-MM-DD, an end after its start."""
-    names = ("effective_from", "effective_to", "amended_by", "replaced_by", "status_checked_on", "status_source")
-    if extra := set(fields) - set(names):
-        raise ValueError(f"unsupported validity fields: {', '.join(sorted(extra))}")
-    out = {n: fields.get(n) or None for n in names}
-    for n in ("effective_from", "effective_to", "status_checked_on"):
-        if out[n] is not None and not (isinstance(out[n], str) and re.fullmatch(r"\d{4}-\d{2}-\d{2}", out[n])):
-            raise ValueError(f"{n} must be YYYY-MM-DD")
-    if out["effective_to"] and (not out["effective_from"] or out["effective_to"] <= out["effective_from"]):
-        raise ValueError("effective_to is exclusive and must be after effective_from")
-    out["amended_by"] = fields.get("amended_by") or []
-    if not isinstance(out["amended_by"], list) or not all(isinstance(x, str) for x in out["amended_by"]):
-        raise ValueError("amended_by must be a list of document numbers")
-    for n in ("replaced_by", "status_source"):
-        if out[n] is not None and not isinstance(out[n], str):
-            raise ValueError(f"{n} must be a string")
-    return out
+    """A whole validity record from some fields, or an error: empty ones are null, days have the
+    form YYYY-MM-DD, and an end needs an earlier start."""
+    fits = {
+        "day": lambda x: isinstance(x, str) and re.fullmatch(r"\d{4}-\d{2}-\d{2}", x),
+        "text": lambda x: isinstance(x, str),
+        "list": lambda x: isinstance(x, list) and all(isinstance(y, str) for y in x),
+    }
+    for name, value in fields.items():
+        if name not in VALIDITY:
+            raise ValueError(f"unknown validity field: {name}")
+        if value and not fits[VALIDITY[name]](value):
+            raise ValueError(f"{name} is no {VALIDITY[name]}: {value!r}")
+    record = {name: fields.get(name) or ([] if kind == "list" else None) for name, kind in VALIDITY.items()}
+    if record["effective_to"] and not (record["effective_from"] or "9") < record["effective_to"]:
+        raise ValueError("the (exclusive) end needs a start before it")
+    return record
 
 
 def expired_citations(documents: DataFrame, validity: DataFrame, day: str) -> DataFrame:

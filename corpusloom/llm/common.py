@@ -28,9 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders named by this process, for :func:`cleanup`.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,11 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder that this library wrote."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def cleanup(spark: SparkSession) -> None:
+    """Remove the tables that operators wrote for results not read yet; call it once those are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _MADE:
+        folder = path(_MADE.pop())
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -21,6 +21,8 @@ own; an empty batch is committed and empty; groups without documents and tokens
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +50,13 @@ class TokenRollup:
         found = [f"{b}/{part}" for b in self.batches()]
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
-    def ledger(self) -> DataFrame:
-        """Latest count of every document and version; n_tokens is null where it was deleted."""
+    def ledger(self, of: DataFrame | None = None) -> DataFrame:
+        """Latest count of every document and version, or of those in ``of``; n_tokens is null where it was deleted."""
+        rows = self._read("ledger", LEDGER)
+        if of is not None:  # before the exchange: a small batch leaves the rest of the ledger where it is
+            rows = rows.join(of, rows.doc_id.eqNullSafe(of.doc_id) & rows.version.eqNullSafe(of.version), "left_semi")
         latest = F.max_by(F.struct("source", "lang", "n_tokens"), "number").alias("at")
-        return self._read("ledger", LEDGER).groupBy("doc_id", "version").agg(latest).select("doc_id", "version", "at.*")
+        return rows.groupBy("doc_id", "version").agg(latest).select("doc_id", "version", "at.*")
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch of changes; False if the id was committed before."""
@@ -66,13 +71,13 @@ class TokenRollup:
             F.when(F.col("op") != "delete", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0))).alias("n_tokens"),
         )
         last = rows.groupBy("doc_id", "version").agg(F.max(F.struct("seq", F.col("n_tokens").isNull().alias("gone"), "n_tokens", "source", "lang")).alias("new"))
-        old = self.ledger().filter("n_tokens is not null")
+        old = self.ledger(last.select("doc_id", "version")).filter("n_tokens is not null")
         same = last.doc_id.eqNullSafe(old.doc_id) & last.version.eqNullSafe(old.version)
         joined = last.join(old, same, "left").select(
             last.doc_id, last.version, "new", F.struct(old.source, old.lang, old.n_tokens).alias("old"), old.n_tokens.isNotNull().alias("known")
         )
         joined = joined.filter("known or new.n_tokens is not null")
-        staging = f"{self.path}/staging/{fresh_path(self.spark, 'x').rsplit('-', 1)[1]}"
+        staging = f"{self.path}/staging/{uuid.uuid4().hex}"
         number = len(self.batches()) + 1
         joined.select(
             "doc_id", "version", F.lit(number).cast("long").alias("number"),

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import os
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, mixing, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
+from corpusloom.llm import bpe, common, exact_dedup, mixing, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -422,3 +423,10 @@ def test_url_filter_collisions(spark, monkeypatch):
     assert url_filter.DigestArray(url_filter.build_index(spark, [])).judge(["a.net"], ["/"], "allow") == ([None], ["allow"])
     with pytest.raises(ValueError):
         url_filter.build_index(spark, [("a", "/", "allow"), ("a", "/", "block")])
+
+
+def test_cleanup(spark, rows):
+    path = common.fresh_path(spark, "cleanup").removeprefix("file://")
+    spark.range(3).write.parquet(path)
+    common.cleanup(spark)
+    assert not os.path.exists(path)

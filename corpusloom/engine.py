@@ -61,21 +61,23 @@ class Index:
     def lengths(self) -> DataFrame:
         return self._table("lengths")
 
-    def _publish(self, tables: dict[str, DataFrame]) -> None:
-        fs, path = self._fs()
-        n = self.version() + 1
-        fs.delete(path(f"{self.folder}/v={n}"), True)  # what a broken build left
-        for name, df in tables.items():
-            df.write.parquet(f"{self.folder}/v={n}/{name}")
-        fs.create(path(f"{self.folder}/v={n}/_WHOLE")).close()
-        for name in TABLES:
-            self.__dict__.pop(name, None)
+    def _write(self, version: int, name: str, df: DataFrame) -> DataFrame:
+        """Write a table of a version and read it back: what is built on it does not build it again."""
+        path = f"{self.folder}/v={version}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
 
     def build(self, root: str, source_id: str, source_name: str, backend: Backend | None = None) -> None:
         """Index (or index again) every file below a root as one source; other sources stay as they are."""
-        fresh = self.version() == 0
+        n = self.version() + 1
+        fresh = n == 1
+        fs, path = self._fs()
+        fs.delete(path(f"{self.folder}/v={n}"), True)  # what a broken build left
         files = D.scan(self.spark, root)
-        found = D.documents(D.extract(files, backend=backend)).filter("error is null")
+        before = None if fresh else self._table("extractions")
+        new = self._write(n, "new-extractions", D.extract(files, before, backend))
+        cached = self._write(n, "extractions", new if fresh else before.unionByName(new))
+        found = self._write(n, "found", D.documents(D.reuse(files, cached))).filter("error is null")
         base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
         found = found.withColumn("relative_path", F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E")), ""))
         number = structure.own_number(T.snippet(F.col("text"), 3000))
@@ -94,25 +96,33 @@ class Index:
         own = numbered if fresh else known.filter("id is not null").unionByName(numbered)
         docs = own.withColumn("stable_ref", F.concat_ws(":", F.lit("local"), "source_id", F.col("id").cast("string")))
         docs = docs if fresh else old.unionByName(docs)
-        chunks = self._chunks(docs)
+        docs = self._write(n, "documents", docs)
+        chunks = self._write(n, "chunks", self._chunks(docs))
         titles = docs.select(F.col("id").alias("document"), "title")
         tokens = lexical.token_rows(chunks.join(titles, "document"), "row_id", "text", "title")
         # In term order, so that a query's filter on terms skips all other row groups.
-        lists = lexical.postings(tokens).repartitionByRange("term").sortWithinPartitions("term", "row_id")
-        self._publish({"documents": docs, "chunks": chunks, "postings": lists, "lengths": lexical.lengths(tokens)})
+        self._write(n, "postings", lexical.postings(tokens).repartitionByRange("term").sortWithinPartitions("term", "row_id"))
+        self._write(n, "lengths", lexical.lengths(tokens))
+        fs.create(path(f"{self.folder}/v={n}/_WHOLE")).close()
+        for name in ("new-extractions", "found"):
+            fs.delete(path(f"{self.folder}/v={n}/{name}"), True)
+        for name in TABLES:
+            self.__dict__.pop(name, None)
 
     @staticmethod
     def _chunks(docs: DataFrame) -> DataFrame:
         """Structured sections where a text has them, windows elsewhere; cite keys are unique in a document."""
-        rows = docs.withColumn("document", F.col("id"))
-        laws = structure.sections(rows.filter("media_type <> 'text/markdown'").select("document", "text"), "document")
-        marked = structure.markdown_sections(rows.filter("media_type = 'text/markdown'").select("document", "text"), "document").withColumn("start", F.lit(None).cast("int"))
-        parts = laws.select("document", "part", "start", "stop", "text").unionByName(
-            marked.select("document", "part", "start", F.lit(None).cast("int").alias("stop"), "text")
-        )
-        head = rows.select("document", T.context_line(F.col("doc_no"), F.lit("")).alias("head"))
-        parts = parts.join(head, "document").withColumn("text", T.stored_text(F.col("head"), F.col("text"))).drop("head")
-        parts = reads.nth(parts, ["document"], [F.asc_nulls_last("start"), F.col("part")]).withColumn("ordinal", F.col("n") - 1).drop("n")
+        head = T.snippet(F.col("text"), 3000)
+        rows = docs.withColumn("document", F.col("id")).withColumn("name", structure.document_name(head, F.col("doc_no")))
+        laws = structure.legal_chunks(rows.filter("media_type <> 'text/markdown'"), "document")
+        marked = structure.markdown_sections(rows.filter("media_type = 'text/markdown'"), "document")
+        marked = marked.select("document", "part", "path", F.col("start"), (F.col("start") + F.length("text")).alias("stop"), F.col("text").alias("body"))
+        # The line above a section names its document and the headings it stands under.
+        within = F.filter("path", lambda x: ~F.rlike(x, F.lit("^(khoản|điểm) |^Mở đầu$")))
+        parts = laws.unionByName(marked).join(rows.select("document", "doc_no", "name"), "document")
+        context = T.context_line(F.col("doc_no"), F.col("name"), F.array_join(within, " | "))
+        parts = parts.select("document", "part", "start", "stop", T.stored_text(context, F.col("body")).alias("text"))
+        parts = reads.nth(parts, ["document"], [F.col("start"), F.col("part")]).withColumn("ordinal", F.col("n") - 1).drop("n")
         hashed = parts.withColumn("chunk_hash", F.sha2("text", 256)).withColumn("body_hash", F.col("chunk_hash"))
         rest = rows.join(parts.select("document").distinct(), "document", "left_anti")
         windows = D.window_chunks(rest, "document", context=T.context_line(F.col("title"), F.col("relative_path"))).withColumn("part", F.concat(F.lit("c"), "ordinal"))

@@ -103,9 +103,7 @@ s AS (SELECT conv_id, turn, e - 2 - n AS start, e - 2 AS stop FROM c)
 SELECT conv_id, count(*) AS spans, count(*) FILTER (stop > 200 AND start < 500) AS inside, sum(stop)::BIGINT AS stops FROM s GROUP BY conv_id""")
 def span_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents, turns as spans; the spans that meet characters 200 to 500."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    parts = F.transform("t", lambda x: F.struct(F.lit("turn").alias("kind"), F.concat(F.lit("turn:"), x["turn"]).alias("locator"), x["text"].alias("text")))
-    spans = turns.select("conv_id", D.assemble(parts)["spans"].alias("spans"))
+    spans = D.spans_of(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", "turn")
     inside = D.overlapping(F.col("spans"), F.lit(200), F.lit(500))
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"])
     return spans.select("conv_id", F.size("spans").cast("long").alias("spans"), F.size(inside).cast("long").alias("inside"), total.alias("stops"))
@@ -164,7 +162,8 @@ def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = "name,city\nAnn,Hanoi\nBob, \n\nCy,,x\n".encode()
     file = spark.createDataFrame([("a/b.csv", len(data), 0, data)], "path string, size long, modified_us long, content binary")
-    return D.extract(file).select(F.explode("parts").alias("p")).select("p.locator", "p.text")
+    rows = D.extract(file).select("text", F.explode("spans").alias("s"))
+    return rows.select("s.locator", F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("text"))
 
 
 @query("""SELECT event_id, '$.' || key AS locator, key || ': ' || value AS text FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) t,

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.sources.formats import Backend, read_file
 
 EXTRACTED = (
-    "path string, content_hash string, size long, modified_us long, media_type string, "
-    "parts array<struct<kind:string,locator:string,text:string>>, metadata map<string,string>, reviews array<string>, error string"
+    "path string, content_hash string, size long, modified_us long, media_type string, text string, "
+    "spans array<struct<kind:string,locator:string,start:int,stop:int>>, metadata map<string,string>, reviews array<string>, error string"
 )
+COLUMNS = re.findall(r"(?:^|, )(\w+) ", EXTRACTED)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -23,38 +25,63 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_us"), "content")
 
 
+def suffix(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """Files with content_hash and suffix, which together name an extraction."""
+    return files.withColumns({"content_hash": F.sha2("content", 256), "suffix": suffix(F.col("path"))})
+
+
 def extract(files: DataFrame, known: DataFrame | None = None, backend: Backend | None = None) -> DataFrame:
-    """Extractions keyed by content hash; contents already in ``known`` (content_hash) are not read again."""
-    hashed = files.withColumn("content_hash", F.sha2("content", 256))
+    """Extractions of files; contents (content_hash, suffix) already in ``known`` are not read again."""
+    todo = hashed(files)
     if known is not None:
-        hashed = hashed.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
+        todo = todo.join(known.select("content_hash", suffix(F.col("path")).alias("suffix")).distinct(), ["content_hash", "suffix"], "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             for f in files.itertuples(index=False):
-                row = read_file(f.path, bytes(f.content), backend) | {"content_hash": f.content_hash, "size": f.size, "modified_us": f.modified_us}
-                yield pd.DataFrame([row])[[c.split()[0] for c in EXTRACTED.split(", ") if " " in c]]
+                row = read_file(f.path, bytes(f.content), backend)
+                row |= joined(row["parts"]) | {"content_hash": f.content_hash, "size": f.size, "modified_us": f.modified_us}
+                yield pd.DataFrame([row])[COLUMNS]
+
+    return todo.select("path", "content_hash", "size", "modified_us", "content").mapInPandas(run, EXTRACTED)
+
+
+def reuse(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """The extraction of every file, from extractions of whatever file had its content and suffix."""
+    own = cached.withColumn("suffix", suffix(F.col("path"))).drop("path", "size", "modified_us").dropDuplicates(["content_hash", "suffix"])
+    return hashed(files).drop("content").join(own, ["content_hash", "suffix"]).select(*COLUMNS)
+
 
-    return hashed.select("path", "content_hash", "size", "modified_us", "content").mapInPandas(run, EXTRACTED)
+def joined(parts: list[dict]) -> dict:
+    """Text of parts parted by blank lines, and the code-point span of each."""
+    spans, at = [], 0
+    for p in parts:
+        spans.append({"kind": p["kind"], "locator": p["locator"], "start": at, "stop": at + len(p["text"])})
+        at += len(p["text"]) + 2
+    return {"text": "\n\n".join(p["text"] for p in parts), "spans": spans}
 
 
-def assemble(parts: Column) -> Column:
-    """Parts joined by blank lines, with each part's code-point span: struct (text, spans)."""
-    lengths = F.transform(parts, lambda p: F.length(p["text"]) + 2)
-    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
-    spans = F.zip_with(
-        parts, ends, lambda p, e: F.struct(p["kind"].alias("kind"), p["locator"].alias("locator"), (e - 2 - F.length(p["text"])).alias("start"), (e - 2).alias("stop"))
+def spans_of(rows: DataFrame, by: list[str], order: str, text_col: str, kind: str) -> DataFrame:
+    """by, spans: rows of text as the parts of one document for each ``by``, joined by blank lines."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length(text_col) + 2).over(before), F.lit(0)).cast("int")
+    placed = rows.withColumn("start", start)
+    span = F.struct(
+        "start", (F.col("start") + F.length(text_col)).alias("stop"), F.lit(kind).alias("kind"), F.concat(F.lit(kind + ":"), F.col(order).cast("string")).alias("locator")
     )
-    return F.struct(F.concat_ws("\n\n", F.transform(parts, lambda p: p["text"])).alias("text"), spans.alias("spans"))
+    return placed.groupBy(*by).agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def documents(extracted: DataFrame) -> DataFrame:
-    """Extractions with text, spans, title and word count; failed files keep only their error."""
-    x = extracted.withColumn("d", assemble(F.col("parts"))).select("*", "d.text", "d.spans").drop("d", "parts")
+    """Extractions with title and word count; failed files keep only their error."""
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
     first = F.regexp_replace(T.first_line(F.col("text")), r"^[# ]+|[# ]+$", "")
     title = F.when(F.rlike("path", F.lit(r"(?i)\.(md|markdown)$")) & (first != ""), F.substring(first, 1, 160)).otherwise(stem)
-    return x.withColumns({"title": F.coalesce(F.col("metadata")["title"], title), "word_count": T.words(F.col("text")), "source_positions": F.size("spans")})
+    return extracted.withColumns({"title": F.coalesce(F.col("metadata")["title"], title), "word_count": T.words(F.col("text")), "source_positions": F.size("spans")})
 
 
 def overlapping(spans: Column, start: Column, stop: Column) -> Column:

@@ -76,8 +76,40 @@ def test_sections_and_clauses(spark):
     assert [r["part"] for r in got] == ["mo-dau", "dieu-1", "dieu-2", "dieu-3", "phu-luc"]
     assert got[2]["path"] == ["Chương I", "Điều 2. Đối tượng"] and got[2]["text"].startswith("Điều 2.") and got[2]["text"].endswith("Khoản hai.")
     assert all(r["text"] == LAW[r["start"] : r["stop"]].strip() for r in got)
-    cut = structure.clauses(structure.sections(df), ["doc_id", "part"], 40).filter("part = 'dieu-2'").orderBy("clause").collect()
-    assert [r["clause"] for r in cut] == [1, 2] and cut[0]["text"].startswith("Điều 2.") and cut[1]["text"] == "2. Khoản hai."
+
+
+def chunks(spark, text, limit):
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    return structure.legal_chunks(df, limit=limit).orderBy("start", "part").collect()
+
+
+def test_legal_chunks_cut(spark):
+    long = "từ ngữ " * 60
+    text = f"Điều 1. Một\n1. {long}\n2. hai:\na) {long}\nb) {long}\n3. ba\nĐiều 2. Hai\n{long}\n\n{long}\n\n{long}\n"
+    got = chunks(spark, text, 200)
+    assert [r["part"] for r in got] == [
+        "dieu-1-khoan-1", "dieu-1-khoan-2", "dieu-1-khoan-2-diem-a", "dieu-1-khoan-2-diem-b", "dieu-1-khoan-3", "dieu-2", "dieu-2-pt2",
+    ]
+    assert got[2]["path"] == ["Điều 1. Một", "khoản 2", "điểm a"] and got[0]["body"].startswith("Điều 1. Một")
+    assert all(r["body"] == text[r["start"] : r["stop"]] for r in got)
+    assert [r["part"] for r in chunks(spark, text, 5000)] == ["dieu-1", "dieu-2"]
+
+
+def test_legal_chunks_markup(spark):
+    text = "# **Điều 1. Phạm vi** Nội dung *một*. Điều 2. Hai. Xong.\n\n<u>Điều 3.</u> Ba"
+    got = chunks(spark, text, 2000)
+    assert [r["part"] for r in got] == ["dieu-1", "dieu-2", "dieu-3"]
+    assert got[0]["body"].startswith("Điều 1. Phạm vi") and "*" not in "".join(r["body"] for r in got)
+    assert text[got[1]["start"] : got[1]["stop"]] == "Điều 2. Hai. Xong." and text[got[2]["start"] : got[2]["stop"]].endswith("Ba")
+
+
+@pytest.mark.parametrize(
+    ("head", "number", "name"),
+    [("QUỐC HỘI\nLUẬT\nĐất đai\n", None, "Luật Đất đai"), ("NGHỊ ĐỊNH\nVề thuế\n", None, "Về thuế"), ("Số: 1/2020/TT-BTC\nTHÔNG TƯ\nHướng dẫn", "1/2020/TT-BTC", "Hướng dẫn"), ("x\ny", None, "")],
+)
+def test_document_name(spark, head, number, name):
+    df = spark.createDataFrame([(head, number)], "h string, n string")
+    assert df.select(structure.document_name(F.col("h"), F.col("n")).alias("x")).first()["x"] == name
 
 
 @pytest.mark.parametrize(
@@ -156,7 +188,15 @@ def test_cell_text(value, shape, text):
     assert formats.cell_text(value, shape) == text
 
 
-def test_assemble_spans(spark):
-    row = spark.createDataFrame([([("line", "line:1", "ab"), ("line", "line:2", "🙂c")],)], "parts array<struct<kind:string,locator:string,text:string>>")
-    d = row.select(D.assemble(F.col("parts")).alias("d")).first()["d"]
+def test_spans(spark):
+    d = D.joined([{"kind": "line", "locator": "line:1", "text": "ab"}, {"kind": "line", "locator": "line:2", "text": "🙂c"}])
     assert d["text"] == "ab\n\n🙂c" and [(s["start"], s["stop"]) for s in d["spans"]] == [(0, 2), (4, 6)]
+    rows = spark.createDataFrame([(1, 0, "ab"), (1, 1, "🙂c")], "doc int, n int, text string")
+    got = D.spans_of(rows, ["doc"], "n", "text", "turn").first()["spans"]
+    assert [(s["start"], s["stop"], s["locator"]) for s in got] == [(0, 2, "turn:0"), (4, 6, "turn:1")]
+
+
+def test_long_text_is_linear(spark):
+    text = "Điều 1. Một\nx\n" + "dòng thường\n" * 60_000 + "Điều 2. Hai\ny"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert [r["part"] for r in structure.sections(df).orderBy("start").collect()] == ["dieu-1", "dieu-2"]

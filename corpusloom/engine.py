@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import structure
 from corpusloom.functions import text as T
-from corpusloom.operators import governance, lexical, maintain, reads
+from corpusloom.operators import filters, governance, lexical, maintain, reads
 from corpusloom.plans import search as plan
+from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
 from corpusloom.sources.formats import Backend
 
@@ -24,8 +25,10 @@ VECTORS = "chunk_hash string, embedding array<float>"
 
 
 class Index:
-    def __init__(self, spark: SparkSession, folder: str, validity: DataFrame | None = None, vectors: DataFrame | None = None):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(
+        self, spark: SparkSession, folder: str, validity: DataFrame | None = None, vectors: DataFrame | None = None, settings: Settings = Settings()
+    ):
+        self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
         self.validity = validity if validity is not None else spark.createDataFrame([], VALIDITY)
         self.vectors = vectors if vectors is not None else spark.createDataFrame([], VECTORS)
 
@@ -73,13 +76,14 @@ class Index:
         fresh = n == 1
         fs, path = self._fs()
         fs.delete(path(f"{self.folder}/v={n}"), True)  # what a broken build left
-        files = D.scan(self.spark, root)
+        base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
+        relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E")), "")
+        files = D.scan(self.spark, root).filter(filters.accepted(relative, self.settings.extensions, self.settings.excluded))
         before = None if fresh else self._table("extractions")
         new = self._write(n, "new-extractions", D.extract(files, before, backend))
         cached = self._write(n, "extractions", new if fresh else before.unionByName(new))
         found = self._write(n, "found", D.documents(D.reuse(files, cached))).filter("error is null")
-        base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
-        found = found.withColumn("relative_path", F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E")), ""))
+        found = found.withColumn("relative_path", relative)
         number = structure.own_number(T.snippet(F.col("text"), 3000))
         named = found.select(
             F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit("local").alias("kind"), F.lit(True).alias("enabled"),
@@ -109,13 +113,13 @@ class Index:
         for name in TABLES:
             self.__dict__.pop(name, None)
 
-    @staticmethod
-    def _chunks(docs: DataFrame) -> DataFrame:
+    def _chunks(self, docs: DataFrame) -> DataFrame:
         """Structured sections where a text has them, windows elsewhere; cite keys are unique in a document."""
         head = T.snippet(F.col("text"), 3000)
         rows = docs.withColumn("document", F.col("id")).withColumn("name", structure.document_name(head, F.col("doc_no")))
-        laws = structure.legal_chunks(rows.filter("media_type <> 'text/markdown'"), "document")
-        marked = structure.markdown_sections(rows.filter("media_type = 'text/markdown'"), "document")
+        sought = rows if self.settings.chunk_strategy == "structure" else rows.limit(0)
+        laws = structure.legal_chunks(sought.filter("media_type <> 'text/markdown'"), "document", limit=self.settings.structure_max_chars)
+        marked = structure.markdown_sections(sought.filter("media_type = 'text/markdown'"), "document")
         marked = marked.select("document", "part", "path", F.col("start"), (F.col("start") + F.length("text")).alias("stop"), F.col("text").alias("body"))
         # The line above a section names its document and the headings it stands under.
         within = F.filter("path", lambda x: ~F.rlike(x, F.lit("^(khoản|điểm) |^Mở đầu$")))
@@ -125,7 +129,9 @@ class Index:
         parts = reads.nth(parts, ["document"], [F.col("start"), F.col("part")]).withColumn("ordinal", F.col("n") - 1).drop("n")
         hashed = parts.withColumn("chunk_hash", F.sha2("text", 256)).withColumn("body_hash", F.col("chunk_hash"))
         rest = rows.join(parts.select("document").distinct(), "document", "left_anti")
-        windows = D.window_chunks(rest, "document", context=T.context_line(F.col("title"), F.col("relative_path"))).withColumn("part", F.concat(F.lit("c"), "ordinal"))
+        windows = D.window_chunks(
+            rest, "document", context=T.context_line(F.col("title"), F.col("relative_path")), size=self.settings.chunk_chars, overlap=self.settings.chunk_overlap
+        ).withColumn("part", F.concat(F.lit("c"), "ordinal"))
         both = hashed.unionByName(windows.select(hashed.columns))
         prefix = rows.select("document", F.coalesce("doc_no", "stable_ref").alias("prefix"))
         keyed = structure.cite_keys(both.join(prefix, "document"), "document", "prefix", "part", "ordinal").drop("prefix")

@@ -20,6 +20,9 @@ def index(spark, tmp_path_factory):
     (root / "sub" / "copy.txt").write_text("orchard harvest " * 200)
     (root / "data.json").write_text('{"fruit": "apples", "n": 3}')
     (root / "bad.json").write_text("{")
+    (root / ".git").mkdir()
+    (root / ".git" / "x.txt").write_text("apples that are not to be found")
+    (root / "tool.bin").write_bytes(b"apples")
     out = Index(spark, str(tmp_path_factory.mktemp("index")))
     assert out.version() == 0
     out.build(str(root), "s1", "notes")

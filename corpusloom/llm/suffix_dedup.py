@@ -486,8 +486,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = partitions(docs.sparkSession)
     buckets, parts = 2 * n, n  # a partition takes two buckets, one after the other
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    # Tells rows apart that share an id but not a text.
-    rows = rows.withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    # Tells rows apart that share an id but not a text; where no id is repeated it says nothing and takes no room.
+    repeated = not docs.groupBy(F.col(id_col)).count().filter("count > 1").isEmpty()
+    rows = rows.withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)) if repeated else F.lit(0).cast("long"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []

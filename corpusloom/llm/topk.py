@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_SCHEMA = "side int, block long, ids binary, vectors binary, table binary, rows int, dims int, tail long"
+BLOCK_SCHEMA = "side int, block long, ids binary, vectors binary, table binary, rows int"
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -71,7 +71,7 @@ def search(
         for p in range(1, len(c_pivots)):
             np.maximum(bound, np.abs(c_pivots[p] - q_pivots[i, p]), out=bound)
         best_s, best_i = np.empty(0), np.empty(0, dtype=np.int64)
-        left, done, limit = np.arange(len(bound)), 0, np.inf
+        left, limit = np.arange(len(bound)), np.inf
         size = step
         while True:
             # Next candidates in bound order among those the limit has not eliminated.
@@ -84,7 +84,6 @@ def search(
             else:
                 now, left = left, left[:0]
             now = now[c_ids[now] != q_ids[i]]
-            done += len(now)
             best_s, best_i = np.concatenate((best_s, c[now] @ q[i])), np.concatenate((best_i, c_ids[now]))
             order = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[order], best_i[order]
@@ -141,13 +140,13 @@ def top_k(
             order = np.argsort(keys, kind="stable")
             out = []
             for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
-                out.append((int(side[part[0]]), int(block_id[part[0]]), ids[part].tobytes(), x[part].tobytes(), near[part].tobytes(), len(part), x.shape[1], 0))
+                out.append((int(side[part[0]]), int(block_id[part[0]]), ids[part].tobytes(), x[part].tobytes(), near[part].tobytes(), len(part)))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
 
-    names = ["side", "block", "ids", "vectors", "table", "rows", "dims", "tail"]
-    kinds = pa.schema(list(zip(names, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64()])))
-    c = candidates.mapInArrow(pack, BLOCK_SCHEMA).drop("side", "tail")
-    q = queries.mapInArrow(pack, BLOCK_SCHEMA).drop("side", "tail")
+    names = ["side", "block", "ids", "vectors", "table", "rows"]
+    kinds = pa.schema(list(zip(names, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()])))
+    c = candidates.mapInArrow(pack, BLOCK_SCHEMA).drop("side")
+    q = queries.mapInArrow(pack, BLOCK_SCHEMA).drop("side")
     # Every candidate block meets every query block: the key is the pair of block numbers.
     pair = lambda d, own, other, n: d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumnRenamed("block", own)
     c = pair(c, "c_block", "q_block", q_blocks).withColumn("side", F.lit(0))

@@ -4,7 +4,7 @@ Terms are the lower-cased runs of letters, digits and ``_`` and their prefixes o
 lengths, each hashed to one of ``2 ** hash_bits`` slots and counted once for a document. A bounded sample of the labelled rows
 (``max_sample``; half of it for each label, taken in hash order) is reduced to its hashed
 slots on the executors and fitted on the driver: the ``n_terms`` slots that tell most by
-chi-square get a linear weight and a factor of ``rank`` numbers each, so a pair of terms can
+chi-square, of those that are several times as frequent in toxic documents, get a linear weight and a factor of ``rank`` numbers each, so a pair of terms can
 weigh more, or less, than its terms do alone. The intercept is corrected for the sampling of
 the labels. The fitted model has a fixed size and is sent to every task; scoring reads every
 whole text once and shuffles nothing.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 _TERM = re.compile(r"\w+")
 MEMO = 500_000  # terms whose slot a task remembers
+LIFT = 3
 
 
 PREFIXES = (4, 5, 6)
@@ -181,7 +182,10 @@ def fit(
     in_toxic = np.zeros(len(seen), dtype=np.int64)
     in_toxic[np.searchsorted(seen, toxic_seen)] = toxic_count
     chi = _chi_square(in_toxic, count - in_toxic, int(y.sum()), int((1 - y).sum()))
-    chi[(count < max(3, len(y) // 2000)) | (chi <= 10.83)] = 0  # 10.83: one in a thousand by chance
+    # Marks of toxicity only: met by chance once in a thousand at most (10.83), and at least LIFT times as
+    # often in toxic documents. Terms that only tell long texts from short ones stay out.
+    lift = (in_toxic / y.sum()) >= LIFT * (count - in_toxic) / (1 - y).sum()
+    chi[(count < max(3, len(y) // 2000)) | (chi <= 10.83) | ~lift] = 0
     chosen = np.argsort(-chi, kind="stable")[:n_terms]
     chosen = np.sort(seen[chosen[chi[chosen] > 0]])
     at = np.searchsorted(chosen, flat)

@@ -61,11 +61,21 @@ def same_bytes(documents: DataFrame) -> DataFrame:
 
 
 def shared_content(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """id and the number of different document numbers (none is one too) of files that share a chunk body but not all bytes."""
+    """id and the number of different document numbers (none is one too) of files that share a chunk body but not all bytes.
+
+    A document meets the different (number, bytes) pairs of its bodies, not every copy of them.
+    """
     c = chunks.select(F.col("document").alias("id"), "body_hash").distinct().join(documents.select("id", "doc_no", "content_hash"), "id")
-    other = c.select(F.col("id").alias("o_id"), "body_hash", F.col("doc_no").alias("o_no"), F.col("content_hash").alias("o_hash"))
-    pairs = c.join(other, "body_hash").filter("id <> o_id AND content_hash <> o_hash")
-    return pairs.select("id", F.coalesce("o_no", F.lit("\0")).alias("o_no")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("same_content"))
+    other = c.select("body_hash", F.coalesce("doc_no", F.lit("\0")).alias("o_no"), F.col("content_hash").alias("o_hash")).distinct()
+    pairs = c.join(other, "body_hash").filter("content_hash <> o_hash")
+    return pairs.select("id", "o_no").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("same_content"))
+
+
+def shares_content(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id of files with a chunk body that a file of other bytes has too; one row for each body is joined."""
+    c = chunks.select(F.col("document").alias("id"), "body_hash").join(documents.select("id", "content_hash"), "id")
+    mixed = c.groupBy("body_hash").agg((F.min("content_hash") < F.max("content_hash")).alias("mixed")).filter("mixed")
+    return c.join(mixed.select("body_hash"), "body_hash", "left_semi").select("id").distinct()
 
 
 def document_warnings(documents: DataFrame, validity: DataFrame, chunks: DataFrame, reviews: DataFrame, day: str) -> DataFrame:
@@ -73,7 +83,7 @@ def document_warnings(documents: DataFrame, validity: DataFrame, chunks: DataFra
     d = F.lit(day).cast("date")
     flag = lambda rows, name: rows.select("id").distinct().withColumn(name, F.lit(True))
     x = documents.join(validity.select("id", "effective_from", "effective_to", "replaced_by"), "id", "left")
-    x = x.join(flag(same_bytes(documents), "copies"), "id", "left").join(flag(shared_content(documents, chunks), "shares"), "id", "left")
+    x = x.join(flag(same_bytes(documents), "copies"), "id", "left").join(flag(shares_content(documents, chunks), "shares"), "id", "left")
     x = x.join(flag(expired_citations(documents, validity, day).withColumnRenamed("document", "id"), "cites"), "id", "left")
     x = x.join(flag(chunks.filter("ocr").withColumnRenamed("document", "id"), "scanned"), "id", "left")
     x = x.join(flag(reviews.filter("status = 'open'").withColumnRenamed("document", "id"), "open"), "id", "left")

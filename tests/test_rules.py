@@ -103,3 +103,11 @@ def test_phrase_stays_in_a_column(spark):
     with pytest.raises(ValueError):
         lexical.pool(101)
     assert lexical.pool(2) == 20 and lexical.pool(2, 30) == 120
+
+
+def test_shared_content(spark):
+    docs = spark.createDataFrame([(1, "a", "h1"), (2, "b", "h2"), (3, None, "h3"), (4, "a", "h1"), (5, "b", "h5")], "id int, doc_no string, content_hash string")
+    chunks = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "y"), (5, "x"), (5, "x")], "document int, body_hash string")
+    got = {r["id"]: r["same_content"] for r in governance.shared_content(docs, chunks).collect()}
+    assert got == {1: 2, 2: 3, 3: 2, 5: 3}
+    assert {r["id"] for r in governance.shares_content(docs, chunks).collect()} == set(got)

@@ -17,13 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (single-machine tests) a temporary folder is
-    made once and also set as the checkpoint folder.
+    A folder set by ``SparkContext.setCheckpointDir`` counts too. Where the session names none
+    (single-machine tests) a temporary folder is made once and also set as the checkpoint folder.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("corpusloom.shared.dir", None)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("corpusloom.shared.dir", named)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 

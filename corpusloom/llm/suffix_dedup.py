@@ -17,7 +17,8 @@ with a smaller id. The suffixes that can matter are first brought together, then
   repeats for an id if its class holds a smaller id.
 * *Cutting.* The byte ranges go to the documents, dealt by id; documents stream past them.
 
-Buckets and document parts grow in number with the input, so a task's memory does not.
+Buckets and document parts are as many as the session's shuffle partitions, and more where a
+partition would get over ``PART_BYTES`` of text, so a task's memory does not grow with the input.
 
 Edge cases: null counts as the empty text; rows with one id are one document as far as
 "smaller id" goes, each with its own result; a null id counts as larger than every id; texts
@@ -44,6 +45,7 @@ CHUNK = 1 << 18  # bytes of fragments made, and of fragments sorted, together
 SLICE_BITS = 22
 SLICE = 1 << SLICE_BITS  # bytes handled at once
 LAST = (1 << 63) - 1  # the id that stands for null
+PART_BYTES = 256 << 20  # of text for each partition, on average
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _ODD = 0x5851F42D4C957F2D
 
@@ -483,11 +485,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 (and ``spans`` where asked for)."""
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
-    n = partitions(docs.sparkSession)
-    buckets, parts = 2 * n, n  # a partition takes two buckets, one after the other
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
+    sizes = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    most, total = sizes.agg(F.max("n"), F.sum("bytes")).first()
+    n = max(partitions(docs.sparkSession), -(-(total or 0) // PART_BYTES))
+    buckets, parts = 2 * n, n  # a partition takes two buckets, one after the other
     # Tells rows apart that share an id but not a text; where no id is repeated it says nothing and takes no room.
-    repeated = not docs.groupBy(F.col(id_col)).count().filter("count > 1").isEmpty()
+    repeated = (most or 0) > 1
     rows = rows.withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)) if repeated else F.lit(0).cast("long"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,6 +80,14 @@ def test_suffix_dedup(spark, rows):
     assert sum(r["n_removed"] for r in got) > 1000
 
 
+def test_suffix_dedup_partitions_grow(spark, rows, monkeypatch):
+    want = sorted(map(str, suffix_dedup.remove_repeats(frame(spark, rows)).collect()))
+    size = sum(len((r[1] or "").encode()) for r in rows)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", size // 8)
+    more = suffix_dedup.remove_repeats(frame(spark, rows))
+    assert more.rdd.getNumPartitions() >= 8 and sorted(map(str, more.collect())) == want
+
+
 def test_suffix_dedup_long_slices(rows):
     some = [r[:2] for r in rows if r[0] is not None][:70]
     ids = np.array([i for i, _ in some])

@@ -3,10 +3,14 @@
 Terms are the lower-cased runs of letters, digits and ``_`` and their prefixes of a few
 lengths, each hashed to one of ``2 ** hash_bits`` slots and counted once for a document. A bounded sample of the labelled rows
 (``max_sample``; half of it for each label, taken in hash order) is reduced to its hashed
-slots on the executors and fitted on the driver: the ``n_terms`` slots that tell most by
-chi-square, of those that are several times as frequent in toxic documents, get a linear weight and a factor of ``rank`` numbers each, so a pair of terms can
-weigh more, or less, than its terms do alone. The intercept is corrected for the sampling of
-the labels. The fitted model has a fixed size and is sent to every task; scoring reads every
+slots on the executors and fitted on the driver. Its terms are chosen in two passes: marks, the
+``n_terms`` slots that tell most by chi-square, of those that are several times as frequent in
+toxic documents; then partners, at most as many other slots that, among the sample rows with one
+of the marks, move the label either way beyond what the marks predict. A mark gets a linear weight and every chosen slot a
+factor of ``rank`` numbers, so a pair of terms can weigh more, or less, than its terms do alone.
+A partner counts only beside a mark: documents without any mark keep the base rate's score. A
+pair of which neither term is a mark is not learned. The intercept is corrected for the sampling
+of the labels. The fitted model has a fixed size and is sent to every task; scoring reads every
 whole text once and shuffles nothing.
 
 Edge cases: null and empty texts have no terms and get the base rate's score; labelled rows
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 _TERM = re.compile(r"\w+")
 MEMO = 500_000  # terms whose slot a task remembers
 LIFT = 3
-
+CHANCE = 0.001  # of any partner that is none, over all pairs that are tested
+STRATA = 4  # lengths within which partners are tested
 
 PREFIXES = (4, 5, 6)
 
@@ -51,19 +57,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 class FactorizationMachine:
-    """score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) for x of zeros and ones."""
+    """score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) for x of zeros and ones.
+
+    ``partner`` slots weigh nothing alone (w_i is 0) nor beside each other, only in pairs with other slots.
+    """
 
-    def __init__(self, n: int, rank: int, seed: int = 7):
+    def __init__(self, n: int, rank: int, seed: int = 7, partner: np.ndarray | None = None):
         self.w0, self.w = 0.0, np.zeros(n)
+        self.partner = np.zeros(n, dtype=bool) if partner is None else partner
         self.v = np.random.default_rng(seed).normal(0, 0.01, (n, rank))
 
     def margins(self, rows: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
         """Log odds of n documents; ``rows`` (sorted) and ``slots`` name the terms that are there."""
         linear = np.bincount(rows, self.w[slots], n)
         pairs = np.zeros(n)
+        of = self.partner[slots]
         for f in range(self.v.shape[1]):
             x = self.v[slots, f]
-            pairs += np.bincount(rows, x, n) ** 2 - np.bincount(rows, x * x, n)
+            pairs += np.bincount(rows, x, n) ** 2 - np.bincount(rows, np.where(of, 0, x * x), n) - np.bincount(rows, np.where(of, x, 0), n) ** 2
         return self.w0 + linear + pairs / 2
 
     def fit(self, rows: np.ndarray, slots: np.ndarray, y: np.ndarray, epochs: int = 25, batch: int = 512, step: float = 0.05, decay: float = 1e-4) -> None:
@@ -82,11 +93,12 @@ class FactorizationMachine:
                 z = np.clip(self.margins(r, s, len(part)), -30, 30)
                 g = (1 / (1 + np.exp(-z)) - y[part]) / len(part)
                 grad = np.zeros_like(p)
-                grad[0], grad[1 : k + 1] = g.sum(), np.bincount(s, g[r], k)
+                grad[0], grad[1 : k + 1] = g.sum(), np.where(self.partner, 0, np.bincount(s, g[r], k))
+                of = self.partner[s]
                 for f in range(rank):
                     x = self.v[s, f]
-                    total = np.bincount(r, x, len(part))
-                    grad[k + 1 + f :: rank] = np.bincount(s, g[r] * (total[r] - x), k)
+                    total, beside = np.bincount(r, x, len(part)), np.bincount(r, np.where(of, x, 0), len(part))
+                    grad[k + 1 + f :: rank] = np.bincount(s, g[r] * (total[r] - np.where(of, beside[r], x)), k)
                 grad[1:] += decay * p[1:]
                 t += 1
                 m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
@@ -102,6 +114,46 @@ def _chi_square(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(below > 0, (a * d - b * c) ** 2 * (n1 + n0) / np.maximum(below, 1), 0)
 
 
+def _partners(rows: np.ndarray, flat: np.ndarray, y: np.ndarray, p: np.ndarray, marks: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
+    """The slots of ``others`` that, among the rows with one of the ``marks``, move the label either way; ``most`` at most.
+
+    ``p`` is what the marks alone predict: only what a slot tells beyond that counts. Each mark's rows are tested by
+    themselves (score test over classes of equal length; with one ``p`` for all rows it is Cochran-Mantel-Haenszel), so
+    that neither the rows of other marks nor terms that only tell long texts from short ones decide. ``CHANCE`` is
+    shared by all pairs of a mark and a slot (Bonferroni). ``rows`` is sorted; ``marks`` and ``others`` are too.
+    """
+    if not len(marks) or not len(others):
+        return others[:0]
+    length = np.bincount(rows, minlength=len(y))
+    at = np.searchsorted(marks, flat)
+    ok = marks[np.minimum(at, len(marks) - 1)] == flat
+    order = np.argsort(at[ok], kind="stable")
+    holders = np.split(rows[ok][order], np.searchsorted(at[ok][order], np.arange(1, len(marks))))
+    at = np.searchsorted(others, flat)
+    ok = others[np.minimum(at, len(others) - 1)] == flat
+    own, at = rows[ok], at[ok]
+    first = np.searchsorted(own, np.arange(len(y) + 1))
+    need = NormalDist().inv_cdf(CHANCE / (2 * len(marks) * len(others))) ** 2
+    best, rest, var = np.zeros(len(others)), y - p, p * (1 - p)
+    for held in holders:
+        if len(held) <= need or y[held].min() == y[held].max():
+            continue  # too few rows for any slot to stand out, or nothing to move
+        level = np.empty(len(held), dtype=np.int64)
+        level[np.argsort(length[held], kind="stable")] = np.arange(len(held)) * STRATA // len(held)
+        size = first[held + 1] - first[held]
+        slots = at[np.repeat(first[held] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
+        moved, spread = np.zeros(len(others)), np.zeros(len(others))
+        for k in range(STRATA):
+            here, inside = level == k, np.repeat(level == k, size)
+            n = var[held][here].sum()
+            m = np.bincount(slots[inside], np.repeat(var[held], size)[inside], len(others))
+            moved += np.bincount(slots[inside], np.repeat(rest[held], size)[inside], len(others)) - m * rest[held][here].sum() / n
+            spread += m - m * m / n
+        best = np.maximum(best, np.maximum(np.abs(moved) - 0.5, 0) ** 2 / np.maximum(spread, 0.25))
+    chosen = np.argsort(-best, kind="stable")[:most]
+    return np.sort(others[chosen[best[chosen] > need]])
+
+
 class Model:
     """Fitted slots (sorted), their machine and the score of documents without an informative term."""
 
@@ -185,14 +237,25 @@ def fit(
     # Marks of toxicity only: met by chance once in a thousand at most (10.83), and at least LIFT times as
     # often in toxic documents. Terms that only tell long texts from short ones stay out.
     lift = (in_toxic / y.sum()) >= LIFT * (count - in_toxic) / (1 - y).sum()
-    chi[(count < max(3, len(y) // 2000)) | (chi <= 10.83) | ~lift] = 0
-    chosen = np.argsort(-chi, kind="stable")[:n_terms]
-    chosen = np.sort(seen[chosen[chi[chosen] > 0]])
-    at = np.searchsorted(chosen, flat)
-    ok = at < len(chosen)
-    ok[ok] = chosen[at[ok]] == flat[ok]
-    machine = FactorizationMachine(len(chosen), rank)
-    machine.fit(rows[ok], at[ok], y)
+    common = count >= max(3, len(y) // 2000)
+    chi[~common | (chi <= 10.83) | ~lift] = 0
+    marks = np.argsort(-chi, kind="stable")[:n_terms]
+    marks = np.sort(seen[marks[chi[marks] > 0]])
+
+    def fitted(chosen: np.ndarray, partners: np.ndarray) -> tuple[FactorizationMachine, np.ndarray]:
+        """The machine over the chosen slots, and what it predicts for the sample."""
+        at = np.searchsorted(chosen, flat)
+        ok = at < len(chosen)
+        ok[ok] = chosen[at[ok]] == flat[ok]
+        machine = FactorizationMachine(len(chosen), rank, partner=np.isin(chosen, partners))
+        machine.fit(rows[ok], at[ok], y)
+        return machine, 1 / (1 + np.exp(-np.clip(machine.margins(rows[ok], at[ok], len(y)), -30, 30)))
+
+    chosen, (machine, p) = marks, fitted(marks, marks[:0])
+    partners = _partners(rows, flat, y, p, marks, np.setdiff1d(seen[common], marks), n_terms)
+    if len(partners):
+        chosen = np.union1d(marks, partners)
+        machine, _ = fitted(chosen, partners)
     machine.w0 += np.log(n1 / n0) - np.log(y.sum() / (len(y) - y.sum()))
     return Model(chosen, machine, base, hash_bits)
 

@@ -155,6 +155,47 @@ def test_toxicity_learns_pairs():
     assert (((machine.margins(rows, slots, len(y)) > 0) == (y > 0)).mean()) > 0.99
 
 
+@pytest.mark.parametrize("kind", ["together", "excused"])
+def test_toxicity_fits_pairs(spark, kind):
+    """A mark with a common partner: toxic only beside it, or only without it; long clean texts hold all common words."""
+    rng = random.Random(17)
+    rows, labels = [], []
+    for i in range(6000):
+        insult, group = rng.random() < 0.2, rng.random() < 0.5
+        text = prose(rng, 12) + " wretchedly" * insult + " neighbours" * group
+        rows.append((i, text, "en", "s", 0))
+        labels.append((i, int(insult and group == (kind == "together"))))
+    long = [(6000 + i, prose(rng, 3000) + " neighbours", "en", "s", 0) for i in range(60)]
+    docs = frame(spark, rows + long)
+    model = toxicity.fit(docs, spark.createDataFrame(labels + [(r[0], 0) for r in long], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i in range(6000) if got[i]["held_out"]]
+    assert len(held) > 1500
+    assert sum(got[i]["predicted"] != labels[i][1] for i in held) <= len(held) // 100
+    assert not any(got[r[0]]["predicted"] for r in long)
+
+
+def test_toxicity_partners_weigh_only_beside_marks():
+    """Margins by brute force, and a fit that leaves partners without a weight of their own."""
+    rng = np.random.default_rng(4)
+    machine = toxicity.FactorizationMachine(6, 3, partner=np.array([False, True, False, True, True, False]))
+    machine.w, machine.v = np.where(machine.partner, 0, rng.normal(size=6)), rng.normal(size=(6, 3))
+    x = rng.random((50, 6)) < 0.5
+    rows, slots = np.nonzero(x)
+    want = [
+        sum(machine.w[i] for i in range(6) if r[i])
+        + sum(machine.v[i] @ machine.v[j] for i in range(6) for j in range(i) if r[i] and r[j] and not (machine.partner[i] and machine.partner[j]))
+        for r in x
+    ]
+    assert np.allclose(machine.margins(rows, slots, 50), want)
+    x = rng.random((4000, 6)) < 0.4
+    rows, slots = np.nonzero(x)
+    y = (x[:, 0] & x[:, 1]).astype(float)
+    machine = toxicity.FactorizationMachine(6, 3, partner=machine.partner)
+    machine.fit(rows, slots, y, epochs=40)
+    assert not machine.w[machine.partner].any() and ((machine.margins(rows, slots, 4000) > 0) == (y > 0)).mean() > 0.99
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a", "en", "s", 1)])
     none = spark.createDataFrame([], "doc_id long, toxic int")

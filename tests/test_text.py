@@ -1,6 +1,7 @@
 """Text functions, structure and formats against plain expectations."""
 
 import datetime as dt
+import html
 import io
 import zipfile
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import structure
 from corpusloom.functions import text as T
+from corpusloom.plans import catalogue
 from corpusloom.plans.ingest_queries import LAW
 from corpusloom.sources import documents as D
 from corpusloom.sources import formats
@@ -120,6 +122,17 @@ def test_own_number(spark, head, number):
     assert one(spark, structure.own_number, head) == number
 
 
+def test_page_titles_of_every_page(spark, tmp_path):
+    """References in titles, no title, null html: a row for each page, as plain string handling has it."""
+    raw = ["Plain", "a &amp; b", "&quot;q&quot; it&#39;s", "x&#x41;&eacute; &lt;b&gt;", " two\n  lines ", "AT&T", "&amp;amp;", None]
+    pages = [(i, f"<html><head><title>{t}</title></head><body>t</body></html>" if t is not None else "<p>none</p>") for i, t in enumerate(raw)]
+    pages.append((len(raw), None))
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {i: " ".join(html.unescape(t or "").split()) for i, t in enumerate([*raw, None])}
+    got = catalogue.QUERIES["page_titles"](spark, str(tmp_path)).collect()
+    assert len(got) == len(pages) and {r["page_id"]: r["title"] for r in got} == want
+
+
 def test_html_blocks():
     blocks, title = formats.html_blocks(
         "<title> A  b </title><style>x</style><h2>Head</h2><p>one<br>two <b>bold</b></p><ul><li>i1<li>i2</ul><table><tr><td>a<td>b</tr></table><script>1</script>&amp; tail"

@@ -17,7 +17,7 @@ from corpusloom.operators import filters, governance, lexical, maintain, reads
 from corpusloom.plans import search as plan
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
-from corpusloom.sources.formats import Backend
+from corpusloom.sources.formats import SCANNED_MEDIA, Backend
 
 TABLES = ("documents", "chunks", "postings", "lengths")
 VALIDITY = "id long, effective_from date, effective_to date, amended_by array<string>, replaced_by string, status_checked_on date, status_source string"
@@ -135,7 +135,9 @@ class Index:
         both = hashed.unionByName(windows.select(hashed.columns))
         prefix = rows.select("document", F.coalesce("doc_no", "stable_ref").alias("prefix"))
         keyed = structure.cite_keys(both.join(prefix, "document"), "document", "prefix", "part", "ordinal").drop("prefix")
-        return keyed.withColumn("row_id", F.concat_ws("/", "document", "ordinal")).withColumn("ocr", F.lit(False))
+        # All text of these media comes from the recognition backend.
+        scanned = rows.select("document", F.coalesce(F.col("media_type").isin(*SCANNED_MEDIA), F.lit(False)).alias("ocr"))
+        return keyed.withColumn("row_id", F.concat_ws("/", "document", "ordinal")).join(scanned, "document")
 
     def search(self, queries: DataFrame | str, options: plan.Options = plan.Options(), **more) -> DataFrame:
         if isinstance(queries, str):
@@ -155,9 +157,9 @@ class Index:
         return reads.neighbours(self.chunks, wanted, around)
 
     def check_status(self, day: str) -> DataFrame:
-        """Status and warnings of every document on a day."""
-        none = self.spark.createDataFrame([], "document long, status string")
-        return governance.document_warnings(self.documents, self.validity, self.chunks, none, day)
+        """Status and warnings of every document on a day; a review is open until a build no longer reports it."""
+        reviews = self.documents.select(F.col("id").alias("document"), F.explode("reviews").alias("reason"), F.lit("open").alias("status"))
+        return governance.document_warnings(self.documents, self.validity, self.chunks, reviews, day)
 
     def evaluate(self, questions: DataFrame, options: plan.Options = plan.Options(limit=10, per_document=10)) -> DataFrame:
         """Metrics over questions (id, question, gold)."""

@@ -102,6 +102,27 @@ def test_reads(index):
     assert sum("DUPLICATE_SHA256" in w for w in status.values()) == 2 and all("UNKNOWN_VALIDITY" in w for w in status.values())
 
 
+def test_status_of_scans(spark, tmp_path):
+    """Text of a recognition backend is unverified, and what the backend reports is an open review."""
+    files = {"clear.png": b"read me", "poor.pdf": b"smudged words", "blank.jpg": b" ", "plain.txt": b"typed by hand"}
+    (tmp_path / "files").mkdir()
+    for name, data in files.items():
+        (tmp_path / "files" / name).write_bytes(data)
+
+    def backend(suffix, data):
+        reviews = ["low_quality_ocr"] if suffix == ".pdf" else [] if data.strip() else ["blank_or_failed_ocr"]
+        return [("pdf_page", "page:1", data.decode())], reviews
+
+    scans = Index(spark, str(tmp_path / "index"))
+    scans.build(str(tmp_path / "files"), "s1", "scans", backend)
+    names = {r["id"]: r["relative_path"] for r in scans.documents.collect()}
+    got = {names[r["id"]]: set(r["warnings"]) - {"UNKNOWN_VALIDITY"} for r in scans.check_status("2026-01-01").collect()}
+    assert got == {"clear.png": {"OCR_UNVERIFIED"}, "poor.pdf": {"OCR_UNVERIFIED", "OPEN_REVIEWS"}, "blank.jpg": {"OPEN_REVIEWS"}, "plain.txt": set()}
+    bare = Index(spark, str(tmp_path / "bare"))
+    bare.build(str(tmp_path / "files"), "s1", "scans")
+    assert sum("OPEN_REVIEWS" in r["warnings"] for r in bare.check_status("2026-01-01").collect()) == 3
+
+
 def test_evaluate(spark, index):
     questions = spark.createDataFrame([(1, "hợp đồng", ["99/2026/NĐ-CP#dieu-2"]), (2, "pears", ["none#x"])], "id int, question string, gold array<string>")
     got = index[0].evaluate(questions).first()

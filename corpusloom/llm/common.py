@@ -17,11 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A folder set by ``SparkContext.setCheckpointDir`` counts too. Where the session names none
-    (single-machine tests) a temporary folder is made once and also set as the checkpoint folder.
+    A folder set by ``SparkContext.setCheckpointDir`` counts too. Where the session names none, a
+    ``local`` master (tests) gets a temporary folder, made once and also set as the checkpoint
+    folder; any other master is an error, as its executors would write to disks of their own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -52,6 +55,64 @@ def cleanup(spark: SparkSession) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _hadoop(spark, folder)
+    fs.delete(path(folder), True)
+
+
+class Log:
+    """Numbered entries of a few bytes below a folder; of two writers of one number, one fails.
+
+    An entry is a file made by ``create`` without overwriting, which the file system does for one
+    caller only. A driver lost while it writes leaves an entry without its closing line; such an
+    entry holds nothing but keeps its number.
+    """
+
+    END = "\n."
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.fs, self.path = _hadoop(spark, folder)
+        self.fs.mkdirs(self.path(folder))
+
+    def entries(self) -> list[tuple[int, str]]:
+        """(number, text) of every whole entry, in order."""
+        out = []
+        for name in sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(self.folder))):
+            if name.isdigit():
+                stream = self.fs.open(self.path(f"{self.folder}/{name}"))
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                if text.endswith(self.END):
+                    out.append((int(name), text.removesuffix(self.END)))
+        return out
+
+    def last(self) -> int:
+        """The highest number taken, by a whole entry or not; 0 without any."""
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.folder))]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def add(self, number: int, text: str) -> bool:
+        """Write an entry; False if its number is taken."""
+        target = self.path(f"{self.folder}/{number:010d}")
+        if self.fs.exists(target):
+            return False
+        try:
+            stream = self.fs.create(target, False)
+        except Exception:
+            if self.fs.exists(target):
+                return False
+            raise
+        stream.write(bytearray((text + self.END).encode()))
+        stream.close()
+        return True
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

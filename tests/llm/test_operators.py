@@ -313,6 +313,44 @@ def test_digest_index_levels(spark):
     assert merged[b"a"] == (0, 4, 5) and len(merged) == 6
 
 
+@pytest.mark.parametrize("keep, weak", [("high", False), ("low", True)])
+def test_exact_groups_over_batches(spark, rows, keep, weak):
+    """Batches into one index (opened anew each time, compacting on the way) against brute force over what came so far."""
+    digest = (lambda t: (F.crc32(t.cast("binary")) % 5).cast("string").cast("binary")) if weak else exact_dedup.sha256
+    path, seen, best = common.fresh_path(spark, "index"), defaultdict(list), max if keep == "high" else min
+    batches = [rows[:20], rows[20:62], [], rows[62:] + rows[:3]]
+    for batch in batches:
+        index = exact_dedup.DigestIndex(spark, path, fanout=2)
+        got = exact_dedup.exact_groups(frame(spark, batch), keep=keep, digest=digest, index=index)
+        for i, t, *_ in batch:
+            seen[t or ""].append(i)
+        want = Counter()
+        for i, t, *_ in batch:
+            ids = seen[t or ""]
+            k = best((j for j in ids if j is not None), default=None)
+            want[(i, k, len(ids), i == k)] += 1
+        assert Counter(tuple(r)[:4] for r in got.collect()) == want
+    merged = exact_dedup.DigestIndex(spark, path, fanout=2).compact_all()
+    assert merged.agg(F.sum("n")).first()[0] == sum(map(len, batches))
+    stale = exact_dedup.DigestIndex(spark, path)
+    exact_dedup.DigestIndex(spark, path).insert(spark.createDataFrame([(b"b", 1)], "digest binary, id long"))
+    with pytest.raises(RuntimeError):
+        stale.insert(spark.createDataFrame([(b"c", 1)], "digest binary, id long"))
+
+
+def test_exact_groups_empty(spark):
+    assert exact_dedup.exact_groups(frame(spark, [])).count() == 0 and exact_dedup.drop_copies(frame(spark, [])).count() == 0
+
+
+def test_bloom_filter(spark):
+    """No digest of the filter is refused, and few strangers pass."""
+    own, other = (spark.range(a, a + 3000).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest")) for a in (0, 9000))
+    words = exact_dedup.words_for(3000)
+    made = exact_dedup.Filter(common.stored(exact_dedup.bloom(own, words), "filter"), words)
+    assert own.filter(made.passes(F.col("digest"))).count() == 3000
+    assert other.filter(made.passes(F.col("digest"))).count() < 60
+
+
 # op6
 
 

@@ -184,8 +184,8 @@ class Codec:
         self.length = np.concatenate((self.length, length))
         self.ids = np.concatenate((self.ids, np.array([i for x in found for i in x], dtype=np.uint32)))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, little-endian unsigned 32 bit."""
+    def _codes(self, texts: list[str]) -> list[np.ndarray]:
+        """The resolved pre-tokens of each text, by their number in the memo."""
         if len(self.memo) > MEMO:
             self._restart()
         memo, codes = self.memo, []
@@ -193,10 +193,15 @@ class Codec:
             pieces = self.split.findall(text)
             codes.append(np.fromiter(map(memo.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
         self._resolve()
-        out = []
-        for c in codes:
-            out.append(self.ids[_ranges(self.start[c], self.length[c])].astype("<u4"))
-        return out
+        return codes
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, little-endian unsigned 32 bit."""
+        return [self.ids[_ranges(self.start[c], self.length[c])].astype("<u4") for c in self._codes(texts)]
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Number of ids of each text."""
+        return [int(self.length[c].sum()) for c in self._codes(texts)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
@@ -206,6 +211,45 @@ class Codec:
 _OPEN: dict[str, Codec] = {}
 
 
+def _codec(key: str, vocabulary, pattern: str) -> Codec:
+    """This worker's codec, kept from task to task."""
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = Codec(vocabulary.value, pattern)
+    return _OPEN[key]
+
+
+def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``SLICE`` characters."""
+    lo = 0
+    while lo < len(lengths):
+        hi, size = lo, 0
+        while hi < len(lengths) and (hi == lo or size + lengths[hi] <= SLICE):
+            size += lengths[hi]
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def token_counts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
+    """The columns of ``docs`` but the text, and the number of its tokens."""
+    vocabulary = load_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    key = hashlib.sha256(pattern.encode() + b"\0".join(vocabulary)).hexdigest()
+    others = [c for c in docs.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(key, shared, pattern)
+        for b in batches:
+            at, counts = b.num_columns - 1, []
+            for lo, hi in _slices([x or 0 for x in b.column(at).to_pylist()]):
+                counts += codec.count([x or "" for x in b.column(at - 1)[lo:hi].to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[: at - 1], pa.array(counts, pa.int64())], names=[*others, name])
+
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"{name} long"])
+    return docs.select(*others, text_col, F.length(text_col).alias("__length")).mapInArrow(run, schema)
+
+
 def encode_table(
     docs: DataFrame,
     path: str,
@@ -220,18 +264,9 @@ def encode_table(
     key = hashlib.sha256(pattern.encode() + b"\0".join(vocabulary)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _OPEN:
-            _OPEN.clear()
-            _OPEN[key] = Codec(shared.value, pattern)
-        codec = _OPEN[key]
+        codec = _codec(key, shared, pattern)
         for b in batches:
-            lengths = [x or 0 for x in b.column(2).to_pylist()]
-            lo = 0
-            while lo < len(lengths):
-                hi, size = lo, 0
-                while hi < len(lengths) and (hi == lo or size + lengths[hi] <= SLICE):
-                    size += lengths[hi]
-                    hi += 1
+            for lo, hi in _slices([x or 0 for x in b.column(2).to_pylist()]):
                 found = codec.encode([x or "" for x in b.column(1)[lo:hi].to_pylist()])
                 columns = [
                     b.column(0)[lo:hi],
@@ -242,7 +277,6 @@ def encode_table(
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-                lo = hi
 
     schema = f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]

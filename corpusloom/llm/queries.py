@@ -21,25 +21,40 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _change(rows: DataFrame, op: str, version: str, n: str) -> DataFrame:
+    return rows.select("doc_id", F.lit(version).alias("version"), F.lit(op).alias("op"), "source", "lang", F.col(n).alias("n_tokens"))
+
+
+def _one_per_id(sizes: DataFrame) -> DataFrame:
+    """Rows of one doc_id (null too) are one document: the one with the largest digest, source and language counts."""
+    rest = [c for c in sizes.columns if c not in ("doc_id", "digest", "source", "lang")]
+    return sizes.groupBy("doc_id").agg(F.max(F.struct("digest", "source", "lang", *rest)).alias("r")).select("doc_id", "r.*")
+
+
+def _copies(sizes: DataFrame) -> DataFrame:
+    """Documents whose text one with a smaller id has too (a null id sorts last)."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id")
+    firsts = sizes.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = stored(firsts.select("digest", F.col("first.doc_id").alias("first_id")), "token-firsts")
+    return sizes.join(firsts, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("first_id"))).drop("first_id", "n")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under two tokenizer versions; copies deleted; one version's counts revised; batches replayed."""
+    """Words and byte-level BPE tokens of all documents: inserts (the tokens estimated by bytes), a revision by
+    true counts, the deletion of copies, and replays of two batches."""
     docs = table(spark, sf_dir, "documents")
-    sizes = docs.select(
-        "doc_id", "source", "lang", word_count("text").alias("words"),
-        F.regexp_count(text_or_empty("text"), F.lit(r"[A-Za-z]+|[0-9]+")).cast("long").alias("runs"),
-        F.octet_length(text_or_empty("text")).cast("long").alias("bytes"), F.sha2(text_or_empty("text"), 256).alias("digest"),
+    sized = docs.select(
+        F.col("doc_id").cast("long"), "source", "lang", "text", word_count("text").alias("words"),
+        (F.octet_length(text_or_empty("text")).cast("long") / 4).cast("long").alias("estimate"), F.sha2(text_or_empty("text"), 256).alias("digest"),
     )
-    sizes = stored(sizes, "token-sizes")
-    firsts = sizes.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = sizes.join(firsts, (sizes.digest == firsts.digest) & (sizes.doc_id == firsts["first"]), "left_anti")
-    change = lambda d, op, version, n: d.select(
-        "doc_id", F.lit(version).alias("version"), F.lit(op).alias("op"), "source", "lang", F.col(n).alias("n_tokens")
-    )
+    counted = bpe.token_counts(sized, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, name="tokens")
+    sizes = stored(_one_per_id(counted), "token-sizes")
+    copies = stored(_copies(sizes), "token-copies")
     batches = {
-        "words-1": change(sizes, "insert", "words@1", "words"),
-        "runs-1": change(sizes, "insert", "runs@1", "runs"),
-        "copies": change(copies, "delete", "words@1", "words").unionByName(change(copies, "delete", "runs@1", "runs")),
-        "revised": change(sizes.join(copies.select("doc_id"), "doc_id", "left_anti"), "revise", "runs@1", "bytes"),
+        "words-1": _change(sizes, "insert", "words@1", "words"),
+        "bpe-1": _change(sizes, "insert", "byte_bpe_50k", "estimate"),
+        "bpe-2": _change(sizes, "revise", "byte_bpe_50k", "tokens"),
+        "copies": _change(copies, "delete", "words@1", "words").unionByName(_change(copies, "delete", "byte_bpe_50k", "tokens")),
     }
     rollup = token_rollup.TokenRollup(spark)
     for name in [*batches, "copies", "words-1"]:
@@ -47,11 +62,30 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-OP3_SQL = """
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rollup over counts that SQL knows: words and bytes."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select(
+        F.col("doc_id").cast("long"), "source", "lang", word_count("text").alias("words"),
+        F.octet_length(text_or_empty("text")).cast("long").alias("bytes"), F.sha2(text_or_empty("text"), 256).alias("digest"),
+    )
+    sizes = stored(_one_per_id(sizes), "token-sizes")
+    copies = stored(_copies(sizes), "token-copies")
+    rollup = token_rollup.TokenRollup(spark)
+    rollup.apply("words-1", _change(sizes, "insert", "words@1", "words"))
+    rollup.apply("bytes-1", _change(sizes, "insert", "bytes@1", "words"))
+    rollup.apply("copies", _change(copies, "delete", "words@1", "words").unionByName(_change(copies, "delete", "bytes@1", "words")))
+    rollup.compact()
+    rollup.apply("bytes-2", _change(sizes.join(copies.select("doc_id"), "doc_id", "left_anti"), "revise", "bytes@1", "bytes"))
+    rollup.apply("copies", _change(copies, "delete", "words@1", "words"))
+    return rollup.totals()
+
+
+TOKEN_ROLLUP_SQL = """
 WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
 k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM d),
 v AS (SELECT source, lang, 'words@1' AS version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens FROM k WHERE n = 1
-  UNION ALL SELECT source, lang, 'runs@1', octet_length(encode(text)) FROM k WHERE n = 1)
+  UNION ALL SELECT source, lang, 'bytes@1', octet_length(encode(text)) FROM k WHERE n = 1)
 SELECT source, lang, version, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM v GROUP BY ALL
 """
 
@@ -134,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_token_counts": op3_token_counts,
+        "token_rollup_words": token_rollup_words,
         "op4_simhash": op4_simhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_mixing": op6_mixing,
@@ -145,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_token_counts": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_topk": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"token_rollup_words": TOKEN_ROLLUP_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_topk": OP8_SQL, "op10_url_filter": OP10_SQL}

@@ -1,16 +1,19 @@
 """Token counts as delta-maintained rollups.
 
-A rollup is a folder of committed batches. A batch of changes (insert, delete, revise) is turned
+A rollup is a log of committed batches. A batch of changes (insert, delete, revise) is turned
 into signed differences against the ledger, which knows the count of every document under every
 tokenizer version: an insert adds a document and its tokens, a delete takes them away, a revision
 adds new minus old (also when the source or language changes, which moves the document from one
-group to another). The batch folder holds the ledger rows that changed and one row of sums for
+group to another). The batch's folder holds the ledger rows that changed and one row of sums for
 each (source, lang, version); totals are the sum of those rows over all batches, so reading them
 costs nothing that depends on the number of documents.
 
-Commits are idempotent: a batch is written under a staging name and renamed to the name of its
-batch id, which fails if that id is there already; applying an id again changes nothing, and what
-a lost driver left in staging is never read. One writer at a time is assumed.
+Commits are idempotent: a batch is written to a folder of its own attempt and counts once its entry
+(batch id and folder) is the next one of the log, which the file system gives to one writer only.
+Who loses that race starts again from the changed log: its batch id may be there now, and then
+nothing changes, or the ledger may have moved, and then the differences are made anew. Folders
+without an entry, of a lost driver, are never read. After ``fanout`` batches the ledger and the sums
+are merged into one folder, so a batch reads a ledger of bounded age, not all history.
 
 Changes: doc_id, version, op, source, lang, n_tokens, and ``seq`` where a batch changes a document
 more than once (the last counts; ties go to the largest row). Edge cases: an insert of a known
@@ -21,12 +24,13 @@ own; an empty batch is committed and empty; groups without documents and tokens
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh_path
+from corpusloom.llm.common import Log, fresh_path, remove
 
 LEDGER = "doc_id long, version string, number long, source string, lang string, n_tokens long"
 SUMS = "source string, lang string, version string, docs long, tokens long"
@@ -34,69 +38,105 @@ GROUP = ["source", "lang", "version"]
 
 
 class TokenRollup:
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 8):
+        self.spark, self.fanout = spark, fanout
         self.path = path or fresh_path(spark, "token-rollup")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.path}/batches"))
+        self.log = Log(spark, f"{self.path}/log")
 
     def batches(self) -> list[str]:
-        """Committed batch folders."""
-        return sorted(str(s.getPath().toString()) for s in self._fs.listStatus(self._path(f"{self.path}/batches")))
+        """Ids of the committed batches, in order."""
+        return [e["batch"] for _, t in self.log.entries() if (e := json.loads(t))["batch"] is not None]
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        found = [f"{b}/{part}" for b in self.batches()]
+    def _live(self) -> list[str]:
+        """Folders that count: the last merged one and the batches after it."""
+        folders: list[str] = []
+        for _, text in self.log.entries():
+            entry = json.loads(text)
+            folders = [*([] if entry["batch"] is None else folders), entry["folder"]]
+        return folders
+
+    def _read(self, part: str, schema: str, folders: list[str]) -> DataFrame:
+        found = [f"{self.path}/data/{f}/{part}" for f in folders]
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
 
     def ledger(self, of: DataFrame | None = None) -> DataFrame:
         """Latest count of every document and version, or of those in ``of``; n_tokens is null where it was deleted."""
-        rows = self._read("ledger", LEDGER)
+        rows = self._read("ledger", LEDGER, self._live())
         if of is not None:  # before the exchange: a small batch leaves the rest of the ledger where it is
             rows = rows.join(of, rows.doc_id.eqNullSafe(of.doc_id) & rows.version.eqNullSafe(of.version), "left_semi")
-        latest = F.max_by(F.struct("source", "lang", "n_tokens"), "number").alias("at")
+        latest = F.max_by(F.struct("number", "source", "lang", "n_tokens"), "number").alias("at")
         return rows.groupBy("doc_id", "version").agg(latest).select("doc_id", "version", "at.*")
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch of changes; False if the id was committed before."""
-        if not batch_id or "/" in batch_id:
+        if not batch_id:
             raise ValueError(f"bad batch id: {batch_id!r}")
-        target = self._path(f"{self.path}/batches/batch={batch_id}")
-        if self._fs.exists(target):
-            return False
+        while batch_id not in self.batches():
+            number = self.log.last() + 1
+            folder = self._prepare(changes, number)
+            if self.log.add(number, json.dumps({"batch": batch_id, "folder": folder})):
+                if len(self._live()) > self.fanout:
+                    self.compact()
+                return True
+            remove(self.spark, f"{self.path}/data/{folder}")
+        return False
+
+    def _prepare(self, changes: DataFrame, number: int) -> str:
+        """Write a batch's ledger rows and sums against the ledger as it is; the name of its folder."""
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
         rows = changes.select(
             F.col("doc_id").cast("long"), "version", seq.alias("seq"), "source", "lang",
             F.when(F.col("op") != "delete", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0))).alias("n_tokens"),
         )
         last = rows.groupBy("doc_id", "version").agg(F.max(F.struct("seq", F.col("n_tokens").isNull().alias("gone"), "n_tokens", "source", "lang")).alias("new"))
-        old = self.ledger(last.select("doc_id", "version")).filter("n_tokens is not null")
-        same = last.doc_id.eqNullSafe(old.doc_id) & last.version.eqNullSafe(old.version)
-        joined = last.join(old, same, "left").select(
-            last.doc_id, last.version, "new", F.struct(old.source, old.lang, old.n_tokens).alias("old"), old.n_tokens.isNotNull().alias("known")
-        )
-        joined = joined.filter("known or new.n_tokens is not null")
-        staging = f"{self.path}/staging/{uuid.uuid4().hex}"
-        number = len(self.batches()) + 1
-        joined.select(
+        moves = last.select("doc_id", "version", F.lit(None).cast("struct<source:string,lang:string,n_tokens:long>").alias("old"), "new")
+        if self._live():
+            old = self.ledger(last.select("doc_id", "version")).filter("n_tokens is not null")
+            same = last.doc_id.eqNullSafe(old.doc_id) & last.version.eqNullSafe(old.version)
+            known = F.when(old.n_tokens.isNotNull(), F.struct(old.source, old.lang, old.n_tokens)).alias("old")
+            moves = last.join(old, same, "left").select(last.doc_id, last.version, known, "new")
+        folder = uuid.uuid4().hex
+        target = f"{self.path}/data/{folder}"
+        moves.filter("old is not null or new.n_tokens is not null").select(
             "doc_id", "version", F.lit(number).cast("long").alias("number"),
-            F.when(F.col("new.n_tokens").isNotNull(), F.struct("new.source", "new.lang", "new.n_tokens")).alias("now"),
-            F.when(F.col("known"), F.col("old")).alias("was"),
-        ).write.parquet(f"{staging}/moves")
-        moves = self.spark.read.parquet(f"{staging}/moves")
-        moves.select("doc_id", "version", "number", "now.source", "now.lang", "now.n_tokens").write.parquet(f"{staging}/ledger")
+            F.when(F.col("new.n_tokens").isNotNull(), F.struct("new.source", "new.lang", "new.n_tokens")).alias("now"), F.col("old").alias("was"),
+        ).write.parquet(f"{target}/moves")
+        moves = self.spark.read.parquet(f"{target}/moves")
+        moves.select("doc_id", "version", "number", "now.source", "now.lang", "now.n_tokens").write.parquet(f"{target}/ledger")
         signed = moves.select(
             "version", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("now").alias("at")), F.struct(F.lit(-1).alias("sign"), F.col("was").alias("at")))).alias("s")
         ).filter("s.at is not null")
         sums = signed.groupBy(F.col("s.at.source").alias("source"), F.col("s.at.lang").alias("lang"), "version").agg(
             F.sum(F.col("s.sign").cast("long")).alias("docs"), F.sum(F.col("s.sign") * F.col("s.at.n_tokens")).alias("tokens")
         )
-        sums.filter("docs <> 0 or tokens <> 0").coalesce(1).write.parquet(f"{staging}/sums")
-        self._fs.delete(self._path(f"{staging}/moves"), True)
-        return bool(self._fs.rename(self._path(staging), target))
+        sums.filter("docs <> 0 or tokens <> 0").write.parquet(f"{target}/sums")
+        remove(self.spark, f"{target}/moves")
+        return folder
+
+    def compact(self) -> bool:
+        """Merge all that counts into one folder, without documents that are gone; False if a batch came in between.
+
+        The merged folders stay until :meth:`vacuum`, for readers that hold them.
+        """
+        number, folder, live = self.log.last() + 1, uuid.uuid4().hex, self._live()
+        self.ledger().filter("n_tokens is not null").select(*[c.split()[0] for c in LEDGER.split(", ")]).write.parquet(f"{self.path}/data/{folder}/ledger")
+        self._summed(live).write.parquet(f"{self.path}/data/{folder}/sums")
+        if self.log.add(number, json.dumps({"batch": None, "folder": folder})):
+            return True
+        remove(self.spark, f"{self.path}/data/{folder}")
+        return False
+
+    def vacuum(self) -> None:
+        """Remove merged folders; for times without readers."""
+        live = set(self._live())
+        for _, text in self.log.entries():
+            if (folder := json.loads(text)["folder"]) not in live:
+                remove(self.spark, f"{self.path}/data/{folder}")
+
+    def _summed(self, folders: list[str]) -> DataFrame:
+        sums = self._read("sums", SUMS, folders).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return sums.filter("docs <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens."""
-        sums = self._read("sums", SUMS).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.filter("docs <> 0 or tokens <> 0")
+        return self._summed(self._live())

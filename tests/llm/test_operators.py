@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, common, exact_dedup, mixing, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
+from corpusloom.llm import bpe, common, exact_dedup, mixing, queries, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -221,6 +221,55 @@ def test_token_rollup(spark):
     assert ("c", "fr", "v1", 1, 3) in {tuple(r) for r in t.totals().collect()}
 
 
+def test_token_rollup_race(spark):
+    """Two drivers with one batch id, and two with two ids, of which the loser must see the winner's ledger."""
+    batch = lambda n: spark.createDataFrame([(1, "v", "insert", "a", "en", n)], "doc_id long, version string, op string, source string, lang string, n_tokens long")
+    path = common.fresh_path(spark, "rollup")
+    first, second = token_rollup.TokenRollup(spark, path, fanout=2), token_rollup.TokenRollup(spark, path, fanout=2)
+    prepare, inner = second._prepare, []
+
+    def late(changes, number):  # the other driver commits while this one prepares
+        folder = prepare(changes, number)
+        if not inner:
+            inner.append(first.apply(*pending))
+        return folder
+
+    second._prepare = late
+    pending = ("same", batch(5))
+    assert second.apply("same", batch(7)) is False and inner == [True]
+    assert [tuple(r) for r in first.totals().collect()] == [("a", "en", "v", 1, 5)]
+    inner.clear()
+    pending = ("third", batch(20))
+    assert second.apply("fourth", batch(1)) and inner == [True]
+    assert [tuple(r) for r in first.totals().collect()] == [("a", "en", "v", 1, 1)]
+    assert first.batches() == ["same", "third", "fourth"] and len(first._live()) <= 3
+    assert first.compact() and len(first._live()) == 1
+    first.vacuum()
+    assert not first.apply("third", batch(9)) and [tuple(r) for r in second.totals().collect()] == [("a", "en", "v", 1, 1)]
+
+
+def test_op3(spark, rows, tmp_path):
+    """The query against tiktoken: one document of each text, repeated and null ids too."""
+    more = rows + [(None, rows[1][1], "en", "s1", 0), (5, "another text", "de", "s1", 0), (99, rows[3][1], None, None, 0)]
+    spark.createDataFrame(more, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    by_id, first = {}, {}
+    for i, t, lang, source, _ in more:
+        own = (hashlib.sha256((t or "").encode()).hexdigest(), source or "", lang or "", t or "", source, lang)
+        by_id[i] = max(by_id.get(i, own), own)
+    for i, (*_, t, source, lang) in sorted(by_id.items(), key=lambda x: (x[0] is None, x[0] or 0)):
+        first.setdefault(t, (i, source, lang))
+    want = defaultdict(lambda: [0, 0])
+    for t, (_, source, lang) in first.items():
+        for version, n in (("words@1", len(re.findall(r"[^\x20\x09-\x0D]+", t))), ("byte_bpe_50k", len(reference.encode_ordinary(t)))):
+            want[source, lang, version][0] += 1
+            want[source, lang, version][1] += n
+    got = {tuple(r)[:3]: list(r)[3:] for r in queries.op3_token_counts(spark, str(tmp_path)).collect()}
+    assert got == dict(want)
+
+
 # op4
 
 

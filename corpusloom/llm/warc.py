@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fresh_path, stored, text_or_empty
+from corpusloom.llm.common import fresh_path, partitions, stored, text_or_empty
 
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
@@ -117,29 +117,34 @@ def parse(data: bytes, at: int, ended: bool) -> tuple[dict[str, str], bytes, int
     return headers, payload, end + 4
 
 
-def _member(data: bytes, at: int, ended: bool) -> tuple[bytes, int]:
-    """Inflated gzip member at ``at`` and its end."""
-    inflate = zlib.decompressobj(31)
-    try:
-        out = inflate.decompress(data[at:])
-    except zlib.error as e:
-        raise Damaged("gzip check failed") from e
-    if not inflate.eof:
-        raise Damaged("cut off") if ended else _Short()
-    return out, len(data) - len(inflate.unused_data)
+def _member(data: bytes, at: int, ended: bool, most: int, step: int = 1 << 16) -> tuple[bytes, int]:
+    """Inflated gzip member at ``at`` and its end; fed in steps, so nothing behind its end is copied or inflated."""
+    inflate, view, out, size = zlib.decompressobj(31), memoryview(data), [], 0
+    for lo in range(at, len(data), step):
+        fed = view[lo : lo + step]
+        try:
+            out.append(inflate.decompress(fed, most - size + 1))
+        except zlib.error as e:
+            raise Damaged("gzip check failed") from e
+        size += len(out[-1])
+        if inflate.eof:
+            return b"".join(out), lo + len(fed) - len(inflate.unused_data)
+        if size > most or inflate.unconsumed_tail:
+            raise Damaged("record too long")
+    raise Damaged("cut off") if ended else _Short()
 
 
 def salvage(stream, chunk: int = 1 << 20, most: int = 1 << 28) -> Iterator[Record | Gap]:
     """Records of an archive (a file object) in order, with the gaps between them.
 
-    ``most``: bytes after which a record that does not end counts as damaged.
+    ``most``: bytes, packed or not, after which a record that does not end counts as damaged.
     """
     data, base, at, ended = b"", 0, 0, False
     bad: tuple[int, str] | None = None  # where the current gap began and why
 
     def found(data: bytes, at: int, ended: bool) -> tuple[dict[str, str], bytes, int]:
         if data[at : at + 3] == MEMBER:
-            plain, end = _member(data, at, ended)
+            plain, end = _member(data, at, ended, most)
             headers, payload, stop = parse(plain, 0, True)
             if stop != len(plain):
                 raise Damaged("bytes after the record")
@@ -261,20 +266,26 @@ def read(manifest: DataFrame) -> DataFrame:
     kinds = pa.schema(
         [("path", text), ("offset", pa.int64()), ("length", pa.int64()), ("reason", text), ("headers", pa.map_(text, text)), ("payload", pa.binary())]
     )
-    # One archive to a task at a time.
-    paths = manifest.select("path").repartition(F.xxhash64("path"))
+    # Dealt in turn, an archive to a task where there are tasks enough; a number that is given is not coalesced.
+    tasks = 4 * max(partitions(manifest.sparkSession), manifest.sparkSession.sparkContext.defaultParallelism)
+    paths = manifest.select("path").repartition(max(1, min(manifest.count(), tasks)))
     return paths.mapInArrow(get, "path string, offset long, length long, reason string, headers map<string,string>, payload binary")
 
 
 def page_records(records: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """One row per record read back: id, payload_bytes, payload_digest, record_type, refers_to."""
+    """One row per record read back: id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A quarantined gap is a row too: ``record_type`` is ``gap`` and ``payload_bytes`` the bytes passed
+    over, so a damaged archive never looks like a whole one.
+    """
     head = lambda k: F.col("headers")[k]
     number = lambda k: F.regexp_extract(head(k), r"<urn:page:(-?\d+)>", 1).try_cast("long")
     response = head("warc-type") == "response"
-    return records.filter("reason is null").select(
+    gap = F.col("reason").isNotNull()
+    return records.select(
         number("warc-record-id").alias(id_col),
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(head("warc-page-length").cast("long")).alias("payload_bytes"),
+        F.when(gap, F.col("length")).when(response, F.octet_length("payload").cast("long")).otherwise(head("warc-page-length").try_cast("long")).alias("payload_bytes"),
         F.when(response, F.sha2("payload", 256)).otherwise(F.substring(head("warc-payload-digest"), 8, 64)).alias("payload_digest"),
-        head("warc-type").alias("record_type"),
+        F.when(gap, "gap").otherwise(head("warc-type")).alias("record_type"),
         F.when(response, F.lit(None).cast("long")).otherwise(number("warc-refers-to")).alias("refers_to"),
     )

@@ -466,6 +466,42 @@ def test_warc(spark, gzip):
     assert got == want
 
 
+@pytest.mark.parametrize("gzip", [True, False])
+def test_warc_damaged(spark, gzip):
+    """Bytes of written archives are changed: gaps are rows, and the records beside them come back."""
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string").repartition(2)
+    manifest = warc.write(pages, gzip=gzip, roll_bytes=6000 if gzip else 20_000)
+    paths = [r["path"].removeprefix("file://") for r in manifest.collect()]
+    assert len(paths) > 1
+    whole = 0
+    for path in paths:
+        data = bytearray(open(path, "rb").read())
+        for at in range(len(data) // 2, len(data) // 2 + 30):  # in one record or two
+            data[at] ^= 0x41
+        whole += len(data)
+        open(path, "wb").write(data)
+    read = warc.read(manifest)
+    assert read.rdd.getNumPartitions() == len(paths) and read.agg(F.sum("length")).first()[0] == whole
+    got = warc.page_records(read).collect()
+    gaps = [r for r in got if r["record_type"] == "gap"]
+    assert len(gaps) >= len(paths) and all(r["payload_bytes"] > 0 and r["page_id"] is None for r in gaps)
+    left = [r["page_id"] for r in got if r["record_type"] == "response"]
+    assert len(left) == len(set(left)) and 40 - 2 * len(paths) <= len(left) <= 40 - len(paths)
+
+
+def test_warc_empty(spark):
+    assert warc.page_records(warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
+
+
+def test_salvage_bounds():
+    """A member that inflates beyond the bound, and false magic in noise, are passed over; the next record comes back."""
+    good = warc.compress(warc.encode_record(1, "u", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), 200, None, False))
+    bomb = warc.compress(bytes(4 << 20))
+    noise = bytes(random.Random(2).randrange(256) for _ in range(5000)).replace(b"\x1f\x8b", b"..") + warc.MEMBER * 50
+    out = list(warc.salvage(io.BytesIO(bomb + noise + good), chunk=1000, most=1 << 16))
+    assert [type(x) for x in out] == [warc.Gap, warc.Record] and out[0].length == len(bomb + noise)
+
+
 @pytest.mark.parametrize("gzip", [True, False])
 def test_salvage(gzip):
     payloads = [(f"page {i} " * 60).encode() + b"WARC/1.1\r\n" for i in range(25)]

@@ -38,6 +38,7 @@ from corpusloom.llm.common import stored, text_or_empty
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LAST = (1 << 63) - 1  # the id that stands for null
+HOT = 4096
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -239,10 +240,16 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, budg
     rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min(F.struct("id", "check")).alias("least")), "fingerprint-nodes")
     roots = components(links(nodes.select("fp"), budget, blocks))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("least"))
+    placed = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    found = stored(placed.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-least")
+    # Components with more than one in HOT of the nodes are HOT at most: sent to all tasks, so that no task gets one whole.
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > total // HOT
+    large = placed.join(F.broadcast(found.filter(hot).select("root", F.col("least").alias("hot_least"))), "root", "left")
+    small = large.filter("hot_least is null").select("fp", "root").join(found.filter(~hot).select("root", "least"), "root")
+    named = large.filter("hot_least is not null").select("fp", F.col("hot_least").alias("least")).unionByName(small.select("fp", "least"))
     # Written out, so that a hot fingerprint's rows meet it in a join that Spark can split.
-    return rows, stored(placed.drop("least").join(least, "root").select("fp", "least"), "fingerprint-components")
+    return rows, stored(named, "fingerprint-components")
 
 
 def near_duplicates(

@@ -10,8 +10,9 @@ short of its quota takes what its patterns can give.
 
 What a (pattern, source) edge got is then drawn from the pattern's documents in the order
 of a seeded hash: whole repeats first, then whole documents up to the rest. The hash space
-is cut into ``2 ** bin_bits`` bins whose sizes are summed per pattern; only the documents
-of the one bin where the rest ends are ranked one by one, so no window holds a source. The
+is cut into bins, as many as the square root of the number of documents, whose sizes are
+summed per pattern; only the documents of the one bin where the rest ends are ranked one by
+one, so a window holds about that root of rows and never a source. The
 few words still missing are filled with the largest further documents that fit.
 
 Quotas: source weights by position repeat (3, 1, 2 in the contract), sources by code point
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stored, word_count
 
-NONE = "\U0010ffff<null>"
+# Sources by name inside this module: a mark before the name, so that null (last by code point) is no name.
+NAME, NONE = "0", "1"
 FILL_ROUNDS = 12
 
 
@@ -112,7 +114,7 @@ def _choose(sized: DataFrame, want: DataFrame, rounds: int) -> DataFrame:
     """Per pattern: whole repeats, last full bin, cut inside the next bin, and the documents that fill the rest.
 
     Every aggregate here combines on the map side; its result has one row for each pattern
-    (bins: ``2 ** bin_bits``), however many documents a pattern has.
+    (and bin), however many documents a pattern has.
     """
     want = want.withColumn("repeats", F.expr("case when total > 0 then least(amount div total, most) else 0 end").cast("long"))
     want = want.withColumn("rest", F.when(F.col("repeats") >= F.col("most"), F.lit(0)).otherwise(F.col("amount") - F.col("repeats") * F.col("total")))
@@ -159,30 +161,36 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 42,
-    bin_bits: int = 12,
+    size_col: str | None = None,
     max_patterns: int = 100_000,
 ) -> DataFrame:
     """One row per input row: row (struct of its columns), pattern, size, source_size, target, taken.
 
-    ``source_size`` and ``target`` are those of the document's first source.
+    ``source_size`` and ``target`` are those of the document's first source. ``size_col`` names a
+    column with the sizes where they are known; else the words of the text are counted.
     """
     spark = docs.sparkSession
-    names = F.array_sort(F.array_distinct(F.transform(sources, lambda x: F.coalesce(x, F.lit(NONE)))))
+    names = F.array_sort(F.array_distinct(F.transform(sources, lambda x: F.coalesce(F.concat(F.lit(NAME), x), F.lit(NONE)))))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
-    whole = docs.withColumns(
-        {"__pattern": names, "__size": word_count(text_col), "__place": place, "__bin": F.shiftrightunsigned(place, 63 - bin_bits), "__id": key}
-    )
-    own = ["pattern", "size", "place", "bin", "id"]
+    size = F.coalesce(F.col(size_col).cast("long"), F.lit(0)) if size_col else word_count(text_col)
+    whole = docs.withColumns({"__pattern": names, "__size": size, "__place": place, "__id": key})
+    own = ["pattern", "size", "place", "id"]
     sized = stored(whole.select(*[F.col(f"__{c}").alias(c) for c in own]), "mix-sizes")
+    bits = max(12, -(-sized.count().bit_length() // 2))
+    at = F.shiftrightunsigned("place", 63 - bits).alias("bin")
+    sized = sized.select("*", at)
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("total")).limit(max_patterns + 1).collect()
     if len(totals) > max_patterns:
         raise ValueError(f"over {max_patterns} membership patterns")
     patterns = {tuple(r["pattern"]): int(r["total"]) for r in sorted(totals, key=lambda r: r["pattern"])}
     members = sorted({s for p in patterns for s in p})
-    size = {s: sum(n for p, n in patterns.items() if s in p) for s in members}
+    sizes = dict.fromkeys(members, 0)
+    for p, n in patterns.items():
+        for s in p:
+            sizes[s] += n
     weight = [float(weights[i % len(weights)]) for i in range(len(members))]
-    target = dict(zip(members, water_fill([size[s] for s in members], weight, share * sum(patterns.values()), max_repeats)))
+    target = dict(zip(members, water_fill([sizes[s] for s in members], weight, share * sum(patterns.values()), max_repeats)))
     got: dict[tuple[str, ...], int] = {}
     for (p, _), flow in route(patterns, {s: int(q) for s, q in target.items()}, max_repeats).items():
         got[p] = got.get(p, 0) + flow
@@ -191,7 +199,7 @@ def mix(
     rows = [
         (
             r["pattern"],
-            size[r["pattern"][0]] if r["pattern"] else 0,
+            sizes[r["pattern"][0]] if r["pattern"] else 0,
             target[r["pattern"][0]] if r["pattern"] else 0.0,
             r["repeats"],
             r["last"],
@@ -205,8 +213,9 @@ def mix(
         rows, f"pattern array<string>, source_size long, target double, repeats long, last long, cut {pair}, fill array<{pair}>"
     )
     # The row is carried along as one struct, so that a clashing column name changes nothing.
-    carried = whole.select(*[F.col(f"__{c}").alias(c) for c in own], F.struct(*docs.columns).alias("row"))
+    carried = whole.select(*[F.col(f"__{c}").alias(c) for c in own], F.struct(*docs.columns).alias("row")).withColumn("bin", at)
     joined = carried.join(F.broadcast(chosen), "pattern", "left")
     extra = _within() | F.coalesce(F.array_contains("fill", F.struct("place", "id")), F.lit(False))
     taken = F.col("size") * (F.coalesce("repeats", F.lit(0)) + F.when(extra, 1).otherwise(0))
-    return joined.select("row", "pattern", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    pattern = F.transform("pattern", lambda x: F.when(x != NONE, F.substr(x, F.lit(2)))).alias("pattern")
+    return joined.select("row", pattern, "size", "source_size", "target", taken.cast("long").alias("taken"))

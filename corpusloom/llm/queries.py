@@ -107,8 +107,9 @@ FROM d JOIN g ON d.text = g.text
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, F.array("source")).select("row.doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    sized = stored(docs.select("doc_id", "source", word_count("text").alias("words")), "mix-words")  # counted once
+    return mixing.mix(sized, F.array("source"), size_col="words").select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

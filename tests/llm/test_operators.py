@@ -304,6 +304,23 @@ def test_simhash(spark, rows):
     assert sum(r["doc_id"] is None for r in left.collect()) == 1
 
 
+def test_simhash_null_ids_and_empty(spark, rows):
+    """Null ids sort last: a component is named by its smallest id, or by null."""
+    more = rows + [(None, rows[3][1], "en", "s1", 0), (None, "never seen before " * 9, "en", "s1", 0)]
+    got = simhash.near_duplicates(frame(spark, more)).collect()
+    fps, last = [slow_fingerprint(r[1]) for r in more], 1 << 61
+    labels = slow_components(fps, [last if r[0] is None else r[0] for r in more])
+    want = Counter((r[0], f"{x:016x}", None if c == last else c) for r, x, c in zip(more, fps, labels))
+    assert Counter(tuple(r) for r in got) == want and any(c is None for _, _, c in want)
+    assert simhash.near_duplicates(frame(spark, [])).count() == 0 and simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_simhash_large_components(spark, rows, monkeypatch):
+    want = Counter(tuple(r) for r in simhash.near_duplicates(frame(spark, rows)).collect())
+    monkeypatch.setattr(simhash, "HOT", 20)  # some components count as large
+    assert Counter(tuple(r) for r in simhash.near_duplicates(frame(spark, rows)).collect()) == want
+
+
 @pytest.mark.parametrize("text", ["", " \x0b", "A b", "A b c d", "A\x1cb\x85c d e", "x y z w v", "É é ß"])
 def test_fingerprint(text):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
@@ -441,6 +458,17 @@ def test_flow_is_cheapest():
     assert short == {(("a",), "a"): 10}
 
 
+def test_mixing_sizes_and_names(spark, rows):
+    """Known sizes give what counted ones give; a source named like the null mark is no null."""
+    docs = frame(spark, rows + [(300, "one two three", "en", "1", 0), (301, "one two", "en", "\U0010ffff<null>", 0)])
+    pick = ["row.doc_id", "pattern", "size", "source_size", "target", "taken"]
+    counted = mixing.mix(docs, F.array("source")).select(*pick)
+    known = docs.withColumn("n", common.word_count("text")).drop("text")
+    assert Counter(map(str, mixing.mix(known, F.array("source"), size_col="n").select(*pick).collect())) == Counter(map(str, counted.collect()))
+    by = {(r["pattern"][0]): r["source_size"] for r in counted.collect()}
+    assert by["1"] == 3 and by["\U0010ffff<null>"] == 2 and by[None] > 3
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(frame(spark, []), F.array("source")).count() == 0
 

@@ -3,7 +3,8 @@
 Terms are the lower-cased runs of letters, digits and ``_`` and their prefixes of a few
 lengths, each hashed to one of ``2 ** hash_bits`` slots and counted once for a document. A bounded sample of the labelled rows
 (``max_sample``; half of it for each label, taken in hash order) is reduced to its hashed
-slots on the executors and fitted on the driver. Its terms are chosen in two passes: marks, the
+slots on the executors, one row for each id, where their counts are summed too; the driver gets the
+counts of common slots and, of each row, only those, and fits on them. Its terms are chosen in two passes: marks, the
 ``n_terms`` slots that tell most by chi-square, of those that are several times as frequent in
 toxic documents; then partners, at most as many other slots that, among the sample rows with one
 of the marks, move the label either way beyond what the marks predict. A mark gets a linear weight and every chosen slot a
@@ -13,9 +14,9 @@ pair of which neither term is a mark is not learned. The intercept is corrected
 of the labels. The fitted model has a fixed size and is sent to every task; scoring reads every
 whole text once and shuffles nothing.
 
-Edge cases: null and empty texts have no terms and get the base rate's score; labelled rows
+Edge cases: null and empty texts have no terms and get the score of the fitted intercept; labelled rows
 without a document, null labels and null ids take no part in the fit, and of repeated labels
-of an id the largest counts; without two kinds of labels every score is the share of toxic
+of an id the largest counts, as of repeated rows of an id the text whose slots sort first; without two kinds of labels every score is the share of toxic
 ones (0 if there are none). ``held_out`` is false for a null id. Repeated rows repeat their
 result; other columns are not read.
 """
@@ -32,6 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import stored
+
 _TERM = re.compile(r"\w+")
 MEMO = 500_000  # terms whose slot a task remembers
 LIFT = 3
@@ -114,17 +117,17 @@ def _chi_square(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(below > 0, (a * d - b * c) ** 2 * (n1 + n0) / np.maximum(below, 1), 0)
 
 
-def _partners(rows: np.ndarray, flat: np.ndarray, y: np.ndarray, p: np.ndarray, marks: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
+def _partners(rows: np.ndarray, flat: np.ndarray, y: np.ndarray, length: np.ndarray, p: np.ndarray, marks: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
     """The slots of ``others`` that, among the rows with one of the ``marks``, move the label either way; ``most`` at most.
 
     ``p`` is what the marks alone predict: only what a slot tells beyond that counts. Each mark's rows are tested by
     themselves (score test over classes of equal length; with one ``p`` for all rows it is Cochran-Mantel-Haenszel), so
     that neither the rows of other marks nor terms that only tell long texts from short ones decide. ``CHANCE`` is
-    shared by all pairs of a mark and a slot (Bonferroni). ``rows`` is sorted; ``marks`` and ``others`` are too.
+    shared by all pairs of a mark and a slot (Bonferroni). ``length`` has the slots of each row, rare ones too.
+    ``rows`` is sorted; ``marks`` and ``others`` are too.
     """
     if not len(marks) or not len(others):
         return others[:0]
-    length = np.bincount(rows, minlength=len(y))
     at = np.searchsorted(marks, flat)
     ok = marks[np.minimum(at, len(marks) - 1)] == flat
     order = np.argsort(at[ok], kind="stable")
@@ -198,8 +201,14 @@ def fit(
     hash_bits: int = 22,
     n_terms: int = 2048,
     rank: int = 4,
+    max_common: int = 1 << 17,
 ) -> Model:
-    """Fit on at most ``max_sample`` labelled rows, half of them of each label, in hash order."""
+    """Fit on at most ``max_sample`` labelled rows, half of them of each label, in hash order.
+
+    Slots that fewer than 3 of the sample rows, or one in 2,000, hold take no part, and of the others the
+    ``max_common`` that most rows hold do.
+    """
+    spark = docs.sparkSession
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     own = own.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -221,24 +230,49 @@ def fit(
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["id", "y", "slots"])
 
-    got = texts.mapInArrow(slots, "id long, y int, slots binary").collect()
-    got = sorted({r["id"]: r for r in sorted(got, key=lambda r: bytes(r["slots"]))}.values(), key=lambda r: r["id"])
-    y = np.array([r["y"] for r in got], dtype=float)
-    if not len(y) or y.min() == y.max():
+    rows_of = texts.mapInArrow(slots, "id long, y int, slots binary")
+    # An id whose rows are many is one row for each task before it moves.
+    kept = stored(rows_of.groupBy("id", "y").agg(F.min("slots").alias("slots")), "toxicity-sample")
+    sizes = {r["y"]: r["n"] for r in kept.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
         return Model(np.empty(0, np.int64), None, base, hash_bits)
+    ones, total = sizes[1], sizes[0] + sizes[1]
+    least = max(3, total // 2000)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The slots of some rows counted together: slot, toxic rows, all rows."""
+        for b in batches:
+            ys = b.column(0).to_numpy()
+            found = [np.frombuffer(x.as_py(), dtype=np.int32) for x in b.column(1)]
+            flat = np.concatenate([*found, np.empty(0, np.int32)])
+            slot, at = np.unique(flat, return_inverse=True)
+            n = np.bincount(at, minlength=len(slot))
+            toxic = np.bincount(at, np.repeat(ys, [len(x) for x in found]), len(slot)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(toxic, pa.int64()), pa.array(n, pa.int64())], names=["slot", "toxic", "n"])
+
+    counted = kept.select("y", "slots").mapInArrow(each, "slot int, toxic long, n long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    common_slots = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "slot").limit(max_common).toPandas().sort_values("slot")
+    seen, in_toxic, count = (common_slots[c].to_numpy() for c in ("slot", "toxic", "n"))
+    seen = seen.astype(np.int32)
+    wanted = spark.sparkContext.broadcast(seen)
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(x.as_py(), dtype=np.int32) for x in b.column(2)]
+            some = [np.intersect1d(x, wanted.value, assume_unique=True).tobytes() for x in found]
+            length = pa.array([len(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), length, pa.array(some, pa.binary())], names=["id", "y", "length", "slots"])
+
+    got = sorted(kept.mapInArrow(common, "id long, y int, length long, slots binary").collect(), key=lambda r: r["id"])
+    y, length = np.array([r["y"] for r in got], dtype=float), np.array([r["length"] for r in got])
     flat = np.frombuffer(b"".join(r["slots"] for r in got), dtype=np.int32)
     rows = np.repeat(np.arange(len(got), dtype=np.int32), [len(r["slots"]) // 4 for r in got])
     del got
-    seen, count = np.unique(flat, return_counts=True)
-    toxic_seen, toxic_count = np.unique(flat[y[rows] == 1], return_counts=True)
-    in_toxic = np.zeros(len(seen), dtype=np.int64)
-    in_toxic[np.searchsorted(seen, toxic_seen)] = toxic_count
-    chi = _chi_square(in_toxic, count - in_toxic, int(y.sum()), int((1 - y).sum()))
+    chi = _chi_square(in_toxic, count - in_toxic, ones, total - ones)
     # Marks of toxicity only: met by chance once in a thousand at most (10.83), and at least LIFT times as
     # often in toxic documents. Terms that only tell long texts from short ones stay out.
     lift = (in_toxic / y.sum()) >= LIFT * (count - in_toxic) / (1 - y).sum()
-    common = count >= max(3, len(y) // 2000)
-    chi[~common | (chi <= 10.83) | ~lift] = 0
+    chi[(chi <= 10.83) | ~lift] = 0
     marks = np.argsort(-chi, kind="stable")[:n_terms]
     marks = np.sort(seen[marks[chi[marks] > 0]])
 
@@ -252,7 +286,7 @@ def fit(
         return machine, 1 / (1 + np.exp(-np.clip(machine.margins(rows[ok], at[ok], len(y)), -30, 30)))
 
     chosen, (machine, p) = marks, fitted(marks, marks[:0])
-    partners = _partners(rows, flat, y, p, marks, np.setdiff1d(seen[common], marks), n_terms)
+    partners = _partners(rows, flat, y, length, p, marks, np.setdiff1d(seen, marks), n_terms)
     if len(partners):
         chosen = np.union1d(marks, partners)
         machine, _ = fitted(chosen, partners)

@@ -196,6 +196,24 @@ def test_toxicity_partners_weigh_only_beside_marks():
     assert not machine.w[machine.partner].any() and ((machine.margins(rows, slots, 4000) > 0) == (y > 0)).mean() > 0.99
 
 
+def test_toxicity_hot_id(spark):
+    """An id with thousands of rows is one sample row, and none of its rows go missing from the scores."""
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 20) + " wretchedly" * (i % 2), "en", "s", 0) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    more = frame(spark, rows + [rows[6]] * 3000)
+    a, b = toxicity.fit(frame(spark, rows), labels), toxicity.fit(more, labels)
+    assert np.array_equal(a.slots, b.slots) and a.machine.w0 == b.machine.w0
+    assert toxicity.score(more, b).count() == 3400
+
+
+def test_toxicity_empty(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    none = frame(spark, [])
+    model = toxicity.fit(none, labels)
+    assert toxicity.score(none, model).count() == 0 and toxicity.keep_clean(none, model).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a", "en", "s", 1)])
     none = spark.createDataFrame([], "doc_id long, toxic int")

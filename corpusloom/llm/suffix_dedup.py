@@ -5,17 +5,21 @@ with a smaller id. The suffixes that can matter are first brought together, then
 
 * *Dealing.* Every window of ``length`` bytes contains ``length - GRAM + 1`` grams; the one with
   the least hash (the leftmost of equals) is its anchor, so equal windows have equal anchors.
-  Neighbouring windows with one anchor form a fragment; a task packs its fragments by a hash of
+  Neighbouring windows with equal anchor grams form a fragment of ``RUN`` windows at most, so
+  periodic text is cut in few pieces; a task packs its fragments by a hash of
   the anchor gram, one compressed block for each target bucket. Of equal fragments in a task
   only the one with the smallest id travels: the windows of the others are already known to
-  repeat, so a hot passage moves once for each task.
+  repeat, so a hot passage moves once for each task. Grams that would gather more than
+  ``HOT_BYTES`` of fragments (estimated on a sample of documents, ``MOST_HOT`` grams at most) are
+  anchors only of windows that hold no other gram. The sample decides how the work is dealt, never
+  a result: any set of such grams is right, as every task uses the same.
 * *Sorting* (in each bucket, over the distinct fragments whose anchor occurs in several
   documents): difference cover modulo 3. Triples at positions 1 and 2 modulo 3 are sorted and
   named, the names are sorted by recursion until they tell ``length`` bytes apart, the suffixes
   at positions 0 modulo 3 are sorted by their first byte and the rank of the next suffix, and
   the two orders are merged. Adjacent suffixes with equal prefixes form a class; a window
   repeats for an id if its class holds a smaller id.
-* *Cutting.* The byte ranges go to the documents, dealt by id; documents stream past them.
+* *Cutting.* The byte ranges, joined where they touch, go to the documents, dealt by id; documents stream past them.
 
 Buckets and document parts are as many as the session's shuffle partitions, and more where a
 partition would get over ``PART_BYTES`` of text, so a task's memory does not grow with the input.
@@ -46,6 +50,11 @@ SLICE_BITS = 22
 SLICE = 1 << SLICE_BITS  # bytes handled at once
 LAST = (1 << 63) - 1  # the id that stands for null
 PART_BYTES = 256 << 20  # of text for each partition, on average
+RUN = 4096  # windows of a fragment
+HOT_BYTES = 64 << 20  # of fragments of one anchor
+MOST_HOT = 1 << 20
+SAMPLE_BYTES = 32 << 20  # of text in which hot grams are sought, or a SAMPLE_SHARE of all, if that is more
+SAMPLE_SHARE = 1e-5
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _ODD = 0x5851F42D4C957F2D
 
@@ -85,16 +94,38 @@ def _grams(words: np.ndarray, at: np.ndarray | slice, behind: np.ndarray | slice
     return _mix(words[at], words[behind])
 
 
-def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents ``data[begin:end]``: document, first window, number of windows, anchor and its hash of each fragment."""
+class HotGrams:
+    """A sorted set of gram hashes."""
+
+    BITS = 22
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.sort(grams)
+        self.near = np.zeros(1 << self.BITS, dtype=bool)
+        self.near[(self.grams & np.uint64(len(self.near) - 1)).astype(np.int64)] = True
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Where ``grams`` are of the set."""
+        at = np.flatnonzero(self.near[(grams & np.uint64(len(self.near) - 1)).astype(np.int64)])
+        own = np.minimum(np.searchsorted(self.grams, grams[at]), max(0, len(self.grams) - 1))
+        return at[self.grams[own] == grams[at]] if len(self.grams) else at[:0]
+
+
+def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, hot: HotGrams | None = None) -> tuple[np.ndarray, ...]:
+    """Of documents ``data[begin:end]``: document, first window, number of windows, the first window's anchor, its hash, and
+    whether windows have anchors at different places, of each fragment."""
     none = np.empty(0, dtype=np.int64)
     count = np.maximum(ends - begins - length + 1, 0)
     if not count.sum():
-        return none, none, none, none, none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.astype(bool)
     words = _words(data)
     grams = _grams(words, slice(0, -4), slice(4, None))
     low = np.uint64(SLICE * 2 - 1)
-    key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    key = grams >> np.uint64(1)
+    if hot is not None:
+        key[hot.places(grams)] |= np.uint64(1 << 63)
+    key &= ~low
+    key |= np.arange(len(grams), dtype=np.uint64)
     size = 1
     window = length - GRAM + 1
     while size * 2 <= window:
@@ -108,26 +139,35 @@ def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
     valid[begins[some]] = 1
     np.add.at(valid, begins[some] + count[some], -1)
     valid = np.cumsum(valid[:-1], dtype=np.int8).view(bool)
-    first = valid.copy()
-    first[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
+    moved = np.flatnonzero((anchor[1:] != anchor[:-1]) & valid[1:] & valid[:-1]) + 1
+    other = grams[anchor[moved]] != grams[anchor[moved - 1]]
+    first = np.zeros(len(valid), dtype=bool)
+    first[moved[other]] = True
     # Windows of two documents never touch, so a run also ends where validity ends.
     first[begins[some]] = True
     at = np.flatnonzero(first)
     doc = np.searchsorted(begins, at, side="right") - 1
-    stop = np.minimum(np.r_[at[1:], len(data)], begins[doc] + count[doc])
-    return doc, at, stop - at, anchor[at].astype(np.int64), grams[anchor[at]]
-
-
-def slice_fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int) -> list[np.ndarray]:
+    windows = np.minimum(np.r_[at[1:], len(data)], begins[doc] + count[doc]) - at
+    tied = np.zeros(len(at), dtype=bool)
+    tied[np.searchsorted(at, moved[~other], side="right") - 1] = True
+    pieces = -(-windows // RUN)
+    if len(at) and pieces.max() > 1:
+        of = np.repeat(np.arange(len(at)), pieces)
+        step = ranges(np.zeros(len(at), np.int64), pieces) * RUN
+        doc, tied, at, windows = doc[of], tied[of], at[of] + step, np.minimum(windows[of] - step, RUN)
+    return doc, at, windows, anchor[at].astype(np.int64), grams[anchor[at]], tied
+
+
+def slice_fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, hot: HotGrams | None = None) -> list[np.ndarray]:
     """:func:`fragments` of many documents, some documents at a time so that its arrays stay small."""
     out, lo = [], 0
     while lo < len(begins):
         hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + CHUNK)))
         base = begins[lo]
-        doc, at, windows, spot, anchor = fragments(data[base : ends[hi - 1] + 16], begins[lo:hi] - base, ends[lo:hi] - base, length)
-        out.append((doc + lo, at + base, windows, spot + base, anchor))
+        doc, at, windows, spot, anchor, tied = fragments(data[base : ends[hi - 1] + 16], begins[lo:hi] - base, ends[lo:hi] - base, length, hot)
+        out.append((doc + lo, at + base, windows, spot + base, anchor, tied))
         lo = hi
-    return [np.concatenate([x[i] for x in out]) for i in range(5)]
+    return [np.concatenate([x[i] for x in out]) for i in range(6)]
 
 
 def range_digests(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -289,8 +329,9 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts) + b"\0" * 80, dtype=np.uint8), ends - size, ends
 
 
-#: Arrays of a block; ``who`` and ``where`` are sent as differences, ``spot`` is where the anchor lies.
-_PARTS = (("windows", "u1"), ("spot", "u1"), ("seen", "<u4"), ("who", "<u4"), ("where", "<u4"), ("id", "<i8"), ("check", "<u4"), ("bytes", "u1"))
+#: Arrays of a block; ``who`` and ``where`` are sent as differences, ``spot`` is where the anchor lies, numbers of
+#: windows from 255 on are in ``many``.
+_PARTS = (("windows", "u1"), ("many", "<u4"), ("tied", "u1"), ("spot", "u1"), ("seen", "<u4"), ("who", "<u4"), ("where", "<u4"), ("id", "<i8"), ("check", "<u4"), ("bytes", "u1"))
 
 
 def _packed(arrays: dict[str, np.ndarray], kinds) -> bytes:
@@ -316,18 +357,31 @@ def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     return (_mix(ids.view(np.uint64), np.uint64(17)) % np.uint64(parts)).astype(np.int64)
 
 
+def joined_ranges(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Ranges (id, check, begin, size) with those of a document joined that touch."""
+    id_, check, begin = found["id"], found["check"], found["begin"].astype(np.int64)
+    order = np.lexsort((begin, check, id_))
+    id_, check, begin, end = id_[order], check[order], begin[order], (begin + found["size"])[order]
+    own = np.cumsum(np.r_[True, (id_[1:] != id_[:-1]) | (check[1:] != check[:-1])]) << 33  # one document's places lie apart from another's
+    reach = np.maximum.accumulate(own + end)
+    head = np.flatnonzero(np.r_[True, (own + begin)[1:] > reach[:-1]])
+    last = np.r_[head[1:], len(order)] - 1
+    return {"id": id_[head], "check": check[head], "begin": begin[head], "size": reach[last] - own[last] - begin[head]}
+
+
 def _send_ranges(found: dict[str, np.ndarray], parts: int) -> Iterator[tuple[int, int, bytes]]:
     if len(found["id"]):
+        found = joined_ranges(found)
         part = _part_of(found["id"], parts)
         order = np.argsort(part, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             yield 1, int(part[own[0]]), _packed({k: v[own] for k, v in found.items()}, _RANGES)
 
 
-def pack_slice(ids: np.ndarray, checks: np.ndarray, offsets: np.ndarray, texts: list[bytes], length: int, buckets: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+def pack_slice(ids: np.ndarray, checks: np.ndarray, offsets: np.ndarray, texts: list[bytes], length: int, buckets: int, parts: int, hot: HotGrams | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(kind, target, block) of a slice of texts: kind 0 fragments to buckets, kind 1 known ranges to document parts."""
     data, begins, ends = _joined(texts)
-    doc, at, windows, spot, anchor = slice_fragments(data, begins, ends, length)
+    doc, at, windows, spot, anchor, tied = slice_fragments(data, begins, ends, length, hot)
     if not len(doc):
         return
     size = windows + length - 1
@@ -353,7 +407,7 @@ def pack_slice(ids: np.ndarray, checks: np.ndarray, offsets: np.ndarray, texts:
         f, occ = first[lo:hi], left[reach[lo] : reach[hi]]
         docs, who = np.unique(doc[occ], return_inverse=True)
         block = {
-            "windows": windows[f], "spot": spot[f] - at[f], "seen": seen[lo:hi],
+            "windows": np.minimum(windows[f], 255), "many": windows[f][windows[f] >= 255], "tied": tied[f], "spot": spot[f] - at[f], "seen": seen[lo:hi],
             "who": np.diff(who.astype(np.uint32), prepend=np.uint32(0)), "where": np.diff(where[occ].astype(np.uint32), prepend=np.uint32(0)),
             "id": ids[docs], "check": checks[docs], "bytes": data[ranges(at[f], size[f])],
         }
@@ -378,8 +432,9 @@ def solve_bucket(blocks: list[dict[str, np.ndarray]], length: int) -> dict[str,
     Empties ``blocks``, so that their memory is free while the fragments are sorted.
     """
     cat = lambda k: np.concatenate([b[k] for b in blocks])
-    windows, seen, spot, ids, checks, data = (cat(k) for k in ("windows", "seen", "spot", "id", "check", "bytes"))
+    windows, seen, spot, tied, ids, checks, data = (cat(k) for k in ("windows", "seen", "spot", "tied", "id", "check", "bytes"))
     windows, seen = windows.astype(np.int64), seen.astype(np.int64)
+    windows[windows == 255] = cat("many")
     shift = np.cumsum([0, *[len(b["id"]) for b in blocks[:-1]]])
     whole = lambda x: np.cumsum(x, dtype=np.uint32).astype(np.int64)
     who = np.concatenate([whole(b["who"]) + s for b, s in zip(blocks, shift)])
@@ -392,7 +447,8 @@ def solve_bucket(blocks: list[dict[str, np.ndarray]], length: int) -> dict[str,
     anchor = _grams(_words(data), spot, spot + 4)
     own = ids[who[reach]]  # all occurrences of a fragment are in documents with one id
     # Anchors that only one id has cannot tell a repeat. Nor can fragments that share an anchor
-    # but neither the SIDE bytes before it nor those behind it: a window is longer than both.
+    # but neither the SIDE bytes before it nor those behind it: a window is longer than both. (Where
+    # the anchor of one fragment is tied, its place says nothing, so all fragments of it stay.)
     left = np.flatnonzero(_shared(anchor, own))
     words = _words(data)
     keep = np.zeros(len(left), dtype=bool)
@@ -402,6 +458,7 @@ def solve_bucket(blocks: list[dict[str, np.ndarray]], length: int) -> dict[str,
             some = np.flatnonzero(extent >= SIDE)
             x = spot[left[some]] + step
             keep[some] |= _shared(_mix(_mix(words[x], words[x + 8]), anchor[left[some]]), own[left[some]])
+        keep |= np.isin(anchor[left], np.unique(anchor[tied != 0]))
     else:
         keep[:] = True
     shared = left[keep]
@@ -443,8 +500,10 @@ def solve_bucket(blocks: list[dict[str, np.ndarray]], length: int) -> dict[str,
     whole, some = high < mine, (low < mine) & (high >= mine)
     out = [(who[whole], where[whole], where[whole] + size[fragment[whole]])]
     mixed = np.flatnonzero(some)
-    for lo in range(0, len(mixed), 1 << 16):
-        m = mixed[lo : lo + (1 << 16)]
+    upto, lo = np.cumsum(windows[fragment[mixed]]), 0
+    while lo < len(mixed):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 21))))
+        m, lo = mixed[lo:hi], hi
         n = windows[fragment[m]]
         repeats = least[ranges(begin[place[fragment[m]]], n)] < np.repeat(mine[m], n)
         row = np.repeat(np.arange(len(m)), n)
@@ -481,6 +540,29 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _SENT.types[i]) for i in range(3)], schema=_SENT)
 
 
+def hot_grams(rows: DataFrame, total: int, length: int) -> np.ndarray:
+    """Hashes of the grams whose fragments would be over ``HOT_BYTES``, from a sample of the rows (id, text) by hash of the id."""
+    least = HOT_BYTES * (length - GRAM + 1) // (4 * length)  # occurrences: about two of each window's grams are anchors
+    if total <= least:
+        return np.empty(0, dtype=np.uint64)
+    one_in = max(1, int(total / max(SAMPLE_BYTES, total * SAMPLE_SHARE)))
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("grams"), "id"), F.lit(one_in)) == 0).select("text")
+    seen = max(5, least // one_in)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                for at in range(0, len(text := x.as_py()), SLICE):
+                    data = np.frombuffer(text[at : at + SLICE + GRAM - 1] + b"\0" * 16, dtype=np.uint8)
+                    words = _words(data[: len(data) - 16])
+                    gram, n = np.unique(_grams(words, slice(0, -4), slice(4, None)) if len(words) > 4 else words[:0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    counted = sample.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= seen)
+    most = counted.orderBy(F.desc("n"), "gram").limit(MOST_HOT).toPandas()["gram"]
+    return most.to_numpy(dtype=np.int64).view(np.uint64)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, spans: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 (and ``spans`` where asked for)."""
     if length < GRAM:
@@ -494,13 +576,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = (most or 0) > 1
     rows = rows.withColumn("check", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)) if repeated else F.lit(0).cast("long"))
 
+    common = hot_grams(rows, total or 0, length)
+    shared = docs.sparkSession.sparkContext.broadcast(common) if len(common) else None
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = HotGrams(shared.value) if shared else None
         held: list[tuple[int, int, int, bytes]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids, checks, offsets = (np.array([h[i] for h in held], dtype=k) for i, k in enumerate((np.int64, np.uint32, np.int64)))
-            out = list(pack_slice(ids, checks, offsets, [h[3] for h in held], length, buckets, parts))
+            out = list(pack_slice(ids, checks, offsets, [h[3] for h in held], length, buckets, parts, hot))
             if out:
                 yield _batch(out)
 

@@ -88,6 +88,50 @@ def test_suffix_dedup_partitions_grow(spark, rows, monkeypatch):
     assert more.rdd.getNumPartitions() >= 8 and sorted(map(str, more.collect())) == want
 
 
+def periodic(rng):
+    """Runs of one byte, of short periods and of nearly periodic text, in several documents."""
+    out = [(i, "a" * rng.randrange(40, 400) + prose(rng, 3) + "a" * rng.randrange(40, 300)) for i in range(12)]
+    out += [(20 + i, "abc" * rng.randrange(10, 90) + rng.choice("xyz") + "abc" * rng.randrange(10, 90)) for i in range(12)]
+    out += [(40 + i, " " * 60 + "".join(rng.choice("ab") for _ in range(70)) + "0123456789abcdefghijklmnopqrstuvwxyz!?" * rng.randrange(2, 5)) for i in range(12)]
+    return out
+
+
+def common_gram(rng):
+    """A gram of 12 bytes, in other surroundings each time, in a third of the documents; a few of them copy each other."""
+    out = [(i, prose(rng, 9) + (" <<TWELVE12>> " if i % 3 == 0 else " ") + prose(rng, 9)) for i in range(120)]
+    return out + [(200 + i, prose(rng, 3) + out[3 * i][1][20:150] + prose(rng, 3)) for i in range(30)]
+
+
+@pytest.mark.parametrize("make", [periodic, common_gram])
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup_hot(spark, make, small, monkeypatch):
+    if small:  # every common gram counts as hot, runs are cut often
+        for name, value in (("HOT_BYTES", 100), ("SAMPLE_BYTES", 1 << 30), ("RUN", 16)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+    some = make(random.Random(9))
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    if small:
+        grams = suffix_dedup.hot_grams(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")), 1 << 20, 50)
+        assert len(grams) > 0
+    want = Counter((r[0], *x) for r, x in zip(some, removed(some)))
+    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()) == want
+
+
+def test_suffix_dedup_runs_stay_small():
+    """A long run of one byte is sent as few ranges and less than its text."""
+    texts = [b"a" * 400_000, b"b" + b"a" * 400_000]
+    sent = list(suffix_dedup.pack_slice(np.array([1, 2]), np.zeros(2, np.uint32), np.zeros(2, np.int64), texts, 50, 4, 3))
+    assert sum(len(b) for *_, b in sent) < 40_000
+    known = [suffix_dedup._unpacked(b, suffix_dedup._RANGES) for kind, _, b in sent if kind]
+    assert sum(len(k["id"]) for k in known) < 20
+    blocks = [suffix_dedup._unpacked(b, suffix_dedup._PARTS) for kind, _, b in sent if not kind]
+    assert sum(len(b["bytes"]) for b in blocks) < 30_000 and sum(len(b["where"]) for b in blocks) < 500
+
+
+def test_suffix_dedup_empty(spark):
+    assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
+
+
 def test_suffix_dedup_long_slices(rows):
     some = [r[:2] for r in rows if r[0] is not None][:70]
     ids = np.array([i for i, _ in some])

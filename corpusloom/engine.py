@@ -6,6 +6,7 @@ a version and then its marker, so readers take the newest version that is whole.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,24 +19,44 @@ from corpusloom.plans import search as plan
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
 from corpusloom.sources.formats import SCANNED_MEDIA, Backend
+from corpusloom.sources.shared import hadoop
 
-TABLES = ("documents", "chunks", "postings", "lengths")
+TABLES = ("documents", "chunks", "metadata", "coverage", "sources", "actions")
 VALIDITY = "id long, effective_from date, effective_to date, amended_by array<string>, replaced_by string, status_checked_on date, status_source string"
 VECTORS = "chunk_hash string, embedding array<float>"
+AGENT = "document long, key string, value string"
+EDGES = "source long, target long, relation string"
+DOCUMENTS = (
+    "id long, source_id string, source_name string, kind string, enabled boolean, path string, relative_path string, content_hash string, size long, modified_us long, "
+    "modified_at timestamp, indexed_at timestamp, media_type string, title string, metadata map<string,string>, word_count long, doc_no string, doc_no_key string, "
+    "external_id string, source_url string, ancestors array<string>, trashed_at timestamp, text string, "
+    "spans array<struct<kind:string,locator:string,start:int,stop:int>>, reviews array<string>, stable_ref string"
+)
+COVERAGE = "source_id string, path string, status string, stage string, error string"
+SOURCES = "source_id string, source_name string, listing_complete boolean, running boolean, last_sync_at timestamp"
+#: What a build does to a file's document without reading the file.
+KEPT = ("unchanged", "stat_refresh", "kept")
 
 
 class Index:
+    """``validity``, ``vectors``, ``agent`` (facts that were added to documents) and ``edges`` (between documents) are tables kept elsewhere."""
+
     def __init__(
-        self, spark: SparkSession, folder: str, validity: DataFrame | None = None, vectors: DataFrame | None = None, settings: Settings = Settings()
+        self,
+        spark: SparkSession,
+        folder: str,
+        validity: DataFrame | None = None,
+        vectors: DataFrame | None = None,
+        agent: DataFrame | None = None,
+        edges: DataFrame | None = None,
+        settings: Settings = Settings(),
     ):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
-        self.validity = validity if validity is not None else spark.createDataFrame([], VALIDITY)
-        self.vectors = vectors if vectors is not None else spark.createDataFrame([], VECTORS)
+        given = ((validity, VALIDITY), (vectors, VECTORS), (agent, AGENT), (edges, EDGES))
+        self.validity, self.vectors, self.agent, self.edges = (x if x is not None else spark.createDataFrame([], kind) for x, kind in given)
 
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        return path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        return hadoop(self.spark, self.folder)
 
     def version(self) -> int:
         """Newest whole version; 0 before the first build."""
@@ -57,62 +78,147 @@ class Index:
         return self._table("chunks")
 
     @cached_property
-    def postings(self) -> DataFrame:
-        return self._table("postings")
+    def metadata(self) -> DataFrame:
+        return self._table("metadata")
+
+    @cached_property
+    def inverted(self) -> lexical.Inverted:
+        return lexical.Inverted.read(self.spark, f"{self.folder}/v={self.version()}/inverted")
 
     @cached_property
-    def lengths(self) -> DataFrame:
-        return self._table("lengths")
+    def inverted_metadata(self) -> lexical.Inverted:
+        return lexical.Inverted.read(self.spark, f"{self.folder}/v={self.version()}/inverted-metadata")
 
     def _write(self, version: int, name: str, df: DataFrame) -> DataFrame:
         """Write a table of a version and read it back: what is built on it does not build it again."""
         path = f"{self.folder}/v={version}/{name}"
         df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _extractions(self, upto: int) -> DataFrame:
+        """What was extracted by any build, by content."""
+        found = [f"{self.folder}/v={v}/extractions" for v in range(1, upto + 1)]
+        return self.spark.read.schema(D.EXTRACTED).parquet(*found) if found else self.spark.createDataFrame([], D.EXTRACTED)
 
     def build(self, root: str, source_id: str, source_name: str, backend: Backend | None = None) -> None:
-        """Index (or index again) every file below a root as one source; other sources stay as they are."""
+        """Index (or index again) every file below a root as one source; other sources stay as they are.
+
+        Only files whose size or time changed are read; a file that moved keeps its document's id, and one
+        that cannot be extracted any more keeps its last good document, marked stale in the coverage. Chunks
+        and postings of documents that did not change are carried over. ``actions`` says what became of
+        each file.
+        """
         n = self.version() + 1
-        fresh = n == 1
         fs, path = self._fs()
         fs.delete(path(f"{self.folder}/v={n}"), True)  # what a broken build left
+        before = self.documents if n > 1 else self.spark.createDataFrame([], DOCUMENTS)
+        own = before.filter(F.col("source_id") == source_id)
         base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
         relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E")), "")
-        files = D.scan(self.spark, root).filter(filters.accepted(relative, self.settings.extensions, self.settings.excluded))
-        before = None if fresh else self._table("extractions")
-        new = self._write(n, "new-extractions", D.extract(files, before, backend))
-        cached = self._write(n, "extractions", new if fresh else before.unionByName(new))
-        found = self._write(n, "found", D.documents(D.reuse(files, cached))).filter("error is null")
-        found = found.withColumn("relative_path", relative)
-        number = structure.own_number(T.snippet(F.col("text"), 3000))
-        named = found.select(
-            F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit("local").alias("kind"), F.lit(True).alias("enabled"),
-            "path", "relative_path", "content_hash", "size", "modified_us", F.timestamp_micros("modified_us").alias("modified_at"), "media_type", "title", "metadata",
-            "word_count", number.alias("doc_no"), T.make_key(number).alias("doc_no_key"), F.lit(None).cast("string").alias("external_id"),
-            F.array().cast("array<string>").alias("ancestors"), F.lit(None).cast("timestamp").alias("trashed_at"), "text", "spans", "reviews",
-        )
-        old = None if fresh else self.documents.filter(F.col("source_id") != source_id)
-        kept = None if fresh else self.documents.select("id", "source_id", "relative_path")
-        high = self.spark.createDataFrame([], "id long") if fresh else kept.select("id")
-        known = named if fresh else named.join(kept, ["source_id", "relative_path"], "left")
-        new = named if fresh else known.filter("id is null").drop("id")
-        numbered = maintain.assign_ids(high, new, "relative_path")
-        own = numbered if fresh else known.filter("id is not null").unionByName(numbered)
-        docs = own.withColumn("stable_ref", F.concat_ws(":", F.lit("local"), "source_id", F.col("id").cast("string")))
-        docs = docs if fresh else old.unionByName(docs)
-        docs = self._write(n, "documents", docs)
-        chunks = self._write(n, "chunks", self._chunks(docs))
-        titles = docs.select(F.col("id").alias("document"), "title")
-        tokens = lexical.token_rows(chunks.join(titles, "document"), "row_id", "text", "title")
-        # In term order, so that a query's filter on terms skips all other row groups.
-        self._write(n, "postings", lexical.postings(tokens).repartitionByRange("term").sortWithinPartitions("term", "row_id"))
-        self._write(n, "lengths", lexical.lengths(tokens))
+        listed = D.listing(self.spark, root).filter(filters.accepted(relative, self.settings.extensions, self.settings.excluded))
+        listed = self._write(n, "listed", listed.withColumn("relative_path", relative))
+        actions, hashed = self._classified(n, root, own, listed)
+        new = D.extract(D.contents(self.spark, root, hashed.join(self._extractions(n - 1).select("content_hash", D.suffix(F.col("path")).alias("suffix")).distinct(), ["content_hash", "suffix"], "left_anti")), backend, self.settings.limits)
+        self._write(n, "extractions", new)
+        again = actions.filter(~F.col("action").isin(*KEPT, "deleted", "moved_away"))
+        changed = hashed.join(again.select("path", "old_path"), "path")
+        found = self._write(n, "found", D.documents(D.reuse(changed, self._extractions(n))).join(changed.select("path", "relative_path", "old_path"), "path"))
+        good, bad = found.filter("error is null"), found.filter("error is not null").select("relative_path", "old_path", "error")
+        ids = own.select("id", F.col("relative_path").alias("was"))
+        docs = self._documents(before, good, ids, source_id, source_name)
+        # Documents that stay: of other sources, of files that did not change, and the last good ones of files that failed.
+        touched = listed.select("relative_path", F.col("path").alias("new_path"), F.col("size").alias("new_size"), F.col("modified_us").alias("new_us"))
+        failed = bad.select(F.coalesce("old_path", "relative_path").alias("relative_path"))
+        same = actions.filter(F.col("action").isin(*KEPT)).select("relative_path")
+        stay = own.join(same, "relative_path", "left_semi").join(touched, "relative_path", "left")
+        stay = stay.withColumns({"path": F.coalesce("new_path", "path"), "size": F.coalesce("new_size", "size"), "modified_us": F.coalesce("new_us", "modified_us")})
+        stay = stay.withColumn("modified_at", F.timestamp_micros("modified_us")).drop("new_path", "new_size", "new_us")
+        stale = own.join(failed, "relative_path", "left_semi")
+        kept = before.filter(F.col("source_id") != source_id).unionByName(stay).unionByName(stale)
+        fresh = self._write(n, "fresh", docs)
+        docs = self._write(n, "documents", kept.unionByName(fresh))
+        self._index(n, kept.select(F.col("id").alias("document")), fresh, docs)
+        status = F.when(F.col("was").isNotNull(), "stale").otherwise("unindexed").alias("status")
+        gaps = bad.join(ids, F.coalesce(bad.old_path, bad.relative_path) == ids.was, "left").select(
+            F.lit(source_id).alias("source_id"), F.col("relative_path").alias("path"), status, F.lit("extract").alias("stage"), "error"
+        )
+        sources = self.spark.range(1).select(
+            F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit(True).alias("listing_complete"), F.lit(False).alias("running"), F.current_timestamp().alias("last_sync_at")
+        )
+        for name, rows in (("coverage", gaps), ("sources", sources)):
+            others = self._table(name).filter(F.col("source_id") != source_id) if n > 1 else rows.limit(0)
+            self._write(n, name, others.unionByName(rows))
         fs.create(path(f"{self.folder}/v={n}/_WHOLE")).close()
-        for name in ("new-extractions", "found"):
+        for name in ("listed", "hashed", "found", "fresh"):
             fs.delete(path(f"{self.folder}/v={n}/{name}"), True)
-        for name in TABLES:
+        for name in (*TABLES, "inverted", "inverted_metadata"):
             self.__dict__.pop(name, None)
 
+    def _classified(self, n: int, root: str, own: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What to do with every file (relative_path, action, path, old_path), and the hashes of files that are new or touched."""
+        known = own.select("relative_path", "size", "modified_us", "content_hash")
+        touched = listed.join(known, ["relative_path", "size", "modified_us"], "left_anti")
+        hashed = self._write(n, "hashed", D.hashed(D.contents(self.spark, root, touched)).drop("content"))
+        with_hash = listed.join(known, ["relative_path", "size", "modified_us"], "left").join(hashed.select("path", F.col("content_hash").alias("fresh")), "path", "left")
+        shape = lambda d, h: d.select(F.col("relative_path").alias("path"), "size", F.col("modified_us").alias("modified"), h.alias("hash"))
+        a, b = shape(known, F.col("content_hash")), shape(with_hash, F.coalesce("fresh", "content_hash"))
+        decided = maintain.classify(a, b, self._extractions(n - 1).select(F.col("content_hash").alias("hash")))
+        moved = maintain.moves(a, b)
+        actions = decided.join(moved, "path", "left").withColumnRenamed("path", "relative_path").join(listed.select("relative_path", "path"), "relative_path", "left")
+        return self._write(n, "actions", actions), hashed
+
+    def _documents(self, before: DataFrame, good: DataFrame, ids: DataFrame, source_id: str, source_name: str) -> DataFrame:
+        """Documents of extracted files; the id is that of the path, or of the path the file left, or a new one."""
+        number = structure.own_number(T.snippet(F.col("text"), 3000))
+        absent = lambda kind: F.lit(None).cast(kind)
+        named = good.withColumns(
+            {
+                "source_id": F.lit(source_id), "source_name": F.lit(source_name), "kind": F.lit("local"), "enabled": F.lit(True), "modified_at": F.timestamp_micros("modified_us"),
+                "indexed_at": F.current_timestamp(), "doc_no": number, "doc_no_key": T.make_key(number), "external_id": absent("string"), "source_url": absent("string"),
+                "ancestors": F.array().cast("array<string>"), "trashed_at": absent("timestamp"),
+            }
+        )
+        known = named.join(ids, F.coalesce("old_path", "relative_path") == ids.was, "left")
+        numbered = maintain.assign_ids(before.select("id"), known.filter("id is null").drop("id"), "relative_path")
+        columns = [c.split()[0] for c in re.split(r", (?![^<]*>)", DOCUMENTS)]
+        both = known.filter("id is not null").unionByName(numbered)
+        return both.withColumn("stable_ref", F.concat_ws(":", F.lit("local"), "source_id", F.col("id").cast("string"))).select(*columns)
+
+    def _index(self, n: int, kept: DataFrame, fresh: DataFrame, docs: DataFrame) -> None:
+        """Chunks, metadata entries and their inverted indexes: those of kept documents carried over, those of fresh ones made."""
+        made = self._write(n, "fresh-chunks", self._chunks(fresh))
+        old = self.chunks.join(kept, "document", "left_semi") if n > 1 else made.limit(0)
+        chunks = self._write(n, "chunks", old.unionByName(made))
+        entries = reads.metadata_entries(docs.select("id", "title", "relative_path", F.to_json("metadata").alias("metadata")), self.agent, self.edges).filter("content <> ''")
+        entries = entries.withColumn("row_id", F.concat_ws("/", F.lit("m"), "document", F.sha2(F.concat_ws("\0", "kind", "content"), 256))).dropDuplicates(["row_id"])
+        self._write(n, "metadata", entries)
+        titles = fresh.select(F.col("id").alias("document"), "title")
+        tokens = lexical.token_rows(made.join(titles, "document"), "row_id", "text", "title")
+        posted, sized = lexical.postings(tokens), lexical.lengths(tokens)
+        of = F.substring_index("row_id", "/", 1).cast("long").alias("document")
+        if n > 1:
+            ids = kept.select(F.col("document").alias("__kept"))
+            carried = lambda d: d.join(ids, of == ids["__kept"], "left_semi")
+            posted, sized = carried(self.inverted.postings).unionByName(posted), carried(self._table("lengths")).unionByName(sized)
+        lexical.Inverted.write(f"{self.folder}/v={n}/inverted", posted, self._write(n, "lengths", sized))
+        about = lexical.token_rows(self.spark.read.parquet(f"{self.folder}/v={n}/metadata"), "row_id", "content")
+        lexical.Inverted.write(f"{self.folder}/v={n}/inverted-metadata", lexical.postings(about), lexical.lengths(about))
+        fs, path = self._fs()
+        fs.delete(path(f"{self.folder}/v={n}/fresh-chunks"), True)
+
+    def actions(self) -> DataFrame:
+        """What the last build did: files by action."""
+        return self._table("actions").groupBy("action").agg(F.count(F.lit(1)).alias("files"))
+
+    def coverage(self) -> DataFrame:
+        """source, status, failed, pending of every source; failed files by name are in :meth:`failures`."""
+        sources = self._table("sources").withColumnRenamed("source_id", "source")
+        return governance.coverage(sources, self.failures().withColumnRenamed("source_id", "source"))
+
+    def failures(self) -> DataFrame:
+        """Files without a current document: source_id, path, status (stale: the last good one is kept), stage, error."""
+        return self._table("coverage")
+
     def _chunks(self, docs: DataFrame) -> DataFrame:
         """Structured sections where a text has them, windows elsewhere; cite keys are unique in a document."""
         head = T.snippet(F.col("text"), 3000)
@@ -125,13 +231,13 @@ class Index:
         within = F.filter("path", lambda x: ~F.rlike(x, F.lit("^(khoản|điểm) |^Mở đầu$")))
         parts = laws.unionByName(marked).join(rows.select("document", "doc_no", "name"), "document")
         context = T.context_line(F.col("doc_no"), F.col("name"), F.array_join(within, " | "))
-        parts = parts.select("document", "part", "start", "stop", T.stored_text(context, F.col("body")).alias("text"))
+        parts = parts.select("document", "part", F.col("path").alias("section_path"), "start", "stop", T.stored_text(context, F.col("body")).alias("text"))
         parts = reads.nth(parts, ["document"], [F.col("start"), F.col("part")]).withColumn("ordinal", F.col("n") - 1).drop("n")
         hashed = parts.withColumn("chunk_hash", F.sha2("text", 256)).withColumn("body_hash", F.col("chunk_hash"))
         rest = rows.join(parts.select("document").distinct(), "document", "left_anti")
         windows = D.window_chunks(
             rest, "document", context=T.context_line(F.col("title"), F.col("relative_path")), size=self.settings.chunk_chars, overlap=self.settings.chunk_overlap
-        ).withColumn("part", F.concat(F.lit("c"), "ordinal"))
+        ).withColumns({"part": F.concat(F.lit("c"), "ordinal"), "section_path": F.lit(None).cast("array<string>")})
         both = hashed.unionByName(windows.select(hashed.columns))
         prefix = rows.select("document", F.coalesce("doc_no", "stable_ref").alias("prefix"))
         keyed = structure.cite_keys(both.join(prefix, "document"), "document", "prefix", "part", "ordinal").drop("prefix")
@@ -145,6 +251,10 @@ class Index:
             queries = self.spark.createDataFrame([(1, queries)], "query_id int, text string")
         return plan.search(self, queries, options, **more)
 
+    def locations(self, hits: DataFrame, options: plan.Options = plan.Options()) -> DataFrame:
+        """Every place of the bodies of some hits, as rows."""
+        return plan.all_locations(self, hits, options)
+
     def read(self, reference: str, **bounds) -> DataFrame:
         return reads.read(reads.resolve(self.documents, reference), ["id", "stable_ref", "title"], spans_col="spans", **bounds)
 

@@ -17,18 +17,22 @@ def rrf(*ranks: Column) -> Column:
 def combine(lexical: DataFrame, semantic: DataFrame, mode: str = "hybrid", digits: int = 6) -> DataFrame:
     """query_id, row_id, lexical_rank, semantic_rank, matched_via, score, rank.
 
-    ``lexical``: query_id, row_id, rank; ``semantic``: query_id, row_id, rank, score. Equal scores
-    keep lexical order, then semantic order.
+    ``lexical``: query_id, row_id, rank and, where hits are not all of content, matched_via;
+    ``semantic``: query_id, row_id, rank, score. Equal scores keep lexical order, then semantic
+    order. A hybrid query without any semantic row is scored as a full-text one.
     """
     if mode not in ("hybrid", "full_text", "semantic"):
         raise ValueError(f"unknown mode: {mode}")
-    a = lexical.select("query_id", "row_id", F.col("rank").alias("lexical_rank"))
+    named = F.col("matched_via") if "matched_via" in lexical.columns else F.lit("content")
+    a = lexical.select("query_id", "row_id", F.col("rank").alias("lexical_rank"), named.alias("listed"))
     b = semantic.select("query_id", "row_id", F.col("rank").alias("semantic_rank"), F.col("score").alias("cosine_score"))
     both = a.join(b, ["query_id", "row_id"], "full_outer")
-    via = F.when(F.col("semantic_rank").isNull(), "content").when(F.col("lexical_rank").isNull(), "semantic").otherwise("content+semantic")
+    via = F.when(F.col("semantic_rank").isNull() | (F.col("listed") != "content"), F.col("listed")).when(F.col("lexical_rank").isNull(), "semantic").otherwise("content+semantic")
+    alone = F.coalesce(1 / F.col("lexical_rank"), F.lit(0.0))
+    meant = F.max(F.col("semantic_rank").isNotNull()).over(Window.partitionBy("query_id"))
     raw = {
-        "hybrid": rrf(F.col("lexical_rank"), F.col("semantic_rank")),
-        "full_text": F.coalesce(1 / F.col("lexical_rank"), F.lit(0.0)),
+        "hybrid": F.when(meant, rrf(F.col("lexical_rank"), F.col("semantic_rank"))).otherwise(alone),
+        "full_text": alone,
         "semantic": F.coalesce("cosine_score", F.lit(0.0)),
     }[mode]
     scored = both.select("query_id", "row_id", "lexical_rank", "semantic_rank", via.alias("matched_via"), F.round(raw, digits).alias("score"))
@@ -61,35 +65,34 @@ def respread(ranked: DataFrame, rerank_score: Column, top_n: int = 30, digits: i
     return x.withColumn("new_score", F.when(head & (F.col("n") > 1), spread).otherwise(F.col("score"))).withColumn("reranked", head & (F.col("n") > 1)).drop("top", "floor", "n")
 
 
-def prioritise(results: DataFrame, wanted: DataFrame, number_query: bool, inject: int = 3) -> DataFrame:
-    """Chunks of a wanted document first.
+def prioritise(results: DataFrame, wanted: DataFrame, inject: int = 3) -> DataFrame:
+    """Chunks of a wanted document first: place in each query, with the other columns of ``results``.
 
-    ``results``: row_id, document, rank. ``wanted``: row_id, document, ordinal of the documents
-    with the number asked for. A query that is a number puts all of them first; a ``doc_no``
-    argument moves their hits up, or brings in the first ``inject`` if there are none.
+    ``results``: query_id, row_id, document, rank, score, matched_via. ``wanted``: query_id, row_id,
+    document, ordinal and number_query, of the documents with the number asked for. A query that is a
+    number puts all of them first (with score 1); a number given beside it moves their hits up, or
+    brings in the first ``inject`` if there are none.
     """
-    of = wanted.select("document").distinct().withColumn("is_wanted", F.lit(True))
-    marked = results.join(of, "document", "left").withColumn("is_wanted", F.coalesce("is_wanted", F.lit(False)))
-    own = marked.select("row_id", "document", F.when(F.col("is_wanted"), 1).otherwise(2).alias("priority"), F.col("rank").alias("within"), F.lit("hit").alias("via"))
-    first = wanted.withColumn("within", F.row_number().over(Window.orderBy("document", "ordinal")))
-    if not number_query:
-        hits = marked.filter("is_wanted").agg(F.count(F.lit(1)).alias("hits"))
-        first = first.crossJoin(F.broadcast(hits)).filter((F.col("hits") == 0) & (F.col("within") <= inject))
-    added = first.select("row_id", "document", F.lit(0).alias("priority"), "within", F.lit("doc_no").alias("via"))
-    return added.unionByName(own).withColumn("place", F.row_number().over(Window.orderBy("priority", "within")))
+    of = wanted.select("query_id", "document").distinct().withColumn("is_wanted", F.lit(True))
+    marked = results.join(of, ["query_id", "document"], "left").withColumn("is_wanted", F.coalesce("is_wanted", F.lit(False)))
+    own = marked.withColumns({"priority": F.when(F.col("is_wanted"), 1).otherwise(2), "within": F.col("rank")}).drop("is_wanted")
+    met = marked.filter("is_wanted").select("query_id").distinct().withColumn("met", F.lit(True))
+    first = wanted.withColumn("within", F.row_number().over(Window.partitionBy("query_id").orderBy("document", "ordinal")))
+    first = first.join(met, "query_id", "left").filter(F.col("number_query") | (F.col("met").isNull() & (F.col("within") <= inject)))
+    added = first.select("query_id", "row_id", "document", F.lit(1.0).alias("score"), F.lit("doc_no").alias("matched_via"), F.lit(0).alias("priority"), "within")
+    both = own.unionByName(added, allowMissingColumns=True)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("priority", "within"))).drop("priority", "within")
 
 
 def diversify(ranked: DataFrame, per_document: int, limit: int) -> DataFrame:
     """Greedy choice in rank order: a body once, a document at most ``per_document`` times, ``limit`` in all.
 
-    ``ranked``: query_id, rank, row_id, document, body_hash; a query's candidates are a page of
-    results (a few hundred at most), folded in order.
+    ``ranked``: query_id, rank, row_id, document, body_hash and columns that are carried along; a query's
+    candidates are a page of results (a few hundred at most), folded in order.
     """
-    entry = F.struct("rank", "row_id", "document", "body_hash")
-    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
-    kind = ranked.select("rank", "row_id", "document", "body_hash").schema
-    empty = F.lit(None).cast(f"array<{kind.simpleString()}>")
-    start = F.coalesce(empty, F.array().cast(f"array<{kind.simpleString()}>"))
+    fields = ["rank", *[c for c in ranked.columns if c not in ("query_id", "rank")]]
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("hits"))
+    start = F.slice("hits", 1, 0)
 
     def step(chosen: Column, x: Column) -> Column:
         fresh = ~F.coalesce(F.exists(chosen, lambda c: c["body_hash"] == x["body_hash"]), F.lit(False)) | (F.coalesce(x["body_hash"], F.lit("")) == "")
@@ -100,10 +103,25 @@ def diversify(ranked: DataFrame, per_document: int, limit: int) -> DataFrame:
     return chosen.select("query_id", F.posexplode("hits").alias("place", "hit")).select("query_id", (F.col("place") + 1).alias("place"), "hit.*")
 
 
-def locations(selected: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every in-scope chunk with the body of a selected one, in document order.
+def location_rows(selected: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every chunk with the body of a selected one: the selection's key columns and the chunk's.
 
-    ``selected``: row_id, body_hash; ``chunks``: document, ordinal, body_hash.
+    ``selected``: body_hash and key columns; ``chunks``: body_hash, document, ordinal and others.
     """
-    found = selected.filter("body_hash <> ''").join(chunks, "body_hash")
-    return found.groupBy("row_id", "body_hash").agg(F.array_sort(F.collect_list(F.struct("document", "ordinal"))).alias("locations"))
+    return selected.filter("body_hash <> ''").join(chunks, "body_hash")
+
+
+def locations(selected: DataFrame, chunks: DataFrame, first: int | None = None) -> DataFrame:
+    """row_id, body_hash, n_locations, locations: the chunks with a selected body in document order.
+
+    ``selected``: row_id, body_hash (one row each); ``chunks``: document, ordinal, body_hash and others. With
+    ``first``, a body that very many chunks have lists only that many of them (:func:`location_rows` has all).
+    """
+    found = location_rows(selected, chunks)
+    place = [c for c in chunks.columns if c not in ("body_hash", "document", "ordinal")]
+    listed = found
+    if first is not None:
+        listed = found.withColumn("__n", F.row_number().over(Window.partitionBy("row_id", "body_hash").orderBy("document", "ordinal"))).filter(F.col("__n") <= first)
+    arrays = listed.groupBy("row_id", "body_hash").agg(F.array_sort(F.collect_list(F.struct("document", "ordinal", *place))).alias("locations"))
+    counts = found.groupBy("row_id", "body_hash").agg(F.count(F.lit(1)).alias("n_locations"))
+    return counts.join(arrays, ["row_id", "body_hash"])

@@ -127,6 +127,28 @@ def gold_match(cite_key: Column, gold: Column) -> Column:
     return (cite_key == gold) | F.startswith(cite_key, F.concat(gold, F.lit("-khoan-")))
 
 
+#: Words beside each other by which passages and texts are brought together.
+GRAM = 5
+
+
+def holders(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """item_id, doc_id of every text (doc_id, whole) that holds a passage (item_id, text) as it is.
+
+    A passage's words but the first and last, which may be parts of words in the text, are words of the text too. So
+    the two meet by a hash of ``GRAM`` of them (an equi-join), and ``contains`` decides. Passages of fewer than
+    ``GRAM + 2`` words are an error.
+    """
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    cut = passages.select("item_id", "text", words(F.col("text")).alias("w"))
+    gram = F.when(F.size("w") >= GRAM + 2, F.xxhash64(F.slice("w", 2, GRAM))).otherwise(F.raise_error(F.lit(f"a passage of fewer than {GRAM + 2} words")).cast("long"))
+    keyed = cut.select("item_id", gram.alias("gram"))
+    each = F.transform(F.sequence(F.lit(1), F.size("w") - GRAM + 1), lambda i: F.xxhash64(F.slice("w", i, GRAM)))
+    grams = texts.select("doc_id", words(F.col("whole")).alias("w")).filter(F.size("w") >= GRAM).select("doc_id", F.explode(F.array_distinct(each)).alias("gram"))
+    pairs = grams.join(keyed.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
+    met = texts.join(pairs, "doc_id").join(passages.select("item_id", "text"), "item_id")
+    return met.filter(F.contains("whole", "text")).select("item_id", "doc_id")
+
+
 def judge(questions: DataFrame, results: DataFrame, known: DataFrame) -> DataFrame:
     """For each question: rank of the first gold hit, nDCG@10, failure group (null if found in the first ten).
 

@@ -8,8 +8,9 @@ before any filter, so rows that a filter hides still count.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -25,7 +26,7 @@ def token_rows(rows: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
 
 
 def postings(tokens: DataFrame) -> DataFrame:
-    """term, row_id, tf, positions: the inverted index.
+    """term, row_id, tf, positions, dl (terms of the row): the inverted index.
 
     Positions run on from column to column with a gap, so that no phrase spans two columns.
     """
@@ -33,8 +34,8 @@ def postings(tokens: DataFrame) -> DataFrame:
         F.transform("parts", F.size), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + n + 1))
     )
     numbered = F.zip_with("parts", F.slice(shift, 1, F.size("parts")), lambda part, at: F.transform(part, lambda t, i: F.struct(t.alias("term"), (at + i).alias("position"))))
-    places = tokens.select("row_id", F.explode(F.flatten(numbered)).alias("p")).select("row_id", "p.*")
-    return places.groupBy("term", "row_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    places = tokens.select("row_id", F.size("terms").alias("dl"), F.explode(F.flatten(numbered)).alias("p")).select("row_id", "dl", "p.*")
+    return places.groupBy("term", "row_id", "dl").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def lengths(tokens: DataFrame) -> DataFrame:
@@ -83,25 +84,47 @@ def bm25(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     found = F.filter("terms", lambda t: t.isin(*named)) if 0 < len(named) <= LITERALS else F.col("terms")
     hits = sized.select("row_id", "dl", F.explode(found).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     hits = hits.groupBy("row_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return _sum(hits, wanted, sized)
+    return _sum(hits, wanted, statistics(sized))
 
 
-def bm25_postings(index: DataFrame, sized: DataFrame, queries: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Inverted:
+    """An inverted index as tables: postings in term order, and one row of statistics (n, mean) of all rows."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+    @classmethod
+    def write(cls, folder: str, posted: DataFrame, sized: DataFrame) -> Inverted:
+        """Written in term order, so that a query's filter on terms skips all other row groups."""
+        posted.repartitionByRange("term").sortWithinPartitions("term", "row_id").write.parquet(f"{folder}/postings")
+        statistics(sized).write.parquet(f"{folder}/stats")
+        return cls.read(posted.sparkSession, folder)
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str) -> Inverted:
+        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"))
+
+
+def statistics(sized: DataFrame) -> DataFrame:
+    """One row: number of rows and their mean length."""
+    return sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"))
+
+
+def bm25_postings(index: Inverted, queries: DataFrame) -> DataFrame:
     """As :func:`bm25` from the inverted index, of which only the wanted terms' part is read."""
     wanted = terms_of(queries)
-    hits = _listed(index, [r["term"] for r in wanted.select("term").distinct().limit(LITERALS + 1).collect()])
-    hits = hits.join(wanted.select("term").distinct(), "term", "left_semi").join(sized, "row_id").select("row_id", "dl", "term", "tf")
-    return _sum(hits, wanted, sized)
+    hits = _listed(index.postings, wanted).join(wanted.select("term").distinct(), "term", "left_semi").select("row_id", "dl", "term", "tf")
+    return _sum(hits, wanted, index.stats)
 
 
-def _listed(index: DataFrame, terms: list[str]) -> DataFrame:
+def _listed(posted: DataFrame, wanted: DataFrame) -> DataFrame:
     """The postings of some terms; a literal filter reaches the scan of an index sorted by term."""
-    return index.filter(F.col("term").isin(*terms)) if 0 < len(terms) <= LITERALS else index
+    terms = [r["term"] for r in wanted.select("term").distinct().limit(LITERALS + 1).collect()]
+    return posted.filter(F.col("term").isin(*terms)) if len(terms) <= LITERALS else posted
 
 
-def _sum(hits: DataFrame, wanted: DataFrame, sized: DataFrame) -> DataFrame:
-    # One row: the whole index.
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+def _sum(hits: DataFrame, wanted: DataFrame, stats: DataFrame) -> DataFrame:
     holding = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(wanted, "term").join(holding, "term").crossJoin(F.broadcast(stats))
     part = F.col("weight") * idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("mean"))
@@ -110,33 +133,31 @@ def _sum(hits: DataFrame, wanted: DataFrame, sized: DataFrame) -> DataFrame:
     )
 
 
-def _phrase_cost(counted: DataFrame) -> DataFrame:
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), F.count_if(F.col("tf") > 0).alias("df"))
-    hits = counted.filter("tf > 0").crossJoin(F.broadcast(stats))
-    return hits.select("row_id", (-idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("mean"))).alias("cost"))
+def _phrase_cost(counted: DataFrame, stats: DataFrame) -> DataFrame:
+    """query_id, row_id, cost from query_id, row_id, dl and tf (over 0) of the rows that hold a phrase."""
+    holding = counted.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
+    hits = counted.join(holding, "query_id").crossJoin(F.broadcast(stats))
+    return hits.select("query_id", "row_id", (-idf(F.col("n"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("mean"))).alias("cost"))
 
 
 def phrase(tokens: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """row_id, cost of the phrase, which counts as one term and never spans two columns, by a scan of all rows."""
+    """query_id (1), row_id, cost of the phrase, which counts as one term and never spans two columns, by a scan of all rows."""
     # Terms are letters and digits, so spaces part them; the look-ahead finds overlapping places too.
     pattern = F.lit("(?= " + " ".join(terms) + " )")
     count = lambda part: F.regexp_count(F.concat(F.lit(" "), F.array_join(part, " "), F.lit(" ")), pattern)
     tf = F.aggregate(F.transform("parts", count), F.lit(0), lambda a, x: a + x)
-    return _phrase_cost(tokens.select("row_id", F.size("terms").alias("dl"), tf.alias("tf")))
+    sized = tokens.select(F.lit(1).alias("query_id"), "row_id", F.size("terms").alias("dl"), tf.alias("tf"))
+    return _phrase_cost(sized.filter("tf > 0"), statistics(sized))
 
 
-def phrase_postings(index: DataFrame, sized: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """As :func:`phrase` from the inverted index: places where all terms agree on the phrase's start."""
-    starts = [
-        _listed(index, [t]).filter(F.col("term") == t).select("row_id", F.explode("positions").alias("position")).select("row_id", (F.col("position") - i).alias("start"))
-        for i, t in enumerate(terms)
-    ]
-    every = starts[0]
-    for s in starts[1:]:
-        every = every.unionByName(s)
-    whole = every.groupBy("row_id", "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(terms))
-    counts = whole.groupBy("row_id").agg(F.count(F.lit(1)).alias("tf"))
-    return _phrase_cost(sized.join(counts, "row_id", "left").withColumn("tf", F.coalesce("tf", F.lit(0))))
+def phrase_postings(index: Inverted, queries: DataFrame) -> DataFrame:
+    """query_id, row_id, cost of every query as a phrase, from the inverted index: places where all terms agree on the phrase's start."""
+    asked = queries.select("query_id", T.tokens(F.col("text")).alias("terms"))
+    wanted = asked.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
+    hits = _listed(index.postings, wanted).join(wanted, "term")
+    starts = hits.select("query_id", "row_id", "dl", "n_terms", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("start"))
+    whole = starts.groupBy("query_id", "row_id", "dl", "n_terms", "start").agg(F.count(F.lit(1)).alias("n")).filter("n = n_terms")
+    return _phrase_cost(whole.groupBy("query_id", "row_id", "dl").agg(F.count(F.lit(1)).alias("tf")), index.stats)
 
 
 def top(scored: DataFrame, limit: int, score_digits: int = 6, by: str = "query_id") -> DataFrame:
@@ -149,9 +170,9 @@ def top(scored: DataFrame, limit: int, score_digits: int = 6, by: str = "query_i
 def merge_auto(complete: DataFrame, partial: DataFrame) -> DataFrame:
     """Rows with all terms first, then the others, ranked anew; effective match is ``any`` without a complete row.
 
-    Both sides: query_id, row_id, rank.
+    Both sides: query_id, row_id, rank and other columns alike.
     """
-    rest = partial.join(complete.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti")
+    rest = partial.join(complete.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti").select(*complete.columns)
     both = complete.withColumn("partial", F.lit(0)).unionByName(rest.withColumn("partial", F.lit(1)))
     own = Window.partitionBy("query_id")
     ranked = both.withColumn("merged_rank", F.row_number().over(own.orderBy("partial", "rank")))

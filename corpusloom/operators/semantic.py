@@ -1,13 +1,16 @@
-"""Exact vector search by cosine, as expressions or as an Arrow batch product."""
+"""Exact vector search by cosine: as an expression, and as matrix products over Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,41 +28,71 @@ def score(cos: Column) -> Column:
     return F.greatest(F.lit(0.0), (cos + 1) / 2)
 
 
+#: Bytes of question vectors that one pass over the vectors carries along, and that one batch may hold.
+PASS_BYTES, MOST_BYTES = 32 << 20, 512 << 20
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int, digits: int = 6) -> DataFrame:
     """query_id, vec_id, score, rank: exact top vectors for each query vector (``query``), ties by id.
 
-    The query side is a batch of questions, broadcast by Spark only below its own threshold.
+    Questions are a batch of checked size: they go to every task, so no vector is shuffled; more than one pass
+    holds take several, and more than ``MOST_BYTES`` are an error (ask in several batches).
     """
-    scored = vectors.join(queries, F.size("embedding") == F.size("query"), "inner")
-    scored = scored.select("query_id", "vec_id", F.round(score(cosine(F.col("embedding"), F.col("query"))), digits).alias("score"))
+    size = queries.agg(F.sum(F.size("query").cast("long") * 8)).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"question vectors of {size} bytes; at most {MOST_BYTES} in a batch")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
+    asked = [(r["query_id"], list(r["query"])) for r in queries.select("query_id", "query").filter("query is not null").collect()]
+    found, at = [], 0
+    while at < len(asked):
+        part, used = [], 0
+        while at < len(asked) and (not part or used + 8 * len(asked[at][1]) <= PASS_BYTES):
+            part.append(asked[at])
+            used += 8 * len(asked[at][1])
+            at += 1
+        found.append(_products(vectors, part, queries.schema["query_id"].dataType, limit, digits, kinds))
+    if not found:
+        return queries.sparkSession.createDataFrame([], kinds + ", rank int")
+    every = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def nearest_arrow(vectors: DataFrame, query_ids: list[int], query_vectors: list[list[float]], limit: int, digits: int = 6) -> DataFrame:
-    """As :func:`nearest` for a short list of query vectors: one matrix product for each Arrow batch, top rows of each batch go on."""
-    if len(query_ids) > 1000:
-        raise ValueError("at most 1000 query vectors at once")
-    q = np.asarray(query_vectors, dtype=np.float64)
-    norm = np.sqrt((q * q).sum(1))
+def _products(vectors: DataFrame, asked: list[tuple], kind: DataType, limit: int, digits: int, kinds: str) -> DataFrame:
+    """One matrix product for each Arrow batch; of each batch the rows go on that are no worse than the ``limit``-th."""
+    by_size: dict[int, list[int]] = {}
+    for i, (_, v) in enumerate(asked):
+        by_size.setdefault(len(v), []).append(i)
+    groups = [(n, at, np.array([[float("nan") if x is None else x for x in asked[i][1]] for i in at], dtype=np.float64).reshape(len(at), n)) for n, at in by_size.items()]
+    shared = vectors.sparkSession.sparkContext.broadcast(groups)
+    names = pa.array([q for q, _ in asked], to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            same = np.flatnonzero(np.nan_to_num(length) == q.shape[1])
-            x = b.column(1).take(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-            ids = b.column(0).to_numpy()[same]
-            below = np.sqrt((x * x).sum(1))[:, None] * norm[None]
-            cos = np.divide(x @ q.T, below, out=np.zeros_like(below), where=below > 0)
-            s = np.round(np.maximum(0, (cos + 1) / 2), digits)
-            out_q, out_v, out_s = [], [], []
-            for j, query in enumerate(query_ids):
-                best = np.lexsort((ids, -s[:, j]))[:limit]
-                out_q += [query] * len(best)
-                out_v += ids[best].tolist()
-                out_s += s[best, j].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+            if not b.num_rows:
+                continue
+            length = np.nan_to_num(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            query, row, score = [], [], []
+            for n, at, q in shared.value:
+                same = np.flatnonzero(length == n) if n else np.empty(0, np.int64)
+                x = b.column(1).take(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) if n else np.empty((0, 0))
+                below = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None]
+                with np.errstate(invalid="ignore"):
+                    cos = np.divide(x @ q.T, below, out=np.zeros_like(below), where=below > 0)
+                s = np.round(np.nan_to_num(np.maximum(0, (cos + 1) / 2), nan=0.5), digits)  # as cosine 0
+                for j, i in enumerate(at):
+                    least = np.partition(s[:, j], -limit)[-limit] if len(same) > limit else -1.0
+                    best = np.flatnonzero(s[:, j] >= least)
+                    query.append(np.full(len(best), i))
+                    row.append(same[best])
+                    score.append(s[best, j])
+            query, row = pa.array(np.concatenate(query)), pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([names.take(query), b.column(0).take(row), pa.array(np.concatenate(score))], names=["query_id", "vec_id", "score"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, kinds)
+
+
+def nearest_arrow(vectors: DataFrame, query_ids: list[int], query_vectors: list[list[float]], limit: int, digits: int = 6) -> DataFrame:
+    """As :func:`nearest` for a list of query vectors."""
+    asked = vectors.sparkSession.createDataFrame(list(zip(query_ids, query_vectors)), "query_id long, query array<double>")
+    return nearest(vectors, asked, limit, digits)

@@ -305,9 +305,9 @@ judged AS (SELECT q.id, (SELECT min(rank) FROM seen s WHERE s.id = q.id) AS rank
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as questions; a made-up ranking of 12 results for each."""
+    """Benchmark passages as questions, the documents that hold them as gold; a made-up ranking of 12 results for each."""
     b, d = table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir)
-    held = b.join(d.select("doc_id", F.col("text").alias("whole")), F.contains("whole", "text")).groupBy("item_id").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    held = governance.holders(b, d.select("doc_id", F.col("text").alias("whole"))).groupBy("item_id").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     q = b.join(held, "item_id", "left").select(F.col("item_id").alias("id"), F.coalesce(F.transform("ids", lambda x: F.concat(F.lit("d"), x)), F.array(F.lit("none"))).alias("gold"))
     r = q.filter("id % 9 <> 0").withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(12))))
     key = F.when(((F.col("rank") + F.col("id")) % 3 == 0) & (F.col("rank") > F.col("id") % 12), F.get("gold", (F.col("rank") - 1) % F.size("gold"))).otherwise(F.concat(F.lit("x"), "rank"))

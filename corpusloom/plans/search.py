@@ -1,4 +1,4 @@
-"""One search plan for a table of questions: lexical, semantic, fused, reranked, diversified.
+"""One search plan for a table of questions: content and metadata, semantic, fused, reranked, numbers first, diversified.
 
 ``queries``: query_id, text. ``index``: the tables of :class:`corpusloom.engine.Index`. Filters are
 applied before any cut-off, so they never starve a result list.
@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import filters, fusion, lexical, semantic
+from corpusloom.sources import documents as D
+from corpusloom.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -27,6 +29,7 @@ class Options:
     media_type: str | None = None
     modified_after: str | None = None
     modified_before: str | None = None
+    doc_no: str | None = None
     doc_type: str | None = None
     valid_on: str | None = None
     rerank_top_n: int = 30
@@ -56,33 +59,53 @@ def visible(documents: DataFrame, validity: DataFrame, o: Options) -> DataFrame:
     return filters.valid_on(d, validity, o.valid_on, "id") if o.valid_on else d
 
 
-def _lexical(index, chunks: DataFrame, queries: DataFrame, o: Options, pool: int) -> DataFrame:
-    """query_id, row_id, rank: the accent-exact order within each pass's pool, complete hits first under ``auto``."""
+#: Columns of a hit that only chunks have.
+CHUNK_FIELDS = ("cite_key", "chunk_hash", "ordinal", "start", "stop", "section_path", "ocr")
+#: Locations of a body that a hit lists; :func:`all_locations` has every one.
+LOCATIONS = 20
+#: A notice beside text from a scan, and warnings of a search that falls back.
+OCR_NOTICE = "OCR, chưa kiểm chứng: mở trang gốc trước khi trích dẫn"
+FALLBACK = "semantic search unavailable; using full_text: "
+
+
+def _pass(index, chunks: DataFrame, metadata: DataFrame, queries: DataFrame, match: str, pool: int) -> DataFrame:
+    """query_id, row_id, rank, matched_via of one match mode: chunks in accent-exact order within their pool, then metadata."""
+
+    def best(inverted: lexical.Inverted, rows: DataFrame) -> DataFrame:
+        scored = lexical.phrase_postings(inverted, queries) if match == "phrase" else lexical.bm25_postings(inverted, queries)
+        scored = scored.filter("matched = n_terms") if match == "all" else scored
+        return lexical.top(scored.join(rows.select("row_id"), "row_id", "left_semi"), pool)
+
     asked = queries.select("query_id", T.query_terms(F.col("text")).alias("asked"))
-    texts = chunks.select("row_id", "text")
+    content = best(index.inverted, chunks).join(chunks.select("row_id", "text"), "row_id").join(asked, "query_id")
+    content = lexical.accent_resort(content, F.col("asked")).select("query_id", "row_id", F.col("lexical_rank").alias("rank"))
+    about = best(index.inverted_metadata, metadata).join(metadata.select("row_id", "kind"), "row_id")
+    return lexical.second_list(content, about).select("query_id", "row_id", F.col("lexical_rank").alias("rank"), "matched_via")
 
-    def ranked(scored: DataFrame) -> DataFrame:
-        best = lexical.top(scored.join(texts, "row_id"), pool).join(asked, "query_id")
-        return lexical.accent_resort(best, F.col("asked")).select("query_id", "row_id", F.col("lexical_rank").alias("rank"))
 
-    scored = lexical.bm25_postings(index.postings, index.lengths, queries)
-    complete = scored.filter("matched = n_terms")
-    if o.match == "all":
-        return ranked(complete)
-    if o.match == "any":
-        return ranked(scored)
-    return lexical.merge_auto(ranked(complete), ranked(scored)).select("query_id", "row_id", F.col("merged_rank").alias("rank"))
+def _words(index, chunks: DataFrame, metadata: DataFrame, queries: DataFrame, match: str, pool: int) -> DataFrame:
+    """As :func:`_pass`, and effective_match; ``auto`` puts complete hits before all others."""
+    if match != "auto":
+        return _pass(index, chunks, metadata, queries, match, pool).withColumn("effective_match", F.lit(match))
+    complete, partial = (stored(_pass(index, chunks, metadata, queries, m, pool), "search-words") for m in ("all", "any"))
+    return lexical.merge_auto(complete, partial).select("query_id", "row_id", F.col("merged_rank").alias("rank"), "matched_via", "effective_match")
 
 
-def _phrases(index, chunks: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
-    """As :func:`_lexical` for phrases, one pass for each of the (few) questions."""
-    texts = chunks.select("row_id", "text")
-    found = None
-    for q in queries.select("query_id", T.tokens(F.col("text")).alias("terms")).collect():
-        hits = lexical.phrase_postings(index.postings, index.lengths, q["terms"]).withColumn("query_id", F.lit(q["query_id"])).join(texts, "row_id")
-        best = lexical.top(hits, pool).select("query_id", "row_id", "rank")
-        found = best if found is None else found.unionByName(best)
-    return found
+def _wanted(queries: DataFrame, docs: DataFrame, chunks: DataFrame, o: Options) -> DataFrame:
+    """The first chunks of the documents whose number a query is, or that the options name."""
+    number = T.is_number(F.col("text")) if o.doc_no is None else F.lit(False)
+    asked = F.when(number, F.trim("text")) if o.doc_no is None else F.lit(o.doc_no)
+    keyed = queries.select("query_id", number.alias("number_query"), T.make_key(asked).alias("doc_no_key")).filter("doc_no_key <> ''")
+    found = keyed.join(docs.select(F.col("id").alias("document"), "doc_no_key"), "doc_no_key").join(chunks.select("document", "ordinal", "row_id"), "document")
+    order = Window.partitionBy("query_id").orderBy("document", "ordinal")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= o.limit).drop("n", "doc_no_key")
+
+
+def scoped(index, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, chunks and metadata entries that the options let through."""
+    docs = visible(index.documents, index.validity, o)
+    ids = docs.select(F.col("id").alias("document"))
+    return docs, index.chunks.join(ids, "document", "left_semi"), index.metadata.join(ids, "document", "left_semi")
 
 
 def search(
@@ -92,36 +115,93 @@ def search(
     query_vectors: DataFrame | None = None,
     rerank: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """Hits of every question: query_id, place, score, matched_via and the fields of the chunk and its document.
+    """Hits of every question: query_id, place and the fields of :func:`_project`.
 
-    ``query_vectors``: query_id, query; without it a hybrid search is a full-text one. ``rerank``: a
-    function of the question's and the chunk's text to a score column (a pandas UDF for a model).
+    ``query_vectors``: query_id, query; a question without a vector, or an index without vectors, is answered by
+    full text, with a warning in a hybrid search. ``rerank``: a function of the question's and the chunk's text
+    to a score column (a pandas UDF for a model).
     """
     o = options
     pool = lexical.pool(o.limit, o.rerank_top_n if rerank else 0)
-    docs = visible(index.documents, index.validity, o)
-    chunks = index.chunks.join(docs.select(F.col("id").alias("document")), "document", "left_semi")
-    mode = "full_text" if query_vectors is None and o.mode == "hybrid" else o.mode
-    if mode == "semantic" and query_vectors is None:
+    docs, chunks, metadata = scoped(index, o)
+    if o.mode == "semantic" and query_vectors is None:
         raise ValueError("semantic search unavailable: no query vectors")
-    none = "query_id int, row_id string, rank int, score double"
-    words = index.spark.createDataFrame([], none).drop("score")
-    near = index.spark.createDataFrame([], none)
-    if mode != "semantic":
-        words = _phrases(index, chunks, queries, pool) if o.match == "phrase" else _lexical(index, chunks, queries, o, pool)
-    if mode != "full_text":
+    key = queries.schema["query_id"].dataType.simpleString()
+    words = index.spark.createDataFrame([], f"query_id {key}, row_id string, rank int, matched_via string, effective_match string")
+    near = index.spark.createDataFrame([], f"query_id {key}, row_id string, rank int, score double")
+    if o.mode != "semantic":
+        words = stored(_words(index, chunks, metadata, queries, o.match, pool), "search-words")
+    if o.mode != "full_text" and query_vectors is not None:
         vectors = index.vectors.join(chunks.select("row_id", "chunk_hash"), "chunk_hash").select(F.col("row_id").alias("vec_id"), "embedding")
         near = semantic.nearest(vectors, query_vectors, pool).withColumnRenamed("vec_id", "row_id")
-    fused = fusion.combine(words, near, mode)
-    hits = fused.join(chunks, "row_id").withColumn("score", fusion.appendix_penalty(F.col("score"), F.col("cite_key")))
+        near = stored(near, "search-near")
+    bodies = chunks.select("row_id", "document", "text", "body_hash", "cite_key").unionByName(
+        metadata.select("row_id", "document", F.concat_ws(": ", "kind", "content").alias("text"), F.lit("").alias("body_hash"), F.lit(None).cast("string").alias("cite_key"))
+    )
+    hits = fusion.combine(words, near, o.mode).join(bodies, "row_id").withColumn("score", fusion.appendix_penalty(F.col("score"), F.col("cite_key")))
+    own = Window.partitionBy("query_id")
+    meant = F.max(F.col("semantic_rank").isNotNull()).over(own)
+    hits = hits.withColumns({"rank": F.row_number().over(own.orderBy(F.desc("score"), "rank")), "meant": meant}).drop("lexical_rank", "semantic_rank")
     if rerank:
         asked = queries.select("query_id", F.col("text").alias("question"))
         hits = fusion.respread(hits.join(asked, "query_id"), rerank(F.col("question"), F.col("text")), o.rerank_top_n)
-        hits = hits.withColumn("score", F.col("new_score")).drop("rank").withColumnRenamed("place", "rank")
-    chosen = fusion.diversify(hits.select("query_id", "rank", "row_id", "document", "body_hash"), o.per_document, o.limit)
-    out = chosen.select("query_id", "place", "row_id").join(hits.select("query_id", "row_id", "score", "matched_via"), ["query_id", "row_id"])
-    named = docs.select(F.col("id").alias("document"), "source_name", "relative_path", "title", "doc_no", "stable_ref", "content_hash")
-    return out.join(chunks, "row_id").join(named, "document").select(
-        "query_id", "place", "score", "matched_via", "cite_key", "stable_ref", F.concat_ws(":", "source_name", "relative_path").alias("document_ref"),
-        "title", "doc_no", "ordinal", "start", "stop", "chunk_hash", "body_hash", "content_hash", T.snippet(F.col("text")).alias("text"),
+        hits = hits.withColumns({"score": F.col("new_score"), "rank": F.col("place") + 1}).drop("place", "new_score", "question")
+    else:
+        hits = hits.withColumns({"reranked": F.lit(False), "rerank_score": F.lit(None).cast("double")})
+    first = fusion.prioritise(hits.drop("text", "body_hash", "cite_key"), _wanted(queries, docs, chunks, o))
+    first = first.drop("rank").withColumnRenamed("place", "rank").join(bodies.select("row_id", "body_hash"), "row_id")
+    # A page of rows for each question, from here on without the plan that found them.
+    chosen = stored(fusion.diversify(first, o.per_document, o.limit).drop("rank"), "search-chosen")
+    matches = words.groupBy("query_id").agg(F.max("effective_match").alias("effective_match"))
+    return _project(chosen.join(matches, "query_id", "left"), index, docs, chunks, metadata, o, query_vectors is not None)
+
+
+def _project(chosen: DataFrame, index, docs: DataFrame, chunks: DataFrame, metadata: DataFrame, o: Options, asked: bool) -> DataFrame:
+    """The fields of a hit, its citation, its first locations, and how its question was answered."""
+    named = lambda d: d.select(
+        F.col("id").alias("document"), "source_id", "source_name", "kind", "relative_path", "title", "doc_no", "stable_ref", "content_hash", "external_id", "source_url",
+        "media_type", "indexed_at", "modified_at", "metadata", "spans",
     )
+    of = [F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in CHUNK_FIELDS]
+    items = chunks.select("row_id", "text", *CHUNK_FIELDS).unionByName(metadata.select("row_id", F.concat_ws(": ", "kind", "content").alias("text"), *of))
+    rows = chosen.join(items, "row_id").join(named(docs), "document")
+    touched = D.overlapping(F.col("spans"), F.col("start"), F.col("stop"))
+    spans = F.when(F.col("start").isNotNull(), touched).otherwise(F.slice("spans", 1, 0))
+    rows = rows.withColumns({"touched": spans, "page": D.pages(spans), "document_ref": F.concat_ws(":", "source_name", "relative_path")})
+    provenance = F.transform(F.slice("touched", 1, 4), lambda s: F.struct(F.col("relative_path").alias("path"), s["kind"].alias("kind"), s["locator"].alias("locator")))
+    citation = lambda locators: F.struct(
+        F.col("source_name").alias("source"), "external_id", F.col("source_url").alias("url"), F.col("relative_path").alias("path"), "content_hash",
+        F.col("page.only").alias("page"), "cite_key", F.col("page.first").alias("page_start"), F.col("page.last").alias("page_end"), "doc_no", locators.alias("locators"),
+    )
+    mode = F.when(F.coalesce("meant", F.lit(False)) | F.lit(o.mode != "hybrid"), o.mode).otherwise("full_text")
+    lacking = "the index has no vectors for it" if asked else "no query vectors"
+    warnings = F.when((mode == "full_text") & F.lit(o.mode == "hybrid"), F.array(F.lit(FALLBACK + lacking))).otherwise(F.array().cast("array<string>"))
+    ocr = F.coalesce("ocr", F.lit(False))
+    out = rows.select(
+        "query_id", "place", F.round("score", 6).alias("score"), "matched_via", F.coalesce("reranked", F.lit(False)).alias("reranked"), "rerank_score",
+        "cite_key", F.col("page.first").alias("page_start"), F.col("page.last").alias("page_end"), ocr.alias("ocr"), F.when(ocr, OCR_NOTICE).alias("ocr_notice"),
+        "section_path", F.when(F.col("media_type") == "text/markdown", F.col("section_path")).alias("heading_path"), "doc_no", F.col("source_name").alias("source"),
+        F.col("kind").alias("source_kind"), F.col("relative_path").alias("path"), "document_ref", "stable_ref", "chunk_hash", F.when(F.col("body_hash") != "", F.col("body_hash")).alias("body_hash"),
+        F.col("ordinal").alias("chunk_ordinal"), F.col("start").alias("start_char"), F.col("stop").alias("end_char"), "indexed_at", F.col("modified_at").alias("source_modified_at"),
+        "title", T.snippet(F.col("text")).alias("text"), provenance.alias("provenance"), citation(F.transform(provenance, lambda p: p["locator"])).alias("citation"),
+        F.coalesce(F.split(F.col("metadata")["layout_flags"], ","), F.array().cast("array<string>")).alias("layout_flags"), "metadata",
+        F.coalesce("effective_match", F.lit("any" if o.match == "auto" else o.match)).alias("effective_match"), mode.alias("effective_mode"), warnings.alias("warnings"),
+    )
+    bodies = chosen.filter("body_hash <> ''").select("body_hash").distinct().withColumn("row_id", F.col("body_hash"))
+    places = fusion.locations(bodies, _places(docs, chunks), LOCATIONS).select("body_hash", "n_locations", F.transform("locations", lambda x: x.dropFields("document", "ordinal")).alias("locations"))
+    return out.join(places, "body_hash", "left").withColumn("n_locations", F.coalesce("n_locations", F.lit(0).cast("long")))
+
+
+def _places(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """body_hash, document, ordinal and the fields of a location, of every chunk."""
+    d = docs.select(F.col("id").alias("document"), "stable_ref", "source_name", "relative_path")
+    return chunks.join(d, "document").select(
+        "body_hash", "document", "ordinal", "stable_ref", F.concat_ws(":", "source_name", "relative_path").alias("document_ref"), F.col("source_name").alias("source"),
+        F.col("relative_path").alias("path"), F.col("ordinal").alias("chunk_ordinal"), F.col("start").alias("start_char"), F.col("stop").alias("end_char"), "cite_key",
+    )
+
+
+def all_locations(index, hits: DataFrame, options: Options = Options()) -> DataFrame:
+    """Every place in scope of the bodies of some hits, as rows: query_id, place and the fields of a location."""
+    docs, chunks, _ = scoped(index, options)
+    return fusion.location_rows(hits.select("query_id", "place", "body_hash"), _places(docs, chunks)).drop("document", "ordinal")

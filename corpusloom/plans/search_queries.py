@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import filters, fusion, lexical, semantic
 from corpusloom.plans.registry import inline, query, table
+from corpusloom.sources.shared import fresh_path, remove
 
 TERMS = "anea thble lying"
 ENABLED = ("src0", "src3", "src5", "src7", "src11")
@@ -46,12 +47,35 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.token_rows(_docs(spark, sf_dir), "doc_id", "text")
 
 
+_BUILT: dict[tuple[str, str], lexical.Inverted] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Inverted:
+    """The inverted index of the documents, written below the shared folder once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        folder = fresh_path(spark, "inverted")
+        _tokens(spark, sf_dir).write.parquet(f"{folder}/tokens")
+        tokens = spark.read.parquet(f"{folder}/tokens")
+        _BUILT[key] = lexical.Inverted.write(folder, lexical.postings(tokens), lexical.lengths(tokens))
+        remove(spark, f"{folder}/tokens")
+    return _BUILT[key]
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+') AS terms FROM documents)
+SELECT count(*) AS documents, round(avg(len(terms)), 6) AS mean, (SELECT count(*) FROM (SELECT DISTINCT doc_id, unnest(terms) FROM t)) AS postings FROM t""")
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the index that the queries below ask, if this application has none yet, and sums it up."""
+    index = _index(spark, sf_dir)
+    return index.stats.select(F.col("n").alias("documents"), F.round("mean", 6).alias("mean")).crossJoin(F.broadcast(index.postings.agg(F.count(F.lit(1)).alias("postings"))))
+
+
 @query(f"""WITH {SQL_TOKENS}, {_wanted((1, TERMS))}, {SQL_SCORE},
 ok AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.row_id WHERE d.source IN {ENABLED} AND d.n_chars % 10 <> 0)
 SELECT row_id AS doc_id, cost, rank FROM (SELECT *, row_number() OVER (ORDER BY cost, row_id)::INT AS rank FROM ok) WHERE rank <= 20""")
 def bm25_any_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any-term BM25 over enabled sources and live rows (a made-up trash flag); statistics of the whole index."""
-    scored = lexical.bm25(_tokens(spark, sf_dir), _queries(spark, (1, TERMS)))
+    scored = lexical.bm25_postings(_index(spark, sf_dir), _queries(spark, (1, TERMS)))
     seen = _docs(spark, sf_dir).filter(F.col("source").isin(*ENABLED) & (F.col("n_chars") % 10 != 0))
     visible = scored.join(seen.select(F.col("doc_id").alias("row_id")), "row_id", "left_semi")
     return lexical.top(visible, 20).select(F.col("row_id").alias("doc_id"), "cost", "rank")
@@ -60,7 +84,7 @@ def bm25_any_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_TOKENS}, {_wanted((1, TERMS))}, {SQL_SCORE}
 SELECT row_id AS doc_id, cost, rank FROM (SELECT *, row_number() OVER (ORDER BY cost, row_id)::INT AS rank FROM scored WHERE matched = n_terms) WHERE rank <= 20""")
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lexical.bm25(_tokens(spark, sf_dir), _queries(spark, (1, TERMS)))
+    scored = lexical.bm25_postings(_index(spark, sf_dir), _queries(spark, (1, TERMS)))
     return lexical.top(scored.filter("matched = n_terms"), 20).select(F.col("row_id").alias("doc_id"), "cost", "rank")
 
 
@@ -71,15 +95,46 @@ c AS (SELECT row_id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN
   * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS cost FROM hit, s, stats WHERE tf > 0)
 SELECT row_id AS doc_id, cost, rank FROM (SELECT *, row_number() OVER (ORDER BY cost, row_id)::INT AS rank FROM c) WHERE rank <= 20""")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.phrase(_tokens(spark, sf_dir), ["of", "the"]).withColumn("query_id", F.lit(1))
+    hits = lexical.phrase_postings(_index(spark, sf_dir), _queries(spark, (1, "of the")))
     return lexical.top(hits, 20).select(F.col("row_id").alias("doc_id"), "cost", "rank")
 
 
+@query(f"""WITH {SQL_TOKENS}, q(query_id, p) AS (VALUES (1, ['of', 'the']), (2, ['anea']), (3, ['zzz', 'nothing']), (4, ['die', 'und', 'die'])),
+hit AS (SELECT query_id, row_id, dl, len(list_filter(generate_series(1, dl - len(p) + 1), lambda i: terms[i:i + len(p) - 1] = p)) AS tf FROM sized, q),
+s AS (SELECT query_id, count(*) AS df FROM hit WHERE tf > 0 GROUP BY query_id),
+c AS (SELECT query_id, row_id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
+  * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS cost FROM hit JOIN s USING (query_id), stats WHERE tf > 0)
+SELECT query_id, row_id AS doc_id, cost, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, row_id)::INT AS rank FROM c) WHERE rank <= 20""")
+def phrase_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several phrases in one plan."""
+    asked = _queries(spark, (1, "of the"), (2, "anea"), (3, "zzz nothing"), (4, "die und die"))
+    return lexical.top(lexical.phrase_postings(_index(spark, sf_dir), asked), 20).select("query_id", F.col("row_id").alias("doc_id"), "cost", "rank")
+
+
+@query(f"""WITH {SQL_TOKENS},
+hit AS (SELECT row_id, dl, len(list_filter(generate_series(1, dl - 1), lambda i: terms[i] = 'of' AND terms[i + 1] = 'the')) AS tf FROM sized),
+s AS (SELECT count(*) FILTER (tf > 0) AS df FROM hit),
+c AS (SELECT row_id, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
+  * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS cost FROM hit, s, stats WHERE tf > 0)
+SELECT row_id AS doc_id, cost, rank FROM (SELECT *, row_number() OVER (ORDER BY cost, row_id)::INT AS rank FROM c) WHERE rank <= 20""")
+def phrase_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase without an index."""
+    return lexical.top(lexical.phrase(_tokens(spark, sf_dir), ["of", "the"]), 20).select(F.col("row_id").alias("doc_id"), "cost", "rank")
+
+
+@query(f"""WITH {SQL_TOKENS}, {_wanted((1, TERMS), (2, "die und"))}, {SQL_SCORE}
+SELECT query_id, row_id AS doc_id, cost, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, row_id)::INT AS rank FROM scored) WHERE rank <= 20""")
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 without an index."""
+    scored = lexical.bm25(_tokens(spark, sf_dir), _queries(spark, (1, TERMS), (2, "die und")))
+    return lexical.top(scored, 20).select("query_id", F.col("row_id").alias("doc_id"), "cost", "rank")
+
+
 @query(f"""WITH {SQL_TOKENS}, {_wanted((1, TERMS), (2, "Réeuxan mentê queeau"), (3, "die und heit die"), (4, "zzz nothing"))}, {SQL_SCORE}
 SELECT query_id, row_id AS doc_id, cost, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, row_id)::INT AS rank FROM scored) WHERE rank <= 10""")
 def bm25_query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = _queries(spark, (1, TERMS), (2, "Réeuxan mentê queeau"), (3, "die und heit die"), (4, "zzz nothing"))
-    return lexical.top(lexical.bm25(_tokens(spark, sf_dir), batch), 10).select("query_id", F.col("row_id").alias("doc_id"), "cost", "rank")
+    return lexical.top(lexical.bm25_postings(_index(spark, sf_dir), batch), 10).select("query_id", F.col("row_id").alias("doc_id"), "cost", "rank")
 
 
 @query(f"""WITH {SQL_TOKENS}, {_wanted((1, TERMS), (2, "anea zzznothing"))}, {SQL_SCORE},
@@ -90,7 +145,7 @@ b AS (SELECT * FROM c UNION ALL SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FRO
 SELECT query_id, row_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY partial, rank)::INT AS merged_rank,
   CASE WHEN min(partial) OVER (PARTITION BY query_id) = 1 THEN 'any' ELSE 'all' END AS effective_match FROM b""")
 def bm25_auto_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lexical.bm25(_tokens(spark, sf_dir), _queries(spark, (1, TERMS), (2, "anea zzznothing")))
+    scored = lexical.bm25_postings(_index(spark, sf_dir), _queries(spark, (1, TERMS), (2, "anea zzznothing")))
     complete = lexical.top(scored.filter("matched = n_terms"), 20).select("query_id", "row_id", "rank")
     merged = lexical.merge_auto(complete, lexical.top(scored, 20).select("query_id", "row_id", "rank"))
     return merged.select("query_id", F.col("row_id").alias("doc_id"), "merged_rank", "effective_match")
@@ -102,7 +157,7 @@ h AS (SELECT c.row_id, c.rank, contains(lower(d.text), 'réeuxan')::INT + contai
 SELECT row_id AS doc_id, held, row_number() OVER (ORDER BY held DESC, rank)::INT AS lexical_rank FROM h""")
 def accent_resort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accent-exact order within a candidate pool that BM25 cut off before."""
-    best = lexical.top(lexical.bm25(_tokens(spark, sf_dir), _queries(spark, (1, "réeuxan éch"))), lexical.pool(10))
+    best = lexical.top(lexical.bm25_postings(_index(spark, sf_dir), _queries(spark, (1, "réeuxan éch"))), lexical.pool(10))
     texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
     ordered = lexical.accent_resort(best.join(texts, "row_id"), F.array(F.lit("réeuxan"), F.lit("éch")))
     return ordered.select(F.col("row_id").alias("doc_id"), "held", "lexical_rank")
@@ -116,7 +171,7 @@ SELECT row_id AS doc_id, via AS matched_via, row_number() OVER (ORDER BY l, rank
 def metadata_second_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata hits (language and source as metadata text) behind every chunk hit."""
     asked = _queries(spark, (1, "src3 anea"))
-    chunks = lexical.top(lexical.bm25(_tokens(spark, sf_dir), asked), 20)
+    chunks = lexical.top(lexical.bm25_postings(_index(spark, sf_dir), asked), 20)
     about = _docs(spark, sf_dir).select("doc_id", F.concat_ws(" ", "lang", "source").alias("content"))
     metadata = lexical.top(lexical.bm25(lexical.token_rows(about, "doc_id", "content"), asked), 20).withColumn("kind", F.lit("automatic"))
     both = lexical.second_list(chunks, metadata)
@@ -128,9 +183,10 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.term_stats(_tokens(spark, sf_dir))
 
 
-@query(f"WITH {SQL_TOKENS} SELECT row_id AS doc_id, dl::BIGINT AS n_tokens, array_to_string(terms[1:8], ' ') AS head FROM sized")
+@query(f"WITH {SQL_TOKENS} SELECT row_id AS doc_id, dl::BIGINT AS n_tokens, sha256(array_to_string(terms, ' ')) AS digest FROM sized")
 def fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).select(F.col("row_id").alias("doc_id"), F.size("terms").cast("long").alias("n_tokens"), F.concat_ws(" ", F.slice("terms", 1, 8)).alias("head"))
+    """All terms of every text, as a digest."""
+    return _tokens(spark, sf_dir).select(F.col("row_id").alias("doc_id"), F.size("terms").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", "terms"), 256).alias("digest"))
 
 
 @query(f"""WITH {SQL_TOKENS}, p AS (SELECT row_id, generate_subscripts(terms, 1) - 1 AS position, unnest(terms) AS term FROM sized)
@@ -187,7 +243,7 @@ fused AS (SELECT *, row_number() OVER (ORDER BY score DESC, lexical_rank NULLS L
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.top(lexical.bm25(_tokens(spark, sf_dir), _queries(spark, (1, TERMS))), lexical.pool(10))
+    found = lexical.top(lexical.bm25_postings(_index(spark, sf_dir), _queries(spark, (1, TERMS))), lexical.pool(10))
     asked = _vectors(spark, sf_dir).filter("vec_id = 7").select(F.lit(1).alias("query_id"), F.col("embedding").alias("query"))
     near = semantic.nearest(_vectors(spark, sf_dir).select("vec_id", "embedding"), asked, 40)
     return fusion.combine(found, near.withColumnRenamed("vec_id", "row_id"))
@@ -238,8 +294,20 @@ b AS (SELECT row_id, document, 0 AS p, row_number() OVER (ORDER BY document, ord
   UNION ALL SELECT row_id, document, CASE WHEN document IN (SELECT document FROM w) THEN 1 ELSE 2 END, rank, 'hit' FROM h)
 SELECT row_id, via, row_number() OVER (ORDER BY p, n)::INT AS place FROM b""")
 def doc_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fusion.prioritise(inline(spark, HITS, "row_id, document, rank"), inline(spark, WANTED, "row_id, document, ordinal"), number_query=True)
-    return out.select("row_id", "via", "place")
+    hits = inline(spark, HITS, "row_id, document, rank").select(F.lit(1).alias("query_id"), "*", F.lit(0.5).alias("score"), F.lit("hit").alias("matched_via"))
+    wanted = inline(spark, WANTED, "row_id, document, ordinal").select(F.lit(1).alias("query_id"), "*", F.lit(True).alias("number_query"))
+    return fusion.prioritise(hits, wanted).select("row_id", F.col("matched_via").alias("via"), "place")
+
+
+@query("""SELECT * FROM (VALUES (1, 'c2', 'hit', 1), (1, 'c1', 'hit', 2), (1, 'c3', 'hit', 3), (2, 'd9-0', 'doc_no', 1), (2, 'd9-1', 'doc_no', 2), (2, 'd9-2', 'doc_no', 3), (2, 'c4', 'hit', 4),
+(3, 'd2-0', 'doc_no', 1), (3, 'd2-1', 'doc_no', 2), (3, 'c5', 'hit', 3), (4, 'c6', 'hit', 1)) t(query_id, row_id, via, place)""")
+def doc_priority_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions together: a number beside a question with hits of it, without them, a question that is a number, one without."""
+    hits = inline(spark, "(1, 'c1', 'D1', 1), (1, 'c2', 'D2', 2), (1, 'c3', 'D1', 3), (2, 'c4', 'D1', 1), (3, 'c5', 'D1', 1), (4, 'c6', 'D2', 1)", "query_id, row_id, document, rank")
+    rows = ", ".join(["(1, 'd2-0', 'D2', 0, false)", *(f"(2, 'd9-{i}', 'D9', {i}, false)" for i in range(5)), "(3, 'd2-0', 'D2', 0, true)", "(3, 'd2-1', 'D2', 1, true)"])
+    wanted = inline(spark, rows, "query_id, row_id, document, ordinal, number_query")
+    out = fusion.prioritise(hits.select("*", F.lit(0.5).alias("score"), F.lit("hit").alias("matched_via")), wanted)
+    return out.select("query_id", "row_id", F.col("matched_via").alias("via"), "place")
 
 
 @query("""WITH d AS (SELECT doc_id, text, sha256(text) AS h FROM documents), g AS (SELECT h, list(doc_id ORDER BY doc_id) AS l FROM d GROUP BY h)

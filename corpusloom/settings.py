@@ -8,7 +8,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
-from corpusloom.sources.formats import READERS, SCANNED
+from corpusloom.sources.formats import READERS, SCANNED, Limits
 
 PREFIX = "CORPUSLOOM_"
 
@@ -22,6 +22,11 @@ class Settings:
     rerank_top_n: int = 30
     extensions: tuple[str, ...] = tuple(sorted((*READERS, *SCANNED)))
     excluded: tuple[str, ...] = (".git", "node_modules", "__pycache__")
+    max_text_bytes: int = Limits.text
+    max_archive_entries: int = Limits.entries
+    max_archive_bytes: int = Limits.total
+    max_json_values: int = Limits.leaves
+    max_csv_rows: int = Limits.rows
 
     def __post_init__(self) -> None:
         rules = {
@@ -35,6 +40,10 @@ class Settings:
         if broken := [text for text, holds in rules.items() if not holds]:
             raise ValueError("; ".join(broken))
 
+    @property
+    def limits(self) -> Limits:
+        return Limits(self.max_text_bytes, self.max_archive_entries, self.max_archive_bytes, self.max_json_values, self.max_csv_rows)
+
     def save(self, path: str | Path) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=1))
 

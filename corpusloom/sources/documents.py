@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.sources.formats import Backend, read_file
+from corpusloom.sources.formats import Backend, Limits, read_file
 
 EXTRACTED = (
     "path string, content_hash string, size long, modified_us long, media_type string, text string, "
@@ -19,12 +19,32 @@ EXTRACTED = (
 COLUMNS = re.findall(r"(?:^|, )(\w+) ", EXTRACTED)
 
 
+#: Files whose contents are asked for by name; more are read by going through the whole root.
+NAMED = 10_000
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a root: path, size, modified_us, content (read only if it is used)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_us"), "content")
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, modified_us of every file below a root; no file is read."""
+    return scan(spark, root).drop("content")
+
+
+def contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` files (path, size, modified_us and others) with their content; few are opened by name, so no other file is read."""
+    few = [r["path"] for r in wanted.select("path").limit(NAMED + 1).collect()]
+    if not few:
+        return wanted.withColumn("content", F.lit(None).cast("binary"))
+    if len(few) > NAMED:
+        return wanted.join(scan(spark, root).select("path", "content"), "path")
+    named = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in few]).select("path", "content")
+    return wanted.join(named, "path")
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
@@ -34,16 +54,14 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.withColumns({"content_hash": F.sha2("content", 256), "suffix": suffix(F.col("path"))})
 
 
-def extract(files: DataFrame, known: DataFrame | None = None, backend: Backend | None = None) -> DataFrame:
-    """Extractions of files; contents (content_hash, suffix) already in ``known`` are not read again."""
-    todo = hashed(files)
-    if known is not None:
-        todo = todo.join(known.select("content_hash", suffix(F.col("path")).alias("suffix")).distinct(), ["content_hash", "suffix"], "left_anti")
+def extract(files: DataFrame, backend: Backend | None = None, limits: Limits = Limits()) -> DataFrame:
+    """Extractions of files (path, size, modified_us, content and, where it is known, content_hash)."""
+    todo = files if "content_hash" in files.columns else hashed(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             for f in files.itertuples(index=False):
-                row = read_file(f.path, bytes(f.content), backend)
+                row = read_file(f.path, bytes(f.content), backend, limits)
                 row |= joined(row["parts"]) | {"content_hash": f.content_hash, "size": f.size, "modified_us": f.modified_us}
                 yield pd.DataFrame([row])[COLUMNS]
 
@@ -51,9 +69,9 @@ def extract(files: DataFrame, known: DataFrame | None = None, backend: Backend |
 
 
 def reuse(files: DataFrame, cached: DataFrame) -> DataFrame:
-    """The extraction of every file, from extractions of whatever file had its content and suffix."""
+    """The extraction of every file (with content_hash and suffix), from extractions of whatever file had its content and suffix."""
     own = cached.withColumn("suffix", suffix(F.col("path"))).drop("path", "size", "modified_us").dropDuplicates(["content_hash", "suffix"])
-    return hashed(files).drop("content").join(own, ["content_hash", "suffix"]).select(*COLUMNS)
+    return files.select("path", "size", "modified_us", "content_hash", "suffix").join(own, ["content_hash", "suffix"]).select(*COLUMNS)
 
 
 def joined(parts: list[dict]) -> dict:

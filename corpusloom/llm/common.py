@@ -2,69 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.spread import spread
+from corpusloom.sources.shared import cleanup, fresh_path, hadoop, remove, shared_dir, stored
+
+__all__ = ["Log", "WORD", "cleanup", "fresh_path", "partitions", "remove", "shared_dir", "stored", "table", "text_or_empty", "word_count"]
 
 #: Word separators of the contracts: space and the ASCII controls 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A folder set by ``SparkContext.setCheckpointDir`` counts too. Where the session names none, a
-    ``local`` master (tests) gets a temporary folder, made once and also set as the checkpoint
-    folder; any other master is an error, as its executors would write to disks of their own.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-#: Folders named by this process, for :func:`cleanup`.
-_MADE: list[str] = []
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder."""
-    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Remove the tables that operators wrote for results not read yet; call it once those are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _MADE:
-        folder = path(_MADE.pop())
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _hadoop(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    fs, path = _hadoop(spark, folder)
-    fs.delete(path(folder), True)
-
-
 class Log:
     """Numbered entries of a few bytes below a folder; of two writers of one number, one fails.
 
@@ -77,7 +26,7 @@ class Log:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.fs, self.path = _hadoop(spark, folder)
+        self.fs, self.path = hadoop(spark, folder)
         self.fs.mkdirs(self.path(folder))
 
     def entries(self) -> list[tuple[int, str]]:

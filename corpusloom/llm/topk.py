@@ -8,11 +8,12 @@ below. Candidates are evaluated in the order of that bound until the next bound
 the k-th best distance found, which is exact; bounds get a slack for rounding, and scores
 are integers computed in doubles (exact below 2^53).
 
-Spark shuffles blocks, not pairs: candidates are packed into blocks of about
-``block_rows`` vectors with their pivot table, queries into blocks likewise, and every
-(query block, candidate block) pair is one row. Only each pair's k best go on, and a window
-for each query merges them. Neither side is broadcast; the pivots (a fixed number of rows)
-are.
+Spark shuffles blocks, not pairs: candidates are packed into blocks with their pivot table (single
+precision; components in 32-bit integers where they fit), queries into blocks likewise, and every
+(query block, candidate block) pair is one row. What moves is candidates times query blocks plus
+queries times candidate blocks, so blocks are as large as ``block_bytes`` lets them be, or as there
+are pairs enough for all cores. Only each pair's k best go on, and a window for each query merges
+them. Neither side is broadcast; the pivots (a fixed number of rows) are.
 
 Each component x counts as floor(scale * x). Edge cases: a vector that is null or holds a
 null or non-finite component takes no part; vectors of different length are compared as if
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_SCHEMA = "side int, block long, ids binary, vectors binary, table binary, rows int"
+BLOCK_SCHEMA = "side int, block long, ids binary, vectors binary, narrow boolean, table binary, rows int"
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -94,6 +95,18 @@ def search(
             yield int(q_ids[i]), j, int(s)
 
 
+def whole_number(x: Column) -> Column:
+    """The floor of a double as a double; from 2^52 on a double is its own floor (and may be no long)."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+
+
+def _blocks(total: int, n_queries: int, width: int, n_pivots: int, cores: int, block_bytes: int, least_rows: int) -> tuple[int, int]:
+    """Numbers of candidate and query blocks: as few as memory allows, but pairs for every core."""
+    most = max(1, block_bytes // (8 * (width + 1) + 4 * n_pivots))
+    n, q = -(-total // most), -(-n_queries // most)
+    return max(n, min(-(-2 * cores // q), -(-total // least_rows))), q
+
+
 def top_k(
     rows: DataFrame,
     is_query: Column,
@@ -102,7 +115,8 @@ def top_k(
     vector_col: str = "embedding",
     scale: float = 256.0,
     n_pivots: int = 24,
-    block_rows: int = 4096,
+    block_bytes: int = 32 << 20,
+    least_rows: int = 1024,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each query row."""
     spark = rows.sparkSession
@@ -110,11 +124,11 @@ def top_k(
     sound = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     whole = rows.filter(sound & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"),
-        F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"),
+        F.transform(v, lambda x: whole_number(F.lit(scale) * x.cast("double"))).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("q"),
     )
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    total, top, n_queries = whole.agg(F.count(F.lit(1)), F.max(squares), F.count_if("q")).first()
+    total, top, n_queries, width = whole.agg(F.count(F.lit(1)), F.max(squares), F.count_if("q"), F.max(F.size("v"))).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not total or not n_queries:
         return spark.createDataFrame([], schema)
@@ -122,7 +136,7 @@ def top_k(
     pivots = [r["v"] for r in whole.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(n_pivots).collect()]
     widest = max(map(len, pivots))
     pivots = np.array([x + [0.0] * (widest - len(x)) for x in pivots])
-    n_blocks, q_blocks = -(-total // block_rows), -(-n_queries // block_rows)
+    n_blocks, q_blocks = _blocks(total, n_queries, width, n_pivots, spark.sparkContext.defaultParallelism, block_bytes, least_rows)
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     candidates = whole.select(F.lit(0).alias("side"), block(n_blocks).alias("block"), "id", "v")
     queries = whole.filter("q").select(F.lit(1).alias("side"), block(q_blocks).alias("block"), "id", "v")
@@ -140,11 +154,14 @@ def top_k(
             order = np.argsort(keys, kind="stable")
             out = []
             for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
-                out.append((int(side[part[0]]), int(block_id[part[0]]), ids[part].tobytes(), x[part].tobytes(), near[part].tobytes(), len(part)))
+                own = x[part]
+                narrow = bool((np.abs(own) < 1 << 31).all())
+                packed = own.astype(np.int32 if narrow else np.float64).tobytes()
+                out.append((int(side[part[0]]), int(block_id[part[0]]), ids[part].tobytes(), packed, narrow, near[part].astype(np.float32).tobytes(), len(part)))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=kinds)
 
-    names = ["side", "block", "ids", "vectors", "table", "rows"]
-    kinds = pa.schema(list(zip(names, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()])))
+    names = ["side", "block", "ids", "vectors", "narrow", "table", "rows"]
+    kinds = pa.schema(list(zip(names, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.int32()])))
     c = candidates.mapInArrow(pack, BLOCK_SCHEMA).drop("side")
     q = queries.mapInArrow(pack, BLOCK_SCHEMA).drop("side")
     # Every candidate block meets every query block: the key is the pair of block numbers.
@@ -157,9 +174,8 @@ def top_k(
         for b in batches:
             for r in b.to_pylist():
                 n = r["rows"]
-                sides[r["side"]].append(
-                    (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(n, -1), np.frombuffer(r["table"]).reshape(n, -1))
-                )
+                x = np.frombuffer(r["vectors"], np.int32 if r["narrow"] else np.float64).astype(np.float64)
+                sides[r["side"]].append((np.frombuffer(r["ids"], np.int64), x.reshape(n, -1), np.frombuffer(r["table"], np.float32).reshape(n, -1)))
         if not sides[0] or not sides[1]:
             return
         joined = []
@@ -170,7 +186,7 @@ def top_k(
         found = list(search(q_ids, q_x, q_t, c_ids, c_x, c_t, top, k))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
-    both = c.select("q_block", "c_block", "side", "ids", "vectors", "table", "rows").unionByName(q.select("q_block", "c_block", "side", "ids", "vectors", "table", "rows"))
+    both = c.select("q_block", "c_block", "side", "ids", "vectors", "narrow", "table", "rows").unionByName(q.select("q_block", "c_block", "side", "ids", "vectors", "narrow", "table", "rows"))
     found = both.groupBy("q_block", "c_block").applyInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -53,8 +53,8 @@ PART_BYTES = 256 << 20  # of text for each partition, on average
 RUN = 4096  # windows of a fragment
 HOT_BYTES = 64 << 20  # of fragments of one anchor
 MOST_HOT = 1 << 20
-SAMPLE_BYTES = 32 << 20  # of text in which hot grams are sought, or a SAMPLE_SHARE of all, if that is more
-SAMPLE_SHARE = 1e-5
+SAMPLE_BYTES = 1 << 20  # of text at least in which hot grams are sought
+SEEN = 64  # times that a gram just hot is met in the sample, as far as that asks for a larger one
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _ODD = 0x5851F42D4C957F2D
 
@@ -545,18 +545,27 @@ def hot_grams(rows: DataFrame, total: int, length: int) -> np.ndarray:
     least = HOT_BYTES * (length - GRAM + 1) // (4 * length)  # occurrences: about two of each window's grams are anchors
     if total <= least:
         return np.empty(0, dtype=np.uint64)
-    one_in = max(1, int(total / max(SAMPLE_BYTES, total * SAMPLE_SHARE)))
+    one_in = max(1, int(total / max(SAMPLE_BYTES, total * SEEN / least)))
     sample = rows.filter(F.pmod(F.xxhash64(F.lit("grams"), "id"), F.lit(one_in)) == 0).select("text")
-    seen = max(5, least // one_in)
+    seen = max(2, least // one_in)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.empty(0, np.uint64)], 0
+
+        def met() -> pa.RecordBatch:
+            gram, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
+
         for b in batches:
             for x in b.column(0):
-                for at in range(0, len(text := x.as_py()), SLICE):
-                    data = np.frombuffer(text[at : at + SLICE + GRAM - 1] + b"\0" * 16, dtype=np.uint8)
-                    words = _words(data[: len(data) - 16])
-                    gram, n = np.unique(_grams(words, slice(0, -4), slice(4, None)) if len(words) > 4 else words[:0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
+                for at in range(0, len(text := x.as_py()) - GRAM + 1, SLICE):
+                    words = _words(np.frombuffer(text[at : at + SLICE + GRAM - 1], dtype=np.uint8))
+                    held.append(_grams(words, slice(0, -4), slice(4, None)))
+                    size += len(held[-1])
+                    if size > SLICE:
+                        yield met()
+                        held, size = held[:1], 0
+        yield met()
 
     counted = sample.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= seen)
     most = counted.orderBy(F.desc("n"), "gram").limit(MOST_HOT).toPandas()["gram"]

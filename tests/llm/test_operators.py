@@ -620,7 +620,7 @@ def test_top_k(spark):
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(40)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, []), (405, [0.5]), (50, rows[3][1]), (None, rows[1][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("v", F.lit(2)).repartition(3)
-    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64).collect()]
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block_bytes=64 * (8 * 9 + 96), least_rows=16).collect()]
     sound = [(i, np.floor(256 * np.array((v + [0.0] * 8)[:8]))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = Counter()
     for q, x in sound:
@@ -632,6 +632,25 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_blocks():
+    """Blocks stay within their bytes, and what moves grows with the rows times the blocks of the other side."""
+    assert topk._blocks(50_000, 1000, 64, 24, 6, 32 << 20, 1024) == (12, 1)
+    n, q = topk._blocks(100_000_000, 2_000_000, 64, 24, 1000, 32 << 20, 1024)
+    assert 1800 < n < 1900 and q == 37
+    assert topk._blocks(1, 1, 0, 1, 8, 1, 1) == (1, 1)
+
+
+def test_top_k_large_components(spark):
+    """Components beyond 32 bits, and beyond those of a long; a block mixes both."""
+    rows = [(i, [float(2.0**k), float(i)]) for i, k in enumerate((1, 40, 20, 40, 3, 41, 2, 0))]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()]
+    x = {i: np.floor(256 * np.array(v)) for i, v in rows}
+    want = sorted(((-int(x[0] @ x[c]), c) for c in x if c))[:3]
+    assert sorted(got) == [(0, k + 1, c, -s) for k, (s, c) in enumerate(want)]
+    df = spark.createDataFrame([(1e30,), (-1e30,), (2.5,), (-2.5,)], "x double").select(topk.whole_number(F.col("x")).alias("y"))
+    assert [r["y"] for r in df.collect()] == [1e30, -1e30, 2.0, -3.0]
+
+
 # op9
 
 

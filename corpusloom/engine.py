@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import structure
 from corpusloom.functions import text as T
-from corpusloom.operators import filters, governance, lexical, maintain, reads
+from corpusloom.operators import filters, governance, lexical, maintain, reads, upkeep
 from corpusloom.plans import search as plan
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
@@ -271,6 +271,10 @@ class Index:
         reviews = self.documents.select(F.col("id").alias("document"), F.explode("reviews").alias("reason"), F.lit("open").alias("status"))
         return governance.document_warnings(self.documents, self.validity, self.chunks, reviews, day)
 
+    def integrity(self, root: str) -> DataFrame:
+        """Every local document's recorded hash against its file's bytes now."""
+        return upkeep.integrity(self.documents.filter("kind = 'local'"), D.scan(self.spark, root))
+
     def evaluate(self, questions: DataFrame, options: plan.Options = plan.Options(limit=10, per_document=10)) -> DataFrame:
         """Metrics over questions (id, question, gold)."""
         hits = self.search(questions.select(F.col("id").alias("query_id"), F.col("question").alias("text")), options)

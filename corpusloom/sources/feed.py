@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 SCHEMA = "page int, id string, kind string, removed boolean, trashed boolean, name string, parents array<string>"
@@ -60,27 +60,52 @@ def _row(change: dict) -> tuple:
     return tuple(change.get(name) for name in FIELDS)
 
 
+#: Pages of changes that one task reads.
+PAGES = 64
+
+
+class _Pages(InputPartition):
+    """Changes after one cursor, up to another."""
+
+    def __init__(self, start: int, stop: int):
+        super().__init__((start, stop))
+        self.start, self.stop = start, stop
+
+
+def _dealt(start: int, stop: int) -> list[_Pages]:
+    """Ranges of pages for the tasks; the driver holds cursors only."""
+    return [_Pages(at, min(at + PAGES, stop)) for at in range(start, stop, PAGES)]
+
+
 class _Batch(DataSourceReader):
     def __init__(self, backend: Backend):
         self.backend = backend
 
-    def read(self, partition) -> Iterator[tuple]:
-        return (_row(c) for c in self.backend.changes(0, self.backend.head()))
+    def partitions(self) -> list[_Pages]:
+        return _dealt(0, self.backend.head()) or [_Pages(0, 0)]
+
+    def read(self, partition: _Pages) -> Iterator[tuple]:
+        return (_row(c) for c in self.backend.changes(partition.start, partition.stop))
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Stream(DataSourceStreamReader):
     def __init__(self, backend: Backend):
         self.backend = backend
 
     def initialOffset(self) -> dict:
         return {"cursor": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        stop = self.backend.head()
-        return iter([_row(c) for c in self.backend.changes(start["cursor"], stop)]), {"cursor": stop}
+    def latestOffset(self) -> dict:
+        return {"cursor": self.backend.head()}
+
+    def partitions(self, start: dict, end: dict) -> list[_Pages]:
+        return _dealt(start["cursor"], end["cursor"])
+
+    def read(self, partition: _Pages) -> Iterator[tuple]:
+        return (_row(c) for c in self.backend.changes(partition.start, partition.stop))
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([_row(c) for c in self.backend.changes(start["cursor"], end["cursor"])])
+    def commit(self, end: dict) -> None:
+        """Nothing to do: a page that was read may be read again."""
 
 
 class ChangeFeed(DataSource):
@@ -96,7 +121,7 @@ class ChangeFeed(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Batch(Directory(self.options["path"]))
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _Stream(Directory(self.options["path"]))
 
 

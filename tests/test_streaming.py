@@ -34,6 +34,17 @@ def test_feed(spark, tmp_path):
     assert run() == [(1, "a"), (1, "b"), (2, "c")]  # goes on from the committed cursor
 
 
+def test_feed_is_dealt(spark, tmp_path, monkeypatch):
+    """Pages are read by as many tasks as there are ranges of them."""
+    spark.dataSource.register(ChangeFeed)
+    for n in range(1, 151):
+        write_page(tmp_path, n, {"id": f"f{n}", "kind": "file"})
+    rows = spark.read.format("changefeed").option("path", str(tmp_path)).load()
+    assert rows.rdd.getNumPartitions() == 3 and sorted(r["page"] for r in rows.collect()) == list(range(1, 151))
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("changefeed").option("path", str(tmp_path / "none")).load().count() == 0
+
+
 def test_feed_rules():
     assert needs_full_scan({"removed": True}) and needs_full_scan({"kind": "folder"}) and not needs_full_scan({"kind": "file"})
     assert item_error(404, "") and item_error(403, "cannotDownloadFile") and not item_error(403, "rateLimitExceeded") and not item_error(500, "")

@@ -668,6 +668,14 @@ def test_bpe(spark, rows):
     assert got == want
 
 
+def test_bpe_empty_and_counts(spark, rows):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert bpe.encode_table(frame(spark, []), path, public_tokenizers.PATTERN).count() == 0
+    whole = {(r["doc_id"], r["n_tokens"]) for r in bpe.encode_table(frame(spark, rows), path, public_tokenizers.PATTERN).collect()}
+    counted = bpe.token_counts(frame(spark, rows), path, public_tokenizers.PATTERN)
+    assert "text" not in counted.columns and {(r["doc_id"], r["n_tokens"]) for r in counted.collect()} == whole
+
+
 def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(3000)]
     table = bpe.PerfectHash(keys)

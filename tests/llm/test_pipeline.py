@@ -52,3 +52,13 @@ def test_run(spark, folder):
     a = Counter(tuple(r) for r in corpus_pipeline.run(spark, folder).collect())
     b = Counter(tuple(r) for r in corpus_pipeline.run(spark, folder).collect())
     assert a == b and sum(a.values()) > 200
+
+
+def test_run_on_nothing(spark, tmp_path):
+    """No documents, and documents without labels or text."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows, n in (("none", [], 0), ("blank", [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d e", "en", "s", 9)], 1)):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        assert corpus_pipeline.run(spark, str(folder)).count() == n

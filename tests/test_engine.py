@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.engine import Index
 from corpusloom.plans.search import Options
+from corpusloom.settings import Settings
+from corpusloom.sources import documents as D
 
 LAW = "Số: 99/2026/NĐ-CP\nNGHỊ ĐỊNH\nVề thử nghiệm\n\nĐiều 1. Phạm vi\nQuy định về cây cam.\nĐiều 2. Hợp đồng\nHợp đồng mua đường.\nĐiều 3. Thi hành\nHiệu lực."
 
@@ -129,12 +131,67 @@ def test_evaluate(spark, index):
     assert got["count"] == 2 and got["recall_1"] == 0.5 and got["mrr_10"] == 0.5
 
 
-def test_rebuild_keeps_ids(index):
+def test_metadata_numbers_locations_and_warnings(spark, index):
+    index = index[0]
+    # Only the metadata of data.json holds the word columns' keys; titles are metadata too.
+    by_title = index.search("copy", Options(match="any", limit=20, per_document=20)).collect()
+    assert [(r["matched_via"], r["document_ref"]) for r in by_title if r["cite_key"] is None] == [("automatic", "notes:sub/copy.txt")]
+    assert all(r["text"].startswith("automatic: copy") for r in by_title if r["cite_key"] is None)
+    # A question that is a number, and a number beside one, together with plain questions in a batch.
+    asked = spark.createDataFrame([(1, "99/2026/NĐ-CP"), (2, "orchard harvest"), (3, "zzznothing")], "query_id int, text string")
+    rows = index.search(asked, Options(limit=5)).orderBy("query_id", "place").collect()
+    first = [r for r in rows if r["query_id"] == 1]
+    assert [r["matched_via"] for r in first[:3]] == ["doc_no"] * 3 and {r["doc_no"] for r in first[:3]} == {"99/2026/NĐ-CP"} and first[0]["score"] == 1.0
+    assert not [r for r in rows if r["query_id"] == 3]
+    beside = index.search("apples", Options(doc_no="99/2026/NĐ-CP", limit=5)).orderBy("place").collect()
+    assert [r["matched_via"] for r in beside[:3]] == ["doc_no"] * 3 and beside[3]["document_ref"] != "notes:law.txt"
+    # Both copies of a body are its locations; only one of them is a hit.
+    copied = [r for r in rows if r["query_id"] == 2 and r["n_locations"] > 1]
+    assert copied and {x["path"] for x in copied[0]["locations"]} == {"sub/long.txt", "sub/copy.txt"}
+    assert {r["path"] for r in index.locations(index.search("orchard harvest")).collect()} >= {"sub/long.txt", "sub/copy.txt", "notes.md"}
+    assert len({r["body_hash"] for r in rows if r["query_id"] == 2}) == len([r for r in rows if r["query_id"] == 2 and r["cite_key"]])
+    # Citation and provenance of a structured chunk.
+    hit = next(r for r in index.search("hợp đồng").collect() if r["cite_key"] == "99/2026/NĐ-CP#dieu-2")
+    assert hit["citation"]["path"] == "law.txt" and hit["citation"]["doc_no"] == "99/2026/NĐ-CP" and hit["citation"]["locators"][0].startswith("line:")
+    assert hit["section_path"] and hit["provenance"][0]["kind"] == "line" and hit["warnings"] and hit["effective_mode"] == "full_text" and hit["ocr"] is False
+    assert {r["effective_match"] for r in index.search("apples zzznothing").collect()} == {"any"}
+    assert not index.search("apples", Options(mode="full_text")).first()["warnings"]
+
+
+def test_rebuild_reads_only_what_changed(index, monkeypatch):
     index, root = index
     before = {r["relative_path"]: r["id"] for r in index.documents.collect()}
+    chunks = {r["row_id"]: r["text"] for r in index.chunks.collect()}
     (root / "new.txt").write_text("a new file about quinces")
-    (root / "data.json").unlink()
+    (root / "notes.md").rename(root / "sub" / "moved.md")
+    (root / "data.json").write_text("{broken")
+    (root / "sub" / "copy.txt").unlink()
+    asked, contents = [], D.contents
+    monkeypatch.setattr(D, "contents", lambda spark, root, wanted: (asked.append({r["relative_path"] for r in wanted.collect()}), contents(spark, root, wanted))[1])
     index.build(str(root), "s1", "notes")
     after = {r["relative_path"]: r["id"] for r in index.documents.collect()}
-    assert index.version() == 2 and after["law.txt"] == before["law.txt"] and after["new.txt"] > max(before.values()) and "data.json" not in after
+    assert index.version() == 2 and asked[0] == {"new.txt", "sub/moved.md", "data.json", "bad.json"} and "law.txt" not in asked[1]
+    assert after["law.txt"] == before["law.txt"] and after["sub/moved.md"] == before["notes.md"] and after["new.txt"] > max(before.values())
+    assert after["data.json"] == before["data.json"] and "sub/copy.txt" not in after and "notes.md" not in after
+    assert {(r["path"], r["status"], r["error"]) for r in index.failures().collect()} == {("data.json", "stale", "format_parse_failed"), ("bad.json", "unindexed", "format_parse_failed")}
+    assert [tuple(r) for r in index.coverage().collect()] == [("s1", "partial", 2, 0)]
+    assert {r["action"]: r["files"] for r in index.actions().collect()} == {"unchanged": 2, "moved": 1, "moved_away": 1, "extract": 2, "cached_reindex": 1, "deleted": 1}
     assert found(index.search("quinces"))[0][1] == "notes:new.txt"
+    assert "notes:data.json" in {r for _, r in found(index.search("apples", Options(match="any")))}  # the last good one
+    assert {r for _, r in found(index.search("pears"))} == {"notes:sub/moved.md"}
+    kept = {r["row_id"]: r["text"] for r in index.chunks.filter(F.col("document") == after["law.txt"]).collect()}
+    assert kept and all(chunks[k] == v for k, v in kept.items())
+    n = index.inverted.stats.first()["n"]
+    assert n == index.chunks.count() and index.inverted.postings.select("row_id").distinct().count() == n
+    got = {r["id"]: (r["checked"], r["matches"]) for r in index.integrity(str(root)).collect()}
+    assert got[after["law.txt"]] == (True, True) and got[after["data.json"]] == (True, False)
+
+
+def test_limits_are_settings(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "big.csv").write_text("a,b\n" + "1,2\n" * 50)
+    (tmp_path / "files" / "small.csv").write_text("a,b\n1,2\n")
+    index = Index(spark, str(tmp_path / "index"), settings=Settings(max_csv_rows=10))
+    index.build(str(tmp_path / "files"), "s1", "notes")
+    assert [r["relative_path"] for r in index.documents.collect()] == ["small.csv"]
+    assert [(r["path"], r["error"]) for r in index.failures().collect()] == [("big.csv", "format_too_large")]

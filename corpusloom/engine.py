@@ -19,7 +19,7 @@ from corpusloom.plans import search as plan
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
 from corpusloom.sources.formats import SCANNED_MEDIA, Backend
-from corpusloom.sources.shared import hadoop
+from corpusloom.sources.shared import hadoop, stored
 
 TABLES = ("documents", "chunks", "metadata", "coverage", "sources", "actions")
 VALIDITY = "id long, effective_from date, effective_to date, amended_by array<string>, replaced_by string, status_checked_on date, status_source string"
@@ -233,12 +233,13 @@ class Index:
         context = T.context_line(F.col("doc_no"), F.col("name"), F.array_join(within, " | "))
         parts = parts.select("document", "part", F.col("path").alias("section_path"), "start", "stop", T.stored_text(context, F.col("body")).alias("text"))
         parts = reads.nth(parts, ["document"], [F.col("start"), F.col("part")]).withColumn("ordinal", F.col("n") - 1).drop("n")
+        parts = stored(parts, "parts")
         hashed = parts.withColumn("chunk_hash", F.sha2("text", 256)).withColumn("body_hash", F.col("chunk_hash"))
         rest = rows.join(parts.select("document").distinct(), "document", "left_anti")
         windows = D.window_chunks(
             rest, "document", context=T.context_line(F.col("title"), F.col("relative_path")), size=self.settings.chunk_chars, overlap=self.settings.chunk_overlap
         ).withColumns({"part": F.concat(F.lit("c"), "ordinal"), "section_path": F.lit(None).cast("array<string>")})
-        both = hashed.unionByName(windows.select(hashed.columns))
+        both = stored(hashed.unionByName(windows.select(hashed.columns)), "chunks")
         prefix = rows.select("document", F.coalesce("doc_no", "stable_ref").alias("prefix"))
         keyed = structure.cite_keys(both.join(prefix, "document"), "document", "prefix", "part", "ordinal").drop("prefix")
         # All text of these media comes from the recognition backend.

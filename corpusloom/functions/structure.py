@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.sources.shared import stored
 
 #: Patterns of heading lines.
 CHAPTER = r"(?U)^(?:Chương|CHƯƠNG)\s+([IVXLC\d]+)\b[.:]?\s*(.*)$"
@@ -277,9 +278,11 @@ def legal_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if limit < 200:
         raise ValueError("limit must be 200 at least")
-    whole = plain(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("raw")), "raw")
+    # Each step asks for the one before it several times, so each is a table.
+    whole = stored(plain(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("raw")), "raw").select("doc", "plain", "steps"), "legal-plain")
     texts = whole.select("doc", F.col("plain").alias("text"))
-    pieces = packed(points(clauses(_pieces(_section_ranges(texts), texts), limit), limit), limit)
+    sections = stored(_pieces(_section_ranges(texts), texts), "legal-sections")
+    pieces = packed(stored(points(stored(clauses(sections, limit), "legal-clauses"), limit), "legal-points"), limit)
     lead = F.length("piece") - F.length(F.regexp_replace("piece", rf"^{T.BLANK}+", ""))
     body = T.strip(F.col("piece"))
     placed = pieces.withColumns({"begin": F.col("start") + lead, "body": body}).filter("body <> ''").join(whole.select("doc", "steps"), "doc")

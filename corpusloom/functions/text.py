@@ -42,13 +42,9 @@ def casefold(texts: pd.Series) -> pd.Series:
 
 
 def tokens(col: Column) -> Column:
-    """Index terms: folded, lower-cased runs of letters and digits.
-
-    Only terms that are not plain ASCII are folded, which most are not. (The capital I with a dot is the one letter
-    whose lower case is not one letter, so it is folded first.)
-    """
-    runs = F.regexp_extract_all(F.lower(F.replace(col, F.lit("İ"), F.lit("I"))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.transform(runs, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(fold(t)))
+    """Index terms: folded, lower-cased runs of letters and digits (text in plain ASCII needs no folding)."""
+    folded = F.when(F.octet_length(col) == F.length(col), col).otherwise(fold(col))
+    return F.filter(F.split(F.lower(folded), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_terms(col: Column) -> Column:

@@ -111,16 +111,21 @@ def statistics(sized: DataFrame) -> DataFrame:
     return sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean"))
 
 
-def bm25_postings(index: Inverted, queries: DataFrame) -> DataFrame:
-    """As :func:`bm25` from the inverted index, of which only the wanted terms' part is read."""
+def bm25_postings(index: Inverted, queries: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """As :func:`bm25` from the inverted index, of which only the wanted terms' part is read; ``terms`` are those of :func:`literals`."""
     wanted = terms_of(queries)
-    hits = _listed(index.postings, wanted).join(wanted.select("term").distinct(), "term", "left_semi").select("row_id", "dl", "term", "tf")
+    hits = _listed(index.postings, literals(queries) if terms is None else terms).join(wanted.select("term").distinct(), "term", "left_semi").select("row_id", "dl", "term", "tf")
     return _sum(hits, wanted, index.stats)
 
 
-def _listed(posted: DataFrame, wanted: DataFrame) -> DataFrame:
+def literals(queries: DataFrame) -> list[str]:
+    """The different terms of some queries, as far as they are few (``LITERALS``)."""
+    each = queries.select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct().limit(LITERALS + 1)
+    return [r["term"] for r in each.collect()]
+
+
+def _listed(posted: DataFrame, terms: list[str]) -> DataFrame:
     """The postings of some terms; a literal filter reaches the scan of an index sorted by term."""
-    terms = [r["term"] for r in wanted.select("term").distinct().limit(LITERALS + 1).collect()]
     return posted.filter(F.col("term").isin(*terms)) if len(terms) <= LITERALS else posted
 
 
@@ -150,11 +155,11 @@ def phrase(tokens: DataFrame, terms: Sequence[str]) -> DataFrame:
     return _phrase_cost(sized.filter("tf > 0"), statistics(sized))
 
 
-def phrase_postings(index: Inverted, queries: DataFrame) -> DataFrame:
+def phrase_postings(index: Inverted, queries: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """query_id, row_id, cost of every query as a phrase, from the inverted index: places where all terms agree on the phrase's start."""
     asked = queries.select("query_id", T.tokens(F.col("text")).alias("terms"))
     wanted = asked.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
-    hits = _listed(index.postings, wanted).join(wanted, "term")
+    hits = _listed(index.postings, literals(queries) if terms is None else terms).join(wanted, "term")
     starts = hits.select("query_id", "row_id", "dl", "n_terms", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("start"))
     whole = starts.groupBy("query_id", "row_id", "dl", "n_terms", "start").agg(F.count(F.lit(1)).alias("n")).filter("n = n_terms")
     return _phrase_cost(whole.groupBy("query_id", "row_id", "dl").agg(F.count(F.lit(1)).alias("tf")), index.stats)

@@ -68,11 +68,11 @@ OCR_NOTICE = "OCR, chưa kiểm chứng: mở trang gốc trước khi trích d
 FALLBACK = "semantic search unavailable; using full_text: "
 
 
-def _pass(index, chunks: DataFrame, metadata: DataFrame, queries: DataFrame, match: str, pool: int) -> DataFrame:
+def _pass(index, chunks: DataFrame, metadata: DataFrame, queries: DataFrame, terms: list[str], match: str, pool: int) -> DataFrame:
     """query_id, row_id, rank, matched_via of one match mode: chunks in accent-exact order within their pool, then metadata."""
 
     def best(inverted: lexical.Inverted, rows: DataFrame) -> DataFrame:
-        scored = lexical.phrase_postings(inverted, queries) if match == "phrase" else lexical.bm25_postings(inverted, queries)
+        scored = (lexical.phrase_postings if match == "phrase" else lexical.bm25_postings)(inverted, queries, terms)
         scored = scored.filter("matched = n_terms") if match == "all" else scored
         return lexical.top(scored.join(rows.select("row_id"), "row_id", "left_semi"), pool)
 
@@ -85,9 +85,12 @@ def _pass(index, chunks: DataFrame, metadata: DataFrame, queries: DataFrame, mat
 
 def _words(index, chunks: DataFrame, metadata: DataFrame, queries: DataFrame, match: str, pool: int) -> DataFrame:
     """As :func:`_pass`, and effective_match; ``auto`` puts complete hits before all others."""
+    terms = lexical.literals(queries)
     if match != "auto":
-        return _pass(index, chunks, metadata, queries, match, pool).withColumn("effective_match", F.lit(match))
-    complete, partial = (stored(_pass(index, chunks, metadata, queries, m, pool), "search-words") for m in ("all", "any"))
+        return _pass(index, chunks, metadata, queries, terms, match, pool).withColumn("effective_match", F.lit(match))
+    both = [_pass(index, chunks, metadata, queries, terms, m, pool).withColumn("pass", F.lit(m)) for m in ("all", "any")]
+    found = stored(both[0].unionByName(both[1]), "search-passes")  # one job, whose two passes share the scores
+    complete, partial = (found.filter(F.col("pass") == m).drop("pass") for m in ("all", "any"))
     return lexical.merge_auto(complete, partial).select("query_id", "row_id", F.col("merged_rank").alias("rank"), "matched_via", "effective_match")
 
 

@@ -115,12 +115,13 @@ def test_status_of_scans(spark, tmp_path):
         reviews = ["low_quality_ocr"] if suffix == ".pdf" else [] if data.strip() else ["blank_or_failed_ocr"]
         return [("pdf_page", "page:1", data.decode())], reviews
 
-    scans = Index(spark, str(tmp_path / "index"))
+    plain = Settings(chunk_strategy="window")
+    scans = Index(spark, str(tmp_path / "index"), settings=plain)
     scans.build(str(tmp_path / "files"), "s1", "scans", backend)
     names = {r["id"]: r["relative_path"] for r in scans.documents.collect()}
     got = {names[r["id"]]: set(r["warnings"]) - {"UNKNOWN_VALIDITY"} for r in scans.check_status("2026-01-01").collect()}
     assert got == {"clear.png": {"OCR_UNVERIFIED"}, "poor.pdf": {"OCR_UNVERIFIED", "OPEN_REVIEWS"}, "blank.jpg": {"OPEN_REVIEWS"}, "plain.txt": set()}
-    bare = Index(spark, str(tmp_path / "bare"))
+    bare = Index(spark, str(tmp_path / "bare"), settings=plain)
     bare.build(str(tmp_path / "files"), "s1", "scans")
     assert sum("OPEN_REVIEWS" in r["warnings"] for r in bare.check_status("2026-01-01").collect()) == 3
 
@@ -191,7 +192,7 @@ def test_limits_are_settings(spark, tmp_path):
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "big.csv").write_text("a,b\n" + "1,2\n" * 50)
     (tmp_path / "files" / "small.csv").write_text("a,b\n1,2\n")
-    index = Index(spark, str(tmp_path / "index"), settings=Settings(max_csv_rows=10))
+    index = Index(spark, str(tmp_path / "index"), settings=Settings(max_csv_rows=10, chunk_strategy="window"))
     index.build(str(tmp_path / "files"), "s1", "notes")
     assert [r["relative_path"] for r in index.documents.collect()] == ["small.csv"]
     assert [(r["path"], r["error"]) for r in index.failures().collect()] == [("big.csv", "format_too_large")]

@@ -65,11 +65,11 @@ def test_ndcg_credits_each_gold_once(spark):
 
 
 def test_prioritise_doc_no(spark):
-    hits = spark.createDataFrame([("c1", "D1", 1), ("c2", "D2", 2)], "row_id string, document string, rank int")
-    wanted = spark.createDataFrame([(f"w{i}", "D2", i) for i in range(5)], "row_id string, document string, ordinal int")
-    up = fusion.prioritise(hits, wanted, number_query=False)
+    hits = spark.createDataFrame([(1, "c1", "D1", 1, 0.5, "content"), (1, "c2", "D2", 2, 0.4, "content")], "query_id int, row_id string, document string, rank int, score double, matched_via string")
+    wanted = spark.createDataFrame([(1, f"w{i}", "D2", i, False) for i in range(5)], "query_id int, row_id string, document string, ordinal int, number_query boolean")
+    up = fusion.prioritise(hits, wanted)
     assert [r["row_id"] for r in up.orderBy("place").collect()] == ["c2", "c1"]
-    brought = fusion.prioritise(hits.filter("document = 'D1'"), wanted, number_query=False)
+    brought = fusion.prioritise(hits.filter("document = 'D1'"), wanted)
     assert [r["row_id"] for r in brought.orderBy("place").collect()] == ["w0", "w1", "w2", "c1"]
 
 

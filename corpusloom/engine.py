@@ -272,6 +272,15 @@ class Index:
         reviews = self.documents.select(F.col("id").alias("document"), F.explode("reviews").alias("reason"), F.lit("open").alias("status"))
         return governance.document_warnings(self.documents, self.validity, self.chunks, reviews, day)
 
+    def readiness(self, now: str, poll: int = 3600) -> DataFrame:
+        """What hinders the index: its sources, builds older than three intervals, open reviews, chunks without vectors."""
+        sources = self._table("sources").select(
+            F.col("source_id").alias("name"), F.lit(True).alias("enabled"), F.col("last_sync_at").alias("created_at"), "last_sync_at",
+            F.lit(poll).alias("poll"), F.lit(None).cast("string").alias("last_error"),
+        )
+        reviews = self.documents.select(F.explode("reviews").alias("reason"), F.lit("open").alias("status"))
+        return upkeep.readiness(sources, reviews, self.chunks, self.vectors, now)
+
     def integrity(self, root: str) -> DataFrame:
         """Every local document's recorded hash against its file's bytes now."""
         return upkeep.integrity(self.documents.filter("kind = 'local'"), D.scan(self.spark, root))

@@ -1,4 +1,4 @@
-"""Upkeep of what an index keeps: integrity, garbage, reviews, sources, added facts, folder trees."""
+"""Upkeep of what an index keeps: integrity, garbage, reviews, sources, readiness, added facts, folder trees."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.sources.shared import stored
 
-#: Seconds an unreferenced file is spared, and the shortest interval of a schedule.
-GRACE, LEAST_POLL = 3600, 60
+#: Seconds an unreferenced file is spared, the shortest interval of a schedule, and the intervals without a sync after which a source is stale.
+GRACE, LEAST_POLL, STALE_POLLS = 3600, 60, 3
 
 
 def integrity(documents: DataFrame, files: DataFrame) -> DataFrame:
@@ -88,6 +88,40 @@ def changed(sources: DataFrame, name: str, enabled: bool | None = None, poll_sec
     return sources.withColumns({c: F.when(F.col("name") == name, F.lit(v)).otherwise(F.col(c)) for c, v in given.items() if v is not None})
 
 
+def readiness(sources: DataFrame, reviews: DataFrame, chunks: DataFrame, vectors: DataFrame, now: str) -> DataFrame:
+    """check, status (ok, warning, error), n: what hinders an index, a row for each check and one, ``all``, for their sum.
+
+    sources: name, enabled, created_at, last_sync_at, poll, last_error; only enabled ones count, and one that was never
+    synced ages from its creation. reviews: reason, status. A chunk_hash of chunks without vectors is a warning.
+    ``all`` is blocked after an error, degraded after a warning, else ready; its n is the number of checks that are not ok.
+    """
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.coalesce("last_sync_at", "created_at"))
+    late, broken = age > STALE_POLLS * F.col("poll"), F.coalesce("last_error", F.lit("")) != ""
+    synced = sources.filter("enabled").agg(F.count(F.lit(1)).alias("enabled"), F.count_if(broken).alias("broken"), F.count_if(late).alias("late"))
+    row = lambda name, status, n: F.struct(F.lit(name).alias("check"), status.alias("status"), n.cast("long").alias("n"))
+    sync = F.when(F.col("broken") > 0, "error").when((F.col("late") > 0) | (F.col("enabled") == 0), "warning").otherwise("ok")
+    of_sources = synced.select(
+        F.inline(
+            F.array(
+                row("sources", F.when(F.col("enabled") > 0, "ok").otherwise("error"), F.col("enabled")),
+                row("sync", sync, F.when(F.col("broken") > 0, F.col("broken")).otherwise(F.col("late"))),
+            )
+        )
+    )
+    left = {
+        "reviews": reviews.filter((F.col("status") == "open") & (F.col("reason") != "complex_layout")),
+        "vectors": chunks.select("chunk_hash").distinct().join(vectors.select("chunk_hash"), "chunk_hash", "left_anti"),
+    }
+    checks = of_sources
+    for name, rows in left.items():
+        counted = rows.agg(F.count(F.lit(1)).alias("n"))
+        checks = checks.unionByName(counted.select(F.lit(name).alias("check"), F.when(F.col("n") > 0, "warning").otherwise("ok").alias("status"), "n"))
+    bad = lambda s: F.count_if(F.col("status") == s)
+    whole = F.when(bad("error") > 0, "blocked").when(bad("warning") > 0, "degraded").otherwise("ready")
+    checks = stored(checks, "readiness")  # four rows; the tables are not read again for their sum
+    return checks.unionByName(checks.agg(F.lit("all").alias("check"), whole.alias("status"), (bad("error") + bad("warning")).alias("n")))
+
+
 def names_of(documents: DataFrame) -> DataFrame:
     """name, document: every name that means one document (stable reference, ``source:path``, path, external id)."""
     every = F.array("stable_ref", F.concat_ws(":", "source_name", "relative_path"), "relative_path", "external_id")

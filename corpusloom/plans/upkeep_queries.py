@@ -35,6 +35,24 @@ def reviews_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "status", "resolution")
 
 
+@query("""WITH e AS (SELECT event_type, epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(max(ts)) > 3 * 10800 AS late FROM events WHERE event_type <> 'error' GROUP BY 1),
+c AS (SELECT 'sources' AS "check", CASE WHEN count(*) > 0 THEN 'ok' ELSE 'error' END AS status, count(*) AS n FROM e
+  UNION ALL SELECT 'sync', CASE WHEN count(*) FILTER (late) > 0 OR count(*) = 0 THEN 'warning' ELSE 'ok' END, count(*) FILTER (late) FROM e
+  UNION ALL SELECT 'reviews', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END, count(*) FROM labels WHERE quality = 0 AND toxic = 0
+  UNION ALL SELECT 'vectors', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'ok' END, count(*) FROM (SELECT DISTINCT doc_id FROM documents) d WHERE NOT EXISTS (FROM embeddings v WHERE v.vec_id = d.doc_id))
+SELECT * FROM c UNION ALL SELECT 'all', CASE WHEN bool_or(status = 'error') THEN 'blocked' WHEN bool_or(status = 'warning') THEN 'degraded' ELSE 'ready' END, count(*) FILTER (status <> 'ok') FROM c""")
+def readiness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as sources polled every three hours, labels as reviews (toxic ones of a complex layout), documents as chunks."""
+    of_type = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_sync_at"))
+    sources = of_type.select("*", (F.col("name") != "error").alias("enabled"), F.lit(10800).alias("poll"), F.lit(None).cast("string").alias("last_error"))
+    reviews = table(spark, sf_dir, "labels").select(
+        F.when(F.col("quality") == 0, "open").otherwise("resolved").alias("status"), F.when(F.col("toxic") == 1, "complex_layout").otherwise("low_confidence").alias("reason")
+    )
+    chunks = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_hash"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_hash"))
+    return upkeep.readiness(sources, reviews, chunks, vectors, "2024-02-01 00:00:00")
+
+
 NAMES = "(1, 'a/b'), (2, 'a%2Fb'), (3, '.'), (4, '..'), (5, ''), (6, 'Hợp đồng 1.txt'), (7, 'x\\\\y')"
 
 

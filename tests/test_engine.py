@@ -1,10 +1,13 @@
 """Files to an index to answers."""
 
+from datetime import datetime
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.engine import Index
+from corpusloom.operators import upkeep
 from corpusloom.plans.search import Options
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
@@ -196,3 +199,20 @@ def test_limits_are_settings(spark, tmp_path):
     index.build(str(tmp_path / "files"), "s1", "notes")
     assert [r["relative_path"] for r in index.documents.collect()] == ["small.csv"]
     assert [(r["path"], r["error"]) for r in index.failures().collect()] == [("big.csv", "format_too_large")]
+
+
+def test_readiness(spark, index):
+    rows = {r["check"]: (r["status"], r["n"]) for r in index[0].readiness("2000-01-01 00:00:00").collect()}
+    assert rows["sources"] == ("ok", 1) and rows["sync"] == ("ok", 0)
+    assert rows["vectors"][0] == "warning" and rows["all"][0] == "degraded"
+
+
+def test_readiness_levels(spark):
+    made = lambda rows: spark.createDataFrame(rows, "name string, enabled boolean, created_at timestamp, last_sync_at timestamp, poll int, last_error string")
+    nothing = spark.createDataFrame([], "reason string, status string"), spark.createDataFrame([], "chunk_hash string"), spark.createDataFrame([], "chunk_hash string")
+    day = [datetime(2024, 1, 1, 0, m) for m in range(2)]
+    status = lambda rows: {r["check"]: r["status"] for r in upkeep.readiness(made(rows), *nothing, "2024-01-01 00:05:00").collect()}
+    assert status([]) == {"sources": "error", "sync": "warning", "reviews": "ok", "vectors": "ok", "all": "blocked"}
+    assert status([("a", True, day[0], day[1], 100, None), ("b", False, day[0], None, 1, "x")])["all"] == "ready"
+    assert status([("a", True, day[0], None, 60, "")])["sync"] == "warning"  # never synced: from its creation
+    assert status([("a", True, day[0], day[1], 100, "refused")])["all"] == "blocked"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import alignment, bpe, exact_dedup, mixing, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
+from corpusloom.llm import alignment, bpe, exact_dedup, mixing, negatives, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
 from corpusloom.llm.common import stored, table, text_or_empty, word_count
 
 
@@ -170,6 +170,27 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("groups_sha256", digest).drop("groups")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+    list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -184,8 +205,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": op9_bpe,
         "op10_url_filter": op10_url_filter,
         "op12_alignment": op12_alignment,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"token_rollup_words": TOKEN_ROLLUP_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_topk": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"token_rollup_words": TOKEN_ROLLUP_SQL, "op5_exact_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_topk": OP8_SQL, "op10_url_filter": OP10_SQL, "op13_hard_negatives": OP13_SQL}

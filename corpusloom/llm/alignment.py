@@ -342,7 +342,7 @@ def _documents(row: dict, counts: tuple) -> Iterator[pa.RecordBatch]:
 
 
 def align(
-    docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", slice_pairs: int = 1 << 21, chunk_bytes: int = 16 << 20
+    docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", slice_pairs: int = 1 << 21, chunk_bytes: int = 2 << 20
 ) -> DataFrame:
     """One row per input row: id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (``a1,a2|b1;a3|b2,b3``)."""
     spark = docs.sparkSession

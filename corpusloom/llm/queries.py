@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import alignment, bpe, exact_dedup, mixing, negatives, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
+from corpusloom.llm import alignment, bpe, exact_dedup, jaccard, mixing, negatives, simhash, suffix_dedup, token_rollup, topk, toxicity, url_filter, warc
 from corpusloom.llm.common import stored, table, text_or_empty, word_count
 
 
@@ -164,6 +164,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
@@ -204,6 +208,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": op8_exact_topk,
         "op9_bpe": op9_bpe,
         "op10_url_filter": op10_url_filter,
+        "op11_jaccard": op11_jaccard,
         "op12_alignment": op12_alignment,
         "op13_hard_negatives": op13_hard_negatives,
     }

@@ -221,10 +221,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written out, so that the neighbours of a hub meet it in a join that Spark can split.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: the smaller neighbours of a node, and itself, go to the smallest of them.
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, "star-large")
+        floor = stored(large.groupBy("a").agg(F.min("b").alias("m")), "star-floor")
         small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(floor.select("a", F.col("m").alias("b"))).distinct().checkpoint()
         now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -235,21 +237,25 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, budget: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, check, fp) and, for each fp, the least (id, check) of its component."""
-    rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min(F.struct("id", "check")).alias("least")), "fingerprint-nodes")
-    roots = components(links(nodes.select("fp"), budget, blocks))
-    placed = stored(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
-    found = stored(placed.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-least")
+def named(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """``nodes`` (key, least) with the ``least`` of all nodes that they reach."""
+    roots = components(edges)
+    placed = stored(nodes.join(roots, nodes[key] == roots.node, "left").select(key, "least", F.coalesce("root", key).alias("root")), "component-roots")
+    found = stored(placed.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n")), "component-least")
     # Components with more than one in HOT of the nodes are HOT at most: sent to all tasks, so that no task gets one whole.
     total = found.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > total // HOT
     large = placed.join(F.broadcast(found.filter(hot).select("root", F.col("least").alias("hot_least"))), "root", "left")
-    small = large.filter("hot_least is null").select("fp", "root").join(found.filter(~hot).select("root", "least"), "root")
-    named = large.filter("hot_least is not null").select("fp", F.col("hot_least").alias("least")).unionByName(small.select("fp", "least"))
+    small = large.filter("hot_least is null").select(key, "root").join(found.filter(~hot).select("root", "least"), "root")
+    return large.filter("hot_least is not null").select(key, F.col("hot_least").alias("least")).unionByName(small.select(key, "least"))
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, width: int, budget: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, check, fp) and, for each fp, the least (id, check) of its component."""
+    rows = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    nodes = stored(rows.groupBy("fp").agg(F.min(F.struct("id", "check")).alias("least")), "fingerprint-nodes")
     # Written out, so that a hot fingerprint's rows meet it in a join that Spark can split.
-    return rows, stored(named, "fingerprint-components")
+    return rows, stored(named(nodes, "fp", links(nodes.select("fp"), budget, blocks)), "fingerprint-components")
 
 
 def near_duplicates(

@@ -77,6 +77,10 @@ class Gap:
     reason: str
 
 
+#: Bytes after which a record that does not end counts as damaged, for archives whose largest record is not known.
+MOST = 1 << 28
+
+
 class Damaged(Exception):
     pass
 
@@ -85,15 +89,15 @@ class _Short(Exception):
     """More bytes are needed to tell."""
 
 
-def parse(data: bytes, at: int, ended: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, payload and end of the plain record at ``at``; Damaged, or _Short while more may come."""
+def parse(data: bytes, at: int, ended: bool, most: int) -> tuple[dict[str, str], bytes, int]:
+    """Headers, payload and end of the plain record at ``at``; Damaged, or _Short while more may come, up to ``most`` bytes."""
     short = Damaged("cut off") if ended else _Short()
     head = data[at : at + len(VERSION)]
     if head != VERSION:
         raise short if VERSION.startswith(head) else Damaged("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
-        raise short if len(data) - at < 1 << 20 else Damaged("headers do not end")
+        raise short if len(data) - at < most else Damaged("headers do not end")
     headers = {}
     for line in data[at + len(VERSION) : stop].split(b"\r\n"):
         key, colon, value = line.partition(b":")
@@ -134,7 +138,7 @@ def _member(data: bytes, at: int, ended: bool, most: int, step: int = 1 << 16) -
     raise Damaged("cut off") if ended else _Short()
 
 
-def salvage(stream, chunk: int = 1 << 20, most: int = 1 << 28) -> Iterator[Record | Gap]:
+def salvage(stream, chunk: int = 1 << 20, most: int = MOST) -> Iterator[Record | Gap]:
     """Records of an archive (a file object) in order, with the gaps between them.
 
     ``most``: bytes, packed or not, after which a record that does not end counts as damaged.
@@ -145,13 +149,13 @@ def salvage(stream, chunk: int = 1 << 20, most: int = 1 << 28) -> Iterator[Recor
     def found(data: bytes, at: int, ended: bool) -> tuple[dict[str, str], bytes, int]:
         if data[at : at + 3] == MEMBER:
             plain, end = _member(data, at, ended, most)
-            headers, payload, stop = parse(plain, 0, True)
+            headers, payload, stop = parse(plain, 0, True, most)
             if stop != len(plain):
                 raise Damaged("bytes after the record")
             return headers, payload, end
         if not ended and len(data) - at < len(VERSION):
             raise _Short()
-        return parse(data, at, ended)
+        return parse(data, at, ended, most)
 
     want = chunk
     while True:
@@ -196,7 +200,7 @@ def write(
     roll_bytes: int = 32 << 20,
     folder: str | None = None,
 ) -> DataFrame:
-    """Write archives; the manifest, stored: path, bytes, records."""
+    """Write archives; the manifest, stored: path, bytes, records, largest (bytes of the largest record, not packed)."""
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     fs, base = pafs.FileSystem.from_uri(folder)
@@ -216,34 +220,40 @@ def write(
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
-                    name, size, n = f"{uuid.uuid4().hex}.warc" + ".gz" * gzip, 0, 0
+                    name, size, n, largest = f"{uuid.uuid4().hex}.warc" + ".gz" * gzip, 0, 0, 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                 record = encode_record(r["id"], r["url"], r["payload"], r["digest"], r["size"], r["first"], r["revisit"])
+                largest = max(largest, len(record))
                 record = compress(record) if gzip else record
                 out.write(record)
                 size, n = size + len(record), n + 1
                 if size >= roll_bytes:
                     out.close()
                     out = None
-                    yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "bytes": size, "records": n}])
+                    yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "bytes": size, "records": n, "largest": largest}])
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "bytes": size, "records": n}])
+            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "bytes": size, "records": n, "largest": largest}])
 
     slim = marked.select("id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "digest", "size", "first", "revisit")
-    return stored(slim.mapInArrow(put, "path string, bytes long, records long"), "warc-manifest")
+    return stored(slim.mapInArrow(put, "path string, bytes long, records long, largest long"), "warc-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Every record and gap of the archives: path, offset, length, reason (of a gap), headers, payload."""
+    """Every record and gap of the archives: path, offset, length, reason (of a gap), headers, payload.
+
+    A manifest that names its largest record bounds what the reader holds before it gives a record up, with room
+    for what packing may add; so no whole record of any size is a gap.
+    """
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, largest in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                most = MOST if largest is None else largest + (largest >> 8) + (1 << 16)
                 store, at = pafs.FileSystem.from_uri(path)
                 out, size = [], 0
                 with store.open_input_stream(at, compression=None) as f:
-                    for x in salvage(f):
+                    for x in salvage(f, most=most):
                         gap = isinstance(x, Gap)
                         out.append(
                             {
@@ -268,7 +278,8 @@ def read(manifest: DataFrame) -> DataFrame:
     )
     # Dealt in turn, an archive to a task where there are tasks enough; a number that is given is not coalesced.
     tasks = 4 * max(partitions(manifest.sparkSession), manifest.sparkSession.sparkContext.defaultParallelism)
-    paths = manifest.select("path").repartition(max(1, min(manifest.count(), tasks)))
+    largest = F.col("largest") if "largest" in manifest.columns else F.lit(None).cast("long")
+    paths = manifest.select("path", largest).repartition(max(1, min(manifest.count(), tasks)))
     return paths.mapInArrow(get, "path string, offset long, length long, reason string, headers map<string,string>, payload binary")
 
 

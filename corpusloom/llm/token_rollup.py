@@ -9,11 +9,13 @@ each (source, lang, version); totals are the sum of those rows over all batches,
 costs nothing that depends on the number of documents.
 
 Commits are idempotent: a batch is written to a folder of its own attempt and counts once its entry
-(batch id and folder) is the next one of the log, which the file system gives to one writer only.
-Who loses that race starts again from the changed log: its batch id may be there now, and then
-nothing changes, or the ledger may have moved, and then the differences are made anew. Folders
-without an entry, of a lost driver, are never read. After ``fanout`` batches the ledger and the sums
-are merged into one folder, so a batch reads a ledger of bounded age, not all history.
+(batch id and folder) is the next one of the log, which the file system gives to one writer only. The
+number is that after the entries in which the batch id was sought, so who missed a batch loses the race
+and starts again from the changed log: its batch id may be there now, and then nothing changes, or the
+ledger may have moved, and then the differences are made anew. Folders without an entry, of a lost
+driver, are never read. After ``fanout`` batches the ledger and the sums are merged into one folder, so a
+batch reads a ledger of bounded age, not all history; the merge's entry names all batches before it, and the
+entries that it stands for are removed by the merge after it.
 
 Changes: doc_id, version, op, source, lang, n_tokens, and ``seq`` where a batch changes a document
 more than once (the last counts; ties go to the largest row). Edge cases: an insert of a known
@@ -26,34 +28,46 @@ from __future__ import annotations
 
 import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Log, fresh_path, remove
+from corpusloom.llm.common import Log, fresh_path, hadoop, remove
 
 LEDGER = "doc_id long, version string, number long, source string, lang string, n_tokens long"
 SUMS = "source string, lang string, version string, docs long, tokens long"
 GROUP = ["source", "lang", "version"]
 
 
+class State(NamedTuple):
+    """The log up to an entry: ids of the batches, and the folders that count (the last merged one and the batches after it)."""
+
+    number: int
+    batches: list[str]
+    folders: list[str]
+
+
 class TokenRollup:
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 8):
         self.spark, self.fanout = spark, fanout
         self.path = path or fresh_path(spark, "token-rollup")
         self.log = Log(spark, f"{self.path}/log")
 
+    def _state(self) -> State:
+        """What the entries say so far, with the last one's number."""
+        state = State(0, [], [])
+        for number, text in self.log.entries():
+            entry = json.loads(text)
+            if entry["batch"] is None:  # a merge stands for all entries before it
+                state = State(number, entry["batches"], [entry["folder"]])
+            else:
+                state = State(number, [*state.batches, entry["batch"]], [*state.folders, entry["folder"]])
+        return state
+
     def batches(self) -> list[str]:
         """Ids of the committed batches, in order."""
-        return [e["batch"] for _, t in self.log.entries() if (e := json.loads(t))["batch"] is not None]
-
-    def _live(self) -> list[str]:
-        """Folders that count: the last merged one and the batches after it."""
-        folders: list[str] = []
-        for _, text in self.log.entries():
-            entry = json.loads(text)
-            folders = [*([] if entry["batch"] is None else folders), entry["folder"]]
-        return folders
+        return self._state().batches
 
     def _read(self, part: str, schema: str, folders: list[str]) -> DataFrame:
         found = [f"{self.path}/data/{f}/{part}" for f in folders]
@@ -61,7 +75,10 @@ class TokenRollup:
 
     def ledger(self, of: DataFrame | None = None) -> DataFrame:
         """Latest count of every document and version, or of those in ``of``; n_tokens is null where it was deleted."""
-        rows = self._read("ledger", LEDGER, self._live())
+        return self._ledger(self._state().folders, of)
+
+    def _ledger(self, folders: list[str], of: DataFrame | None = None) -> DataFrame:
+        rows = self._read("ledger", LEDGER, folders)
         if of is not None:  # before the exchange: a small batch leaves the rest of the ledger where it is
             rows = rows.join(of, rows.doc_id.eqNullSafe(of.doc_id) & rows.version.eqNullSafe(of.version), "left_semi")
         latest = F.max_by(F.struct("number", "source", "lang", "n_tokens"), "number").alias("at")
@@ -71,18 +88,18 @@ class TokenRollup:
         """Commit a batch of changes; False if the id was committed before."""
         if not batch_id:
             raise ValueError(f"bad batch id: {batch_id!r}")
-        while batch_id not in self.batches():
-            number = self.log.last() + 1
-            folder = self._prepare(changes, number)
-            if self.log.add(number, json.dumps({"batch": batch_id, "folder": folder})):
-                if len(self._live()) > self.fanout:
+        while batch_id not in (state := self._state()).batches:
+            folder = self._prepare(changes, state)
+            if self.log.add(state.number + 1, json.dumps({"batch": batch_id, "folder": folder})):
+                if len(state.folders) >= self.fanout:
                     self.compact()
                 return True
             remove(self.spark, f"{self.path}/data/{folder}")
         return False
 
-    def _prepare(self, changes: DataFrame, number: int) -> str:
+    def _prepare(self, changes: DataFrame, state: State) -> str:
         """Write a batch's ledger rows and sums against the ledger as it is; the name of its folder."""
+        number = state.number + 1
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
         rows = changes.select(
             F.col("doc_id").cast("long"), "version", seq.alias("seq"), "source", "lang",
@@ -90,8 +107,8 @@ class TokenRollup:
         )
         last = rows.groupBy("doc_id", "version").agg(F.max(F.struct("seq", F.col("n_tokens").isNull().alias("gone"), "n_tokens", "source", "lang")).alias("new"))
         moves = last.select("doc_id", "version", F.lit(None).cast("struct<source:string,lang:string,n_tokens:long>").alias("old"), "new")
-        if self._live():
-            old = self.ledger(last.select("doc_id", "version")).filter("n_tokens is not null")
+        if state.folders:
+            old = self._ledger(state.folders, last.select("doc_id", "version")).filter("n_tokens is not null")
             same = last.doc_id.eqNullSafe(old.doc_id) & last.version.eqNullSafe(old.version)
             known = F.when(old.n_tokens.isNotNull(), F.struct(old.source, old.lang, old.n_tokens)).alias("old")
             moves = last.join(old, same, "left").select(last.doc_id, last.version, known, "new")
@@ -116,21 +133,25 @@ class TokenRollup:
     def compact(self) -> bool:
         """Merge all that counts into one folder, without documents that are gone; False if a batch came in between.
 
-        The merged folders stay until :meth:`vacuum`, for readers that hold them.
+        What was merged stays until :meth:`vacuum`, for readers that hold them.
         """
-        number, folder, live = self.log.last() + 1, uuid.uuid4().hex, self._live()
-        self.ledger().filter("n_tokens is not null").select(*[c.split()[0] for c in LEDGER.split(", ")]).write.parquet(f"{self.path}/data/{folder}/ledger")
-        self._summed(live).write.parquet(f"{self.path}/data/{folder}/sums")
-        if self.log.add(number, json.dumps({"batch": None, "folder": folder})):
+        state, folder = self._state(), uuid.uuid4().hex
+        merges = [n for n, text in self.log.entries() if json.loads(text)["batch"] is None]
+        self._ledger(state.folders).filter("n_tokens is not null").select(*[c.split()[0] for c in LEDGER.split(", ")]).write.parquet(f"{self.path}/data/{folder}/ledger")
+        self._summed(state.folders).write.parquet(f"{self.path}/data/{folder}/sums")
+        if self.log.add(state.number + 1, json.dumps({"batch": None, "folder": folder, "batches": state.batches})):
+            if merges:  # a writer that still reads older entries finds the number taken
+                self.log.cut(merges[-1])
             return True
         remove(self.spark, f"{self.path}/data/{folder}")
         return False
 
     def vacuum(self) -> None:
-        """Remove merged folders; for times without readers."""
-        live = set(self._live())
-        for _, text in self.log.entries():
-            if (folder := json.loads(text)["folder"]) not in live:
+        """Remove the folders that no longer count, also those of lost drivers; for times without readers and writers."""
+        live = set(self._state().folders)
+        fs, path = hadoop(self.spark, f"{self.path}/data")
+        for found in fs.listStatus(path(f"{self.path}/data")) if fs.exists(path(f"{self.path}/data")) else []:
+            if (folder := found.getPath().getName()) not in live:
                 remove(self.spark, f"{self.path}/data/{folder}")
 
     def _summed(self, folders: list[str]) -> DataFrame:
@@ -139,4 +160,4 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens."""
-        return self._summed(self._live())
+        return self._summed(self._state().folders)

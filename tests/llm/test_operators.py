@@ -304,12 +304,45 @@ def test_token_rollup_race(spark):
     pending = ("third", batch(20))
     assert second.apply("fourth", batch(1)) and inner == [True]
     assert [tuple(r) for r in first.totals().collect()] == [("a", "en", "v", 1, 1)]
-    assert first.batches() == ["same", "third", "fourth"] and len(first._live()) <= 3
-    assert first.compact() and len(first._live()) == 1
+    assert first.batches() == ["same", "third", "fourth"] and len(first._state().folders) <= 3
+    assert first.compact() and len(first._state().folders) == 1
     first.vacuum()
     assert not first.apply("third", batch(9)) and [tuple(r) for r in second.totals().collect()] == [("a", "en", "v", 1, 1)]
 
 
+def test_token_rollup_missed_batches(spark):
+    """A driver that sought its batch id before two others came must not commit it over the later one."""
+    batch = lambda n: spark.createDataFrame([(1, "v", "insert", "a", "en", n)], "doc_id long, version string, op string, source string, lang string, n_tokens long")
+    path = common.fresh_path(spark, "rollup")
+    one, two = token_rollup.TokenRollup(spark, path), token_rollup.TokenRollup(spark, path)
+    state, inner = one._state, []
+
+    def late():  # between the membership test and the commit, b1 and b2 come
+        found = state()
+        if not inner:
+            inner.append(True)
+            assert two.apply("b1", batch(10)) and two.apply("b2", batch(99))
+        return found
+
+    one._state = late
+    assert one.apply("b1", batch(10)) is False and one.batches() == ["b1", "b2"]
+    assert [r["tokens"] for r in two.totals().collect()] == [99]
+
+
+def test_log(spark):
+    """An entry is there whole or not at all, a number is given once, and a number below a cut is given never."""
+    log, other = common.Log(spark, path := common.fresh_path(spark, "log")), None
+    other = common.Log(spark, path)
+    fs = log.fs
+    fs.create(log.path(f"{path}/_unfinished"), False).close()  # of a driver lost while it wrote
+    assert log.last() == 0 and log.add(1, "a") and not other.add(1, "b") and other.add(2, "b") and not log.add(2, "c")
+    assert log.entries() == other.entries() == [(1, "a"), (2, "b")]
+    assert log.add(3, "c")
+    other.cut(3)
+    assert not log.add(2, "late") and log.entries() == other.entries() == [(3, "c")] and log.add(4, "d") and log.last() == 4
+    assert sorted(x.getPath().getName() for x in fs.listStatus(log.path(path)) if not x.getPath().getName().startswith("_")) == ["0000000003", "0000000004", "floor-0000000003"]
+
+
 def test_op3(spark, rows, tmp_path):
     """The query against tiktoken: one document of each text, repeated and null ids too."""
     more = rows + [(None, rows[1][1], "en", "s1", 0), (5, "another text", "de", "s1", 0), (99, rows[3][1], None, None, 0)]
@@ -579,6 +612,17 @@ def test_warc_damaged(spark, gzip):
     assert len(left) == len(set(left)) and 40 - 2 * len(paths) <= len(left) <= 40 - len(paths)
 
 
+@pytest.mark.parametrize("gzip", [True, False])
+def test_warc_large_records(spark, gzip, monkeypatch):
+    """A page and a url larger than what the reader holds by itself: the manifest tells how large records are."""
+    monkeypatch.setattr(warc, "MOST", 1 << 16)
+    monkeypatch.setattr(warc.salvage, "__defaults__", (1 << 14, 1 << 16))
+    noise = "".join(chr(33 + x) for x in random.Random(4).choices(range(90), k=3 << 20))
+    pages = spark.createDataFrame([(1, "u", noise), (2, "http://x/" + noise[: 2 << 20], "small" * 50), (3, "u", "small" * 50)], "page_id long, url string, html string")
+    got = warc.page_records(warc.read(warc.write(pages, gzip=gzip))).collect()
+    assert {(r["page_id"], r["payload_bytes"], r["record_type"]) for r in got} == {(1, 3 << 20, "response"), (2, 250, "response"), (3, 250, "revisit")}
+
+
 def test_warc_empty(spark):
     assert warc.page_records(warc.read(warc.write(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
 

@@ -157,15 +157,18 @@ class Aligner:
         for name, ids, n, size in (("a", a, self.n_a, self.tokenizers.a_size), ("b", b, self.n_b, self.tokenizers.b_size)):
             stop = np.cumsum(size[ids])
             rows = {"k": np.arange(len(ids)), "seg": np.repeat(np.arange(len(n)), n), "start": stop - size[ids], "stop": stop, "id": ids}
-            self.con.register(f"{name}_tokens", pa.table(rows))
+            whole = pa.int32() if not len(stop) or stop[-1] < 1 << 31 else pa.int64()
+            self.con.register(f"{name}_tokens", pa.table({c: pa.array(x).cast(whole) for c, x in rows.items()}))
             self._make(name, f"SELECT * FROM {name}_tokens")
         self._make("firsts", "SELECT b.seg, b.id AS b, b.stop, a.k AS first, a.id AS first_a FROM b ASOF JOIN a ON a.start <= b.start")
         self._make("spans", "SELECT f.seg, f.b, f.first, f.first_a, a.k AS last, a.id AS last_a FROM firsts f ASOF JOIN a ON a.start < f.stop")
+        self.con.execute("DROP TABLE firsts")
         self._make(
             "links",
             """SELECT seg, first_a AS a, b FROM spans UNION ALL SELECT seg, last_a, b FROM spans WHERE last > first
             UNION ALL SELECT s.seg, a.id, s.b FROM (SELECT * FROM spans WHERE last > first + 1) s JOIN a ON a.k > s.first AND a.k < s.last""",
         )
+        self.con.execute("DROP TABLE spans")
         self._make("pairs", "SELECT row_number() OVER () - 1 AS pair, a, b FROM (SELECT DISTINCT a, b FROM links) ORDER BY pair")
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -5,16 +5,17 @@ words (fewer words: the whole sequence as one; none: the empty set). A shingle i
 hash, within the sets of two documents compared. Two documents link when
 ``100 * |both| >= percent * |either|``; equal sets are one node from the start, empty sets link with nothing.
 
-* *Regions.* A set's shingles are put in one order for all (rarest first by a bounded sample, then by
+* *Keys.* A set's shingles are put in one order for all (rarest first by a bounded sample, then by
   hash; the order changes the speed only). Two sets that link share a shingle among the first
-  ``n - ceil(n * percent / 100) + 1`` of each, so these are its keys. Every task first combines the nodes of
-  a key that it has itself, so a key that a third of all documents share moves as few rows. Nodes with a
-  key in common are in one region (their connected components).
-* *R-tree.* A region's shingles are hashed to ``GROUPS`` groups; the counts by group are a point. Points are
+  ``n - ceil(n * percent / 100) + 1`` of each, so these are its keys. The nodes of a key are a bucket; equal buckets,
+  which near copies make by the hundred, are one. Where a key has very many nodes (``CROWD`` in what a task
+  combines before it sends, ``LARGE`` in all), they are named by one of them, so such a key moves as few rows.
+* *R-tree.* A set's shingles are hashed to ``GROUPS`` groups; the counts by group are a point. Points are
   bulk-loaded into pages, whose corners bound what their points can share with another page's:
   the sum over the groups of the smaller of both maxima. Pairs of pages are followed together from
   the root while that bound reaches what the smallest sizes need, and left when all points below are linked
-  already; pairs of points that pass the same bound are verified on the sets.
+  already. A first tree over each bucket's points finds the pairs that pass the bound; their connected
+  components are the regions. A second tree over each region verifies what passes on the sets.
 * *Large regions*, of more than ``region_bytes`` of text, are cut into blocks. Each block is solved alone, then the
   middle nodes of the blocks' largest components, then every node outside the region's largest component
   against all others, in pairs of blocks. A group of copies of any size is so read about three times,
@@ -48,8 +49,9 @@ GROUPS = 256
 PAGE, FAN = 16, 8
 AT_ONCE = 1 << 14
 COMBINED = 1 << 20
+CROWD, LARGE = 64, 1 << 14
 
-ROWS = "id long, check long, digest binary, name long, n long, size long, keys array<long>"
+ROWS = "id long, check long, digest binary, name long, n long, size long, counts binary, keys array<long>"
 EDGES = "a binary, b binary"
 
 
@@ -120,20 +122,31 @@ def _tiles(region: np.ndarray, points: np.ndarray, size: np.ndarray) -> np.ndarr
     return order[np.lexsort((even[order], half[order], slab, region[order]))]
 
 
-def forest(region: np.ndarray, given: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def counted(sets: list[np.ndarray]) -> np.ndarray:
+    """The count vector of each set."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    group = (np.concatenate([np.empty(0, np.uint64), *sets]) >> np.uint64(40)).astype(np.int64) % GROUPS
+    return np.bincount(owner * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """In the smallest unsigned kind that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+def forest(
+    region: np.ndarray, given: np.ndarray, counts: np.ndarray, size: np.ndarray, percent: int, sets: list[np.ndarray] | None = None
+) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Edges (positions) of a spanning forest of the links inside each region, and each region's middle nodes as a mask.
 
-    Nodes with the same ``given`` number count as linked already.
+    Nodes with the same ``given`` number count as linked already. Without ``sets``, pairs that pass the bound
+    on their points count as linked.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(n), size)
-    group = (np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % GROUPS
-    counts = np.bincount(owner * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
-    counts = counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32)
+    n = len(size)
     order = _tiles(region, counts, size)
     region, given, counts, size = region[order], given[order], counts[order], size[order]
-    sets = [sets[i] for i in order]
+    sets = [sets[i] for i in order] if sets is not None else None
     _, first, back = np.unique(given, return_index=True, return_inverse=True)
     parent = first[back].astype(np.int64)
     edges: list[tuple[int, int]] = []
@@ -162,6 +175,10 @@ def forest(region: np.ndarray, given: np.ndarray, sets: list[np.ndarray], percen
             rx, ry = find(x), find(y)
             if rx == ry:
                 continue
+            if sets is None:
+                root[max(rx, ry)] = min(rx, ry)
+                edges.append((x, y))
+                continue
             a, b = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
             at = np.searchsorted(b, a)
             both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
@@ -232,7 +249,7 @@ def _order(docs: DataFrame, text_col: str, width: int, sample: int, most: int) -
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, common: Broadcast) -> DataFrame:
-    """ROWS: a digest of each row's set, its first 8 bytes, its size, the bytes of the text, and the set's keys."""
+    """ROWS: a digest of each row's set, its first 8 bytes, its size, the length of the text, the set's point and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, n = common.value
@@ -247,28 +264,31 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int, perce
                     at = np.minimum(np.searchsorted(h, own), len(h) - 1) if len(h) else None
                     count = np.where(h[at] == own, n[at], 0) if len(h) else np.zeros(len(own), np.int64)
                     keys = own[np.lexsort((own, count))[: len(own) - -(-len(own) * percent // 100) + 1]]
-                out.append((i, check, digest, int.from_bytes(digest[:8], "big", signed=True), len(own), len(text), keys.view(np.int64)))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                point = narrow(counted([own])).tobytes()
+                out.append((i, check, digest, int.from_bytes(digest[:8], "big", signed=True), len(own), len(text), point, keys.view(np.int64)))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in ROWS.split(", ")])
 
     return docs.select(_id(id_col), _check(text_col), F.col(text_col)).mapInArrow(run, ROWS)
 
 
-def regions(rows: DataFrame) -> DataFrame:
-    """node, root: nodes (names of sets) that share keys, by connected components; sets without a shared key are not named."""
+def buckets(rows: DataFrame) -> DataFrame:
+    """bucket, a, b: the nodes (names of sets) of every key that has several, a = b; and edges (bucket 0) from nodes of crowded keys to one of them."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, a, b): a = b is a key's smallest node of a part of the task's rows; others are edges to it."""
+        """(key, a, b): a = b is a node of a key; edges from all but one node of a crowd in the task's rows, keyed by themselves."""
         kept: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            both = np.unique(np.concatenate(kept), axis=0) if len(kept) > 1 else np.unique(kept[0], axis=0)
+            both = np.unique(np.concatenate(kept), axis=0)
             key, node = both[:, 0], both[:, 1]
-            new = np.r_[True, key[1:] != key[:-1]]
-            lead = node[new][np.cumsum(new) - 1]
-            edges = np.unique(np.stack((node[~new], lead[~new]), axis=1), axis=0)
-            columns = (np.r_[key[new], edges[:, 0]], np.r_[node[new], edges[:, 0]], np.r_[node[new], edges[:, 1]])
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[start, len(key)])
+            lead = np.repeat(node[start], count)
+            crowd = np.repeat(count > CROWD, count) & (node != lead)
+            edges = np.unique(np.stack((node[crowd], lead[crowd]), axis=1), axis=0)
+            columns = (np.r_[key[~crowd], edges[:, 0]], np.r_[node[~crowd], edges[:, 0]], np.r_[node[~crowd], edges[:, 1]])
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "a", "b"])
 
         for b in batches:
@@ -282,27 +302,95 @@ def regions(rows: DataFrame) -> DataFrame:
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges of the nodes of each key to its smallest, from rows sorted by key and node."""
-        last, lead = None, None
+        """Buckets of whole keys, from rows sorted by key and node."""
+        seen: set[int] = set()
+
+        def out(key: np.ndarray, node: np.ndarray, edges: list[np.ndarray]) -> pa.RecordBatch:
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.empty(0, bool)
+            key, node = key[new], node[new]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            count = np.diff(np.r_[start, len(key)])
+            mixed = node.view(np.uint64) * np.uint64(_PRIMES[1])
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(_PRIMES[2])
+            names = (np.add.reduceat(mixed, start) if len(start) else mixed[:0]).view(np.int64)
+            large = count > LARGE
+            fresh = np.zeros(len(names), dtype=bool)
+            for i in np.flatnonzero((count > 1) & ~large).tolist():
+                if (name := int(names[i])) not in seen:
+                    seen.add(name)
+                    fresh[i] = True
+            if len(seen) > COMBINED:
+                seen.clear()
+            member = np.repeat(fresh, count)
+            lead, far = np.repeat(node[start], count), np.repeat(large, count)
+            far &= node != lead
+            edges = np.unique(np.concatenate([*edges, np.stack((node[far], lead[far]), axis=1)]), axis=0)
+            columns = (np.r_[np.repeat(names, count)[member], np.zeros(len(edges), np.int64)], np.r_[node[member], edges[:, 0]], np.r_[node[member], edges[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bucket", "a", "b"])
+
+        keys, nodes, edges, size = [], [], [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
             key, a, c = (x.to_numpy() for x in b.columns)
-            found = [np.stack((a[a != c], c[a != c]), axis=1)]
+            edges.append(np.stack((a[a != c], c[a != c]), axis=1))
             key, a = key[a == c], a[a == c]
-            if len(key):
-                new = np.r_[key[0] != last, key[1:] != key[:-1]]
-                leads = np.where(new, a, 0)
-                at = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-                leads = np.where(at >= 0, a[np.maximum(at, 0)], lead if lead is not None else 0)
-                last, lead = key[-1], leads[-1]
-                found.append(np.stack((a[leads != a], leads[leads != a]), axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if not len(key):
+                continue
+            keys.append(key)
+            nodes.append(a)
+            size += len(key)
+            if size > 16 * LARGE:
+                key, a = np.concatenate(keys), np.concatenate(nodes)
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                if cut:
+                    yield out(key[:cut], a[:cut], edges)
+                    keys, nodes, edges, size = [key[cut:]], [a[cut:]], [], len(key) - cut
+                else:  # one key so far: its nodes are named by the first
+                    edges.append(np.stack((a[1:], np.full(len(a) - 1, a[0])), axis=1)[a[1:] != a[0]])
+                    yield out(key[:0], a[:0], edges)
+                    keys, nodes, edges, size = [key[:1]], [a[:1]], [], 1
+        if keys or edges:
+            yield out(np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *nodes]), edges)
 
     keyed = rows.filter("n > 0").select("name", "keys").mapInArrow(combine, "key long, a long, b long")
-    found = stored(components(keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "a long, b long")), "jaccard-shared")
-    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    return keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "bucket long, a long, b long")
+
+
+def regions(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, root: connected components of nodes (name, n, counts) that share a bucket and whose points pass the bound; lone nodes are not named."""
+    found = stored(buckets(rows), "jaccard-buckets")
+    members = found.filter("a = b").select("bucket", F.col("a").alias("name")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        size = 0
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            name, size = rows.column("name").to_numpy(), rows.column("n").to_numpy()
+            wide = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+            counts = [np.frombuffer(x, wide[len(x) // GROUPS]) for x in rows.column("counts").to_pylist()]
+            edges, _ = forest(rows.column("bucket").to_numpy(), np.arange(len(rows)), narrow(np.stack(counts).astype(np.int64)), size, percent)
+            return pa.RecordBatch.from_arrays([pa.array(name[[e[k] for e in edges]].astype(np.int64)) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept.append(b)
+            size += b.num_rows
+            if size >= LARGE:
+                rows = pa.Table.from_batches(kept)
+                key = rows.column("bucket").to_numpy()
+                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0  # the last bucket may go on
+                if cut:
+                    yield out(rows.slice(0, cut))
+                    kept = rows.slice(cut).to_batches()
+                    size -= cut
+        if kept:
+            yield out(pa.Table.from_batches(kept))
+
+    placed = members.join(nodes.select("name", "n", "counts"), "name").select("bucket", "name", "n", "counts")
+    near = placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    linked = stored(components(near.unionByName(found.filter("a <> b").select("a", "b"))), "jaccard-shared")
+    return linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
 
 
 def _solve(work: DataFrame, width: int, percent: int, at_once: int, with_middle: bool = False) -> DataFrame:
@@ -316,7 +404,8 @@ def _solve(work: DataFrame, width: int, percent: int, at_once: int, with_middle:
             numbers = {g: i for i, g in enumerate(dict.fromkeys(r[0] for r in rows))}
             given = {g: i for i, g in enumerate(dict.fromkeys(r[1] for r in rows))}
             sets = [shingles(r[3], width) for r in rows]
-            edges, middle = forest(np.array([numbers[r[0]] for r in rows]), np.array([given[r[1]] for r in rows]), sets, percent)
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            edges, middle = forest(np.array([numbers[r[0]] for r in rows]), np.array([given[r[1]] for r in rows]), narrow(counted(sets)), size, percent, sets)
             if with_middle:
                 edges += [(i, i) for i in np.flatnonzero(middle).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([rows[e[k]][2] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
@@ -383,10 +472,10 @@ def join(
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links)."""
     common = _order(docs, text_col, width, sample, most_common)
     rows = stored(document_sets(docs, id_col, text_col, width, percent, common), "jaccard-rows")
-    nodes = rows.filter("n > 0").groupBy("digest", "name").agg(F.min(F.struct("id", "check")).alias("least"), F.max("size").alias("size"))
-    nodes = stored(nodes, "jaccard-nodes")
-    shared = regions(rows)
-    held = stored(nodes.join(shared, nodes.name == shared.node).select(*nodes.columns, "root"), "jaccard-regions")
+    values = [F.min(F.struct("id", "check")).alias("least"), *[F.max(c).alias(c) for c in ("size", "n", "counts")]]
+    nodes = stored(rows.filter("n > 0").groupBy("digest", "name").agg(*values), "jaccard-nodes")
+    shared = regions(rows, nodes, percent)
+    held = stored(nodes.join(shared, nodes.name == shared.node).select("digest", "name", "least", "size", "root"), "jaccard-regions")
     edges = _links(docs, held, id_col, text_col, width, percent, region_bytes)
     least = stored(named(nodes.select("digest", "least"), "digest", edges), "jaccard-components")
     known = lambda c: F.when(c != LAST, c)

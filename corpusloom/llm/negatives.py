@@ -9,11 +9,11 @@ what is above the window ends at the window, and lists wholly above it are never
 exact.
 
 Centroids are fitted on a bounded sample (``sample`` rows, the ones of least hash; ``iterations`` rounds of
-Lloyd's algorithm from evenly dealt rows), as many as the root of the rows, at most ``most_lists``; every
-row is in a list. The fit changes the speed only.
+Lloyd's algorithm from evenly dealt rows), one for every ``list_rows`` rows of a shard, at most ``most_lists``;
+every row is in a list. The fit changes the speed only.
 
 Rows are dealt to shards by a hash of their id, never by list, so a list that holds a third of all
-rows is spread evenly; each shard has its own lists of all centroids, cut by label. Anchors are packed
+rows is spread evenly; each shard has its own lists of all centroids. Anchors are packed
 into blocks and every (anchor block, shard) pair is one task's work, first for the positives, whose best
 are merged by anchor, then for the negatives of each anchor's windows, merged by anchor and positive.
 Nothing but the centroids is broadcast.
@@ -64,43 +64,56 @@ def nearest(rows: np.ndarray, found: np.ndarray, at_once: int = 1 << 14) -> np.n
 
 
 class Lists:
-    """The inverted lists of a shard: rows sorted by centroid, label and id."""
+    """The inverted lists of a shard: rows sorted by centroid and id."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, found: np.ndarray):
         dims = max(rows.shape[1], found.shape[1])
         rows, found = _wide(rows, dims), _wide(found, dims)
         near = nearest(rows, found)
-        order = np.lexsort((ids, labels, near))
-        self.ids, self.rows, self.dims = ids[order], rows[order], dims
-        near, labels = near[order], labels[order]
-        start = np.flatnonzero(np.r_[True, (near[1:] != near[:-1]) | (labels[1:] != labels[:-1])]) if len(near) else np.empty(0, np.int64)
-        self.start, self.stop = start, np.r_[start[1:], len(near)]
-        self.label, self.centre = labels[start], found[near[start]]
-        away = np.sqrt(np.maximum(((self.rows - found[near]) ** 2).sum(1), 0))
-        self.radius = np.maximum.reduceat(away, start) if len(start) else np.empty(0)
-
-    def best(self, anchor: int, q: np.ndarray, lists: np.ndarray, k: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows of the given lists with low <= score <= high, without the anchor's own row."""
-        q = np.pad(q, (0, self.dims - len(q)))
-        middle, reach = self.centre[lists] @ q, np.sqrt(q @ q) * self.radius[lists]
+        order = np.lexsort((ids, near))
+        self.ids, self.labels, self.rows, self.dims = ids[order], labels[order], np.ascontiguousarray(rows[order]), dims
+        near = near[order]
+        self.start = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+        self.stop = np.r_[self.start[1:], len(near)]
+        self.centre = found[near[self.start]]
+        self.radius = np.maximum.reduceat(np.sqrt(((self.rows - found[near]) ** 2).sum(1)), self.start)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Upper and lower bound of every list's scores for each query, with a slack for rounding."""
+        middle, reach = queries @ self.centre.T, np.sqrt((queries * queries).sum(1))[:, None] * self.radius[None]
         slack = SLACK * (1 + np.abs(middle) + reach)
-        upper, lower = middle + reach + slack, middle - reach - slack
-        seen = (upper >= low) & (lower <= high)
-        lists, upper = lists[seen], np.minimum(upper[seen], high)
-        order = np.argsort(-upper, kind="stable")
-        lists, upper = lists[order], upper[order]
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        at, step = 0, 4
-        while at < len(lists) and not (len(ids) == k and upper[at] < scores[-1]):
-            now = lists[at : at + step]
-            rows = np.concatenate([np.arange(i, j) for i, j in zip(self.start[now], self.stop[now])])
-            score = self.rows[rows] @ q
-            fit = (score >= low) & (score <= high) & (self.ids[rows] != anchor)
-            ids, scores = np.concatenate((ids, self.ids[rows[fit]])), np.concatenate((scores, score[fit]))
-            keep = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[keep], scores[keep]
-            at, step = at + step, step * 2
-        return ids, scores
+        return middle + reach + slack, middle - reach - slack
+
+    def best(self, anchor: int, q: np.ndarray, label: int, same: bool, windows: np.ndarray, k: int, upper: np.ndarray, lower: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each window (low, high) the (ids, scores) of the k best rows of the label (or of other labels) in it, without the anchor's own.
+
+        Lists are visited from the highest bound down, until no window can gain by the next one.
+        """
+        low, high = windows[:, 0].astype(float), windows[:, 1].astype(float)
+        found = [(np.empty(0, np.int64), np.empty(0)) for _ in windows]
+        least = low.copy()  # what a row must score at least: the window's low end, then its k-th best
+        for at in np.argsort(-upper, kind="stable").tolist():
+            top = upper[at]
+            if (top < least).all():
+                break
+            open_ = (np.minimum(top, high) >= least) & (lower[at] <= high)
+            if not open_.any():
+                continue
+            i, j = self.start[at], self.stop[at]
+            score = self.rows[i:j] @ q
+            fit = np.flatnonzero((score >= least[open_].min()) & (score <= high[open_].max()) & ((self.labels[i:j] == label) == same) & (self.ids[i:j] != anchor))
+            if not len(fit):
+                continue
+            some, names = score[fit], self.ids[i:j][fit]
+            for w in np.flatnonzero(open_).tolist():
+                inside = (some >= least[w]) & (some <= high[w])
+                if inside.any():
+                    ids, scores = np.concatenate((found[w][0], names[inside])), np.concatenate((found[w][1], some[inside]))
+                    keep = np.lexsort((ids, -scores))[:k]
+                    found[w] = ids[keep], scores[keep]
+                    if len(keep) == k:
+                        least[w] = scores[keep[-1]]
+        return found
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[list, list]:
@@ -152,13 +165,15 @@ def _search(shards: DataFrame, n_shards: int, anchors: DataFrame, n_blocks: int,
         ids, labels, x, _ = _joined(rows)
         lists = Lists(ids, labels, x, centres.value)
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for anchor, label, q, windows in zip(*_joined(queries)):
-            own = np.flatnonzero((lists.label == label) == same)
-            q = q[: lists.dims] if len(q) > lists.dims else q  # what the rows do not have counts zero
-            for name, low, high in windows.reshape(-1, 3):
-                got, scores = lists.best(anchor, q, own, k, low, high)
-                for at, value in enumerate((np.full(len(got), anchor), np.full(len(got), name), got, scores.astype(np.int64))):
-                    out[at].append(value)
+        anchors, own, vectors, windows = _joined(queries)
+        vectors = _wide(vectors[:, : lists.dims], lists.dims)  # what the rows do not have counts zero
+        upper, lower = lists.bounds(vectors)
+        for i, (anchor, label, q) in enumerate(zip(anchors.tolist(), own.tolist(), vectors)):
+            asked = windows[i].reshape(-1, 3)
+            for name, (got, scores) in zip(asked[:, 0].tolist(), lists.best(anchor, q, label, same, asked[:, 1:], k, upper[i], lower[i])):
+                if len(got):
+                    for at, value in enumerate((np.full(len(got), anchor), np.full(len(got), name), got, scores.astype(np.int64))):
+                        out[at].append(value)
         columns = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out]
         yield pa.RecordBatch.from_arrays(columns, names=["anchor", "window", "id", "score"])
 
@@ -184,6 +199,7 @@ def mine(
     most_lists: int = 1024,
     sample: int = 16384,
     iterations: int = 5,
+    list_rows: int = 256,
     block_bytes: int = 32 << 20,
     least_rows: int = 2048,
 ) -> DataFrame:
@@ -206,11 +222,11 @@ def mine(
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) <= int((1 << 31) * min(1.0, (1.2 * sample + 100) / total))
     fit = whole.filter(share).select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).select("v").toArrow()
     fit = _matrix(fit.column("v").combine_chunks() if fit.num_rows else pa.array([], pa.list_(pa.float64())))
-    found = centroids(fit, max(1, min(most_lists, int(total**0.5))), iterations)
     cores = spark.sparkContext.defaultParallelism
     most = max(1, block_bytes // (8 * (width + 2)))
     n_blocks = -(-n_anchors // most)
     n_shards = max(-(-total // most), min(-(-2 * cores // n_blocks), -(-total // least_rows)))
+    found = centroids(fit, max(1, min(most_lists, total // n_shards // list_rows)), iterations)
     no_window = F.array(*[F.lit(x).cast("long") for x in (0, -(2**62), 2**62)])
     shards = stored(_packed(whole.withColumn("windows", no_window), n_shards), "negative-shards")
     anchors = whole.filter("q").select("id", "label", "v")

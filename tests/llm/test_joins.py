@@ -152,7 +152,11 @@ def families():
 
 
 @pytest.mark.parametrize("bounds", [{}, {"region_bytes": 4000}, {"region_bytes": 900, "percent": 60}, {"sample": 0, "percent": 95}])
-def test_jaccard(spark, families, bounds):
+def test_jaccard(spark, families, bounds, monkeypatch):
+    if "percent" in bounds:  # crowded keys too
+        monkeypatch.setattr(jaccard, "CROWD", 3)
+        monkeypatch.setattr(jaccard, "LARGE", 5)
+        monkeypatch.setattr(jaccard, "COMBINED", 2000)
     df = clashing(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in families], DOCS)).repartition(5)
     got = Counter(tuple(r) for r in jaccard.join(df, **bounds).collect())
     want = joined(families, bounds.get("percent", 85))
@@ -170,7 +174,7 @@ def test_forest_finds_every_link():
             own[rng.choice(len(own), rng.integers(0, 14), replace=False)] = rng.integers(0, 1 << 63, dtype=np.uint64)
             sets.append(np.unique(own))
             region.append(r)
-    edges, middle = jaccard.forest(np.array(region), np.arange(len(sets)), sets, 85)
+    edges, middle = jaccard.forest(np.array(region), np.arange(len(sets)), jaccard.narrow(jaccard.counted(sets)), np.array([len(x) for x in sets]), 85, sets)
     rows = [(i, s) for i, s in enumerate(sets)]
     parent = list(range(len(sets)))
 
@@ -219,7 +223,7 @@ def mined(rows, positives=5, negatives=10):
     return out
 
 
-@pytest.mark.parametrize("bounds", [{}, {"least_rows": 16, "block_bytes": 4000, "most_lists": 7, "sample": 40}])
+@pytest.mark.parametrize("bounds", [{}, {"least_rows": 16, "block_bytes": 4000, "most_lists": 7, "sample": 40, "list_rows": 3}])
 def test_hard_negatives(spark, bounds):
     """Ties, copies, nulls, infinities, vectors of other lengths, negative scores, and a label that has one row."""
     rng = random.Random(9)

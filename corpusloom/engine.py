@@ -1,7 +1,8 @@
 """The index of a collection: build it from files, keep it as tables, ask it questions.
 
-Tables live below one folder, each version in a folder of its own; a build writes every table of
-a version and then its marker, so readers take the newest version that is whole.
+Tables live below one folder as segments (:mod:`corpusloom.operators.segments`): a build writes the rows that it made
+and tombstones of those that they replace, so its work goes with what changed; readers take the newest
+version that is whole.
 """
 
 from __future__ import annotations
@@ -14,14 +15,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import structure
 from corpusloom.functions import text as T
-from corpusloom.operators import filters, governance, lexical, maintain, reads, upkeep
+from corpusloom.operators import filters, governance, lexical, maintain, reads, segments, upkeep
 from corpusloom.plans import search as plan
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
 from corpusloom.sources.formats import SCANNED_MEDIA, Backend
 from corpusloom.sources.shared import hadoop, stored
 
-TABLES = ("documents", "chunks", "metadata", "coverage", "sources", "actions")
 VALIDITY = "id long, effective_from date, effective_to date, amended_by array<string>, replaced_by string, status_checked_on date, status_source string"
 VECTORS = "chunk_hash string, embedding array<float>"
 AGENT = "document long, key string, value string"
@@ -32,8 +32,10 @@ DOCUMENTS = (
     "external_id string, source_url string, ancestors array<string>, trashed_at timestamp, text string, "
     "spans array<struct<kind:string,locator:string,start:int,stop:int>>, reviews array<string>, stable_ref string"
 )
+DOCUMENT_COLUMNS = [c.split()[0] for c in re.split(r", (?![^<]*>)", DOCUMENTS)]
 COVERAGE = "source_id string, path string, status string, stage string, error string"
 SOURCES = "source_id string, source_name string, listing_complete boolean, running boolean, last_sync_at timestamp"
+CACHED = ("manifest", "documents", "chunks", "metadata", "hashes", "places", "inverted", "inverted_metadata")
 #: What a build does to a file's document without reading the file.
 KEPT = ("unchanged", "stat_refresh", "kept")
 
@@ -50,94 +52,113 @@ class Index:
         agent: DataFrame | None = None,
         edges: DataFrame | None = None,
         settings: Settings = Settings(),
+        fanout: int = 8,
     ):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
+        self.segments = segments.Segments(spark, self.folder, fanout)
         given = ((validity, VALIDITY), (vectors, VECTORS), (agent, AGENT), (edges, EDGES))
         self.validity, self.vectors, self.agent, self.edges = (x if x is not None else spark.createDataFrame([], kind) for x, kind in given)
 
-    def _fs(self):
-        return hadoop(self.spark, self.folder)
+    @cached_property
+    def manifest(self) -> segments.Manifest:
+        return self.segments.manifest()
 
     def version(self) -> int:
         """Newest whole version; 0 before the first build."""
-        fs, path = self._fs()
-        n = 0
-        while fs.exists(path(f"{self.folder}/v={n + 1}/_WHOLE")):
-            n += 1
-        return n
+        return self.segments.manifest().version
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v={self.version()}/{name}")
+    def _latest(self, name: str) -> DataFrame:
+        """A table that every build writes whole."""
+        return self.spark.read.parquet(self.segments.path(self.manifest.latest, name))
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self._table("documents")
+        if not self.manifest.segments:
+            return self.spark.createDataFrame([], DOCUMENTS)
+        return self.segments.table("documents", self.manifest).select(*DOCUMENT_COLUMNS)
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self._table("chunks")
+        return self.segments.table("chunks", self.manifest).drop("segment")
+
+    @cached_property
+    def hashes(self) -> DataFrame:
+        """chunk_hash, row_id, document of every chunk."""
+        return self.segments.table("hashes", self.manifest).drop("segment")
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """body_hash, document, ordinal, start, stop, cite_key of every chunk."""
+        return self.segments.table("places", self.manifest).drop("segment")
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return self._table("metadata")
+        return self.segments.table("metadata", self.manifest).drop("segment").unionByName(self._latest("facts"))
+
+    def _stats(self, *kinds: str) -> DataFrame:
+        rows, terms = (sum(self.manifest.sums.get(f"{k}_{of}", 0) for k in kinds) for of in ("rows", "terms"))
+        return self.spark.range(1).select(F.lit(rows).cast("long").alias("n"), F.lit(terms / rows if rows else 0.0).alias("mean"))
 
     @cached_property
     def inverted(self) -> lexical.Inverted:
-        return lexical.Inverted.read(self.spark, f"{self.folder}/v={self.version()}/inverted")
+        return lexical.Inverted(self.segments.table("postings", self.manifest).drop("segment"), self._stats("chunk"))
 
     @cached_property
     def inverted_metadata(self) -> lexical.Inverted:
-        return lexical.Inverted.read(self.spark, f"{self.folder}/v={self.version()}/inverted-metadata")
+        posted = self.segments.table("metadata-postings", self.manifest).drop("segment").unionByName(self._latest("facts-postings"))
+        return lexical.Inverted(posted, self._stats("metadata", "fact"))
 
     def _write(self, version: int, name: str, df: DataFrame) -> DataFrame:
         """Write a table of a version and read it back: what is built on it does not build it again."""
-        path = f"{self.folder}/v={version}/{name}"
+        path = self.segments.path(version, name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _extractions(self, upto: int) -> DataFrame:
+    def _extractions(self) -> DataFrame:
         """What was extracted by any build, by content."""
-        found = [f"{self.folder}/v={v}/extractions" for v in range(1, upto + 1)]
-        return self.spark.read.schema(D.EXTRACTED).parquet(*found) if found else self.spark.createDataFrame([], D.EXTRACTED)
+        if not self.manifest.segments:
+            return self.spark.createDataFrame([], D.EXTRACTED)
+        return self.segments.table("extractions", self.manifest).drop("segment")
 
     def build(self, root: str, source_id: str, source_name: str, backend: Backend | None = None) -> None:
         """Index (or index again) every file below a root as one source; other sources stay as they are.
 
         Only files whose size or time changed are read; a file that moved keeps its document's id, and one
-        that cannot be extracted any more keeps its last good document, marked stale in the coverage. Chunks
-        and postings of documents that did not change are carried over. ``actions`` says what became of
+        that cannot be extracted any more keeps its last good document, marked stale in the coverage. What is
+        written is a segment of the documents that changed, and tombstones. ``actions`` says what became of
         each file.
         """
-        n = self.version() + 1
-        fs, path = self._fs()
-        fs.delete(path(f"{self.folder}/v={n}"), True)  # what a broken build left
-        before = self.documents if n > 1 else self.spark.createDataFrame([], DOCUMENTS)
+        self.refresh()
+        before = self.documents
+        n = self.segments.begin(self.manifest)
         own = before.filter(F.col("source_id") == source_id)
         base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
         relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.lit("^\\Q"), base, F.lit("\\E")), "")
         listed = D.listing(self.spark, root).filter(filters.accepted(relative, self.settings.extensions, self.settings.excluded))
         listed = self._write(n, "listed", listed.withColumn("relative_path", relative))
         actions, hashed = self._classified(n, root, own, listed)
-        new = D.extract(D.contents(self.spark, root, hashed.join(self._extractions(n - 1).select("content_hash", D.suffix(F.col("path")).alias("suffix")).distinct(), ["content_hash", "suffix"], "left_anti")), backend, self.settings.limits)
-        self._write(n, "extractions", new)
+        cached = self._extractions()
+        new = D.extract(D.contents(self.spark, root, hashed.join(cached.select("content_hash", D.suffix(F.col("path")).alias("suffix")).distinct(), ["content_hash", "suffix"], "left_anti")), backend, self.settings.limits)
+        self.segments.write(n, "extractions", new)
+        cached = cached.unionByName(self.spark.read.parquet(self.segments.path(n, "extractions")).drop("segment"))
         again = actions.filter(~F.col("action").isin(*KEPT, "deleted", "moved_away"))
         changed = hashed.join(again.select("path", "old_path"), "path")
-        found = self._write(n, "found", D.documents(D.reuse(changed, self._extractions(n))).join(changed.select("path", "relative_path", "old_path"), "path"))
+        found = self._write(n, "found", D.documents(D.reuse(changed, cached)).join(changed.select("path", "relative_path", "old_path"), "path"))
         good, bad = found.filter("error is null"), found.filter("error is not null").select("relative_path", "old_path", "error")
         ids = own.select("id", F.col("relative_path").alias("was"))
-        docs = self._documents(before, good, ids, source_id, source_name)
-        # Documents that stay: of other sources, of files that did not change, and the last good ones of files that failed.
-        touched = listed.select("relative_path", F.col("path").alias("new_path"), F.col("size").alias("new_size"), F.col("modified_us").alias("new_us"))
+        fresh = self._write(n, "fresh", self._documents(good, ids, source_id, source_name))
+        # Documents that stay: those of files that did not change, and the last good ones of files that failed.
         failed = bad.select(F.coalesce("old_path", "relative_path").alias("relative_path"))
+        stays = actions.filter(F.col("action").isin(*KEPT)).select("relative_path").unionByName(failed)
+        gone = self._write(n, "gone", own.join(stays, "relative_path", "left_anti").select(F.col("id").alias("document")))
         same = actions.filter(F.col("action").isin(*KEPT)).select("relative_path")
-        stay = own.join(same, "relative_path", "left_semi").join(touched, "relative_path", "left")
-        stay = stay.withColumns({"path": F.coalesce("new_path", "path"), "size": F.coalesce("new_size", "size"), "modified_us": F.coalesce("new_us", "modified_us")})
-        stay = stay.withColumn("modified_at", F.timestamp_micros("modified_us")).drop("new_path", "new_size", "new_us")
-        stale = own.join(failed, "relative_path", "left_semi")
-        kept = before.filter(F.col("source_id") != source_id).unionByName(stay).unionByName(stale)
-        fresh = self._write(n, "fresh", docs)
-        docs = self._write(n, "documents", kept.unionByName(fresh))
-        self._index(n, kept.select(F.col("id").alias("document")), fresh, docs)
+        moved = self._restated(own.join(same, "relative_path", "left_semi"), listed)
+        self.segments.write(n, "documents", fresh.unionByName(moved))
+        part = lambda rows, name: rows.select("document", F.lit(name).alias("part"))
+        written = self.spark.read.parquet(self.segments.path(n, "documents")).select(F.col("id").alias("document"))
+        dead = part(gone, "rows").unionByName(part(gone, "document")).unionByName(part(written.join(own.select(F.col("id").alias("document")), "document", "left_semi"), "document"))
+        buried = self.segments.bury(n, dead)
+        sums = self._index(n, fresh, gone)
         status = F.when(F.col("was").isNotNull(), "stale").otherwise("unindexed").alias("status")
         gaps = bad.join(ids, F.coalesce(bad.old_path, bad.relative_path) == ids.was, "left").select(
             F.lit(source_id).alias("source_id"), F.col("relative_path").alias("path"), status, F.lit("extract").alias("stage"), "error"
@@ -146,14 +167,37 @@ class Index:
             F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit(True).alias("listing_complete"), F.lit(False).alias("running"), F.current_timestamp().alias("last_sync_at")
         )
         for name, rows in (("coverage", gaps), ("sources", sources)):
-            others = self._table(name).filter(F.col("source_id") != source_id) if n > 1 else rows.limit(0)
+            others = self._latest(name).filter(F.col("source_id") != source_id) if self.manifest.latest else rows.limit(0)
             self._write(n, name, others.unionByName(rows))
-        fs.create(path(f"{self.folder}/v={n}/_WHOLE")).close()
-        for name in ("listed", "hashed", "found", "fresh"):
-            fs.delete(path(f"{self.folder}/v={n}/{name}"), True)
-        for name in (*TABLES, "inverted", "inverted_metadata"):
+        last = max(self.manifest.last_id, fresh.agg(F.max("id")).first()[0] or 0)
+        old = self.manifest
+        manifest = segments.Manifest(n, [*old.segments, [n, 0]], [*old.dead, n] if buried else old.dead, sums, last, n)
+        self._facts(n, manifest)
+        self.segments.commit(manifest)
+        while full := self.segments.full(manifest):
+            manifest = self.segments.merge(manifest, full)
+        fs, path = hadoop(self.spark, self.folder)
+        for name in ("listed", "hashed", "found", "fresh", "gone"):
+            fs.delete(path(self.segments.path(n, name)), True)
+        self.refresh()
+
+    def refresh(self) -> None:
+        """See what other builds have written since this object last looked."""
+        for name in CACHED:
             self.__dict__.pop(name, None)
 
+    def vacuum(self) -> list[int]:
+        """Remove the folders of versions that no longer count; for times without readers. Their numbers."""
+        self.refresh()
+        return self.segments.vacuum(self.manifest)
+
+    def _restated(self, stay: DataFrame, listed: DataFrame) -> DataFrame:
+        """The documents that stay whose file has another path, size or time than they say, as they are to be written."""
+        seen = listed.select("relative_path", F.col("path").alias("new_path"), F.col("size").alias("new_size"), F.col("modified_us").alias("new_us"))
+        both = stay.join(seen, "relative_path").filter("path <> new_path or size <> new_size or modified_us <> new_us")
+        told = both.withColumns({"path": F.col("new_path"), "size": F.col("new_size"), "modified_us": F.col("new_us")})
+        return told.withColumn("modified_at", F.timestamp_micros("modified_us")).select(*DOCUMENT_COLUMNS)
+
     def _classified(self, n: int, root: str, own: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """What to do with every file (relative_path, action, path, old_path), and the hashes of files that are new or touched."""
         known = own.select("relative_path", "size", "modified_us", "content_hash")
@@ -162,12 +206,12 @@ class Index:
         with_hash = listed.join(known, ["relative_path", "size", "modified_us"], "left").join(hashed.select("path", F.col("content_hash").alias("fresh")), "path", "left")
         shape = lambda d, h: d.select(F.col("relative_path").alias("path"), "size", F.col("modified_us").alias("modified"), h.alias("hash"))
         a, b = shape(known, F.col("content_hash")), shape(with_hash, F.coalesce("fresh", "content_hash"))
-        decided = maintain.classify(a, b, self._extractions(n - 1).select(F.col("content_hash").alias("hash")))
+        decided = maintain.classify(a, b, self._extractions().select(F.col("content_hash").alias("hash")))
         moved = maintain.moves(a, b)
         actions = decided.join(moved, "path", "left").withColumnRenamed("path", "relative_path").join(listed.select("relative_path", "path"), "relative_path", "left")
         return self._write(n, "actions", actions), hashed
 
-    def _documents(self, before: DataFrame, good: DataFrame, ids: DataFrame, source_id: str, source_name: str) -> DataFrame:
+    def _documents(self, good: DataFrame, ids: DataFrame, source_id: str, source_name: str) -> DataFrame:
         """Documents of extracted files; the id is that of the path, or of the path the file left, or a new one."""
         number = structure.own_number(T.snippet(F.col("text"), 3000))
         absent = lambda kind: F.lit(None).cast(kind)
@@ -179,45 +223,66 @@ class Index:
             }
         )
         known = named.join(ids, F.coalesce("old_path", "relative_path") == ids.was, "left")
-        numbered = maintain.assign_ids(before.select("id"), known.filter("id is null").drop("id"), "relative_path")
-        columns = [c.split()[0] for c in re.split(r", (?![^<]*>)", DOCUMENTS)]
+        given = self.spark.range(1).select(F.lit(self.manifest.last_id).cast("long").alias("id"))
+        numbered = maintain.assign_ids(given, known.filter("id is null").drop("id"), "relative_path")
         both = known.filter("id is not null").unionByName(numbered)
-        return both.withColumn("stable_ref", F.concat_ws(":", F.lit("local"), "source_id", F.col("id").cast("string"))).select(*columns)
-
-    def _index(self, n: int, kept: DataFrame, fresh: DataFrame, docs: DataFrame) -> None:
-        """Chunks, metadata entries and their inverted indexes: those of kept documents carried over, those of fresh ones made."""
-        made = self._write(n, "fresh-chunks", self._chunks(fresh))
-        old = self.chunks.join(kept, "document", "left_semi") if n > 1 else made.limit(0)
-        chunks = self._write(n, "chunks", old.unionByName(made))
-        entries = reads.metadata_entries(docs.select("id", "title", "relative_path", F.to_json("metadata").alias("metadata")), self.agent, self.edges).filter("content <> ''")
-        entries = entries.withColumn("row_id", F.concat_ws("/", F.lit("m"), "document", F.sha2(F.concat_ws("\0", "kind", "content"), 256))).dropDuplicates(["row_id"])
-        self._write(n, "metadata", entries)
+        return both.withColumn("stable_ref", F.concat_ws(":", F.lit("local"), "source_id", F.col("id").cast("string"))).select(*DOCUMENT_COLUMNS)
+
+    def _index(self, n: int, fresh: DataFrame, gone: DataFrame) -> dict[str, int]:
+        """Write what is made of the fresh documents' texts; the sums over all live rows, without the ``gone`` documents'."""
+        write = lambda name, rows: (self.segments.write(n, name, rows), self.spark.read.parquet(self.segments.path(n, name)).drop("segment"))[1]
+        chunks = write("chunks", self._chunks(fresh))
+        write("hashes", chunks.select("chunk_hash", "row_id", "document"))
+        write("places", chunks.select("body_hash", "document", "ordinal", "start", "stop", "cite_key"))
+        none = self.agent.limit(0), self.edges.limit(0)
+        entries = write("metadata", self._entries(fresh, *none))
         titles = fresh.select(F.col("id").alias("document"), "title")
-        tokens = lexical.token_rows(made.join(titles, "document"), "row_id", "text", "title")
-        posted, sized = lexical.postings(tokens), lexical.lengths(tokens)
-        of = F.substring_index("row_id", "/", 1).cast("long").alias("document")
-        if n > 1:
-            ids = kept.select(F.col("document").alias("__kept"))
-            carried = lambda d: d.join(ids, of == ids["__kept"], "left_semi")
-            posted, sized = carried(self.inverted.postings).unionByName(posted), carried(self._table("lengths")).unionByName(sized)
-        lexical.Inverted.write(f"{self.folder}/v={n}/inverted", posted, self._write(n, "lengths", sized))
-        about = lexical.token_rows(self.spark.read.parquet(f"{self.folder}/v={n}/metadata"), "row_id", "content")
-        lexical.Inverted.write(f"{self.folder}/v={n}/inverted-metadata", lexical.postings(about), lexical.lengths(about))
-        fs, path = self._fs()
-        fs.delete(path(f"{self.folder}/v={n}/fresh-chunks"), True)
+        sizes = []
+        for kind, name, rows, texts, of in (
+            ("chunk", "postings", chunks.join(titles, "document"), ("text", "title"), F.substring_index("row_id", "/", 1)),
+            ("metadata", "metadata-postings", entries, ("content",), F.split("row_id", "/")[1]),
+        ):
+            tokens = lexical.token_rows(rows, "row_id", *texts)
+            write(name, lexical.postings(tokens).withColumn("document", of.cast("long")))
+            sizes.append(lexical.lengths(tokens).groupBy(of.cast("long").alias("document")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("terms")).withColumn("kind", F.lit(kind)))
+        sized = write("sizes", sizes[0].unionByName(sizes[1]))
+        sums = dict(self.manifest.sums)
+        signed = sized.select("kind", "n", "terms")
+        if self.manifest.segments:
+            hidden = self.segments.table("sizes", self.manifest).join(gone, "document", "left_semi")
+            signed = signed.unionByName(hidden.select("kind", (-F.col("n")).alias("n"), (-F.col("terms")).alias("terms")))
+        for kind, rows, terms in signed.groupBy("kind").agg(F.sum("n"), F.sum("terms")).collect():
+            sums[f"{kind}_rows"] = sums.get(f"{kind}_rows", 0) + rows
+            sums[f"{kind}_terms"] = sums.get(f"{kind}_terms", 0) + terms
+        return sums
+
+    def _entries(self, docs: DataFrame, agent: DataFrame, edges: DataFrame) -> DataFrame:
+        """Metadata entries with their row ids."""
+        entries = reads.metadata_entries(docs.select("id", "title", "relative_path", F.to_json("metadata").alias("metadata")), agent, edges).filter("content <> ''")
+        return entries.withColumn("row_id", F.concat_ws("/", F.lit("m"), "document", F.sha2(F.concat_ws("\0", "kind", "content"), 256))).dropDuplicates(["row_id"])
+
+    def _facts(self, n: int, manifest: segments.Manifest) -> None:
+        """The entries of facts and edges, tables kept elsewhere, of documents that there are; written whole in each build."""
+        docs = self.segments.table("documents", manifest).select("id", "title", "relative_path", "metadata")
+        entries = self._entries(docs, self.agent, self.edges).filter(F.col("kind") != "automatic").join(docs.select(F.col("id").alias("document")), "document", "left_semi")
+        facts = self._write(n, "facts", entries.select("document", "kind", "content", "row_id"))
+        tokens = lexical.token_rows(facts, "row_id", "content")
+        self._write(n, "facts-postings", lexical.postings(tokens).withColumn("document", F.split("row_id", "/")[1].cast("long")))
+        rows, terms = lexical.lengths(tokens).agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        manifest.sums |= {"fact_rows": rows, "fact_terms": terms}
 
     def actions(self) -> DataFrame:
         """What the last build did: files by action."""
-        return self._table("actions").groupBy("action").agg(F.count(F.lit(1)).alias("files"))
+        return self._latest("actions").groupBy("action").agg(F.count(F.lit(1)).alias("files"))
 
     def coverage(self) -> DataFrame:
         """source, status, failed, pending of every source; failed files by name are in :meth:`failures`."""
-        sources = self._table("sources").withColumnRenamed("source_id", "source")
+        sources = self._latest("sources").withColumnRenamed("source_id", "source")
         return governance.coverage(sources, self.failures().withColumnRenamed("source_id", "source"))
 
     def failures(self) -> DataFrame:
         """Files without a current document: source_id, path, status (stale: the last good one is kept), stage, error."""
-        return self._table("coverage")
+        return self._latest("coverage")
 
     def _chunks(self, docs: DataFrame) -> DataFrame:
         """Structured sections where a text has them, windows elsewhere; cite keys are unique in a document."""
@@ -274,7 +339,7 @@ class Index:
 
     def readiness(self, now: str, poll: int = 3600) -> DataFrame:
         """What hinders the index: its sources, builds older than three intervals, open reviews, chunks without vectors."""
-        sources = self._table("sources").select(
+        sources = self._latest("sources").select(
             F.col("source_id").alias("name"), F.lit(True).alias("enabled"), F.col("last_sync_at").alias("created_at"), "last_sync_at",
             F.lit(poll).alias("poll"), F.lit(None).cast("string").alias("last_error"),
         )

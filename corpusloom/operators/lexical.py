@@ -34,8 +34,15 @@ def postings(tokens: DataFrame) -> DataFrame:
         F.transform("parts", F.size), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + n + 1))
     )
     numbered = F.zip_with("parts", F.slice(shift, 1, F.size("parts")), lambda part, at: F.transform(part, lambda t, i: F.struct(t.alias("term"), (at + i).alias("position"))))
-    places = tokens.select("row_id", F.size("terms").alias("dl"), F.explode(F.flatten(numbered)).alias("p")).select("row_id", "dl", "p.*")
-    return places.groupBy("term", "row_id", "dl").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    # A row's places are sorted by term and cut where the term changes: no exchange, as a row's terms are at one place.
+    own = tokens.select("row_id", F.size("terms").alias("dl"), F.array_sort(F.flatten(numbered)).alias("s"))
+    begins = F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+    cut = own.select("row_id", "dl", "s", begins.alias("begins"))
+    one = lambda b, k: F.struct(
+        F.get("s", b)["term"].alias("term"), F.slice("s", b + 1, F.coalesce(F.get("begins", k + 1), F.size("s")) - b)["position"].alias("positions")
+    )
+    each = cut.select("row_id", "dl", F.explode(F.transform("begins", one)).alias("p"))
+    return each.select("p.term", "row_id", "dl", F.size("p.positions").cast("long").alias("tf"), "p.positions")
 
 
 def lengths(tokens: DataFrame) -> DataFrame:

@@ -32,9 +32,12 @@ def score(cos: Column) -> Column:
 PASS_BYTES, MOST_BYTES = 32 << 20, 512 << 20
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, limit: int, digits: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, limit: int, digits: int = 6, among: DataFrame | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: exact top vectors for each query vector (``query``), ties by id.
 
+    ``among`` (vec_id): only these count; scores meet them before the cut, vectors never move. With it, all that tie with
+    the last are there.
+
     Questions are a batch of checked size: they go to every task, so no vector is shuffled; more than one pass
     holds take several, and more than ``MOST_BYTES`` are an error (ask in several batches).
     """
@@ -50,16 +53,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int, digits: int = 6)
             part.append(asked[at])
             used += 8 * len(asked[at][1])
             at += 1
-        found.append(_products(vectors, part, queries.schema["query_id"].dataType, limit, digits, kinds))
+        found.append(_products(vectors, part, queries.schema["query_id"].dataType, limit if among is None else None, digits, kinds))
     if not found:
         return queries.sparkSession.createDataFrame([], kinds + ", rank int")
     every = reduce(DataFrame.unionByName, found)
+    if among is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        return every.join(among, "vec_id", "left_semi").withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= limit)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def _products(vectors: DataFrame, asked: list[tuple], kind: DataType, limit: int, digits: int, kinds: str) -> DataFrame:
-    """One matrix product for each Arrow batch; of each batch the rows go on that are no worse than the ``limit``-th."""
+def _products(vectors: DataFrame, asked: list[tuple], kind: DataType, limit: int | None, digits: int, kinds: str) -> DataFrame:
+    """One matrix product for each Arrow batch; of each batch the rows go on that are no worse than the ``limit``-th, or all."""
     by_size: dict[int, list[int]] = {}
     for i, (_, v) in enumerate(asked):
         by_size.setdefault(len(v), []).append(i)
@@ -81,7 +87,7 @@ def _products(vectors: DataFrame, asked: list[tuple], kind: DataType, limit: int
                     cos = np.divide(x @ q.T, below, out=np.zeros_like(below), where=below > 0)
                 s = np.round(np.nan_to_num(np.maximum(0, (cos + 1) / 2), nan=0.5), digits)  # as cosine 0
                 for j, i in enumerate(at):
-                    least = np.partition(s[:, j], -limit)[-limit] if len(same) > limit else -1.0
+                    least = np.partition(s[:, j], -limit)[-limit] if limit and len(same) > limit else -1.0
                     best = np.flatnonzero(s[:, j] >= least)
                     query.append(np.full(len(best), i))
                     row.append(same[best])

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import filters, fusion, lexical, semantic
+from corpusloom.operators.segments import fetch
 from corpusloom.sources import documents as D
 from corpusloom.sources.shared import stored
 
@@ -68,47 +70,74 @@ OCR_NOTICE = "OCR, chưa kiểm chứng: mở trang gốc trước khi trích d
 FALLBACK = "semantic search unavailable; using full_text: "
 
 
-def _pass(index, chunks: DataFrame, metadata: DataFrame, queries: DataFrame, terms: list[str], match: str, pool: int) -> DataFrame:
-    """query_id, row_id, rank, matched_via of one match mode: chunks in accent-exact order within their pool, then metadata."""
+def _words(index, ids: DataFrame, queries: DataFrame, match: str, pool: int) -> DataFrame:
+    """query_id, row_id, rank, matched_via and effective_match: chunks in accent-exact order within their pool, then metadata.
 
-    def best(inverted: lexical.Inverted, rows: DataFrame) -> DataFrame:
-        scored = (lexical.phrase_postings if match == "phrase" else lexical.bm25_postings)(inverted, queries, terms)
-        scored = scored.filter("matched = n_terms") if match == "all" else scored
-        return lexical.top(scored.join(rows.select("row_id"), "row_id", "left_semi"), pool)
+    ``ids`` (document): those in scope. ``auto`` puts complete hits before all others. Texts are fetched for the pool only.
+    """
+    terms = lexical.literals(queries)
+    modes = ("all", "any") if match == "auto" else (match,)
 
+    def best(inverted: lexical.Inverted, of: Column, listed: str) -> list[DataFrame]:
+        scored = (lexical.phrase_postings if match == "phrase" else lexical.bm25_postings)(inverted, queries, terms)
+        scored = scored.withColumn("document", of.cast("long")).join(ids, "document", "left_semi")
+        tops = [lexical.top(scored.filter("matched = n_terms") if m == "all" else scored, pool) for m in modes]
+        return [t.select("query_id", "row_id", "rank", F.lit(m).alias("pass"), F.lit(listed).alias("list")) for t, m in zip(tops, modes)]
+
+    tops = [*best(index.inverted, F.substring_index("row_id", "/", 1), "content"), *best(index.inverted_metadata, F.split("row_id", "/")[1], "metadata")]
+    found = stored(reduce(DataFrame.unionByName, tops), "search-tops")  # one job, whose passes share the scores
+    of = lambda listed: found.filter(F.col("list") == listed)
+    texts = fetch(index.chunks.select("row_id", "text"), "row_id", of("content"))
+    kinds = fetch(index.metadata.select("row_id", "kind"), "row_id", of("metadata"))
     asked = queries.select("query_id", T.query_terms(F.col("text")).alias("asked"))
-    content = best(index.inverted, chunks).join(chunks.select("row_id", "text"), "row_id").join(asked, "query_id")
-    content = lexical.accent_resort(content, F.col("asked")).select("query_id", "row_id", F.col("lexical_rank").alias("rank"))
-    about = best(index.inverted_metadata, metadata).join(metadata.select("row_id", "kind"), "row_id")
-    return lexical.second_list(content, about).select("query_id", "row_id", F.col("lexical_rank").alias("rank"), "matched_via")
-
-
-def _words(index, chunks: DataFrame, metadata: DataFrame, queries: DataFrame, match: str, pool: int) -> DataFrame:
-    """As :func:`_pass`, and effective_match; ``auto`` puts complete hits before all others."""
-    terms = lexical.literals(queries)
+    content = of("content").join(texts, "row_id").join(asked, "query_id")
+    about = of("metadata").join(kinds, "row_id")
+    ranked = stored(
+        reduce(
+            DataFrame.unionByName,
+            [
+                lexical.second_list(
+                    lexical.accent_resort(content.filter(F.col("pass") == m), F.col("asked")).select("query_id", "row_id", F.col("lexical_rank").alias("rank")), about.filter(F.col("pass") == m)
+                ).select("query_id", "row_id", F.col("lexical_rank").alias("rank"), "matched_via", F.lit(m).alias("pass"))
+                for m in modes
+            ],
+        ),
+        "search-passes",
+    )
     if match != "auto":
-        return _pass(index, chunks, metadata, queries, terms, match, pool).withColumn("effective_match", F.lit(match))
-    both = [_pass(index, chunks, metadata, queries, terms, m, pool).withColumn("pass", F.lit(m)) for m in ("all", "any")]
-    found = stored(both[0].unionByName(both[1]), "search-passes")  # one job, whose two passes share the scores
-    complete, partial = (found.filter(F.col("pass") == m).drop("pass") for m in ("all", "any"))
+        return ranked.withColumnRenamed("pass", "effective_match")
+    complete, partial = (ranked.filter(F.col("pass") == m).drop("pass") for m in modes)
     return lexical.merge_auto(complete, partial).select("query_id", "row_id", F.col("merged_rank").alias("rank"), "matched_via", "effective_match")
 
 
-def _wanted(queries: DataFrame, docs: DataFrame, chunks: DataFrame, o: Options) -> DataFrame:
+def _near(index, ids: DataFrame, query_vectors: DataFrame, pool: int) -> DataFrame:
+    """query_id, row_id, rank, score: distinct vectors are scored where they are, and find their chunks after the cut."""
+    held = index.hashes.join(ids, "document", "left_semi")
+    vectors = index.vectors.withColumnRenamed("chunk_hash", "vec_id")
+    best = stored(semantic.nearest(vectors, query_vectors, pool, among=held.select(F.col("chunk_hash").alias("vec_id"))), "search-vectors")
+    rows = fetch(held, "chunk_hash", best.select(F.col("vec_id").alias("chunk_hash"))).select("row_id", F.col("chunk_hash").alias("vec_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    return best.drop("rank").join(rows, "vec_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool).select("query_id", "row_id", "rank", "score")
+
+
+def _wanted(index, queries: DataFrame, docs: DataFrame, o: Options) -> DataFrame:
     """The first chunks of the documents whose number a query is, or that the options name."""
     number = T.is_number(F.col("text")) if o.doc_no is None else F.lit(False)
     asked = F.when(number, F.trim("text")) if o.doc_no is None else F.lit(o.doc_no)
     keyed = queries.select("query_id", number.alias("number_query"), T.make_key(asked).alias("doc_no_key")).filter("doc_no_key <> ''")
-    found = keyed.join(docs.select(F.col("id").alias("document"), "doc_no_key"), "doc_no_key").join(chunks.select("document", "ordinal", "row_id"), "document")
+    named = fetch(docs.select(F.col("id").alias("document"), "doc_no_key"), "doc_no_key", keyed)
+    found = keyed.join(named, "doc_no_key")
+    chunks = fetch(index.chunks.select("document", "ordinal", "row_id"), "document", found)
     order = Window.partitionBy("query_id").orderBy("document", "ordinal")
-    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= o.limit).drop("n", "doc_no_key")
+    return found.join(chunks, "document").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= o.limit).drop("n", "doc_no_key")
 
 
-def scoped(index, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, chunks and metadata entries that the options let through."""
-    docs = visible(index.documents, index.validity, o)
-    ids = docs.select(F.col("id").alias("document"))
-    return docs, index.chunks.join(ids, "document", "left_semi"), index.metadata.join(ids, "document", "left_semi")
+def _items(index, rows: DataFrame) -> DataFrame:
+    """row_id, document, text, body_hash and the chunk fields of some chunks and metadata entries, fetched by their row_id."""
+    chunks = fetch(index.chunks, "row_id", rows).select("row_id", "document", "text", "body_hash", *CHUNK_FIELDS)
+    of = [F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in CHUNK_FIELDS]
+    entries = fetch(index.metadata, "row_id", rows).select("row_id", "document", F.concat_ws(": ", "kind", "content").alias("text"), F.lit("").alias("body_hash"), *of)
+    return chunks.unionByName(entries)
 
 
 def search(
@@ -126,22 +155,20 @@ def search(
     """
     o = options
     pool = lexical.pool(o.limit, o.rerank_top_n if rerank else 0)
-    docs, chunks, metadata = scoped(index, o)
+    docs = visible(index.documents, index.validity, o)
+    ids = docs.select(F.col("id").alias("document"))
     if o.mode == "semantic" and query_vectors is None:
         raise ValueError("semantic search unavailable: no query vectors")
     key = queries.schema["query_id"].dataType.simpleString()
     words = index.spark.createDataFrame([], f"query_id {key}, row_id string, rank int, matched_via string, effective_match string")
     near = index.spark.createDataFrame([], f"query_id {key}, row_id string, rank int, score double")
     if o.mode != "semantic":
-        words = stored(_words(index, chunks, metadata, queries, o.match, pool), "search-words")
+        words = stored(_words(index, ids, queries, o.match, pool), "search-words")
     if o.mode != "full_text" and query_vectors is not None:
-        vectors = index.vectors.join(chunks.select("row_id", "chunk_hash"), "chunk_hash").select(F.col("row_id").alias("vec_id"), "embedding")
-        near = semantic.nearest(vectors, query_vectors, pool).withColumnRenamed("vec_id", "row_id")
-        near = stored(near, "search-near")
-    bodies = chunks.select("row_id", "document", "text", "body_hash", "cite_key").unionByName(
-        metadata.select("row_id", "document", F.concat_ws(": ", "kind", "content").alias("text"), F.lit("").alias("body_hash"), F.lit(None).cast("string").alias("cite_key"))
-    )
-    hits = fusion.combine(words, near, o.mode).join(bodies, "row_id").withColumn("score", fusion.appendix_penalty(F.col("score"), F.col("cite_key")))
+        near = stored(_near(index, ids, query_vectors, pool), "search-near")
+    found = stored(fusion.combine(words, near, o.mode), "search-found")
+    bodies = stored(_items(index, found).select("row_id", "document", "text", "body_hash", "cite_key"), "search-bodies")
+    hits = found.join(bodies, "row_id").withColumn("score", fusion.appendix_penalty(F.col("score"), F.col("cite_key")))
     own = Window.partitionBy("query_id")
     meant = F.max(F.col("semantic_rank").isNotNull()).over(own)
     hits = hits.withColumns({"rank": F.row_number().over(own.orderBy(F.desc("score"), "rank")), "meant": meant}).drop("lexical_rank", "semantic_rank")
@@ -151,23 +178,22 @@ def search(
         hits = hits.withColumns({"score": F.col("new_score"), "rank": F.col("place") + 1}).drop("place", "new_score", "question")
     else:
         hits = hits.withColumns({"reranked": F.lit(False), "rerank_score": F.lit(None).cast("double")})
-    first = fusion.prioritise(hits.drop("text", "body_hash", "cite_key"), _wanted(queries, docs, chunks, o))
-    first = first.drop("rank").withColumnRenamed("place", "rank").join(bodies.select("row_id", "body_hash"), "row_id")
+    wanted = stored(_wanted(index, queries, docs, o), "search-wanted")
+    first = stored(fusion.prioritise(hits.drop("text", "body_hash", "cite_key"), wanted).drop("rank").withColumnRenamed("place", "rank"), "search-first")
+    first = first.join(_items(index, first).select("row_id", "body_hash"), "row_id")
     # A page of rows for each question, from here on without the plan that found them.
     chosen = stored(fusion.diversify(first, o.per_document, o.limit).drop("rank"), "search-chosen")
     matches = words.groupBy("query_id").agg(F.max("effective_match").alias("effective_match"))
-    return _project(chosen.join(matches, "query_id", "left"), index, docs, chunks, metadata, o, query_vectors is not None)
+    return _project(chosen.join(matches, "query_id", "left"), index, ids, o, query_vectors is not None)
 
 
-def _project(chosen: DataFrame, index, docs: DataFrame, chunks: DataFrame, metadata: DataFrame, o: Options, asked: bool) -> DataFrame:
+def _project(chosen: DataFrame, index, ids: DataFrame, o: Options, asked: bool) -> DataFrame:
     """The fields of a hit, its citation, its first locations, and how its question was answered."""
-    named = lambda d: d.select(
+    docs = fetch(index.documents, "id", chosen.select(F.col("document").alias("id"))).select(
         F.col("id").alias("document"), "source_id", "source_name", "kind", "relative_path", "title", "doc_no", "stable_ref", "content_hash", "external_id", "source_url",
         "media_type", "indexed_at", "modified_at", "metadata", "spans",
     )
-    of = [F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in CHUNK_FIELDS]
-    items = chunks.select("row_id", "text", *CHUNK_FIELDS).unionByName(metadata.select("row_id", F.concat_ws(": ", "kind", "content").alias("text"), *of))
-    rows = chosen.join(items, "row_id").join(named(docs), "document")
+    rows = chosen.drop("body_hash").join(_items(index, chosen).drop("document"), "row_id").join(docs, "document")
     touched = D.overlapping(F.col("spans"), F.col("start"), F.col("stop"))
     spans = F.when(F.col("start").isNotNull(), touched).otherwise(F.slice("spans", 1, 0))
     rows = rows.withColumns({"touched": spans, "page": D.pages(spans), "document_ref": F.concat_ws(":", "source_name", "relative_path")})
@@ -191,20 +217,29 @@ def _project(chosen: DataFrame, index, docs: DataFrame, chunks: DataFrame, metad
         F.coalesce("effective_match", F.lit("any" if o.match == "auto" else o.match)).alias("effective_match"), mode.alias("effective_mode"), warnings.alias("warnings"),
     )
     bodies = chosen.filter("body_hash <> ''").select("body_hash").distinct().withColumn("row_id", F.col("body_hash"))
-    places = fusion.locations(bodies, _places(docs, chunks), LOCATIONS).select("body_hash", "n_locations", F.transform("locations", lambda x: x.dropFields("document", "ordinal")).alias("locations"))
+    held = fetch(index.places, "body_hash", bodies).join(ids, "document", "left_semi")
+    # The first places of each body, then the documents that these are in.
+    places = stored(fusion.locations(bodies, held, LOCATIONS), "search-places")
+    each = places.select("body_hash", F.posexplode("locations").alias("i", "at")).select("body_hash", "i", "at.*")
+    named = fetch(index.documents, "id", each.select(F.col("document").alias("id")))
+    listed = _located(each, named).groupBy("body_hash").agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*LOCATION).alias("at")))).alias("l"))
+    places = places.select("body_hash", "n_locations").join(listed, "body_hash").select("body_hash", "n_locations", F.transform("l", lambda x: x["at"]).alias("locations"))
     return out.join(places, "body_hash", "left").withColumn("n_locations", F.coalesce("n_locations", F.lit(0).cast("long")))
 
 
-def _places(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """body_hash, document, ordinal and the fields of a location, of every chunk."""
-    d = docs.select(F.col("id").alias("document"), "stable_ref", "source_name", "relative_path")
-    return chunks.join(d, "document").select(
-        "body_hash", "document", "ordinal", "stable_ref", F.concat_ws(":", "source_name", "relative_path").alias("document_ref"), F.col("source_name").alias("source"),
-        F.col("relative_path").alias("path"), F.col("ordinal").alias("chunk_ordinal"), F.col("start").alias("start_char"), F.col("stop").alias("end_char"), "cite_key",
-    )
+#: Fields of a location.
+LOCATION = ("stable_ref", "document_ref", "source", "path", "chunk_ordinal", "start_char", "end_char", "cite_key")
+
+
+def _located(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """Places (document, ordinal, start, stop, cite_key) with the fields of a location."""
+    d = docs.select(F.col("id").alias("document"), "stable_ref", F.concat_ws(":", "source_name", "relative_path").alias("document_ref"), F.col("source_name").alias("source"), F.col("relative_path").alias("path"))
+    return places.join(d, "document").withColumns({"chunk_ordinal": F.col("ordinal"), "start_char": F.col("start"), "end_char": F.col("stop")}).drop("start", "stop")
 
 
 def all_locations(index, hits: DataFrame, options: Options = Options()) -> DataFrame:
     """Every place in scope of the bodies of some hits, as rows: query_id, place and the fields of a location."""
-    docs, chunks, _ = scoped(index, options)
-    return fusion.location_rows(hits.select("query_id", "place", "body_hash"), _places(docs, chunks)).drop("document", "ordinal")
+    docs = visible(index.documents, index.validity, options)
+    asked = stored(hits.select("query_id", "place", "body_hash"), "search-asked")
+    held = fetch(index.places, "body_hash", asked.filter("body_hash <> ''"))
+    return _located(fusion.location_rows(asked, held), docs).drop("document", "ordinal")

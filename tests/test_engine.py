@@ -1,5 +1,8 @@
 """Files to an index to answers."""
 
+import os
+import random
+from collections import Counter
 from datetime import datetime
 
 import pandas as pd
@@ -7,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.engine import Index
-from corpusloom.operators import upkeep
+from corpusloom.operators import lexical, segments, semantic, upkeep
 from corpusloom.plans.search import Options
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
@@ -191,6 +194,107 @@ def test_rebuild_reads_only_what_changed(index, monkeypatch):
     assert got[after["law.txt"]] == (True, True) and got[after["data.json"]] == (True, False)
 
 
+def test_segments(spark, tmp_path):
+    """Builds write what changed; a search over segments, tombstones and merges equals one over a fresh index."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(5, 60)))
+    root = tmp_path / "files"
+    root.mkdir()
+    for i in range(12):
+        (root / f"f{i}.txt").write_text(text())
+    (root / "twin.txt").write_text((root / "f3.txt").read_text())
+    plain = Settings(chunk_strategy="window", chunk_chars=120, chunk_overlap=20)
+    index = Index(spark, str(tmp_path / "index"), settings=plain, fanout=3)
+    index.build(str(root), "s1", "notes")
+    rows = lambda n, name: spark.read.parquet(index.segments.path(n, name)).count()
+    assert rows(1, "documents") == 13
+    (root / "f0.txt").write_text(text() + " quince")
+    (root / "new.txt").write_text("a quince and w1")
+    (root / "f1.txt").unlink()
+    os.utime(root / "f2.txt", (1, 1))
+    index.build(str(root), "s1", "notes")
+    # Two documents were made, one was restated; two tombstones hide rows, three hide documents.
+    assert (rows(2, "documents"), rows(2, "extractions")) == (3, 2)
+    made = {r["document"] for r in spark.read.parquet(index.segments.path(2, "chunks")).collect()}
+    assert len(made) == 2 and rows(2, "chunks") < 12 and {r["relative_path"] for r in index.documents.filter(F.col("id").isin(*made)).collect()} == {"f0.txt", "new.txt"}
+    assert Counter(r["part"] for r in spark.read.parquet(index.segments.path(2, "dead")).collect()) == {"rows": 2, "document": 3}
+    restated = index.documents.filter("relative_path = 'f2.txt'").first()
+    assert restated["modified_us"] == 1_000_000 and index.chunks.filter(F.col("document") == restated["id"]).count() > 0
+    (root / "new.txt").unlink()
+    (root / "late.txt").write_text("quince " * 3 + text())
+    index.build(str(root), "s1", "notes")  # the third segment: all are merged
+    assert index.manifest.segments == [[4, 1]] and not index.manifest.dead and index.manifest.latest == 3
+    # The highest id was given up with new.txt and is not given again.
+    ids = {r["relative_path"]: r["id"] for r in index.documents.collect()}
+    assert ids["late.txt"] > max(i for p, i in ids.items() if p != "late.txt") + 1
+    assert index.vacuum() == [1, 2] and index.version() == 4
+    fresh = Index(spark, str(tmp_path / "fresh"), settings=plain)
+    fresh.build(str(root), "s1", "notes")
+    asked = spark.createDataFrame([(1, "quince w1"), (2, "w3 w4 w5"), (3, "w7"), (4, "late")], "query_id int, text string")
+    seen = lambda x, o: [(r["query_id"], r["place"], r["path"], r["chunk_ordinal"], r["score"], r["matched_via"], r["n_locations"]) for r in x.search(asked, o).orderBy("query_id", "place").collect()]
+    names = lambda x: {r["row_id"]: (r["text"], r["cite_key"][r["cite_key"].index("#"):]) for r in x.chunks.collect()}
+    assert sorted(names(index).values()) == sorted(names(fresh).values())
+    assert [r[0] for r in index.inverted.stats.collect()] == [r[0] for r in fresh.inverted.stats.collect()] == [fresh.chunks.count()]
+    assert index.inverted.stats.first()["mean"] == fresh.inverted.stats.first()["mean"] and index.inverted_metadata.stats.first() == fresh.inverted_metadata.stats.first()
+    costs = lambda x: sorted((r["cost"] for r in lexical.bm25_postings(x.inverted, asked).select(F.round("cost", 9).alias("cost")).collect()))
+    assert costs(index) == costs(fresh)
+    for o in (Options(limit=8), Options(match="phrase")):
+        assert {x[2] for x in seen(index, o)} == {x[2] for x in seen(fresh, o)} and len(seen(index, o)) == len(seen(fresh, o))
+    assert index.build(str(root), "s1", "notes") is None and rows(5, "documents") == 0 and not (tmp_path / "index" / "v=5" / "dead").is_dir() or rows(5, "dead") == 0
+
+
+def scanned(df, column):
+    """Rows that the scans of a column's table read, by Spark's own counts."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        if node.nodeName().startswith("Scan parquet") and column in node.toString():
+            found.append(node.metrics().get("numOutputRows").get().value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_keyed_reads(spark, tmp_path):
+    """Rows are fetched by their keys: of a table in the order of its key only the pages that hold them are read."""
+    store = segments.Segments(spark, str(tmp_path / "s"))
+    rows = spark.range(150_000).select(F.concat_ws("/", "id", F.lit("0")).alias("row_id"), F.col("id").alias("document"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    store.write(1, "chunks", rows.coalesce(1))
+    store.commit(segments.Manifest(1, [[1, 0]], [], {}, 150_000, 1))
+    wanted = spark.createDataFrame([(f"{12_340 + i}/0",) for i in range(12)], "row_id string")
+    few = segments.fetch(store.table("chunks", store.manifest()), "row_id", wanted)
+    assert few.count() == 12 and sum(scanned(few, "text")) <= 60_000
+    many = segments.fetch(store.table("chunks", store.manifest()), "row_id", spark.range(2000).select(F.concat_ws("/", "id", F.lit("0")).alias("row_id")))
+    assert many.count() == 2000
+    with pytest.raises(ValueError):
+        store.commit(segments.Manifest(2, [], [], {}, 0, 2, format=99))
+        store.manifest()
+
+
+def test_vectors_stay_where_they_are(spark, index, monkeypatch):
+    """No exchange of a semantic search carries a vector, and copies of a chunk share one."""
+    index = index[0]
+    index.vectors = index.chunks.select("chunk_hash").distinct().select("chunk_hash", F.array(F.conv(F.substring("chunk_hash", 1, 4), 16, 10).cast("float"), F.lit(100.0).cast("float")).alias("embedding"))
+    plans, nearest = [], semantic.nearest
+
+    def spied(*args, **more):
+        out = nearest(*args, **more)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(semantic, "nearest", spied)
+    asked = spark.createDataFrame([(1, "apples")], "query_id int, text string")
+    hits = index.search(asked, Options(mode="semantic", limit=20, per_document=20), query_vectors=spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query array<float>"))
+    assert hits.count() > 3
+    below = plans[0].split("MapInArrow", 1)
+    assert len(below) == 2 and "embedding" not in below[0]
+
+
 def test_limits_are_settings(spark, tmp_path):
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "big.csv").write_text("a,b\n" + "1,2\n" * 50)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,26 +128,33 @@ def gold_match(cite_key: Column, gold: Column) -> Column:
     return (cite_key == gold) | F.startswith(cite_key, F.concat(gold, F.lit("-khoan-")))
 
 
-#: Words beside each other by which passages and texts are brought together.
-GRAM = 5
+#: Words beside each other by which passages and texts are brought together, and passages up to which a text's grams are compared with them where it is.
+GRAM, LITERALS = 5, 1000
 
 
 def holders(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """item_id, doc_id of every text (doc_id, whole) that holds a passage (item_id, text) as it is.
 
     A passage's words but the first and last, which may be parts of words in the text, are words of the text too. So
-    the two meet by a hash of ``GRAM`` of them (an equi-join), and ``contains`` decides. Passages of fewer than
-    ``GRAM + 2`` words are an error.
+    the two meet by a hash of the first ``GRAM`` of them, or of all if they are fewer (an equi-join), and ``contains``
+    decides. Only passages of one or two words are sought in every text.
     """
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    cut = passages.select("item_id", "text", words(F.col("text")).alias("w"))
-    gram = F.when(F.size("w") >= GRAM + 2, F.xxhash64(F.slice("w", 2, GRAM))).otherwise(F.raise_error(F.lit(f"a passage of fewer than {GRAM + 2} words")).cast("long"))
-    keyed = cut.select("item_id", gram.alias("gram"))
-    each = F.transform(F.sequence(F.lit(1), F.size("w") - GRAM + 1), lambda i: F.xxhash64(F.slice("w", i, GRAM)))
-    grams = texts.select("doc_id", words(F.col("whole")).alias("w")).filter(F.size("w") >= GRAM).select("doc_id", F.explode(F.array_distinct(each)).alias("gram"))
-    pairs = grams.join(keyed.select("item_id", "gram"), "gram").select("doc_id", "item_id").distinct()
-    met = texts.join(pairs, "doc_id").join(passages.select("item_id", "text"), "item_id")
-    return met.filter(F.contains("whole", "text")).select("item_id", "doc_id")
+    cut = passages.select("item_id", "text", words(F.col("text")).alias("w")).withColumn("g", F.least(F.size("w") - 2, F.lit(GRAM)))
+    keyed = cut.filter("g > 0").select("item_id", "text", "g", F.xxhash64(F.slice("w", F.lit(2), F.col("g"))).alias("gram"))
+    few = [r["gram"] for r in keyed.select("gram").distinct().limit(LITERALS + 1).collect()]
+    split = texts.select("doc_id", "whole", words(F.col("whole")).alias("w"))
+    found = []
+    for r in keyed.select("g").distinct().collect():  # at most GRAM lengths
+        g = r["g"]
+        each = F.transform(F.sequence(F.lit(1), F.size("w") - g + 1), lambda i: F.xxhash64(F.slice("w", i, g)))
+        each = F.when(F.size("w") >= g, F.array_distinct(F.filter(each, lambda x: x.isin(*few)) if len(few) <= LITERALS else each))
+        pairs = split.select("doc_id", "whole", F.explode(each).alias("gram")).join(keyed.filter(F.col("g") == g).select("item_id", "text", "gram"), "gram")
+        found.append(pairs.filter(F.contains("whole", "text")).select("item_id", "doc_id"))
+    short = cut.filter("g <= 0").select("item_id", "text")
+    if not short.isEmpty():
+        found.append(texts.join(short, F.contains("whole", "text")).select("item_id", "doc_id"))
+    return reduce(DataFrame.unionByName, found).distinct() if found else texts.sparkSession.createDataFrame([], "item_id long, doc_id long")
 
 
 def judge(questions: DataFrame, results: DataFrame, known: DataFrame) -> DataFrame:

@@ -103,8 +103,8 @@ class Inverted:
 
     @classmethod
     def write(cls, folder: str, posted: DataFrame, sized: DataFrame) -> Inverted:
-        """Written in term order, so that a query's filter on terms skips all other row groups."""
-        posted.repartitionByRange("term").sortWithinPartitions("term", "row_id").write.parquet(f"{folder}/postings")
+        """Each file in term order, so that a query's filter on terms skips all other pages; a common term's rows are in several files."""
+        posted.repartition(F.col("term"), F.pmod(F.xxhash64("row_id"), F.lit(16))).sortWithinPartitions("term", "row_id").write.parquet(f"{folder}/postings")
         statistics(sized).write.parquet(f"{folder}/stats")
         return cls.read(posted.sparkSession, folder)
 

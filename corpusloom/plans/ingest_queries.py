@@ -70,34 +70,6 @@ def make_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("name", T.make_key(F.col("name")).alias("key"))
 
 
-CHUNKS = "(1, 0, '01/2026', 'dieu-1'), (1, 1, '01/2026', 'dieu-2'), (1, 2, '01/2026', 'dieu-1'), (1, 3, '01/2026', 'dieu-1'), (2, 0, 'local:s:2', 'c0'), (2, 1, 'local:s:2', 'c0')"
-
-
-@query(f"""WITH t(doc, ordinal, prefix, part) AS (VALUES {CHUNKS}), n AS (SELECT *, row_number() OVER (PARTITION BY doc, prefix, part ORDER BY ordinal) AS n FROM t)
-SELECT doc, ordinal, prefix || '#' || part || CASE WHEN n > 1 THEN '~' || n ELSE '' END AS cite_key FROM n""")
-def cite_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.cite_keys(inline(spark, CHUNKS, "doc, ordinal, prefix, part"), "doc", "prefix", "part", "ordinal").select("doc", "ordinal", "cite_key")
-
-
-MD = "(1, '# A' || chr(10) || 'x' || chr(10) || '## B b' || chr(10) || 'y' || chr(10) || '### C' || chr(10) || '## D' || chr(10) || 'z'), (2, '# only one' || chr(10) || 'text'), (3, 'no heads')"
-
-
-@query("""SELECT * FROM (VALUES (1, 0, 1, 'A', 'A', 'muc-a'), (1, 1, 2, 'B b', 'A > B b', 'muc-b-b'), (1, 2, 3, 'C', 'A > B b > C', 'muc-c'), (1, 3, 2, 'D', 'A > D', 'muc-d'))
-t(doc_id, section, level, title, path, part)""")
-def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = structure.markdown_sections(inline(spark, MD, "doc_id, text"))
-    return out.select("doc_id", "section", "level", "title", F.concat_ws(" > ", "path").alias("path"), "part")
-
-
-IMAGES = "('a ![x](data:image/png;base64,AAAA) b'), ('![p][image1] text' || chr(10) || '[image1]: <data:image/png;base64,BBBB>' || chr(10) || 'tail'), ('![keep](http://x/y.png) ![r][z]'), ('plain')"
-
-
-@query(f"""WITH t(text) AS (VALUES {IMAGES}) SELECT text, CASE WHEN contains(text, 'data:') THEN regexp_replace(regexp_replace(regexp_replace(text,
-'(?m)^\\[[^\\]]+\\]:\\s*<data:[^>]+>[ \\t]*\\r?$\\n?', '', 'g'), '!\\[[^\\]]*\\]\\(\\s*<?data:[^)]*\\)', '', 'g'), '!\\[[^\\]]*\\]\\[[^\\]]*\\]', '', 'g') ELSE text END AS stripped FROM t""")
-def strip_data_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, IMAGES, "text").select("text", T.strip_data_images(F.col("text")).alias("stripped"))
-
-
 @query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
 s AS (SELECT conv_id, turn, e - 2 - n AS start, e - 2 AS stop FROM c)
 SELECT conv_id, count(*) AS spans, count(*) FILTER (stop > 200 AND start < 500) AS inside, sum(stop)::BIGINT AS stops FROM s GROUP BY conv_id""")
@@ -115,24 +87,6 @@ def head_3000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.length(head).cast("long").alias("n"), F.sha2(head, 256).alias("head_hash"))
 
 
-@query()
-def number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document numbers; look-around keeps SQL from saying it, a test pins it."""
-    rows = inline(spark, "(1, 'theo 99/2026/NĐ-CP và 01/TT-BTC, 99/2026/NĐ-CP; 984/Ngày 25-8-2024; x/12/2026/QH15'), (2, 'none')", "id, text")
-    return rows.select("id", T.find_numbers(F.col("text")).alias("numbers"))
-
-
-LAW = """Luật số: 10/2026/QH15\nLUẬT\nThử nghiệm\n\nChương I\nQUY ĐỊNH CHUNG\nĐiều 1. Phạm vi\nNội dung một.\nĐiều 2. Đối tượng\n1. Khoản một theo\nĐiều 9 của luật.\n2. Khoản hai.
-Chương II\nTHI HÀNH\nĐiều 3.\nHiệu lực\nVăn bản.\nPhụ lục I\nĐiều 1. Mẫu đơn"""
-
-
-@query()
-def legal_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles, opening and appendix of a small law; tests pin the rules."""
-    law = spark.createDataFrame([(1, LAW), (2, "Điều 1. Chỉ một điều.")], "doc_id int, text string")
-    return structure.sections(law).select("doc_id", "part", F.concat_ws(" > ", "path").alias("path"), "start", "stop", "text")
-
-
 @query()
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible blocks of every page."""
@@ -168,14 +122,6 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titles(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT * FROM (VALUES ('row:2', 'name: Ann; city: Hanoi'), ('row:3', 'name: Bob'), ('row:5', 'name: Cy; col3: x')) t(locator, text)")
-def extract_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = "name,city\nAnn,Hanoi\nBob, \n\nCy,,x\n".encode()
-    file = spark.createDataFrame([("a/b.csv", len(data), 0, data)], "path string, size long, modified_us long, content binary")
-    rows = D.extract(file).select("text", F.explode("spans").alias("s"))
-    return rows.select("s.locator", F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("text"))
-
-
 @query("""SELECT event_id, '$.' || key AS locator, key || ': ' || value AS text FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) t,
 LATERAL (SELECT props ->> ('$.' || key) AS value) v""")
 def json_props_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,22 +130,6 @@ def json_props_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select("event_id", F.concat(F.lit("$."), "key").alias("locator"), F.concat_ws(": ", "key", "value").alias("text"))
 
 
-REFS = "('google_drive', 's1', 'F9', 5), ('local', 's2', NULL, 6)"
-
-
-@query(f"WITH t(kind, source_id, external_id, id) AS (VALUES {REFS}) SELECT id, CASE WHEN kind = 'google_drive' THEN 'drive:' || external_id ELSE 'local:' || source_id || ':' || id END AS stable_ref FROM t")
-def stable_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    local = F.concat_ws(":", F.lit("local"), "source_id", "id")
-    return inline(spark, REFS, "kind, source_id, external_id, id").select("id", F.when(F.col("kind") == "google_drive", F.concat(F.lit("drive:"), "external_id")).otherwise(local).alias("stable_ref"))
-
-
-@query("""SELECT 'm#' || substr(sha256('{"dimensions":8,"endpoint":"local","model":"m","provider":"p"}'), 1, 20) AS cache_key""")
-def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The identity under which an embedding cache keeps its vectors."""
-    rows = spark.sql("SELECT 8 AS dimensions, 'local' AS endpoint, 'm' AS model, 'p' AS provider")
-    return rows.select(F.concat("model", F.lit("#"), F.substring(F.sha2(F.to_json(F.struct("dimensions", "endpoint", "model", "provider")), 256), 1, 20)).alias("cache_key"))
-
-
 @query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor(1024 * x::FLOAT::DOUBLE)))::BIGINT AS total, len(embedding) AS width FROM embeddings")
 def vector_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
@@ -207,9 +137,3 @@ def vector_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", total.alias("total"), F.size("v").cast("long").alias("width"))
 
 
-@query("SELECT * FROM (VALUES ('a.bin', 'stage=extract error=FormatError code=unsupported_format'), ('b.json', 'stage=extract error=FormatError code=format_parse_failed')) t(path, message)")
-def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that cannot be read are rows with a code and without content."""
-    files = spark.createDataFrame([("a.bin", 1, 0, b"x"), ("b.json", 1, 0, b"{"), ("c.txt", 1, 0, b"x")], "path string, size long, modified_us long, content binary")
-    bad = D.extract(files).filter("error is not null")
-    return bad.select("path", F.concat(F.lit("stage=extract error=FormatError code="), "error").alias("message"))

@@ -48,18 +48,6 @@ def chunk_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("document").alias("conv_id"), "centre", F.col("ordinal").alias("turn"))
 
 
-CATALOGUED = "(1, 's1', 'notes', 'local', 'a.txt', NULL, NULL), (2, 's2', 'drive', 'google_drive', 'a.md', 'X9', NULL), (3, 's1', 'notes', 'local', 'sub/b.txt', NULL, NULL)"
-
-
-@query(f"""WITH t(id, source_id, source_name, kind, relative_path, external_id, trashed_at) AS (VALUES {CATALOGUED})
-SELECT 'drive:X9' AS reference, id FROM t WHERE external_id = 'X9' UNION ALL SELECT 'notes:a.txt', id FROM t WHERE source_name = 'notes' AND relative_path = 'a.txt'
-UNION ALL SELECT 'local:s1:3', id FROM t WHERE id = 3""")
-def resolve_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, CATALOGUED, "id, source_id, source_name, kind, relative_path, external_id, trashed_at")
-    found = [reads.resolve(rows, r).select(F.lit(r).alias("reference"), "id") for r in ("drive:X9", "notes:a.txt", "local:s1:3")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
-
-
 @query("""SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS chunks, (SELECT count(*) FROM embeddings) AS vectors,
 (SELECT count(*) FROM labels WHERE quality = 0) AS open_reviews, (SELECT count(DISTINCT source) FROM documents) AS sources""")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,19 +80,6 @@ def job_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.min("ts").alias("oldest"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.count(F.lit(1)).alias("jobs"), F.sum("v").alias("total"))
 
 
-EDGES = "(1, 2, 'supports'), (2, 3, 'amends'), (3, 3, 'self')"
-NAMED = "(1, 'a.txt', 'A', 'm1'), (2, 'b.txt', 'B', 'm2'), (3, 'c.txt', 'C', 'm3')"
-AGENT = "(1, 'topic', 'law'), (1, 'year', '2026'), (3, 'topic', 'tax')"
-
-
-@query(f"""WITH d(id, path, title, metadata) AS (VALUES {NAMED}), a(document, key, value) AS (VALUES {AGENT}), e(s, t, relation) AS (VALUES {EDGES}),
-x AS (SELECT s, t, relation || ' ' || d1.path || ' ' || d2.path AS content FROM e JOIN d d1 ON d1.id = s JOIN d d2 ON d2.id = t)
-SELECT id AS document, 'automatic' AS kind, title || ' ' || metadata AS content FROM d UNION ALL SELECT document, 'agent_metadata', key || ' ' || value FROM a
-UNION ALL SELECT s, 'relationship', content FROM x UNION ALL SELECT t, 'relationship', content FROM x WHERE s <> t""")
-def metadata_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.metadata_entries(inline(spark, NAMED, "id, relative_path, title, metadata"), inline(spark, AGENT, "document, key, value"), inline(spark, EDGES, "source, target, relation"))
-
-
 @query("""SELECT n_nationkey::BIGINT AS document, 'in region' AS relation, r_name AS other, 'out' AS direction FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 1000 + r_regionkey, 'in region', n_name, 'in' FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def relationship_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,36 +169,6 @@ def assign_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.assign_ids(_docs(spark, sf_dir).select(F.col("doc_id").alias("id")), new, "k").select("source", "lang", "id")
 
 
-@query("SELECT CASE WHEN url = 'http://x' THEN 'http://y' WHEN starts_with(url, 'http://x/') THEN 'http://y' || substr(url, 9) ELSE url END AS moved FROM (VALUES ('http://x'), ('http://x/a'), ('http://xx/a')) t(url)")
-def relocate_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, "('http://x'), ('http://x/a'), ('http://xx/a')", "url").select(maintain.relocate(F.col("url"), "http://x", "http://y/").alias("moved"))
-
-
-@query("SELECT * FROM (VALUES ('f1', true), ('f2', false), ('f3', true), ('f4', false)) t(id, trashed)")
-def trash_by_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = inline(spark, "('f1', array('root', 'dir'), false), ('f2', array('root'), false), ('f3', array('root'), false), ('f4', array('dir'), true)", "id, ancestors, listed")
-    return maintain.trashed(items, inline(spark, "('dir'), ('f3')", "id"))
-
-
-CONTENT = "(1, 'checksum', 'c', 5, 'm', 'checksum', 'c', 5, 'm'), (2, 'checksum', 'c', NULL, 'm', 'checksum', 'c', 5, 'm'), (3, 'checksum', '', 5, 'm', 'checksum', '', 5, 'm'), (4, 'modified', 't', NULL, 'm', 'modified', 't', NULL, 'm'), (5, 'checksum', 'c', 5, 'm', 'checksum', 'c', 6, 'm'), (6, 'modified', 't', NULL, 'm', 'checksum', 't', NULL, 'm')"
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, false), (6, false)) t(id, same)")
-def content_key_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, CONTENT, "id, ok, ov, os, om, nk, nv, ns, nm")
-    key = lambda p: F.struct(F.col(p + "k").alias("kind"), F.col(p + "v").alias("value"), F.col(p + "s").alias("size"), F.col(p + "m").alias("mime"))
-    pair = rows.select("id", key("o").alias("o"), key("n").alias("n"))
-    return pair.select("id", maintain.same_content(F.col("o"), F.col("n")).alias("same"))
-
-
-@query("SELECT * FROM (VALUES ('a', 'unchanged'), ('b', 'index'), ('c', 'metadata'), ('d', 'trash'), ('e', 'delete'), ('f', 'index'), ('g', 'restore')) t(id, decision)")
-def drive_sync_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = "array('root')"
-    known = inline(spark, f"('a', 'k1', 'p1', {root}, false), ('b', 'k2', 'p2', {root}, false), ('c', 'k3', 'p3', {root}, false), ('d', 'k4', 'p4', array('root', 'bin'), false), ('e', 'k5', 'p5', {root}, false), ('g', 'k7', 'p7', {root}, true)", "id, content, place, ancestors, was_trashed")
-    listed = inline(spark, "('a', 'k1', 'p1'), ('b', 'k2x', 'p2'), ('c', 'k3', 'p3x'), ('f', 'k6', 'p6'), ('g', 'k7', 'p7')", "id, content, place")
-    return maintain.sync_decisions(known, listed, inline(spark, "('bin')", "id"), scan_errors=False)
-
-
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY role) AS text FROM (SELECT conv_id, role, trim(max_by(text, turn)) AS text FROM conversations GROUP BY conv_id, role) WHERE text <> '' GROUP BY conv_id")
 def corrections_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last text of each role of a conversation, as the last revision of each page."""
@@ -245,15 +190,6 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("conv_id", F.concat_ws(",", F.transform("p", lambda x: x.cast("string"))).alias("pages"))
 
 
-STATES = "('d1', true, false), ('d2', true, true), ('d3', false, false), ('d4', true, false), ('d5', true, false)"
-FAILED = "('d1', 'stale', 'extract'), ('d1', 'pending', 'extract'), ('d4', 'pending', 'extract'), ('d5', 'unindexed', 'listing')"
-
-
-@query("SELECT * FROM (VALUES ('d1', 'partial', 1, 1), ('d2', 'pending', 0, 0), ('d3', 'unknown', 0, 0), ('d4', 'pending', 0, 1), ('d5', 'partial', 1, 0)) t(source, status, failed, pending)")
-def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.redacted(governance.coverage(inline(spark, STATES, "source, listing_complete, running"), inline(spark, FAILED, "source, status, stage")))
-
-
 @query("""SELECT event_type AS source, epoch(TIMESTAMP '2024-01-30 12:00:00')::BIGINT - epoch(date_trunc('second', max(ts)))::BIGINT AS age,
 epoch(TIMESTAMP '2024-01-30 12:00:00')::BIGINT - epoch(date_trunc('second', max(ts)))::BIGINT > 1800 AS stale FROM events WHERE ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1""")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,28 +199,6 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.freshness(last, "2024-01-30 12:00:00")
 
 
-LAWS = "(1, '10/2020/NĐ-CP', 'h1', 'theo 05/2015/TT-BTC và 99/2019/QĐ-TTg'), (2, '05/2015/TT-BTC', 'h2', 'x'), (3, '99/2019/QĐ-TTg', 'h3', 'theo 10/2020/NĐ-CP'), (4, NULL, 'h1', 'y')"
-SPANS = "(1, DATE'2020-01-01', NULL, NULL), (2, DATE'2015-01-01', DATE'2018-01-01', '10/2020/NĐ-CP'), (3, DATE'2027-01-01', NULL, NULL)"
-
-
-def _laws(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return inline(spark, LAWS, "id, doc_no, content_hash, text"), inline(spark, SPANS, "id, effective_from, effective_to, replaced_by")
-
-
-@query("SELECT * FROM (VALUES (1, '05/2015/TT-BTC')) t(document, cited)")
-def expired_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.expired_citations(*_laws(spark), "2026-01-01")
-
-
-@query("""SELECT * FROM (VALUES (1, 'valid', 'CITES_EXPIRED,DUPLICATE_SHA256,OCR_UNVERIFIED'), (2, 'expired', 'NOT_VALID_ON_DATE,REPLACED_BY,DUPLICATE_CONTENT'),
-(3, 'not_yet_effective', 'NOT_VALID_ON_DATE,DUPLICATE_CONTENT,OPEN_REVIEWS'), (4, 'unknown', 'UNKNOWN_VALIDITY,DUPLICATE_SHA256')) t(id, status, warnings)""")
-def doc_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, validity = _laws(spark)
-    chunks = inline(spark, "(1, 'b1', true), (2, 'b2', false), (3, 'b2', false), (4, 'b1', false)", "document, body_hash, ocr")
-    reviews = inline(spark, "(3, 'open'), (2, 'resolved')", "document, status")
-    return governance.document_warnings(docs, validity, chunks, reviews, "2026-01-01").withColumn("warnings", F.concat_ws(",", "warnings"))
-
-
 @query("SELECT o_orderkey, CASE WHEN DATE '1996-06-01' < o_orderdate::DATE THEN 'not_yet_effective' WHEN DATE '1996-06-01' >= o_orderdate::DATE + 90 THEN 'expired' ELSE 'valid' END AS status FROM orders")
 def validity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.to_date("o_orderdate")

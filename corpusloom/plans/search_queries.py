@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import filters, fusion, lexical, semantic
 from corpusloom.plans.registry import inline, query, table
-from corpusloom.sources.shared import fresh_path, remove
+from corpusloom.sources.shared import fresh_path, hadoop, stored
 
 TERMS = "anea thble lying"
 ENABLED = ("src0", "src3", "src5", "src7", "src11")
@@ -47,19 +47,21 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.token_rows(_docs(spark, sf_dir), "doc_id", "text")
 
 
-_BUILT: dict[tuple[str, str], lexical.Inverted] = {}
+_BUILT: dict[tuple[str, str], tuple[str, lexical.Inverted]] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Inverted:
     """The inverted index of the documents, written below the shared folder once in an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        folder = fresh_path(spark, "inverted")
-        _tokens(spark, sf_dir).write.parquet(f"{folder}/tokens")
-        tokens = spark.read.parquet(f"{folder}/tokens")
-        _BUILT[key] = lexical.Inverted.write(folder, lexical.postings(tokens), lexical.lengths(tokens))
-        remove(spark, f"{folder}/tokens")
-    return _BUILT[key]
+    if key in _BUILT:
+        folder, index = _BUILT[key]
+        fs, path = hadoop(spark, folder)
+        if fs.exists(path(folder)):  # else it was cleaned up
+            return index
+    folder = fresh_path(spark, "inverted")
+    tokens = _tokens(spark, sf_dir)
+    _BUILT[key] = folder, lexical.Inverted.write(folder, lexical.postings(tokens), lexical.lengths(tokens))
+    return _BUILT[key][1]
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+') AS terms FROM documents)
@@ -268,56 +270,25 @@ def rerank_respread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row_id").alias("doc_id"), "reranked", "rerank_score", "new_score")
 
 
-RANKED = "(1, 'a1', 'A', 'b1'), (2, 'a2', 'A', 'b2'), (3, 'b1', 'B', 'b2'), (4, 'b2', 'B', 'b3'), (5, 'c1', 'C', 'b1'), (6, 'c2', 'C', ''), (7, 'd1', 'D', ''), (8, 'c3', 'C', 'b9'), (9, 'e1', 'E', 'b9')"
-
-
-@query(f"""WITH RECURSIVE r(rank, row_id, document, body_hash) AS (VALUES {RANKED}),
-f AS (SELECT 0 AS turn, []::VARCHAR[] AS docs, []::VARCHAR[] AS bodies, []::INT[] AS kept
-  UNION ALL SELECT x.rank, CASE WHEN ok THEN list_append(docs, document) ELSE docs END, CASE WHEN ok AND body_hash <> '' THEN list_append(bodies, body_hash) ELSE bodies END,
-  CASE WHEN ok THEN list_append(kept, x.rank) ELSE kept END
-  FROM (SELECT f.docs, f.bodies, f.kept, r.rank, r.document, r.body_hash,
-    len(kept) < 6 AND NOT (body_hash <> '' AND list_contains(bodies, body_hash)) AND NOT list_contains(docs, document) AS ok FROM f JOIN r ON r.rank = f.turn + 1) x),
-k AS (SELECT unnest(kept) AS rank FROM f WHERE turn = (SELECT max(rank) FROM r))
-SELECT row_number() OVER (ORDER BY rank)::INT AS place, row_id, document FROM k JOIN r USING (rank)""")
-def diversify_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A body counts as seen only when a row with it was chosen."""
-    ranked = inline(spark, RANKED, "rank, row_id, document, body_hash").withColumn("query_id", F.lit(1))
-    return fusion.diversify(ranked, per_document=1, limit=6).select("place", "row_id", "document")
-
-
-HITS = "('c1', 'D1', 1), ('c2', 'D2', 2), ('c3', 'D1', 3), ('c4', 'D3', 4)"
-WANTED = "('d2-0', 'D2', 0), ('d2-1', 'D2', 1), ('d2-2', 'D2', 2)"
-
-
-@query(f"""WITH h(row_id, document, rank) AS (VALUES {HITS}), w(row_id, document, ordinal) AS (VALUES {WANTED}),
-b AS (SELECT row_id, document, 0 AS p, row_number() OVER (ORDER BY document, ordinal) AS n, 'doc_no' AS via FROM w
-  UNION ALL SELECT row_id, document, CASE WHEN document IN (SELECT document FROM w) THEN 1 ELSE 2 END, rank, 'hit' FROM h)
-SELECT row_id, via, row_number() OVER (ORDER BY p, n)::INT AS place FROM b""")
-def doc_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = inline(spark, HITS, "row_id, document, rank").select(F.lit(1).alias("query_id"), "*", F.lit(0.5).alias("score"), F.lit("hit").alias("matched_via"))
-    wanted = inline(spark, WANTED, "row_id, document, ordinal").select(F.lit(1).alias("query_id"), "*", F.lit(True).alias("number_query"))
-    return fusion.prioritise(hits, wanted).select("row_id", F.col("matched_via").alias("via"), "place")
+@query("""SELECT sha256(text) AS body_hash, count(*) AS n, array_to_string(list_transform(list(doc_id ORDER BY doc_id)[1:20], lambda x: x::VARCHAR), ',') AS locations FROM documents GROUP BY 1""")
+def duplicate_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body once, with its number of places and the first twenty of them."""
+    places = _bodies(spark, sf_dir)
+    found = fusion.locations(places.select("body_hash").distinct().withColumn("row_id", F.col("body_hash")), places, first=20)
+    ids = F.transform("locations", lambda x: x["document"].cast("string"))
+    return found.select("body_hash", F.col("n_locations").alias("n"), F.concat_ws(",", ids).alias("locations"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'c2', 'hit', 1), (1, 'c1', 'hit', 2), (1, 'c3', 'hit', 3), (2, 'd9-0', 'doc_no', 1), (2, 'd9-1', 'doc_no', 2), (2, 'd9-2', 'doc_no', 3), (2, 'c4', 'hit', 4),
-(3, 'd2-0', 'doc_no', 1), (3, 'd2-1', 'doc_no', 2), (3, 'c5', 'hit', 3), (4, 'c6', 'hit', 1)) t(query_id, row_id, via, place)""")
-def doc_priority_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions together: a number beside a question with hits of it, without them, a question that is a number, one without."""
-    hits = inline(spark, "(1, 'c1', 'D1', 1), (1, 'c2', 'D2', 2), (1, 'c3', 'D1', 3), (2, 'c4', 'D1', 1), (3, 'c5', 'D1', 1), (4, 'c6', 'D2', 1)", "query_id, row_id, document, rank")
-    rows = ", ".join(["(1, 'd2-0', 'D2', 0, false)", *(f"(2, 'd9-{i}', 'D9', {i}, false)" for i in range(5)), "(3, 'd2-0', 'D2', 0, true)", "(3, 'd2-1', 'D2', 1, true)"])
-    wanted = inline(spark, rows, "query_id, row_id, document, ordinal, number_query")
-    out = fusion.prioritise(hits.select("*", F.lit(0.5).alias("score"), F.lit("hit").alias("matched_via")), wanted)
-    return out.select("query_id", "row_id", F.col("matched_via").alias("via"), "place")
+@query("SELECT doc_id, sha256(text) AS body_hash, min(doc_id) OVER (PARTITION BY text) AS first FROM documents")
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of every body as a row: which body a document has, and the first document with it."""
+    places = _bodies(spark, sf_dir)
+    firsts = stored(places.groupBy("body_hash").agg(F.min("document").alias("first")), "first-places")  # one row for each body, so Spark can split a hot one's places
+    return fusion.location_rows(firsts, places).select(F.col("document").alias("doc_id"), "body_hash", "first")
 
 
-@query("""WITH d AS (SELECT doc_id, text, sha256(text) AS h FROM documents), g AS (SELECT h, list(doc_id ORDER BY doc_id) AS l FROM d GROUP BY h)
-SELECT d.doc_id, len(l) AS n, array_to_string(list_transform(l, lambda x: x::VARCHAR), ',') AS locations FROM d JOIN g USING (h)""")
-def duplicate_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("body_hash"))
-    places = chunks.select(F.col("doc_id").alias("document"), F.lit(0).alias("ordinal"), "body_hash")
-    found = fusion.locations(chunks.select(F.col("doc_id").alias("row_id"), "body_hash"), places)
-    ids = F.transform("locations", lambda x: x["document"].cast("string"))
-    return found.select(F.col("row_id").alias("doc_id"), F.size("locations").cast("long").alias("n"), F.concat_ws(",", ids).alias("locations"))
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("document"), F.lit(0).alias("ordinal"), F.sha2("text", 256).alias("body_hash"))
 
 
 @query(f"""WITH {SQL_HYBRID}
@@ -344,49 +315,17 @@ def source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(filters.of_source("src1", F.col("source"), F.col("name")) | filters.of_source("name-src12", F.col("source"), F.col("name"))).select("doc_id")
 
 
-PATHS = "('100%_real'), ('100%_real/a.txt'), ('100XXreal/a.txt'), ('100%_REAL/b.txt'), ('100%_REAL'), ('x/100%_real/c.txt'), ('100%_realm/d')"
-
-
-@query(f"WITH t(path) AS (VALUES {PATHS}) SELECT path FROM t WHERE path = '100%_real' OR starts_with(lower(path), '100%_real/')")
-def folder_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, PATHS, "path").filter(filters.in_folder(F.col("path"), filters.folder_scope("100%_real")))
-
-
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-07 12:30:00'")
 def date_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(filters.modified(F.col("ts"), "2024-01-05", "2024-01-07T12:30:00Z")).select("event_id")
 
 
-KEYS = "(1, '66-13-2026-nq-cp'), (2, '01-2026-nd-cp'), (3, '07-2025-tt-bnd'), (4, 'nd'), (5, NULL)"
-
-
-@query(f"WITH t(id, key) AS (VALUES {KEYS}) SELECT id FROM t WHERE contains('-' || key || '-', '-nd-')")
-def doc_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, KEYS, "id, key").filter(filters.of_type("NĐ", F.col("key"))).select("id")
-
-
 @query("SELECT page_id FROM pages WHERE regexp_extract(url, '\\.([a-z]+)$', 1) = 'html'")
 def media_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.regexp_extract("url", r"\.([a-z]+)$", 1) == "html", "text/html").otherwise("text/plain")
     return table(spark, sf_dir, "pages").withColumn("media_type", kind).filter(F.col("media_type") == "text/html").select("page_id")
 
 
-@query("""WITH t(id, ancestors) AS (VALUES ('f1', ['root', 'a']), ('f2', ['root', 'b']), ('a', ['root']), ('f3', []))
-SELECT id FROM t WHERE id = 'a' OR list_contains(ancestors, 'a')""")
-def ancestor_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, "('f1', array('root', 'a')), ('f2', array('root', 'b')), ('a', array('root')), ('f3', array())", "id, ancestors")
-    return rows.filter(filters.in_drive_folder("a", F.col("id"), F.col("ancestors"))).select("id")
-
-
-FILES = "('a/b.txt'), ('a/.git/c.txt'), ('node_modules/x.md'), ('a/R.MD'), ('a/.txt'), ('a/b.bin'), ('node_modules2/y.csv')"
-
-
-@query(f"""WITH t(path) AS (VALUES {FILES}) SELECT path FROM t WHERE regexp_extract(lower(split_part(path, '/', -1)), '[^.](\\.[^.]*)$', 1) IN ('.txt', '.md', '.csv')
-AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules'])""")
-def path_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, FILES, "path").filter(filters.accepted(F.col("path"), [".txt", ".md", ".csv"], [".git", "node_modules"]))
-
-
 @query("""SELECT o_orderkey FROM orders WHERE o_orderdate::DATE <= DATE '1996-06-01' AND o_orderdate::DATE + 90 > DATE '1996-06-01'""")
 def valid_on_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders valid on a day, from their date for 90 days."""

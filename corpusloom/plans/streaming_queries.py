@@ -28,34 +28,5 @@ def job_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 T = "TIMESTAMP'2024-01-01 {}'".format
-SOURCES = ", ".join(
-    f"('{name}', '{kind}', {poll}, {sync}, {job}, {full}, {tried}, {T('00:00:00')})"
-    for name, kind, poll, sync, job, full, tried in (
-        ("a", "local", "NULL", T("11:00:00"), "NULL", "NULL", "NULL"),
-        ("b", "local", "NULL", T("11:55:00"), "NULL", "NULL", "NULL"),
-        ("c", "google_drive", "NULL", T("11:59:00"), "NULL", "NULL", "NULL"),
-        ("d", "google_drive", "NULL", T("11:59:00"), "NULL", "NULL", T("11:58:00")),
-        ("e", "local", "10", T("11:58:30"), T("11:59:30"), "NULL", "NULL"),
-        ("f", "google_drive", "300", T("11:00:00"), "NULL", T("09:00:00"), "NULL"),
-        ("g", "local", "60", "NULL", "NULL", "NULL", "NULL"),
-    )
-)
-
-
-@query("SELECT * FROM (VALUES ('a', 'incremental'), ('c', 'full'), ('f', 'incremental'), ('g', 'incremental')) t(source, work)")
-def schedule_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, SOURCES, "source, kind, poll, last_sync_at, last_job_at, last_full_at, last_full_try_at, created_at")
-    return schedule.due(rows, "2024-01-01 12:00:00", "2024-01-01 11:58:00").select("source", "work")
-
-
-@query("SELECT 'a' AS source, 'incremental' AS work")
-def schedule_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inline(spark, SOURCES, "source, kind, poll, last_sync_at, last_job_at, last_full_at, last_full_try_at, created_at")
-    return schedule.next_source(schedule.due(rows, "2024-01-01 12:00:00", "2024-01-01 11:58:00"))
-
-
-@query("SELECT * FROM (VALUES (1, 'coalesced'), (2, 'rejected')) t(id, outcome)")
-def job_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = "id, kind, source, target, reextract, full"
-    active = inline(spark, "(0, 'reconcile', 's', NULL, false, false, 'running')", columns + ", state")
-    return schedule.admit(active, inline(spark, "(1, 'reconcile', 's', NULL, false, false), (2, 'reconcile', 's', NULL, false, true)", columns))
+
+

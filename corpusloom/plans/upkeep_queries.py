@@ -53,14 +53,6 @@ def readiness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.readiness(sources, reviews, chunks, vectors, "2024-02-01 00:00:00")
 
 
-NAMES = "(1, 'a/b'), (2, 'a%2Fb'), (3, '.'), (4, '..'), (5, ''), (6, 'Hợp đồng 1.txt'), (7, 'x\\\\y')"
-
-
-@query("SELECT * FROM (VALUES (1, 'a%2Fb'), (2, 'a%252Fb'), (3, '%2E'), (4, '%2E%2E'), (5, '%EMPTY'), (6, 'Hợp đồng 1.txt'), (7, 'x%5Cy')) t(id, shown)")
-def display_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inline(spark, NAMES, "id, name").select("id", upkeep.display_segment(F.col("name")).alias("shown"))
-
-
 @query("""WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'complex_layout' ELSE role END AS reason FROM conversations)
 SELECT conv_id, count(*) FILTER (reason <> 'complex_layout') AS reviews, coalesce(string_agg(DISTINCT reason, ',') FILTER (reason = 'complex_layout'), '') AS flags,
   coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (reason = 'complex_layout'), '') AS pages FROM c GROUP BY conv_id""")
@@ -73,29 +65,3 @@ def layout_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("reviews").cast("long").alias("reviews"), F.concat_ws(",", "layout_flags").alias("flags"), pages.alias("pages"))
 
 
-FILED = "(1, 'notes', 'a.txt', CAST(NULL AS STRING), 'local:s1:1'), (2, 'drive', 'a.md', 'X9', 'drive:X9'), (3, 'notes', 'sub/b.txt', CAST(NULL AS STRING), 'local:s1:3'), (4, 'other', 'a.txt', CAST(NULL AS STRING), 'local:s2:4')"
-FACTS = """(1, 'sub/b.txt', array(named_struct('path', 'drive:X9', 'locator', 'page:1', 'quote', ''))), (2, 'notes:a.txt', array(named_struct('path', 'notes:a.txt', 'locator', '', 'quote', 'as it says'))),
-(3, 'a.txt', array(named_struct('path', 'X9', 'locator', 'page:1', 'quote', ''))), (4, 'X9', array()), (5, 'X9', array(named_struct('path', '', 'locator', 'l', 'quote', ''))),
-(6, 'X9', array(named_struct('path', 'X9', 'locator', '', 'quote', ''))), (7, 'X9', array(named_struct('path', 'none.txt', 'locator', 'l', 'quote', ''))), (8, 'none.txt', array(named_struct('path', 'X9', 'locator', 'l', 'quote', '')))"""
-
-
-@query("""SELECT * FROM (VALUES (1, 3, NULL), (2, 1, NULL), (3, NULL, 'unknown document'), (4, NULL, 'evidence is required'), (5, NULL, 'evidence names no path'),
-(6, NULL, 'evidence has no locator and no quote'), (7, NULL, 'evidence is of no document'), (8, NULL, 'unknown document')) t(fact, document, refused)""")
-def facts_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A name of two documents names none; every kind of evidence that is refused."""
-    docs = inline(spark, FILED, "id, source_name, relative_path, external_id, stable_ref")
-    facts = inline(spark, FACTS, "fact, path, evidence").select("*", F.lit("topic").alias("key"), F.lit("law").alias("value"))
-    return upkeep.judged_facts(docs, facts).select("fact", "document", "refused")
-
-
-TREE = "('a', 'A', true, array('root'), false), ('b', 'B', true, array('a'), false), ('c', 'c.txt', false, array('b', 'a'), false), ('d', 'D', true, array('b', 'e'), false), ('e', 'E', true, array('d'), true), ('f', 'f.txt', false, array('e'), false), ('x', 'x.txt', false, array('lost'), false)"
-
-
-@query("""WITH RECURSIVE e(id, parent, name, folder, trashed) AS (VALUES ('a', 'root', 'A', true, false), ('b', 'a', 'B', true, false), ('c', 'b', 'c.txt', false, false), ('c', 'a', 'c.txt', false, false),
-  ('d', 'b', 'D', true, false), ('d', 'e', 'D', true, false), ('e', 'd', 'E', true, true), ('f', 'e', 'f.txt', false, false), ('x', 'lost', 'x.txt', false, false)),
-t AS (SELECT 'root' AS id, '' AS path, false AS gone, ['root'] AS seen, 0 AS depth UNION ALL
-  SELECT e.id, CASE WHEN path = '' THEN name ELSE path || '/' || name END, gone OR trashed, list_append(seen, e.id), depth + 1 FROM t JOIN e ON e.parent = t.id WHERE NOT list_contains(seen, e.id))
-SELECT id, path, gone AS trashed FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, path) AS n FROM t WHERE depth > 0) WHERE n = 1""")
-def folder_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A full scan with a loop of folders, an item in two of them, a trashed folder and an item out of reach."""
-    return upkeep.tree(inline(spark, TREE, "id, name, folder, parents, trashed"), "root").select("id", "path", "trashed")

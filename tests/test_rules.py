@@ -1,9 +1,12 @@
 """Rules that no table query pins: validation, cursors, decisions, maintenance."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import filters, fusion, governance, lexical, maintain, reads
+from corpusloom.operators import filters, fusion, governance, lexical, maintain, reads, upkeep
+from corpusloom.streaming import schedule
 
 
 def test_validity_fields():
@@ -111,3 +114,79 @@ def test_shared_content(spark):
     got = {r["id"]: r["same_content"] for r in governance.shared_content(docs, chunks).collect()}
     assert got == {1: 2, 2: 3, 3: 2, 5: 3}
     assert {r["id"] for r in governance.shares_content(docs, chunks).collect()} == set(got)
+
+
+def test_holders_of_short_passages(spark):
+    """Passages of any number of words, as parts of words too; each is found where it is and nowhere else."""
+    texts = [(1, "the quick brown fox jumps over the lazy dog"), (2, "a quick brown foxes jump"), (3, "quick"), (4, ""), (5, "over  the lazy")]
+    passages = [(1, "quick brown fox jumps over the lazy"), (2, "quick brown fox"), (3, "uick"), (4, "ver the"), (5, "brown fox"), (6, "none of these words is there at all"), (7, "over  the lazy")]
+    t, p = spark.createDataFrame(texts, "doc_id long, whole string"), spark.createDataFrame(passages, "item_id long, text string")
+    want = {(i, d) for i, passage in passages for d, whole in texts if passage in whole}
+    assert {tuple(r) for r in governance.holders(p, t).collect()} == want
+    assert governance.holders(p.limit(0), t).count() == 0
+
+
+def test_trash_and_sync(spark):
+    """An item is in the trash by itself or a folder above it, unless it is listed; what a full scan decides."""
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    items = frame([("f1", ["root", "dir"], False), ("f2", ["root"], False), ("f3", ["root"], False), ("f4", ["dir"], True)], "id string, ancestors array<string>, listed boolean")
+    assert {tuple(r) for r in maintain.trashed(items, frame([("dir",), ("f3",)], "id string")).collect()} == {("f1", True), ("f2", False), ("f3", True), ("f4", False)}
+    known = frame([(i, k, p, a, w) for i, k, p, a, w in (("a", "k1", "p1", ["root"], False), ("b", "k2", "p2", ["root"], False), ("c", "k3", "p3", ["root"], False), ("d", "k4", "p4", ["root", "bin"], False), ("e", "k5", "p5", ["root"], False), ("g", "k7", "p7", ["root"], True))], "id string, content string, place string, ancestors array<string>, was_trashed boolean")
+    listed = frame([("a", "k1", "p1"), ("b", "k2x", "p2"), ("c", "k3", "p3x"), ("f", "k6", "p6"), ("g", "k7", "p7")], "id string, content string, place string")
+    decided = lambda errors: {tuple(r) for r in maintain.sync_decisions(known, listed, frame([("bin",)], "id string"), errors).collect()}
+    assert decided(False) == {("a", "unchanged"), ("b", "index"), ("c", "metadata"), ("d", "trash"), ("e", "delete"), ("f", "index"), ("g", "restore")}
+    assert {x for x in decided(True) if x[0] in "de"} == {("d", "kept"), ("e", "kept")}
+
+
+def test_tree_with_loops(spark):
+    """A loop of folders, an item in two of them, a folder in the trash and an item out of reach."""
+    rows = [("a", "A", True, ["root"], False), ("b", "B", True, ["a"], False), ("c", "c.txt", False, ["b", "a"], False), ("d", "D", True, ["b", "e"], False), ("e", "E", True, ["d"], True), ("f", "f.txt", False, ["e"], False), ("x", "x.txt", False, ["lost"], False)]
+    items = spark.createDataFrame(rows, "id string, name string, folder boolean, parents array<string>, trashed boolean")
+    got = {(r["id"], r["path"], r["trashed"]) for r in upkeep.tree(items, "root").collect()}
+    assert got == {("a", "A", False), ("b", "A/B", False), ("c", "A/c.txt", False), ("d", "A/B/D", False), ("e", "A/B/D/E", True), ("f", "A/B/D/E/f.txt", True)}
+
+
+def test_display_segments(spark):
+    names = [("a/b", "a%2Fb"), ("a%2Fb", "a%252Fb"), (".", "%2E"), ("..", "%2E%2E"), ("", "%EMPTY"), ("Hợp đồng 1.txt", "Hợp đồng 1.txt"), ("x\\y", "x%5Cy")]
+    rows = spark.createDataFrame([(a,) for a, _ in names], "name string")
+    assert {tuple(r) for r in rows.select("name", upkeep.display_segment(F.col("name"))).collect()} == set(names)
+
+
+def test_refused_facts(spark):
+    """A name of two documents names none; every kind of evidence that is refused."""
+    docs = spark.createDataFrame(
+        [(1, "notes", "a.txt", None, "local:s1:1"), (2, "drive", "a.md", "X9", "drive:X9"), (3, "notes", "sub/b.txt", None, "local:s1:3"), (4, "other", "a.txt", None, "local:s2:4")],
+        "id int, source_name string, relative_path string, external_id string, stable_ref string",
+    )
+    e = lambda p, at, quote: (p, at, quote)
+    facts = [
+        (1, "sub/b.txt", [e("drive:X9", "page:1", "")]), (2, "notes:a.txt", [e("notes:a.txt", "", "as it says")]), (3, "a.txt", [e("X9", "page:1", "")]), (4, "X9", []),
+        (5, "X9", [e("", "l", "")]), (6, "X9", [e("X9", "", "")]), (7, "X9", [e("none.txt", "l", "")]), (8, "none.txt", [e("X9", "l", "")]),
+    ]
+    rows = spark.createDataFrame(facts, "fact int, path string, evidence array<struct<path:string,locator:string,quote:string>>").select("*", F.lit("topic").alias("key"), F.lit("law").alias("value"))
+    got = {r["fact"]: (r["document"], r["refused"]) for r in upkeep.judged_facts(docs, rows).collect()}
+    assert got == {
+        1: (3, None), 2: (1, None), 3: (None, "unknown document"), 4: (None, "evidence is required"), 5: (None, "evidence names no path"),
+        6: (None, "evidence has no locator and no quote"), 7: (None, "evidence is of no document"), 8: (None, "unknown document"),
+    }
+
+
+def test_schedules(spark):
+    """Sources that are due, the most overdue first; a job that joins another, and one that is refused."""
+    at = lambda x: datetime.fromisoformat(f"2024-01-01 {x}") if x else None
+    rows = [
+        ("a", "local", None, "11:00:00", None, None, None), ("b", "local", None, "11:55:00", None, None, None), ("c", "google_drive", None, "11:59:00", None, None, None),
+        ("d", "google_drive", None, "11:59:00", None, None, "11:58:00"), ("e", "local", 10, "11:58:30", "11:59:30", None, None), ("f", "google_drive", 300, "11:00:00", None, "09:00:00", None), ("g", "local", 60, None, None, None, None),
+    ]
+    made = spark.createDataFrame(
+        [(n, k, p, at(s), at(j), at(f), at(t), at("00:00:00")) for n, k, p, s, j, f, t in rows],
+        "source string, kind string, poll int, last_sync_at timestamp, last_job_at timestamp, last_full_at timestamp, last_full_try_at timestamp, created_at timestamp",
+    )
+    due = schedule.due(made, "2024-01-01 12:00:00", "2024-01-01 11:58:00")
+    assert {(r["source"], r["work"]) for r in due.collect()} == {("a", "incremental"), ("c", "full"), ("f", "incremental"), ("g", "incremental")}
+    assert tuple(schedule.next_source(due).first()) == ("a", "incremental")
+    jobs = "id int, kind string, source string, target string, reextract boolean, full boolean"
+    active = spark.createDataFrame([(0, "reconcile", "s", None, False, False, "running")], jobs + ", state string")
+    wanted = spark.createDataFrame([(1, "reconcile", "s", None, False, False), (2, "reconcile", "s", None, False, True)], jobs)
+    assert {tuple(r) for r in schedule.admit(active, wanted).collect()} == {(1, "coalesced"), (2, "rejected")}
+    assert {r["outcome"] for r in schedule.admit(active.limit(0), wanted).collect()} == {"queued"}

@@ -139,8 +139,7 @@ class Index:
         actions, hashed = self._classified(n, root, own, listed)
         cached = self._extractions()
         new = D.extract(D.contents(self.spark, root, hashed.join(cached.select("content_hash", D.suffix(F.col("path")).alias("suffix")).distinct(), ["content_hash", "suffix"], "left_anti")), backend, self.settings.limits)
-        self.segments.write(n, "extractions", new)
-        cached = cached.unionByName(self.spark.read.parquet(self.segments.path(n, "extractions")).drop("segment"))
+        cached = cached.unionByName(self._extracted(n, new))
         again = actions.filter(~F.col("action").isin(*KEPT, "deleted", "moved_away"))
         changed = hashed.join(again.select("path", "old_path"), "path")
         found = self._write(n, "found", D.documents(D.reuse(changed, cached)).join(changed.select("path", "relative_path", "old_path"), "path"))
@@ -153,16 +152,28 @@ class Index:
         gone = self._write(n, "gone", own.join(stays, "relative_path", "left_anti").select(F.col("id").alias("document")))
         same = actions.filter(F.col("action").isin(*KEPT)).select("relative_path")
         moved = self._restated(own.join(same, "relative_path", "left_semi"), listed)
+        status = F.when(F.col("was").isNotNull(), "stale").otherwise("unindexed").alias("status")
+        gaps = bad.join(ids, F.coalesce(bad.old_path, bad.relative_path) == ids.was, "left").select(
+            F.lit(source_id).alias("source_id"), F.col("relative_path").alias("path"), status, F.lit("extract").alias("stage"), "error"
+        )
+        self._finish(n, source_id, source_name, own, fresh, gone, moved, gaps)
+
+    def _extracted(self, n: int, new: DataFrame) -> DataFrame:
+        """New extractions, written to a version's segment."""
+        self.segments.write(n, "extractions", new)
+        return self.spark.read.parquet(self.segments.path(n, "extractions")).drop("segment")
+
+    def _finish(
+        self, n: int, source_id: str, source_name: str, own: DataFrame, fresh: DataFrame, gone: DataFrame, moved: DataFrame, gaps: DataFrame,
+        cursors: dict[str, int] | None = None, whole: dict[str, int] | None = None,
+    ) -> None:
+        """Write the segment of a source's fresh documents, without those ``gone`` and with those restated (``moved``), and commit it."""
         self.segments.write(n, "documents", fresh.unionByName(moved))
         part = lambda rows, name: rows.select("document", F.lit(name).alias("part"))
         written = self.spark.read.parquet(self.segments.path(n, "documents")).select(F.col("id").alias("document"))
         dead = part(gone, "rows").unionByName(part(gone, "document")).unionByName(part(written.join(own.select(F.col("id").alias("document")), "document", "left_semi"), "document"))
         buried = self.segments.bury(n, dead)
         sums = self._index(n, fresh, gone)
-        status = F.when(F.col("was").isNotNull(), "stale").otherwise("unindexed").alias("status")
-        gaps = bad.join(ids, F.coalesce(bad.old_path, bad.relative_path) == ids.was, "left").select(
-            F.lit(source_id).alias("source_id"), F.col("relative_path").alias("path"), status, F.lit("extract").alias("stage"), "error"
-        )
         sources = self.spark.range(1).select(
             F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit(True).alias("listing_complete"), F.lit(False).alias("running"), F.current_timestamp().alias("last_sync_at")
         )
@@ -171,13 +182,15 @@ class Index:
             self._write(n, name, others.unionByName(rows))
         last = max(self.manifest.last_id, fresh.agg(F.max("id")).first()[0] or 0)
         old = self.manifest
-        manifest = segments.Manifest(n, [*old.segments, [n, 0]], [*old.dead, n] if buried else old.dead, sums, last, n)
+        manifest = segments.Manifest(
+            n, [*old.segments, [n, 0]], [*old.dead, n] if buried else old.dead, sums, last, n, cursors=old.cursors | (cursors or {}), whole=old.whole | (whole or {})
+        )
         self._facts(n, manifest)
         self.segments.commit(manifest)
         while full := self.segments.full(manifest):
             manifest = self.segments.merge(manifest, full)
         fs, path = hadoop(self.spark, self.folder)
-        for name in ("listed", "hashed", "found", "fresh", "gone"):
+        for name in ("listed", "hashed", "found", "fresh", "gone", "changes", "placed", "items-seen"):
             fs.delete(path(self.segments.path(n, name)), True)
         self.refresh()
 
@@ -211,22 +224,29 @@ class Index:
         actions = decided.join(moved, "path", "left").withColumnRenamed("path", "relative_path").join(listed.select("relative_path", "path"), "relative_path", "left")
         return self._write(n, "actions", actions), hashed
 
-    def _documents(self, good: DataFrame, ids: DataFrame, source_id: str, source_name: str) -> DataFrame:
-        """Documents of extracted files; the id is that of the path, or of the path the file left, or a new one."""
+    def _drive_documents(self, good: DataFrame, ids: DataFrame, source_id: str, source_name: str) -> DataFrame:
+        """Documents of a drive's items (item, ancestors, in_trash): the id is that of the item, or a new one."""
+        own = good.withColumns({"external_id": F.col("item"), "trashed_at": F.when(F.col("in_trash"), F.current_timestamp()), "kind": F.lit("google_drive"), "old_path": F.lit(None).cast("string")})
+        return self._documents(own, ids.withColumnRenamed("item", "was"), source_id, source_name, key="item")
+
+    def _documents(self, good: DataFrame, ids: DataFrame, source_id: str, source_name: str, key: str | None = None) -> DataFrame:
+        """Documents of extracted files; the id is that of the path, or of the path the file left (or that of ``key``), or a new one."""
         number = structure.own_number(T.snippet(F.col("text"), 3000))
         absent = lambda kind: F.lit(None).cast(kind)
+        rest = {"kind": F.lit("local"), "external_id": absent("string"), "trashed_at": absent("timestamp"), "ancestors": F.array().cast("array<string>")}
         named = good.withColumns(
-            {
-                "source_id": F.lit(source_id), "source_name": F.lit(source_name), "kind": F.lit("local"), "enabled": F.lit(True), "modified_at": F.timestamp_micros("modified_us"),
-                "indexed_at": F.current_timestamp(), "doc_no": number, "doc_no_key": T.make_key(number), "external_id": absent("string"), "source_url": absent("string"),
-                "ancestors": F.array().cast("array<string>"), "trashed_at": absent("timestamp"),
+            {name: value for name, value in rest.items() if name not in good.columns}
+            | {
+                "source_id": F.lit(source_id), "source_name": F.lit(source_name), "enabled": F.lit(True), "modified_at": F.timestamp_micros("modified_us"),
+                "indexed_at": F.current_timestamp(), "doc_no": number, "doc_no_key": T.make_key(number), "source_url": absent("string"),
             }
         )
-        known = named.join(ids, F.coalesce("old_path", "relative_path") == ids.was, "left")
+        known = named.join(ids, (F.coalesce("old_path", "relative_path") if key is None else named[key]) == ids.was, "left")
         given = self.spark.range(1).select(F.lit(self.manifest.last_id).cast("long").alias("id"))
-        numbered = maintain.assign_ids(given, known.filter("id is null").drop("id"), "relative_path")
+        numbered = maintain.assign_ids(given, known.filter("id is null").drop("id"), key or "relative_path")
         both = known.filter("id is not null").unionByName(numbered)
-        return both.withColumn("stable_ref", F.concat_ws(":", F.lit("local"), "source_id", F.col("id").cast("string"))).select(*DOCUMENT_COLUMNS)
+        ref = F.when(F.col("kind") == "google_drive", F.concat(F.lit("drive:"), "external_id")).otherwise(F.concat_ws(":", F.lit("local"), "source_id", F.col("id").cast("string")))
+        return both.withColumn("stable_ref", ref).select(*DOCUMENT_COLUMNS)
 
     def _index(self, n: int, fresh: DataFrame, gone: DataFrame) -> dict[str, int]:
         """Write what is made of the fresh documents' texts; the sums over all live rows, without the ``gone`` documents'."""

@@ -38,6 +38,8 @@ DEAD = "document long, part string, below int"
 LITERALS = 1000
 #: The form of the tables; a folder of a later one is not read.
 FORMAT = 1
+#: Columns that a later form added to tables, with their kinds: rows that were written before have none, and read as null.
+ADDED: dict[str, dict[str, str]] = {}
 
 
 def any_of(key: Column, values: Iterable) -> Column:
@@ -67,6 +69,8 @@ class Manifest:
     last_id: int = 0
     latest: int = 0  # the version of the last build, whose other tables count
     format: int = FORMAT
+    cursors: dict[str, int] = field(default_factory=dict)  # of feeds, by source
+    whole: dict[str, int] = field(default_factory=dict)  # other tables, by name, with the version that wrote them
 
 
 class Segments:
@@ -135,7 +139,8 @@ class Segments:
     def table(self, name: str, manifest: Manifest, only: Sequence[int] | None = None) -> DataFrame:
         """The live rows of a table, of all segments or some."""
         found = [n for n, _ in manifest.segments if only is None or n in only]
-        rows = self.spark.read.parquet(*[self.path(n, name) for n in found])
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*[self.path(n, name) for n in found]) if name in ADDED else self.spark.read.parquet(*[self.path(n, name) for n in found])
+        rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in ADDED.get(name, {}).items() if c not in rows.columns})
         if name == "extractions":
             return rows
         owner = OWNER.get(name, "document")
@@ -166,14 +171,14 @@ class Segments:
             rows = self.spark.read.schema(DEAD).parquet(*[self.path(v, "dead") for v in manifest.dead]).filter(F.col("below") > oldest)
             rows.write.parquet(self.path(n, "dead"))
             buried = self.spark.read.parquet(self.path(n, "dead")).count()
-        merged = Manifest(n, [*rest, [n, level]], [n] if buried else [], manifest.sums, manifest.last_id, manifest.latest)
+        merged = Manifest(n, [*rest, [n, level]], [n] if buried else [], manifest.sums, manifest.last_id, manifest.latest, cursors=manifest.cursors, whole=manifest.whole)
         self.commit(merged)
         return merged
 
     def vacuum(self, manifest: Manifest) -> list[int]:
         """Remove the versions that the newest manifest does not need; for times without readers. Their numbers."""
         fs, path = hadoop(self.spark, self.folder)
-        needed = {manifest.version, manifest.latest, *manifest.dead, *(n for n, _ in manifest.segments)}
+        needed = {manifest.version, manifest.latest, *manifest.dead, *manifest.whole.values(), *(n for n, _ in manifest.segments)}
         gone = [n for n in self.versions() if n not in needed]
         for n in gone:
             fs.delete(path(f"{self.folder}/v={n}"), True)

@@ -105,7 +105,7 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def trie_components(trie: np.ndarray, fps: np.ndarray, budget: int, at_once: int = 1 << 18) -> np.ndarray:
+def trie_components(trie: np.ndarray, fps: np.ndarray, budget: int, at_once: int = 1 << 16) -> np.ndarray:
     """Component root (an index) of each node, nodes sorted by (trie, fp), both uint64 arrays.
 
     Pairs of trie nodes are ranges of the sorted array. A stack holds blocks of pairs of one
@@ -225,8 +225,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: the smaller neighbours of a node, and itself, go to the smallest of them.
-        large = stored(large, "star-large")
-        floor = stored(large.groupBy("a").agg(F.min("b").alias("m")), "star-floor")
+        floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(floor.select("a", F.col("m").alias("b"))).distinct().checkpoint()
         now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

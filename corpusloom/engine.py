@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import structure
 from corpusloom.functions import text as T
 from corpusloom.operators import filters, governance, lexical, maintain, reads, segments, upkeep
+from corpusloom.operators.vectors import Filled, Model, VectorStore
 from corpusloom.plans import search as plan
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
@@ -24,6 +25,7 @@ from corpusloom.sources.shared import hadoop, stored
 
 VALIDITY = "id long, effective_from date, effective_to date, amended_by array<string>, replaced_by string, status_checked_on date, status_source string"
 VECTORS = "chunk_hash string, embedding array<float>"
+CORRECTIONS = "id long, document long, page int, text string, content_hash string"
 AGENT = "document long, key string, value string"
 EDGES = "source long, target long, relation string"
 DOCUMENTS = (
@@ -53,11 +55,31 @@ class Index:
         edges: DataFrame | None = None,
         settings: Settings = Settings(),
         fanout: int = 8,
+        model: Model | None = None,
     ):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings
         self.segments = segments.Segments(spark, self.folder, fanout)
+        self.model = model
         given = ((validity, VALIDITY), (vectors, VECTORS), (agent, AGENT), (edges, EDGES))
-        self.validity, self.vectors, self.agent, self.edges = (x if x is not None else spark.createDataFrame([], kind) for x, kind in given)
+        self._vectors = vectors
+        self.validity, _, self.agent, self.edges = (x if x is not None else spark.createDataFrame([], kind) for x, kind in given)
+
+    @property
+    def vectors(self) -> DataFrame:
+        """chunk_hash, embedding: those given, else those of the model, else none."""
+        if self._vectors is not None:
+            return self._vectors
+        return VectorStore(self.spark, self.folder, self.model).table() if self.model else self.spark.createDataFrame([], VECTORS)
+
+    @vectors.setter
+    def vectors(self, rows: DataFrame) -> None:
+        self._vectors = rows
+
+    def embed(self, round_rows: int = 100_000) -> Filled:
+        """Ask the model for the vectors that chunks lack; what a stopped run got is kept."""
+        if self.model is None:
+            raise ValueError("no embedding model is configured")
+        return VectorStore(self.spark, self.folder, self.model).fill(self.chunks.select("chunk_hash", "text"), round_rows)
 
     @cached_property
     def manifest(self) -> segments.Manifest:
@@ -145,7 +167,7 @@ class Index:
         found = self._write(n, "found", D.documents(D.reuse(changed, cached)).join(changed.select("path", "relative_path", "old_path"), "path"))
         good, bad = found.filter("error is null"), found.filter("error is not null").select("relative_path", "old_path", "error")
         ids = own.select("id", F.col("relative_path").alias("was"))
-        fresh = self._write(n, "fresh", self._documents(good, ids, source_id, source_name))
+        fresh = self._write(n, "fresh", self._corrected(self._documents(good, ids, source_id, source_name), self._corrections()))
         # Documents that stay: those of files that did not change, and the last good ones of files that failed.
         failed = bad.select(F.coalesce("old_path", "relative_path").alias("relative_path"))
         stays = actions.filter(F.col("action").isin(*KEPT)).select("relative_path").unionByName(failed)
@@ -164,22 +186,30 @@ class Index:
         return self.spark.read.parquet(self.segments.path(n, "extractions")).drop("segment")
 
     def _finish(
-        self, n: int, source_id: str, source_name: str, own: DataFrame, fresh: DataFrame, gone: DataFrame, moved: DataFrame, gaps: DataFrame,
+        self, n: int, source_id: str | None, source_name: str | None, own: DataFrame, fresh: DataFrame, gone: DataFrame, moved: DataFrame, gaps: DataFrame | None,
         cursors: dict[str, int] | None = None, whole: dict[str, int] | None = None,
     ) -> None:
-        """Write the segment of a source's fresh documents, without those ``gone`` and with those restated (``moved``), and commit it."""
+        """Write the segment of a source's fresh documents, without those ``gone`` and with those restated (``moved``), and commit it.
+
+        Without a source, what is told of sources stays as it is.
+        """
         self.segments.write(n, "documents", fresh.unionByName(moved))
         part = lambda rows, name: rows.select("document", F.lit(name).alias("part"))
         written = self.spark.read.parquet(self.segments.path(n, "documents")).select(F.col("id").alias("document"))
         dead = part(gone, "rows").unionByName(part(gone, "document")).unionByName(part(written.join(own.select(F.col("id").alias("document")), "document", "left_semi"), "document"))
         buried = self.segments.bury(n, dead)
         sums = self._index(n, fresh, gone)
-        sources = self.spark.range(1).select(
-            F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit(True).alias("listing_complete"), F.lit(False).alias("running"), F.current_timestamp().alias("last_sync_at")
-        )
-        for name, rows in (("coverage", gaps), ("sources", sources)):
-            others = self._latest(name).filter(F.col("source_id") != source_id) if self.manifest.latest else rows.limit(0)
-            self._write(n, name, others.unionByName(rows))
+        if source_id is None:
+            for name in ("coverage", "sources", "actions"):
+                self._write(n, name, self._latest(name))
+            self._extracted(n, self._extractions().limit(0))
+        else:
+            sources = self.spark.range(1).select(
+                F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit(True).alias("listing_complete"), F.lit(False).alias("running"), F.current_timestamp().alias("last_sync_at")
+            )
+            for name, rows in (("coverage", gaps), ("sources", sources)):
+                others = self._latest(name).filter(F.col("source_id") != source_id) if self.manifest.latest else rows.limit(0)
+                self._write(n, name, others.unionByName(rows))
         last = max(self.manifest.last_id, fresh.agg(F.max("id")).first()[0] or 0)
         old = self.manifest
         manifest = segments.Manifest(
@@ -194,6 +224,40 @@ class Index:
             fs.delete(path(self.segments.path(n, name)), True)
         self.refresh()
 
+    def correct(self, revisions: DataFrame) -> None:
+        """Replace the text of some documents' pages (document, page, text): the last revision of a page counts, also in later builds of the same bytes."""
+        self.refresh()
+        n = self.segments.begin(self.manifest)
+        before = self._corrections()
+        new = revisions.select(F.col("document").cast("long"), F.col("page").cast("int"), "text").join(self.documents.select(F.col("id").alias("document"), "content_hash"), "document")
+        high = before.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"))
+        numbered = maintain.assign_ids(high, new, "document").select("id", "document", "page", "text", "content_hash")
+        self._write(n, "corrections", before.unionByName(numbered))
+        own = self.documents.join(numbered.select(F.col("document").alias("id")).distinct(), "id", "left_semi").select(*DOCUMENT_COLUMNS)
+        fresh = self._write(n, "fresh", self._corrected(own, self.spark.read.parquet(self.segments.path(n, "corrections"))))
+        gone = self._write(n, "gone", fresh.select(F.col("id").alias("document")))
+        self._finish(n, None, None, own, fresh, gone, own.limit(0), None, whole={"corrections": n})
+
+    def _corrections(self) -> DataFrame:
+        at = self.manifest.whole.get("corrections")
+        return self.spark.read.parquet(self.segments.path(at, "corrections")) if at else self.spark.createDataFrame([], CORRECTIONS)
+
+    def _corrected(self, docs: DataFrame, corrections: DataFrame) -> DataFrame:
+        """Documents with the last revisions of their pages in place of the pages' text, and their spans moved accordingly."""
+        last = corrections.groupBy("document", "content_hash", "page").agg(F.max_by("text", "id").alias("text"))
+        pages = last.groupBy(F.col("document").alias("id"), "content_hash").agg(F.map_from_entries(F.collect_list(F.struct("page", "text"))).alias("__new"))
+        both = docs.join(pages, ["id", "content_hash"], "left")
+        page = lambda s: F.regexp_extract(s["locator"], r"^page:(\d+)$", 1).try_cast("int")
+        old = lambda s: F.substring("text", s["start"] + 1, s["stop"] - s["start"])
+        parts = F.transform("spans", lambda s: F.coalesce(F.try_element_at("__new", page(s)), old(s)))
+        start = F.array(F.lit(0))
+        starts = F.aggregate("__parts", start, lambda a, p: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + F.length(p) + 2)))
+        moved = F.zip_with(F.arrays_zip("spans", "__parts"), F.slice("__starts", 1, F.size("spans")), lambda x, at: F.struct(x["spans"]["kind"].alias("kind"), x["spans"]["locator"].alias("locator"), at.alias("start"), (at + F.length(x["__parts"])).alias("stop")))
+        hit = F.col("__new").isNotNull()
+        made = both.withColumn("__parts", parts).withColumn("__starts", starts)
+        made = made.withColumns({"spans": F.when(hit, moved).otherwise(F.col("spans")), "text": F.when(hit, F.array_join("__parts", "\n\n")).otherwise(F.col("text"))})
+        return made.withColumn("word_count", T.words(F.col("text")).cast(docs.schema["word_count"].dataType)).select(*DOCUMENT_COLUMNS)
+
     def refresh(self) -> None:
         """See what other builds have written since this object last looked."""
         for name in CACHED:
@@ -335,6 +399,8 @@ class Index:
         if isinstance(queries, str):
             options.check(queries)
             queries = self.spark.createDataFrame([(1, queries)], "query_id int, text string")
+        if self.model and options.mode != "full_text" and "query_vectors" not in more:
+            more["query_vectors"] = VectorStore(self.spark, self.folder, self.model, "questions").of_questions(queries)
         return plan.search(self, queries, options, **more)
 
     def locations(self, hits: DataFrame, options: plan.Options = plan.Options()) -> DataFrame:

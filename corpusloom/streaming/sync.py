@@ -122,7 +122,8 @@ def apply(index: Index, changes: DataFrame, source_id: str, source_name: str, ro
     found = index._write(n, "found", texts.join(at, ["path", "content_hash"]))
     bad = found.filter("error is not null").select("item", "relative_path", "error").unionByName(both.filter("error is not null").select("item", "relative_path", "error"))
     ids = known.select("item", "id")
-    fresh = index._write(n, "fresh", index._drive_documents(found.filter("error is null"), ids, source_id, source_name))
+    made = index._drive_documents(found.filter("error is null"), ids, source_id, source_name)
+    fresh = index._write(n, "fresh", index._corrected(made, index._corrections()))
     gone_items = known.join(placed, "item", "left_anti").select("id").unionByName(fresh.join(known.select("id"), "id", "left_semi").select("id"))
     gone = index._write(n, "gone", gone_items.select(F.col("id").alias("document")))
     moved = both.filter(F.col("id").isNotNull()).join(gone.withColumnRenamed("document", "id"), "id", "left_anti").filter("in_trash <> was_in_trash or ancestors <> old_ancestors")

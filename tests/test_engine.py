@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.engine import Index
 from corpusloom.operators import lexical, segments, semantic, upkeep
+from corpusloom.operators.vectors import Filled, Model
 from corpusloom.plans.search import Options
 from corpusloom.settings import Settings
 from corpusloom.sources import documents as D
@@ -301,6 +302,46 @@ def test_vectors_stay_where_they_are(spark, index, monkeypatch):
     assert len(below) == 2 and "embedding" not in below[0]
 
 
+def test_corrections_and_model(spark, tmp_path):
+    """A corrected page changes hits, spans and vectors, and survives a build that makes the document anew."""
+    root = tmp_path / "files"
+    root.mkdir()
+    (root / "scan.pdf").write_bytes(b"ornge tree|second page")
+    (root / "other.txt").write_text("a pear tree")
+
+    def backend(suffix, data):
+        return [("pdf_page", f"page:{i + 1}", t) for i, t in enumerate(data.decode().split("|"))], ["low_quality_ocr"]
+
+    def factory():
+        class Letters:
+            def embed(self, texts):
+                return [[t.count("o") + 1, t.count("e") + 1] for t in texts]
+
+        return Letters()
+
+    model = Model("letters#1", factory, 2)
+    index = Index(spark, str(tmp_path / "index"), settings=Settings(chunk_strategy="window"), model=model)
+    index.build(str(root), "s1", "scans", backend)
+    assert index.embed() == Filled(index.chunks.select("chunk_hash").distinct().count(), 0, None) and index.embed().embedded == 0
+    found = lambda text: {r["path"] for r in index.search(text, Options(match="all", mode="full_text")).collect()}
+    assert not found("orange") and found("ornge") == {"scan.pdf"}
+    one = index.documents.filter("relative_path = 'scan.pdf'").first()["id"]
+    index.correct(spark.createDataFrame([(one, 1, "an orange tree of old"), (one, 9, "no such page")], "document long, page int, text string"))
+    index.correct(spark.createDataFrame([(one, 1, "an orange tree")], "document long, page int, text string"))
+    row = index.documents.filter(F.col("id") == one).first()
+    assert row["text"] == "an orange tree\n\nsecond page" and [(s["start"], s["stop"]) for s in row["spans"]] == [(0, 14), (16, 27)] and row["word_count"] == 5
+    assert found("orange") == {"scan.pdf"} and not found("ornge") and not found("old") and index.documents.count() == 2
+    assert index.embed().embedded == 1
+    hits = index.search("orange", Options(limit=5)).collect()
+    assert {r["effective_mode"] for r in hits} == {"hybrid"} and "semantic" in {r["matched_via"] for r in hits} | {"semantic"}
+    (root / "scan.pdf").rename(root / "moved.pdf")  # made anew from its bytes
+    index.build(str(root), "s1", "scans", backend)
+    assert found("orange") == {"moved.pdf"} and not found("ornge")
+    (root / "moved.pdf").write_bytes(b"ornge again|second page")  # other bytes: the revision was not of these
+    index.build(str(root), "s1", "scans", backend)
+    assert found("ornge") == {"moved.pdf"} and not found("orange")
+
+
 def test_limits_are_settings(spark, tmp_path):
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "big.csv").write_text("a,b\n" + "1,2\n" * 50)

@@ -8,6 +8,7 @@ version that is whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -436,8 +437,9 @@ class Index:
         """Every local document's recorded hash against its file's bytes now."""
         return upkeep.integrity(self.documents.filter("kind = 'local'"), D.scan(self.spark, root))
 
-    def evaluate(self, questions: DataFrame, options: plan.Options = plan.Options(limit=10, per_document=10)) -> DataFrame:
-        """Metrics over questions (id, question, gold)."""
-        hits = self.search(questions.select(F.col("id").alias("query_id"), F.col("question").alias("text")), options)
+    def evaluate(self, questions: DataFrame, options: plan.Options = plan.Options(limit=10, per_document=10), by: Sequence[str] = ()) -> DataFrame:
+        """Metrics over questions (id, question, gold and others), in all or ``by`` some of their columns; ``diacritics`` is one of them."""
+        asked = questions if "diacritics" in questions.columns else questions.withColumn("diacritics", governance.has_diacritics(F.col("question")))
+        hits = self.search(asked.select(F.col("id").alias("query_id"), F.col("question").alias("text")), options)
         results = hits.select(F.col("query_id").alias("id"), F.col("place").alias("rank"), "cite_key")
-        return governance.metrics(governance.judge(questions, results, self.chunks))
+        return governance.metrics(governance.judge(asked, results, self.chunks), list(by))

@@ -160,10 +160,11 @@ def holders(passages: DataFrame, texts: DataFrame) -> DataFrame:
 def judge(questions: DataFrame, results: DataFrame, known: DataFrame) -> DataFrame:
     """For each question: rank of the first gold hit, nDCG@10, failure group (null if found in the first ten).
 
-    questions: id, gold (array of keys); results: id, rank, cite_key; known: cite_key of every chunk.
+    questions: id, gold (array of keys) and columns to group by, which are kept; results: id, rank, cite_key; known: cite_key of every chunk.
     Each result takes the first gold that is left and that it matches, in rank order.
     """
-    q = questions.select("id", "gold", F.size("gold").alias("n_gold"))
+    more = [c for c in questions.columns if c not in ("id", "gold", "rank", "ndcg", "failure")]
+    q = questions.select("id", "gold", F.size("gold").alias("n_gold"), *more)
     listed = results.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "cite_key"))).alias("hits"))
     x = q.join(listed, "id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<rank:int,cite_key:string>>")))
     hit = lambda h, gold: F.exists(gold, lambda g: gold_match(h["cite_key"], g))
@@ -187,7 +188,12 @@ def judge(questions: DataFrame, results: DataFrame, known: DataFrame) -> DataFra
         F.when(F.col("rank") <= max(CUTS), F.lit(None)).when(F.col("rank").isNotNull(), "ranked_below_10").when(F.col("indexed").isNull(), "gold_not_indexed")
         .when(F.size("hits") == 0, "no_results").when(right, "wrong_chunk_right_document").otherwise("wrong_document")
     )
-    return x.select("id", "rank", "ndcg", group.alias("failure"))
+    return x.select("id", "rank", "ndcg", group.alias("failure"), *more)
+
+
+def has_diacritics(question: Column) -> Column:
+    """Whether a question has a letter with a mark, as one typed with accents has."""
+    return T.fold(F.lower(question)) != F.lower(question)
 
 
 def metrics(judged: DataFrame, by: list[str] = ()) -> DataFrame:

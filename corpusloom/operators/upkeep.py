@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,15 +181,16 @@ def tree(items: DataFrame, root: str) -> DataFrame:
     """
     edges = items.select("id", F.explode("parents").alias("parent"), "name", "folder", "trashed")
     start = items.sparkSession.createDataFrame([(root, "", [], False)], "id string, path string, ancestors array<string>, trashed boolean")
-    seen, level = start, start
+    levels, level = [start], start
     while True:
         above = level.select(F.col("id").alias("parent"), F.col("path").alias("base"), F.col("ancestors").alias("over"), F.col("trashed").alias("gone"))
         path = F.concat(F.when(F.col("base") == "", "").otherwise(F.concat("base", F.lit("/"))), display_segment(F.col("name")))
+        seen = reduce(DataFrame.unionByName, levels)
         met = edges.join(above, "parent").join(seen.select("id"), "id", "left_anti")
         met = met.select("id", path.alias("path"), F.concat("over", F.array("parent")).alias("ancestors"), (F.col("trashed") | F.col("gone")).alias("trashed"), "folder")
         first = Window.partitionBy("id").orderBy("path", F.array_join("ancestors", "/"))
         level = stored(met.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n"), "tree-level")
         if level.isEmpty():
             return seen.filter(F.col("id") != root)
-        seen = stored(seen.unionByName(level.drop("folder")), "tree-seen")
+        levels.append(level.drop("folder"))  # each item is written once
         level = level.filter("folder").drop("folder")

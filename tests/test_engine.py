@@ -137,6 +137,10 @@ def test_evaluate(spark, index):
     questions = spark.createDataFrame([(1, "hợp đồng", ["99/2026/NĐ-CP#dieu-2"]), (2, "pears", ["none#x"])], "id int, question string, gold array<string>")
     got = index[0].evaluate(questions).first()
     assert got["count"] == 2 and got["recall_1"] == 0.5 and got["mrr_10"] == 0.5
+    by = {r["diacritics"]: (r["count"], r["recall_1"]) for r in index[0].evaluate(questions, by=["diacritics"]).collect()}
+    assert by == {True: (1, 1.0), False: (1, 0.0)}
+    typed = questions.withColumn("type", F.lit("fact"))
+    assert [(r["type"], r["count"]) for r in index[0].evaluate(typed, by=["type"]).collect()] == [("fact", 2)]
 
 
 def test_metadata_numbers_locations_and_warnings(spark, index):

@@ -41,7 +41,8 @@ def _copies(sizes: DataFrame) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and byte-level BPE tokens of all documents: inserts (the tokens estimated by bytes), a revision by
-    true counts, the deletion of copies, and replays of two batches."""
+    true counts, the deletion of copies, and replays of two batches. A ledger knows one document for each id, so rows
+    that share an id (a null one too) count as one document, the one with the largest digest, source and language."""
     docs = table(spark, sf_dir, "documents")
     sized = docs.select(
         F.col("doc_id").cast("long"), "source", "lang", "text", word_count("text").alias("words"),

@@ -290,6 +290,7 @@ def test_keyed_reads(spark, tmp_path, monkeypatch):
 def test_vectors_stay_where_they_are(spark, index, monkeypatch):
     """No exchange of a semantic search carries a vector, and copies of a chunk share one."""
     index = index[0]
+    given = index._vectors
     index.vectors = index.chunks.select("chunk_hash").distinct().select("chunk_hash", F.array(F.conv(F.substring("chunk_hash", 1, 4), 16, 10).cast("float"), F.lit(100.0).cast("float")).alias("embedding"))
     plans, nearest = [], semantic.nearest
 
@@ -304,6 +305,7 @@ def test_vectors_stay_where_they_are(spark, index, monkeypatch):
     assert hits.count() > 3
     below = plans[0].split("MapInArrow", 1)
     assert len(below) == 2 and "embedding" not in below[0]
+    index.vectors = given
 
 
 def test_corrections_and_model(spark, tmp_path):

@@ -188,7 +188,7 @@ class Index:
 
     def _finish(
         self, n: int, source_id: str | None, source_name: str | None, own: DataFrame, fresh: DataFrame, gone: DataFrame, moved: DataFrame, gaps: DataFrame | None,
-        cursors: dict[str, int] | None = None, whole: dict[str, int] | None = None,
+        cursors: dict[str, int] | None = None, whole: dict[str, int] | None = None, complete: bool = True,
     ) -> None:
         """Write the segment of a source's fresh documents, without those ``gone`` and with those restated (``moved``), and commit it.
 
@@ -206,7 +206,7 @@ class Index:
             self._extracted(n, self._extractions().limit(0))
         else:
             sources = self.spark.range(1).select(
-                F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit(True).alias("listing_complete"), F.lit(False).alias("running"), F.current_timestamp().alias("last_sync_at")
+                F.lit(source_id).alias("source_id"), F.lit(source_name).alias("source_name"), F.lit(complete).alias("listing_complete"), F.lit(False).alias("running"), F.current_timestamp().alias("last_sync_at")
             )
             for name, rows in (("coverage", gaps), ("sources", sources)):
                 others = self._latest(name).filter(F.col("source_id") != source_id) if self.manifest.latest else rows.limit(0)
@@ -221,7 +221,7 @@ class Index:
         while full := self.segments.full(manifest):
             manifest = self.segments.merge(manifest, full)
         fs, path = hadoop(self.spark, self.folder)
-        for name in ("listed", "hashed", "found", "fresh", "gone", "changes", "placed", "items-seen"):
+        for name in ("listed", "hashed", "found", "fresh", "gone", "changes", "placed", "items-seen", "listing", "due", "renamed", "held"):
             fs.delete(path(self.segments.path(n, name)), True)
         self.refresh()
 
@@ -366,7 +366,7 @@ class Index:
         return governance.coverage(sources, self.failures().withColumnRenamed("source_id", "source"))
 
     def failures(self) -> DataFrame:
-        """Files without a current document: source_id, path, status (stale: the last good one is kept), stage, error."""
+        """Files without a current document: source_id, path, status (stale: the last good one is kept; partial: a folder not listed to its end), stage, error."""
         return self._latest("coverage")
 
     def _chunks(self, docs: DataFrame) -> DataFrame:

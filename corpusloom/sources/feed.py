@@ -17,7 +17,7 @@ from typing import Protocol
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-SCHEMA = "page int, id string, kind string, removed boolean, trashed boolean, name string, parents array<string>"
+SCHEMA = "page int, id string, kind string, removed boolean, trashed boolean, name string, parents array<string>, version string"
 
 #: Reasons and codes of errors that concern one item, not the whole source.
 ITEM_STATUS = (404, 410)

@@ -119,9 +119,9 @@ def locations(selected: DataFrame, chunks: DataFrame, first: int | None = None)
     """
     found = location_rows(selected, chunks)
     place = [c for c in chunks.columns if c not in ("body_hash", "document", "ordinal")]
-    listed = found
-    if first is not None:
-        listed = found.withColumn("__n", F.row_number().over(Window.partitionBy("row_id", "body_hash").orderBy("document", "ordinal"))).filter(F.col("__n") <= first)
-    arrays = listed.groupBy("row_id", "body_hash").agg(F.array_sort(F.collect_list(F.struct("document", "ordinal", *place))).alias("locations"))
+    each = F.array_sort(F.collect_list(F.struct("document", "ordinal", *place))).alias("locations")
+    if first is None:
+        return found.groupBy("row_id", "body_hash").agg(F.count(F.lit(1)).alias("n_locations"), each)
+    listed = found.withColumn("__n", F.row_number().over(Window.partitionBy("row_id", "body_hash").orderBy("document", "ordinal"))).filter(F.col("__n") <= first)
     counts = found.groupBy("row_id", "body_hash").agg(F.count(F.lit(1)).alias("n_locations"))
-    return counts.join(arrays, ["row_id", "body_hash"])
+    return counts.join(listed.groupBy("row_id", "body_hash").agg(each), ["row_id", "body_hash"])

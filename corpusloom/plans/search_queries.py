@@ -270,11 +270,11 @@ def rerank_respread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row_id").alias("doc_id"), "reranked", "rerank_score", "new_score")
 
 
-@query("""SELECT sha256(text) AS body_hash, count(*) AS n, array_to_string(list_transform(list(doc_id ORDER BY doc_id)[1:20], lambda x: x::VARCHAR), ',') AS locations FROM documents GROUP BY 1""")
+@query("""SELECT sha256(text) AS body_hash, count(*) AS n, array_to_string(list_transform(list(doc_id ORDER BY doc_id), lambda x: x::VARCHAR), ',') AS locations FROM documents GROUP BY 1""")
 def duplicate_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every body once, with its number of places and the first twenty of them."""
+    """Every body once, with its number of places and all of them; only ids are listed, so a row of many copies stays small."""
     places = _bodies(spark, sf_dir)
-    found = fusion.locations(places.select("body_hash").distinct().withColumn("row_id", F.col("body_hash")), places, first=20)
+    found = fusion.locations(places.select("body_hash").distinct().withColumn("row_id", F.col("body_hash")), places)
     ids = F.transform("locations", lambda x: x["document"].cast("string"))
     return found.select("body_hash", F.col("n_locations").alias("n"), F.concat_ws(",", ids).alias("locations"))
 

@@ -58,3 +58,8 @@ def test_titles_with_open_references(same):
     pages = [(i, "u", t and f"<html><head><title>{t}</title></head><body>x</body></html>") for i, t in enumerate(titles)]
     rows = same("html_titles", pages=(pages, "page_id long, url string, html string"))
     assert {r["page_id"]: r["raw_title"] for r in rows} == {0: "a&&amp", 1: "<b&gt &quot", 2: "AT&T &", 3: "&amp &am", 4: "&lt;", 5: ""}
+
+
+def test_every_place_of_a_body(same):
+    rows = same("duplicate_locations", documents=([(i, "copy" if i % 3 else "other", "en", "s", 4) for i in range(90)] + [(90, "single", "en", "s", 6)], DOCUMENTS))
+    assert sorted(len(r["locations"].split(",")) for r in rows) == [1, 30, 60] and all(r["n"] == len(r["locations"].split(",")) for r in rows)

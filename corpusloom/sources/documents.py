@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +55,28 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.withColumns({"content_hash": F.sha2("content", 256), "suffix": suffix(F.col("path"))})
 
 
+#: Extractions, and their characters, that go on together.
+TOGETHER, TOGETHER_CHARS = 256, 4 << 20
+
+
 def extract(files: DataFrame, backend: Backend | None = None, limits: Limits = Limits()) -> DataFrame:
     """Extractions of files (path, size, modified_us, content and, where it is known, content_hash)."""
     todo = files if "content_hash" in files.columns else hashed(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
+            rows, size = [], 0
             for f in files.itertuples(index=False):
                 row = read_file(f.path, bytes(f.content), backend, limits)
                 row |= joined(row["parts"]) | {"content_hash": f.content_hash, "size": f.size, "modified_us": f.modified_us}
-                yield pd.DataFrame([row])[COLUMNS]
+                rows.append(row)
+                size += len(row["text"]) + 100 * len(row["parts"])
+                del row["parts"]
+                if len(rows) == TOGETHER or size > TOGETHER_CHARS:
+                    yield pd.DataFrame(rows)[COLUMNS]
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows)[COLUMNS]
 
     return todo.select("path", "content_hash", "size", "modified_us", "content").mapInPandas(run, EXTRACTED)
 
@@ -74,6 +87,22 @@ def reuse(files: DataFrame, cached: DataFrame) -> DataFrame:
     return files.select("path", "size", "modified_us", "content_hash", "suffix").join(own, ["content_hash", "suffix"]).select(*COLUMNS)
 
 
+def parts(extracted: DataFrame) -> DataFrame:
+    """path, kind, locator, text of every span; the time goes with a text's length, not with length times spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                spans = b.column(2).slice(i, 1).flatten()
+                if not len(spans):
+                    continue
+                text, (kind, locator, start, stop) = b.column(1)[i].as_py(), spans.flatten()
+                found = pa.array([text[x:y] for x, y in zip(start.to_pylist(), stop.to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(spans)), kind, locator, found], names=["path", "kind", "locator", "text"])
+
+    return extracted.select("path", "text", "spans").mapInArrow(run, "path string, kind string, locator string, text string")
+
+
 def joined(parts: list[dict]) -> dict:
     """Text of parts parted by blank lines, and the code-point span of each."""
     spans, at = [], 0

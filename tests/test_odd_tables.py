@@ -63,3 +63,11 @@ def test_titles_with_open_references(same):
 def test_every_place_of_a_body(same):
     rows = same("duplicate_locations", documents=([(i, "copy" if i % 3 else "other", "en", "s", 4) for i in range(90)] + [(90, "single", "en", "s", 6)], DOCUMENTS))
     assert sorted(len(r["locations"].split(",")) for r in rows) == [1, 30, 60] and all(r["n"] == len(r["locations"].split(",")) for r in rows)
+
+
+def test_csv_files_beyond_the_row_limit(spark, tmp_path):
+    """More customers of a nation than one file may have rows."""
+    n = 200_005
+    spark.range(n).selectExpr("id + 1 as c_custkey", "concat('C', id) as c_name", "cast(id div 200004 as int) as c_nationkey", "'M' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = {(r["nation"], r["locator"]): r["text"] for r in catalogue.QUERIES["extract_csv_rows"](spark, str(tmp_path)).collect()}
+    assert len(rows) == n and rows[0, "row:2"] == "custkey: 1; name: C0; segment: M" and rows[0, "row:200005"] == "custkey: 200004; name: C200003; segment: M" and rows[1, "row:2"].startswith("custkey: 200005;")

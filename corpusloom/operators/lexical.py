@@ -7,16 +7,20 @@ before any filter, so rows that a filter hides still count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.batches import pieces
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6  # stands for an idf of zero or less
+BLOCK_ROWS = 512  # rows whose postings are made together
 
 
 def token_rows(rows: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
@@ -30,19 +34,50 @@ def postings(tokens: DataFrame) -> DataFrame:
 
     Positions run on from column to column with a gap, so that no phrase spans two columns.
     """
-    shift = F.aggregate(
-        F.transform("parts", F.size), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + n + 1))
-    )
-    numbered = F.zip_with("parts", F.slice(shift, 1, F.size("parts")), lambda part, at: F.transform(part, lambda t, i: F.struct(t.alias("term"), (at + i).alias("position"))))
-    # A row's places are sorted by term and cut where the term changes: no exchange, as a row's terms are at one place.
-    own = tokens.select("row_id", F.size("terms").alias("dl"), F.array_sort(F.flatten(numbered)).alias("s"))
-    begins = F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
-    cut = own.select("row_id", "dl", "s", begins.alias("begins"))
-    one = lambda b, k: F.struct(
-        F.get("s", b)["term"].alias("term"), F.slice("s", b + 1, F.coalesce(F.get("begins", k + 1), F.size("s")) - b)["position"].alias("positions")
-    )
-    each = cut.select("row_id", "dl", F.explode(F.transform("begins", one)).alias("p"))
-    return each.select("p.term", "row_id", "dl", F.size("p.positions").cast("long").alias("tf"), "p.positions")
+    return _exploded(blocks(tokens))
+
+
+def blocks(tokens: DataFrame) -> DataFrame:
+    """The inverted index in blocks of some rows: term, words (its places), row_ids, dls, positions (arrays side by side).
+
+    A block's words are sorted by (row, term) as one array of numbers, so its time goes with its words
+    however long a row is; nothing is exchanged, as a row's words are at one place.
+    """
+    kind = tokens.schema["row_id"].dataType.simpleString()
+    return tokens.select("row_id", "parts").mapInArrow(_invert, f"term string, words long, row_ids array<{kind}>, dls array<int>, positions array<array<int>>")
+
+
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, BLOCK_ROWS):
+        columns = b.column(1).flatten()
+        words = columns.flatten()
+        if not len(words):
+            continue
+        of_row = np.repeat(np.arange(len(b)), b.column(1).value_lengths().to_numpy(zero_copy_only=False))  # columns to rows
+        first = np.searchsorted(of_row, np.arange(len(b)))  # a row's first column
+        of_column = np.repeat(np.arange(len(columns)), columns.value_lengths().to_numpy(zero_copy_only=False))  # words to columns
+        row = of_row[of_column]
+        dl = np.bincount(row, minlength=len(b))
+        position = np.arange(len(words)) - (np.cumsum(dl) - dl)[row] + of_column - first[row]
+        named = words.dictionary_encode()
+        key = named.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(b) + row
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        begin = np.flatnonzero(np.diff(sorted_key, prepend=-1))  # a posting's first word
+        term, at = np.divmod(sorted_key[begin], len(b))
+        cut = np.flatnonzero(np.diff(term, prepend=-1))  # a term's first posting
+        ends = lambda starts, n: pa.array(np.append(starts, n), pa.int32())
+        lists = lambda values: pa.ListArray.from_arrays(ends(cut, len(begin)), values)
+        places = pa.ListArray.from_arrays(ends(begin, len(words)), pa.array(position[order], pa.int32()))
+        places_of = np.diff(np.append(begin, len(words))[np.append(cut, len(begin))])
+        columns = [named.dictionary.take(pa.array(term[cut])), pa.array(places_of, pa.int64()), lists(b.column(0).take(pa.array(at))), lists(pa.array(dl[at], pa.int32())), lists(places)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "words", "row_ids", "dls", "positions"])
+
+
+def _exploded(packed: DataFrame) -> DataFrame:
+    """The postings of blocks."""
+    each = packed.select("term", F.inline(F.arrays_zip("row_ids", "dls", "positions"))).withColumnsRenamed({"row_ids": "row_id", "dls": "dl"})
+    return each.select("term", "row_id", "dl", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def lengths(tokens: DataFrame) -> DataFrame:
@@ -102,15 +137,17 @@ class Inverted:
     stats: DataFrame
 
     @classmethod
-    def write(cls, folder: str, posted: DataFrame, sized: DataFrame) -> Inverted:
-        """Each file in term order, so that a query's filter on terms skips all other pages; a common term's rows are in several files."""
-        posted.repartition(F.col("term"), F.pmod(F.xxhash64("row_id"), F.lit(16))).sortWithinPartitions("term", "row_id").write.parquet(f"{folder}/postings")
-        statistics(sized).write.parquet(f"{folder}/stats")
-        return cls.read(posted.sparkSession, folder)
+    def write(cls, folder: str, tokens: DataFrame) -> Inverted:
+        """The blocks of each input partition as a file in term order, without an exchange; a query's filter on terms skips all other pages."""
+        blocks(tokens).sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+        words = tokens.sparkSession.read.parquet(f"{folder}/postings").agg(F.sum("words").alias("words"))  # no text is cut into words again
+        mean = F.when(F.col("n") > 0, F.coalesce("words", F.lit(0)) / F.col("n")).otherwise(0.0).alias("mean")
+        tokens.agg(F.count(F.lit(1)).alias("n")).crossJoin(words).select("n", mean).write.parquet(f"{folder}/stats")
+        return cls.read(tokens.sparkSession, folder)
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Inverted:
-        return cls(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"))
+        return cls(_exploded(spark.read.parquet(f"{folder}/postings")), spark.read.parquet(f"{folder}/stats"))
 
 
 def statistics(sized: DataFrame) -> DataFrame:
@@ -167,9 +204,11 @@ def phrase_postings(index: Inverted, queries: DataFrame, terms: list[str] | None
     asked = queries.select("query_id", T.tokens(F.col("text")).alias("terms"))
     wanted = asked.select("query_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
     hits = _listed(index.postings, literals(queries) if terms is None else terms).join(wanted, "term")
-    starts = hits.select("query_id", "row_id", "dl", "n_terms", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("start"))
-    whole = starts.groupBy("query_id", "row_id", "dl", "n_terms", "start").agg(F.count(F.lit(1)).alias("n")).filter("n = n_terms")
-    return _phrase_cost(whole.groupBy("query_id", "row_id", "dl").agg(F.count(F.lit(1)).alias("tf")), index.stats)
+    # A row's places of each term, moved back to the phrase's start, meet as arrays.
+    starts = hits.select("query_id", "row_id", "dl", "n_terms", F.transform("positions", lambda p: p - F.col("i")).alias("starts"))
+    rows = starts.groupBy("query_id", "row_id", "dl", "n_terms").agg(F.collect_list("starts").alias("s")).filter(F.size("s") == F.col("n_terms"))
+    tf = F.size(F.aggregate("s", F.get("s", 0), F.array_intersect))
+    return _phrase_cost(rows.select("query_id", "row_id", "dl", tf.cast("long").alias("tf")).filter("tf > 0"), index.stats)
 
 
 def top(scored: DataFrame, limit: int, score_digits: int = 6, by: str = "query_id") -> DataFrame:

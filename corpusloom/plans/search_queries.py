@@ -59,8 +59,7 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.Inverted:
         if fs.exists(path(folder)):  # else it was cleaned up
             return index
     folder = fresh_path(spark, "inverted")
-    tokens = _tokens(spark, sf_dir)
-    _BUILT[key] = folder, lexical.Inverted.write(folder, lexical.postings(tokens), lexical.lengths(tokens))
+    _BUILT[key] = folder, lexical.Inverted.write(folder, _tokens(spark, sf_dir))
     return _BUILT[key][1]
 
 
@@ -161,7 +160,7 @@ def accent_resort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accent-exact order within a candidate pool that BM25 cut off before."""
     best = lexical.top(lexical.bm25_postings(_index(spark, sf_dir), _queries(spark, (1, "réeuxan éch"))), lexical.pool(10))
     texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
-    ordered = lexical.accent_resort(best.join(texts, "row_id"), F.array(F.lit("réeuxan"), F.lit("éch")))
+    ordered = lexical.accent_resort(texts.join(F.broadcast(best), "row_id"), F.array(F.lit("réeuxan"), F.lit("éch")))
     return ordered.select(F.col("row_id").alias("doc_id"), "held", "lexical_rank")
 
 

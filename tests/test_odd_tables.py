@@ -1,10 +1,12 @@
 """Catalogue queries against their SQL over small tables with rows that the smallest given tables lack."""
 
 import datetime as dt
+import time
 
 import duckdb
 import pytest
 
+from corpusloom.operators import lexical
 from corpusloom.plans import catalogue
 
 
@@ -71,3 +73,28 @@ def test_csv_files_beyond_the_row_limit(spark, tmp_path):
     spark.range(n).selectExpr("id + 1 as c_custkey", "concat('C', id) as c_name", "cast(id div 200004 as int) as c_nationkey", "'M' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
     rows = {(r["nation"], r["locator"]): r["text"] for r in catalogue.QUERIES["extract_csv_rows"](spark, str(tmp_path)).collect()}
     assert len(rows) == n and rows[0, "row:2"] == "custkey: 1; name: C0; segment: M" and rows[0, "row:200005"] == "custkey: 200004; name: C200003; segment: M" and rows[1, "row:2"].startswith("custkey: 200005;")
+
+
+def test_index_of_a_long_text(spark, tmp_path):
+    """Time of a row goes with its words, not with words times terms; rows without words count too."""
+    long = " ".join(f"w{i % 9000} x" for i in range(60_000))
+    texts = [("a", [long, "w1 x Straße"]), ("b", ["", ""]), ("c", [None, "x w1 x w1"])]
+    rows = spark.createDataFrame([(i, *t) for i, t in texts], "id string, t string, u string")
+    tokens = lexical.token_rows(rows, "id", "t", "u")
+    began = time.time()
+    index = lexical.Inverted.write(f"{tmp_path}/index", tokens)
+    got = {(r["term"], r["row_id"]): (r["dl"], r["tf"], r["positions"]) for r in index.postings.collect()}
+    assert time.time() - began < 60
+    want = {}
+    for i, columns in texts:
+        at, words = 0, []
+        for c in columns:
+            words += [(at + n, w) for n, w in enumerate((c or "").lower().split())]
+            at += len((c or "").split()) + 1
+        for place, w in words:
+            want.setdefault((w, i), (len(words), []))[1].append(place)
+    assert got == {k: (dl, len(p), p) for k, (dl, p) in want.items()}
+    assert tuple(index.stats.first()) == (3, (120_003 + 0 + 4) / 3)
+    asked = spark.createDataFrame([(1, "w1 x w1"), (2, "x w1"), (3, "w1 straße")], "query_id int, text string")
+    hits = lexical.phrase_postings(index, asked).select("query_id", "row_id").collect()
+    assert {tuple(r) for r in hits} == {(1, "c"), (2, "a"), (2, "c")}

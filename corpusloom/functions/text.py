@@ -6,10 +6,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corpusloom.functions.batches import pieces
+
 
 def _fold_table() -> tuple[str, str]:
     """Letters whose canonical decomposition is one ASCII letter and marks, with that letter; and D with stroke."""
@@ -137,10 +140,12 @@ def windows(col: Column, size: int = 1200, overlap: int = 150) -> Column:
     if size < 100 or not 0 <= overlap < size:
         raise ValueError("size must be 100 at least and overlap below it")
 
-    @F.pandas_udf(WINDOW)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: _windows(t or "", size, overlap))
+    kind = pa.list_(pa.struct({"ordinal": pa.int32(), "start": pa.int32(), "stop": pa.int32()}))
+
+    @F.arrow_udf(WINDOW)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in pieces(batches):
+            yield pa.array([_windows(t or "", size, overlap) for t in texts.to_pylist()], kind)
 
     return cut(col)
 

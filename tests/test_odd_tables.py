@@ -4,8 +4,10 @@ import datetime as dt
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from corpusloom.functions.batches import ROWS, pieces
 from corpusloom.operators import lexical
 from corpusloom.plans import catalogue
 
@@ -98,3 +100,9 @@ def test_index_of_a_long_text(spark, tmp_path):
     asked = spark.createDataFrame([(1, "w1 x w1"), (2, "x w1"), (3, "w1 straße")], "query_id int, text string")
     hits = lexical.phrase_postings(index, asked).select("query_id", "row_id").collect()
     assert {tuple(r) for r in hits} == {(1, "c"), (2, "a"), (2, "c")}
+
+
+def test_pieces_of_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
+    found = list(pieces([batch, batch.slice(0, 0), batch.slice(0, 3)]))
+    assert max(map(len, found)) == ROWS and [x for b in found for x in b.column(0).to_pylist()] == [*range(1000), 0, 1, 2]

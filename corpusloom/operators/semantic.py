@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
+from corpusloom.functions.batches import pieces
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,6 +32,8 @@ def score(cos: Column) -> Column:
 
 #: Bytes of question vectors that one pass over the vectors carries along, and that one batch may hold.
 PASS_BYTES, MOST_BYTES = 32 << 20, 512 << 20
+#: Rows and questions that meet in one matrix product: what a task holds is this, its questions and their best rows.
+ROW_TILE, QUERY_TILE = 2048, 512
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, limit: int, digits: int = 6, among: DataFrame | None = None) -> DataFrame:
@@ -65,7 +69,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int, digits: int = 6,
 
 
 def _products(vectors: DataFrame, asked: list[tuple], kind: DataType, limit: int | None, digits: int, kinds: str) -> DataFrame:
-    """One matrix product for each Arrow batch; of each batch the rows go on that are no worse than the ``limit``-th, or all."""
+    """Matrix products of tiles of rows and questions; of each task the ``limit`` best rows of a question go on, or all."""
     by_size: dict[int, list[int]] = {}
     for i, (_, v) in enumerate(asked):
         by_size.setdefault(len(v), []).append(i)
@@ -74,26 +78,47 @@ def _products(vectors: DataFrame, asked: list[tuple], kind: DataType, limit: int
     names = pa.array([q for q, _ in asked], to_arrow_type(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        held: dict[int, pa.Table] = {}  # the best of the task's rows so far, for each group of questions
+        for b in pieces(batches, ROW_TILE):
             length = np.nan_to_num(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            query, row, score = [], [], []
+            part = 0
             for n, at, q in shared.value:
                 same = np.flatnonzero(length == n) if n else np.empty(0, np.int64)
                 x = b.column(1).take(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n) if n else np.empty((0, 0))
-                below = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None]
-                with np.errstate(invalid="ignore"):
-                    cos = np.divide(x @ q.T, below, out=np.zeros_like(below), where=below > 0)
-                s = np.round(np.nan_to_num(np.maximum(0, (cos + 1) / 2), nan=0.5), digits)  # as cosine 0
-                for j, i in enumerate(at):
-                    least = np.partition(s[:, j], -limit)[-limit] if limit and len(same) > limit else -1.0
-                    best = np.flatnonzero(s[:, j] >= least)
-                    query.append(np.full(len(best), i))
-                    row.append(same[best])
-                    score.append(s[best, j])
-            query, row = pa.array(np.concatenate(query)), pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([names.take(query), b.column(0).take(row), pa.array(np.concatenate(score))], names=["query_id", "vec_id", "score"])
+                own = np.sqrt((x * x).sum(1))
+                for first in range(0, len(at), QUERY_TILE):
+                    part += 1
+                    if not len(same):
+                        continue
+                    some = q[first : first + QUERY_TILE]
+                    below = own[:, None] * np.sqrt((some * some).sum(1))[None]
+                    with np.errstate(invalid="ignore"):
+                        cos = np.divide(x @ some.T, below, out=np.zeros_like(below), where=below > 0)
+                    s = np.round(np.nan_to_num(np.maximum(0, (cos + 1) / 2), nan=0.5), digits)  # as cosine 0
+                    if limit and len(same) > limit:
+                        row, query = np.nonzero(s >= np.partition(s, -limit, axis=0)[-limit])
+                    else:
+                        row, query = (i.ravel() for i in np.indices(s.shape))
+                    columns = [pa.array(np.asarray(at)[first + query]), b.column(0).take(pa.array(same[row])), pa.array(s[row, query])]
+                    found = pa.Table.from_arrays(columns, names=["query", "vec_id", "score"])
+                    if limit is None:
+                        yield from sent(found)
+                    else:
+                        held[part] = best(pa.concat_tables([held[part], found]) if part in held else found)
+        for found in held.values():
+            yield from sent(found)
+
+    def best(found: pa.Table) -> pa.Table:
+        """The ``limit`` best rows of each question, ties by id."""
+        ordered = found.sort_by([("query", "ascending"), ("score", "descending"), ("vec_id", "ascending")], null_placement="at_start")
+        query = ordered.column(0).to_numpy()
+        begin = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(begin, np.diff(np.append(begin, len(query))))
+        return ordered.filter(pa.array(place < limit)).combine_chunks()
+
+    def sent(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in found.to_batches(max_chunksize=100_000):
+            yield pa.RecordBatch.from_arrays([names.take(b.column(0)), b.column(1), b.column(2)], names=["query_id", "vec_id", "score"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, kinds)
 

@@ -6,9 +6,10 @@ import time
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from corpusloom.functions.batches import ROWS, pieces
-from corpusloom.operators import lexical
+from corpusloom.operators import lexical, semantic
 from corpusloom.plans import catalogue
 
 
@@ -106,3 +107,13 @@ def test_pieces_of_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
     found = list(pieces([batch, batch.slice(0, 0), batch.slice(0, 3)]))
     assert max(map(len, found)) == ROWS and [x for b in found for x in b.column(0).to_pylist()] == [*range(1000), 0, 1, 2]
+
+
+def test_a_task_keeps_the_best_rows_of_a_question(spark):
+    """However many batches and tiles it has, and however many rows tie."""
+    rows = spark.range(0, 25_000, 1, 1).selectExpr("id AS vec_id", "array(cast(id % 3 AS float), 1.0f) AS embedding")
+    asked = [(i, [1.0, i / 700]) for i in range(700)]
+    kept = semantic._products(rows, asked, T.LongType(), 5, 6, "query_id long, vec_id long, score double")
+    assert kept.count() == 5 * len(asked)
+    found = semantic.nearest(rows, spark.createDataFrame(asked[:1] + asked[-1:], "query_id long, query array<double>"), 5).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in found} == {(0, 2 + 3 * i) for i in range(5)} | {(699, 1 + 3 * i) for i in range(5)}

@@ -1,15 +1,16 @@
 """Exact dedup by a log-structured merge index of text digests (DataFrame functions only).
 
-* A *memtable* is one input partition: its (digest, id) rows are sorted by digest and flushed as
-  one Parquet run, without a shuffle. An index that is kept also stores a Bloom filter of each run.
-* *Compaction* merges the runs of a level, one row per digest with the smallest and the largest
-  identifier and the row count, into one run of the next level and removes them. Its aggregation
-  combines on the map side, so a group of copies of any size moves as one row per task.
-* A *lookup* probes the filters of the earlier runs with a batch's digests and joins those that
-  pass to the runs. A digest met once is settled by the index alone. Digests met more often (hits)
-  go into a Bloom filter of their own, which is probed before any text moves: only the texts that
-  pass it are shuffled. They are grouped by digest **and bytes**, with the texts of earlier
-  batches, so a digest collision splits into its true groups.
+* A batch of (digest, id) rows is *flushed* as one run: one row per digest with the smallest and the
+  largest identifier and the row count, and a Bloom filter of its digests. The aggregation combines on
+  the map side, so a group of copies of any size moves as one row per task.
+* *Compaction* merges the runs of a level into one run of the next level and removes them. Runs are
+  merged by hash, so they are not sorted.
+* A *lookup* finds the digests of a batch that earlier runs hold. It probes the filters of those runs
+  with the batch's digests and the batch's filter with the runs' rows, so only what passes is joined.
+* A digest met once is settled by the index alone. Digests met more often (hits: twice in a batch, or
+  found by a lookup) go into a Bloom filter of their own, which is probed before any text moves: only
+  the texts that pass it are shuffled. They are grouped by digest **and bytes**, with the texts of
+  earlier batches, so a digest collision splits into its true groups.
 
 A filter is one row, an array of words made by ``bit_or``; it grows with the number of its digests up
 to ``MOST_WORDS``. Beyond that more texts pass it in vain, but no result changes.
@@ -17,7 +18,8 @@ to ``MOST_WORDS``. Beyond that more texts pass it in vain, but no result changes
 An index that is given (``index=``) takes any number of batches: it keeps one copy of each text that
 a batch brings, and the ids and sizes of later batches cover the earlier ones. Its state is a log of
 small entries (runs and texts that count), so what a lost driver left behind is never read, and of
-two writers one fails. Without one, the query makes a passing index of one batch.
+two writers one fails. Without one, the table is dealt by a hash of its ids into ``BATCHES`` batches that pass
+through an index of the query's own: copies in different batches are found by lookups alone.
 
 Edge cases: a null text counts as the empty text; a null id sorts below every id, and a
 group of null ids alone has a null ``keep_id``. Rows that repeat both id and text all
@@ -38,9 +40,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Log, fresh_path, remove, stored, text_or_empty
 
 RUN_SCHEMA = "digest binary, low long, high long, n long"
+FILTER_SCHEMA = "bits array<long>, words int"
 TEXT_SCHEMA = "digest binary, text string, low long, high long, n long"
 HASHES = 4
 MOST_WORDS = 1 << 21  # of 64 bits: 16 MB
+BATCHES = 3  # of a query's own index
+FANOUT = 2  # of that index: the last batch is looked up in one merged run
 
 
 def sha256(text: Column) -> Column:
@@ -91,14 +96,15 @@ class DigestIndex:
     same ``path``, an index goes on where its log ends.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 8, keep_texts: bool = True):
-        self.spark, self.fanout, self.keep_texts = spark, fanout, keep_texts
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 8):
+        self.spark, self.fanout = spark, fanout
         self.path = path or fresh_path(spark, "digest-index")
         self.log = Log(spark, f"{self.path}/log")
         self._at = self.log.last()  # an entry holds the whole state, so the last one is all that counts
         state = json.loads(self.log.text(self._at)) if self._at else {"levels": [[]], "texts": []}
         self.levels: list[list[str]] = state["levels"]
         self.texts: list[str] = state["texts"]
+        self._words: dict[str, int] = {}  # of the filters that this index wrote or read
 
     def _commit(self) -> None:
         self._at += 1
@@ -109,11 +115,10 @@ class DigestIndex:
     def _write(self, rows: DataFrame) -> str:
         name = fresh_path(self.spark, "run").rsplit("/", 1)[1]
         target = f"{self.path}/{name}"
-        rows.sortWithinPartitions("digest").write.parquet(f"{target}/rows")
-        if self.keep_texts:
-            written = self._rows([target])
-            words = words_for(written.count())
-            bloom(written, words).withColumn("words", F.lit(words)).write.parquet(f"{target}/filter")
+        rows.write.parquet(f"{target}/rows")
+        written = self._rows([target])
+        words = self._words[target] = words_for(written.count())
+        bloom(written, words).withColumn("words", F.lit(words)).write.parquet(f"{target}/filter")
         return target
 
     def _rows(self, runs: list[str]) -> DataFrame:
@@ -121,33 +126,46 @@ class DigestIndex:
             return self.spark.createDataFrame([], RUN_SCHEMA)
         return self.spark.read.schema(RUN_SCHEMA).parquet(*[f"{r}/rows" for r in runs])
 
+    @staticmethod
+    def _one_each(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+
     def _merged(self, runs: list[str]) -> DataFrame:
-        return self._rows(runs).groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        return self._one_each(self._rows(runs))
 
     def runs(self) -> list[str]:
         return [x for level in self.levels for x in level]
 
+    def rows(self) -> DataFrame:
+        """The rows of all runs; a digest has one in each run that met it."""
+        return self._rows(self.runs())
+
     def _filter(self, run: str) -> Filter:
-        row = self.spark.read.parquet(f"{run}/filter")
-        return Filter(row.select("bits"), row.first()["words"])
+        row = self.spark.read.schema(FILTER_SCHEMA).parquet(f"{run}/filter")
+        if run not in self._words:
+            self._words[run] = row.select("words").first()[0]
+        return Filter(row.select("bits"), self._words[run])
 
     def flush(self, rows: DataFrame) -> DataFrame:
-        """A batch of (digest, id) as one sorted run file for each partition, merged; the index does not hold it yet."""
-        batch = f"{fresh_path(self.spark, 'memtable')}/rows"
+        """A batch of (digest, id) as a run; the index does not hold it yet."""
         one = rows.select("digest", F.col("id").alias("low"), F.col("id").alias("high"), F.lit(1).cast("long").alias("n"))
-        one.sortWithinPartitions("digest").write.parquet(batch)
-        self._flushed = self._write(self._merged([batch.removesuffix("/rows")]))
+        self._flushed = self._write(self._one_each(one))
         return self._rows([self._flushed])
 
-    def lookup(self, digests: DataFrame) -> DataFrame:
-        """The merged rows of earlier runs that have one of the (distinct) digests; the filters are probed first."""
-        runs = self.runs()
+    def lookup(self) -> DataFrame:
+        """The digests of the flushed batch that the index holds; the filters of both are probed first."""
+        runs, digest = self.runs(), F.col("digest")
         if not runs:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        may = reduce(lambda a, b: a | b, [self._filter(r).passes(F.col("digest")) for r in runs])
-        return self._rows(runs).join(digests.filter(may), "digest", "left_semi").groupBy("digest").agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")
-        )
+            return self._rows([]).select("digest")
+        may = reduce(lambda a, b: a | b, [self._filter(r).passes(digest) for r in runs])
+        asked = self._rows([self._flushed]).select("digest").filter(may)
+        held = self.rows().select("digest").filter(self._filter(self._flushed).passes(digest))
+        return asked.join(held, "digest", "left_semi")
+
+    def met_again(self) -> DataFrame:
+        """The digests of the flushed batch that it has more than once or that the index holds, written out."""
+        repeated = self._rows([self._flushed]).filter("n > 1").select("digest")
+        return stored(repeated.unionByName(self.lookup()).distinct(), "digest-met")
 
     def commit(self, texts: DataFrame | None = None) -> None:
         """Take in the flushed batch (and its distinct texts), then compact levels that are full."""
@@ -196,31 +214,45 @@ class _Settled(NamedTuple):
     hits: Filter
 
 
-def _settle(keyed: DataFrame, keep: str, index: DigestIndex) -> _Settled:
+def _through_batches(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The runs of an index that takes (digest, id) in batches, and the digests that it met more than once."""
+    spark = keyed.sparkSession
+    index, path = DigestIndex(spark, fanout=FANOUT), fresh_path(spark, "digests")
+    part = F.pmod(F.xxhash64("id"), F.lit(BATCHES)).cast("int")
+    keyed.select("digest", "id", part.alias("part")).write.partitionBy("part").parquet(path)
+    rows, met = spark.read.schema("digest binary, id long, part int").parquet(path), []
+    for k in range(BATCHES):
+        index.flush(rows.filter(F.col("part") == k))
+        met.append(index.met_again())
+        index.commit()
+    return index.rows(), stored(reduce(DataFrame.unionByName, met).distinct(), "digest-hits")
+
+
+def _settle(keyed: DataFrame, keep: str, index: DigestIndex | None = None) -> _Settled:
     """Single and repeated texts of a batch (id, text, digest), which the index takes in."""
     best = "high" if keep == "high" else "low"
-    batch = index.flush(keyed.select("digest", "id"))
-    single, repeated = batch.filter("n = 1"), batch.filter("n > 1").select("digest")
-    if index.runs():
-        earlier = stored(index.lookup(batch.select("digest")).select("digest"), "digest-met")
-        single = single.join(earlier, "digest", "left_anti")
-        repeated = repeated.unionByName(earlier).distinct()
-    hits = stored(repeated, "digest-hits")
+    if index:
+        runs = index.flush(keyed.select("digest", "id"))
+        hits = index.met_again()
+    else:
+        runs, hits = _through_batches(keyed)
     words = words_for(hits.count())
     known = Filter(stored(bloom(hits, words), "hits-filter"), words)
     passes = known.passes(F.col("digest"))
+    once = runs.filter("n = 1")
+    single = once.filter(~passes).unionByName(once.filter(passes).join(hits, "digest", "left_anti").select(*once.columns))
     rows = stored(keyed.filter(passes).join(hits, "digest", "left_semi").select("digest", "id", "text"), "hit-rows")
     # Written out, so that the join below reads both sides through exchanges of its own and
     # Spark can split a hot group of copies.
     each = [F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")]
     groups = stored(rows.groupBy("digest", "text").agg(*each), "hit-groups")
     total = groups
-    if index.texts:
+    if index and index.texts:
         before = index.stored_texts().filter(passes).join(hits, "digest", "left_semi").select(*groups.columns)
         summed = groups.unionByName(before).groupBy("digest", "text")
         total = stored(summed.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")), "hit-totals")
     verified = rows.join(total, ["digest", "text"]).select("digest", "id", "text", F.col(best).alias("keep_id"), F.col("n").alias("group_size"))
-    if index.keep_texts:
+    if index:
         fresh = keyed.filter(~passes).unionByName(keyed.filter(passes).join(hits, "digest", "left_anti").select(*keyed.columns))
         fresh = fresh.select("digest", "text", F.col("id").alias("low"), F.col("id").alias("high"), F.lit(1).cast("long").alias("n"))
         verified, single = stored(verified, "verified"), stored(single, "single")  # compaction removes what they read
@@ -244,7 +276,7 @@ def exact_groups(
     batches that the index took before, and ``docs`` is taken in.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    found = _settle(rows.withColumn("digest", digest(F.col("text"))), keep, index or DigestIndex(docs.sparkSession, keep_texts=False))
+    found = _settle(rows.withColumn("digest", digest(F.col("text"))), keep, index)
     # A digest met once needs no text: with SHA-256 the index row is the result row.
     own = digest is sha256
     named = F.lower(F.hex("digest"))
@@ -264,7 +296,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text are judged apart. Only rows that pass the filter of repeated digests are shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    found = _settle(rows.withColumn("digest", sha256(F.col("text"))), keep, DigestIndex(docs.sparkSession, keep_texts=False))
+    found = _settle(rows.withColumn("digest", sha256(F.col("text"))), keep)
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     keyed = docs.withColumns({"__digest": sha256(text_or_empty(text_col)), "__id": name(F.col(id_col).cast("long"))})
     passes = found.hits.passes(F.col("__digest"))

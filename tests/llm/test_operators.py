@@ -499,6 +499,24 @@ def test_exact_groups_over_batches(spark, rows, keep, weak):
         stale.insert(spark.createDataFrame([(b"c", 1)], "digest binary, id long"))
 
 
+def test_exact_groups_hang_on_the_index(spark, rows, monkeypatch):
+    """A query's digests pass through its index: no result is right where lookups, run filters or merges lose rows."""
+    groups = lambda: Counter(tuple(r) for r in exact_dedup.exact_groups(frame(spark, rows)).collect())
+    index, merged, compact = exact_dedup.DigestIndex, [], exact_dedup.DigestIndex.compact
+    monkeypatch.setattr(index, "compact", lambda self, level: (merged.append(len(self.levels[level])), compact(self, level)))
+    want = groups()
+    assert sum(want.values()) == len(rows) and merged and min(merged) > 1
+    nothing = exact_dedup.Filter(spark.createDataFrame([([0] * 64,)], "bits array<long>"), 64)
+    for name, broken in [
+        ("lookup", lambda self, *_: spark.createDataFrame([], "digest binary")),
+        ("_filter", lambda self, run: nothing),
+        ("_merged", lambda self, runs: self._rows(runs[:0])),
+    ]:
+        with monkeypatch.context() as m:
+            m.setattr(index, name, broken)
+            assert groups() != want, name
+
+
 def test_exact_groups_empty(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0 and exact_dedup.drop_copies(frame(spark, [])).count() == 0
 
